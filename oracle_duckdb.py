@@ -222,3 +222,196 @@ ORACLE["url_features_mutated"] = f"""WITH {mutations_sql('pages', 'url', 'page_i
 SELECT page_id, variant, label, mutated_url, reg AS registered_domain,
        {url_feature_select_sql()}
 FROM p6"""
+
+
+# --------------------------------------------------------------- pages, text
+from riskscope.functions.html import COMMENT_RE, ENTITIES, TAG_RE  # noqa: E402
+
+
+def strip_ws_sql(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + WS_CLASS + '+|' + WS_CLASS + '+$')}, '', 'g')"
+
+
+def collapse_sql(x: str) -> str:
+    return strip_ws_sql(f"regexp_replace({x}, {q(WS_CLASS + '+')}, ' ', 'g')")
+
+
+def decode_sql(x: str) -> str:
+    out = x
+    for ent, ch in ENTITIES:
+        out = f"replace({out}, {q(ent)}, {q(ch)})"
+    return out
+
+
+def clean_html_sql(html: str) -> str:
+    out = f"coalesce({html}, '')"
+    for t in D.DROPPED_TAGS:
+        out = f"regexp_replace({out}, {q('(?is)<' + t + '\\b(?:[^>]*?/>|[^>]*>.*?</' + t + '\\s*>)')}, ' ', 'g')"
+    return f"regexp_replace({out}, {q(COMMENT_RE)}, ' ', 'g')"
+
+
+def page_ctes(source: str, keys: str, html: str = "html") -> str:
+    """CTEs h0..h2 -> keys, title, meta_description, text, text_length,
+    low_content, link_count, has_form, has_iframe (and h2.clean)."""
+    title_raw = "regexp_extract(clean, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)"
+    meta_tag = (
+        "regexp_extract(clean, "
+        + q("(?is)(<meta\\b[^>]*?\\sname\\s*=\\s*(?:\"description\"|'description'|description\\b)[^>]*>)")
+        + ", 1)"
+    )
+    prop_tag = (
+        "regexp_extract(clean, "
+        + q("(?s)(<meta\\b[^>]*?\\s(?i:property)\\s*=\\s*(?:\"og:description\"|'og:description'|og:description\\b)[^>]*>)")
+        + ", 1)"
+    )
+    cpat = q("(?is)\\scontent\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))")
+    content = (
+        f"regexp_extract(mtag, {cpat}, 1) || regexp_extract(mtag, {cpat}, 2) || regexp_extract(mtag, {cpat}, 3)"
+    )
+    body = (
+        "CASE WHEN regexp_matches(clean, '(?i)<body\\b') THEN "
+        "regexp_extract(clean, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|\\z)', 1) ELSE clean END"
+    )
+    return f"""h0 AS (SELECT {keys}, {html} AS raw_html, {clean_html_sql(html)} AS clean FROM {source}),
+h1 AS (SELECT *, CASE WHEN {meta_tag} <> '' THEN {meta_tag} ELSE {prop_tag} END AS mtag FROM h0),
+h2 AS (SELECT * EXCLUDE (mtag),
+   CASE WHEN contains({title_raw}, '<') THEN '' ELSE {collapse_sql(decode_sql(title_raw))} END AS title,
+   CASE WHEN mtag = '' THEN '' ELSE {collapse_sql(decode_sql(content))} END AS meta_description,
+   {collapse_sql(decode_sql(f"regexp_replace({body}, {q(TAG_RE)}, ' ', 'g')"))} AS text,
+   CAST(len(regexp_extract_all(clean, {q('(?i)<a\\s(?:[^>]*\\s)?href(?:\\s*=|[\\s/>])')})) AS INTEGER) AS link_count,
+   CAST(regexp_matches(coalesce(raw_html, ''), '(?i)<form\\b') AS INTEGER) AS has_form,
+   CAST(regexp_matches(coalesce(raw_html, ''), '(?i)<iframe\\b') AS INTEGER) AS has_iframe
+   FROM h1)"""
+
+
+ORACLE["page_extract"] = f"""WITH {page_ctes('pages', 'page_id')}
+SELECT page_id, title, meta_description, text, CAST(length(text) AS INTEGER) AS text_length,
+       CAST(length(text) < {D.LOW_CONTENT_CHARS} AS INTEGER) AS low_content, link_count, has_form, has_iframe
+FROM h2"""
+
+
+def content_ctes(source: str, keys: str, title: str, text: str, keywords=D.SCAM_KEYWORDS, weight: int = D.TITLE_WEIGHT) -> str:
+    """CTEs c0..c2 -> keys + the content features (except has_form/has_iframe)."""
+    punct = D.ASCII_PUNCTUATION
+    ttl = strip_ws_sql(f"coalesce({title}, '')")
+    txt = strip_ws_sql(f"coalesce({text}, '')")
+    weighted = strip_ws_sql(f"repeat({ttl} || ' ', {max(weight, 1)}) || {txt}")
+    norm = collapse_sql(f"translate(lower({weighted}), {q(punct)}, {q(' ' * len(punct))})")
+    singles = [k for k in dict.fromkeys(keywords) if " " not in k]
+    phrases = [k for k in dict.fromkeys(keywords) if " " in k]
+    hits = []
+    if singles:
+        hits.append(f"len(list_filter(tok, lambda x: x IN {qlist(singles)}))")
+    for ph in phrases:
+        pp = " " + ph.replace(" ", "  ") + " "
+        hits.append(f"((length(padded) - length(replace(padded, {q(pp)}, ''))) // {len(pp)})")
+    hits_sql = " + ".join(hits) if hits else "0"
+    return f"""c0 AS (SELECT {keys}, {txt} AS txt, {norm} AS norm FROM {source}),
+c1 AS (SELECT *, list_filter(string_split(norm, ' '), lambda x: x <> '' AND x NOT IN {qlist(D.ENGLISH_STOP_WORDS)}) AS tok,
+              ' ' || replace(norm, ' ', '  ') || ' ' AS padded FROM c0),
+c2 AS (SELECT *, CAST({hits_sql} AS INTEGER) AS hits, len(tok) AS ntok,
+              length(regexp_replace(txt, '[^\\p{{L}}]', '', 'g')) AS letters,
+              length(regexp_replace(txt, '[^\\p{{Lu}}]', '', 'g')) AS uppers FROM c1)"""
+
+
+CONTENT_SELECT = f"""CAST(least(length(txt), {D.MAX_TEXT_LENGTH_FEATURE}) AS INTEGER) AS text_length,
+       CAST(least(ntok, {D.MAX_TOKEN_COUNT_FEATURE}) AS INTEGER) AS token_count,
+       hits AS scam_keyword_count,
+       CAST(CASE WHEN ntok = 0 THEN 0.0 ELSE round_even(hits / ntok, 6) END AS DOUBLE) AS scam_keyword_density,
+       CAST(least(length(txt) - length(replace(txt, '!', '')), {D.MAX_EXCLAMATION_FEATURE}) AS INTEGER) AS exclamation_count,
+       CAST(CASE WHEN letters = 0 THEN 0.0 ELSE round_even(uppers / letters, 4) END AS DOUBLE) AS caps_ratio,
+       CAST(CASE WHEN ntok = 0 THEN 0.0 ELSE round_even(length(array_to_string(tok, '')) / ntok, 3) END AS DOUBLE) AS avg_word_length"""
+
+ORACLE["content_features_documents"] = f"""WITH {content_ctes('documents', 'doc_id', 'NULL', 'text')}
+SELECT doc_id, {CONTENT_SELECT}, 0 AS has_form, 0 AS has_iframe FROM c2"""
+
+TEST_KEYWORDS = ("ouen", "ment", "the", "ing", "thnt", "of the", "en la", "is the", "und die", "and the")
+
+ORACLE["content_features_keywords"] = f"""WITH {content_ctes('documents', 'doc_id', 'NULL', 'text', TEST_KEYWORDS)}
+SELECT doc_id, CAST(least(ntok, {D.MAX_TOKEN_COUNT_FEATURE}) AS INTEGER) AS token_count,
+       hits AS scam_keyword_count,
+       CAST(CASE WHEN ntok = 0 THEN 0.0 ELSE round_even(hits / ntok, 6) END AS DOUBLE) AS scam_keyword_density,
+       CAST(CASE WHEN ntok = 0 THEN 0.0 ELSE round_even(length(array_to_string(tok, '')) / ntok, 3) END AS DOUBLE) AS avg_word_length
+FROM c2"""
+
+ORACLE["content_features_pages"] = f"""WITH {page_ctes('pages', 'page_id')},
+{content_ctes('h2', 'page_id, has_form, has_iframe', 'title', 'text', TEST_KEYWORDS)}
+SELECT page_id, {CONTENT_SELECT}, has_form, has_iframe FROM c2"""
+
+
+# ------------------------------------------------------------ flagship score
+from riskscope.operators.scoring import (  # noqa: E402
+    BANDS, FAMILIES, FAMILY_COLUMNS, LOW_BAND, NOTE_BRAND, NOTE_DEFAULT, NOTE_LIMITED, NOTE_TEXT,
+)
+
+
+def family_sql() -> str:
+    parts = []
+    for (_label, _d, terms), name in zip(FAMILIES, FAMILY_COLUMNS):
+        total = "0.0"
+        for feat, div, w in terms:
+            total = f"({total} + coalesce(CAST({feat} AS DOUBLE), 0.0) / {float(div)!r} * {w!r})"
+        parts.append(f"round_even(greatest(0.0, least({total}, 1.0)), 3) AS {name}")
+    return ",\n       ".join(parts)
+
+
+def band_sql(p: str) -> tuple[str, str]:
+    lab = "CASE " + " ".join(f"WHEN {p} >= {t} THEN {q(l)}" for t, l, _ in BANDS) + f" ELSE {q(LOW_BAND[0])} END"
+    tone = "CASE " + " ".join(f"WHEN {p} >= {t} THEN {q(tn)}" for t, _, tn in BANDS) + f" ELSE {q(LOW_BAND[1])} END"
+    return lab, tone
+
+
+def drivers_sql() -> list[str]:
+    n = len(FAMILY_COLUMNS)
+    ranks = []
+    for i, ci in enumerate(FAMILY_COLUMNS):
+        terms = []
+        for j, cj in enumerate(FAMILY_COLUMNS):
+            if j == i:
+                continue
+            cond = f"{cj} > {ci}" if j > i else f"{cj} >= {ci}"
+            terms.append(f"CAST({cond} AS INTEGER)")
+        ranks.append("(" + " + ".join(terms) + ")")
+    out = []
+    for r in range(3):
+        whens = " ".join(f"WHEN {ranks[i]} = {r} THEN {q(FAMILIES[i][0])}" for i in range(n))
+        out.append(f"CASE {whens} END AS driver_{r + 1}")
+    return out
+
+
+def flagship_sql(source: str = "pages") -> str:
+    lab, tone = band_sql("scam_probability")
+    notes = (
+        f"concat_ws(' | ', CASE WHEN coalesce(status, '') <> 'success' THEN {q(NOTE_LIMITED)} END, "
+        f"CASE WHEN text_length > 0 THEN {q(NOTE_TEXT)} END, "
+        f"CASE WHEN brand_domain_mismatch <> 0 THEN {q(NOTE_BRAND)} END)"
+    )
+    signals = (
+        "concat_ws(', ', CASE WHEN suspicious_word_count > 0 THEN 'Suspicious words' END, "
+        "CASE WHEN scam_keyword_count > 0 THEN 'Scam keywords' END, "
+        "CASE WHEN suspicious_tld <> 0 THEN 'Suspicious TLD' END, "
+        "CASE WHEN url_length >= 80 THEN 'URL length' END, "
+        "CASE WHEN text_length > 0 THEN 'Page text' END, "
+        "CASE WHEN status = 'success' THEN 'Scrape status' END)"
+    )
+    return f"""WITH {page_ctes(source, 'page_id, url')},
+{content_ctes('h2', 'page_id, title, has_form, has_iframe', 'title', 'text')},
+cf AS (SELECT page_id, title, {CONTENT_SELECT} FROM c2),
+{url_parts_ctes(source, 'url', 'page_id, url')},
+uf AS (SELECT page_id, url, reg AS registered_domain, url_valid, {url_feature_select_sql()} FROM p6),
+j AS (SELECT uf.*, cf.* EXCLUDE (page_id), 'success' AS status FROM uf JOIN cf USING (page_id)),
+f AS (SELECT *, {family_sql()} FROM j),
+s AS (SELECT *, round_even(({' + '.join(FAMILY_COLUMNS)}) / {len(FAMILY_COLUMNS)}, 4) AS p FROM f),
+o AS (SELECT *, CASE WHEN url_valid THEN p ELSE 0.0 END AS scam_probability FROM s)
+SELECT page_id, url, registered_domain, title, {', '.join(FAMILY_COLUMNS)},
+       scam_probability,
+       CASE WHEN NOT url_valid THEN 'ERROR' WHEN p >= 0.5 THEN 'SCAM' ELSE 'LEGIT' END AS prediction,
+       CASE WHEN NOT url_valid THEN 0.0 WHEN p >= 0.5 THEN round_even(p, 4) ELSE round_even(1.0 - p, 4) END AS confidence,
+       {lab} AS risk_label, {tone} AS risk_tone,
+       {', '.join(drivers_sql())},
+       CASE WHEN {notes} = '' THEN {q(NOTE_DEFAULT)} ELSE {notes} END AS notes,
+       {signals} AS active_signals
+FROM o"""
+
+
+ORACLE["score_pages"] = flagship_sql()

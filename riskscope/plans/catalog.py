@@ -40,3 +40,59 @@ def q_url_features_mutated(spark: SparkSession, sf: str) -> DataFrame:
     m = UF.url_mutations(_pages(spark, sf).select("page_id", "url"), keyword="paypal secure login")
     df = UF.with_url_features(m, "mutated_url")
     return df.select("page_id", "variant", "label", "mutated_url", "registered_domain", *UF.URL_FEATURES)
+
+
+# ------------------------------------------------------------- pages, content
+from riskscope import dictionaries as D  # noqa: E402
+from riskscope.operators import content as C  # noqa: E402
+from riskscope.operators import pages as P  # noqa: E402
+from riskscope.plans import score_pages as SP  # noqa: E402
+
+# Replacement keyword list for non-vacuous content checks: the test texts
+# contain none of the real scam phrases, so this list uses words and word
+# pairs that do occur there.  Single words and phrases, same rules.
+TEST_KEYWORDS = ("ouen", "ment", "the", "ing", "thnt", "of the", "en la", "is the", "und die", "and the")
+
+
+@register("page_extract")
+def q_page_extract(spark, sf):
+    """H2-H9 over every page."""
+    return P.extract_pages(_pages(spark, sf)).select(
+        "page_id", "title", "meta_description", "text", "text_length", "low_content", "link_count",
+        "has_form", "has_iframe",
+    )
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents")
+
+
+@register("content_features_documents")
+def q_content_docs(spark, sf):
+    """C1-C9 on every document text (title NULL), real dictionaries."""
+    df = C.with_content_features(_docs(spark, sf).select("doc_id", "text"), None, "text", None)
+    return df.select("doc_id", *C.CONTENT_FEATURES)
+
+
+@register("content_features_keywords")
+def q_content_keywords(spark, sf):
+    """C4/C5 with a replacement keyword list (words present in the texts)."""
+    df = C.with_content_features(
+        _docs(spark, sf).select("doc_id", "text"), None, "text", None, keywords=TEST_KEYWORDS
+    )
+    return df.select("doc_id", "token_count", "scam_keyword_count", "scam_keyword_density", "avg_word_length")
+
+
+@register("content_features_pages")
+def q_content_pages(spark, sf):
+    """H8 -> C9 with the page title weighted 3x."""
+    ex = P.extract_pages(_pages(spark, sf))
+    df = C.with_content_features(ex, "title", "text", has_flags=False, keywords=TEST_KEYWORDS)
+    return df.select("page_id", *C.CONTENT_FEATURES)
+
+
+@register("score_pages")
+def q_score_pages(spark, sf):
+    """Flagship: URL + page + content features -> family scores -> score ->
+    band, drivers, notes, active signals for every page."""
+    return SP.flagship_report(_pages(spark, sf))
