@@ -415,3 +415,145 @@ FROM o"""
 
 
 ORACLE["score_pages"] = flagship_sql()
+
+
+# -------------------------------------------------------------------- domains
+from riskscope.operators.domains import CREATION_PATTERNS, EXPIRY_PATTERNS, REGISTRAR_PATTERNS  # noqa: E402
+
+AS_OF = "2026-01-01 00:00:00"
+PY_DATE_FORMATS = (
+    "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d", "%Y-%m-%d", "%d-%b-%Y",
+    "%d-%b-%Y %H:%M:%S", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%b %d %Y",
+)
+
+SHOP_TLD = "['com', 'net', 'org', 'xyz', 'co.uk'][o_orderkey % 5 + 1]"
+
+
+def whois_raw_sql() -> str:
+    d = "o_orderdate"
+    created = (
+        f"CASE WHEN o_orderkey % 4 = 0 THEN strftime({d}, '%Y-%m-%dT%H:%M:%S') || 'Z' "
+        f"WHEN o_orderkey % 4 = 1 THEN strftime({d}, '%d-%b-%Y') "
+        f"WHEN o_orderkey % 4 = 2 THEN strftime({d}, '%Y-%m-%d %H:%M:%S') || ' UTC' "
+        f"ELSE strftime({d}, '%d.%m.%Y') END"
+    )
+    exp = f"strftime(CAST({d} AS DATE) + INTERVAL 12 MONTH, '%Y-%m-%d')"
+    lines = (
+        f"[CASE WHEN o_orderkey % 5 <> 1 THEN (CASE WHEN o_orderkey % 2 = 0 THEN 'Creation Date: ' ELSE 'Registered On: ' END) || {created} END, "
+        f"CASE WHEN o_orderkey % 5 <> 2 THEN 'Registry Expiry Date: ' || {exp} END, "
+        f"CASE WHEN o_orderkey % 5 <> 3 THEN 'Registrar: R' || CAST(o_custkey AS VARCHAR) END, "
+        f"CASE WHEN o_orderkey % 11 = 0 THEN 'Connecting to whois.example' END]"
+    )
+    return (
+        f"SELECT 'shop' || CAST(o_custkey AS VARCHAR) || '.' || {SHOP_TLD} AS domain, "
+        f"array_to_string(list_filter({lines}, lambda x: x IS NOT NULL), chr(10)) AS raw, o_orderkey AS ord FROM orders"
+    )
+
+
+def certs_sql() -> str:
+    return f"""SELECT domain, arg_min(struct_pack(reachable := reachable, verified := verified, not_after := not_after), ord) AS c
+FROM (SELECT 'shop' || CAST(o_custkey AS VARCHAR) || '.' || {SHOP_TLD} AS domain, o_orderkey AS ord,
+             o_orderkey % 3 <> 0 AS reachable, o_orderkey % 3 = 1 AS verified,
+             CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 400 DAY END AS not_after FROM orders)
+GROUP BY domain"""
+
+
+def first_match_sql(raw: str, patterns) -> str:
+    vals = [f"nullif({strip_ws_sql(f'regexp_extract({raw}, {q(p)}, 1)')}, '')" for p in patterns]
+    return "coalesce(" + ", ".join(vals) + ")"
+
+
+def date_sql(x: str) -> str:
+    s = strip_ws_sql(x)
+    s = f"regexp_replace(regexp_replace({s}, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')"
+    s = strip_ws_sql(f"replace(replace({s}, '(UTC)', ''), ' UTC', '')")
+    t = "(\\d{1,2}:\\d{1,2}:\\d{1,2})"
+    s = f"regexp_replace({s}, {q(t + '\\.\\d+')}, '\\1')"
+    s = f"regexp_replace({s}, {q(t + '\\s+[A-Z]{2,5}$')}, '\\1')"
+    s = f"regexp_replace({s}, {q(t + '\\s*[+-]\\d{2}:?\\d{2}$')}, '\\1')"
+    s = f"regexp_replace({s}, {q(t + '\\.\\d+')}, '\\1')"
+    s = strip_ws_sql(f"regexp_replace({s}, 'Z+$', '')")
+    return "coalesce(" + ", ".join(f"try_strptime({s}, {q(f)})" for f in PY_DATE_FORMATS) + ")"
+
+
+def days_sql(later: str, earlier: str) -> str:
+    return f"CAST(floor((epoch({later}) - epoch({earlier})) / 86400) AS INTEGER)"
+
+
+def whois_parsed_sql() -> str:
+    usable = "(trim(raw) <> '' AND NOT (contains(raw, 'Connecting to') AND NOT contains(raw, 'Registrar:')))"
+    now = f"TIMESTAMP '{AS_OF}'"
+    return f"""w0 AS ({whois_raw_sql()}),
+w1 AS (SELECT domain, ord,
+   CASE WHEN {usable} THEN {date_sql(first_match_sql('raw', CREATION_PATTERNS))} END AS c_,
+   CASE WHEN {usable} THEN {date_sql(first_match_sql('raw', EXPIRY_PATTERNS))} END AS e_,
+   CASE WHEN {usable} THEN substr({first_match_sql('raw', REGISTRAR_PATTERNS)}, 1, 255) END AS r_ FROM w0),
+w2 AS (SELECT domain, ord,
+   coalesce(greatest({days_sql(now, 'c_')}, 0), -1) AS domain_age_days,
+   coalesce({days_sql('e_', now)}, -1) AS domain_expiry_days,
+   coalesce(r_, '') AS registrar,
+   CASE WHEN c_ IS NOT NULL OR e_ IS NOT NULL OR r_ IS NOT NULL THEN 0 ELSE 1 END AS missing_whois FROM w1)"""
+
+
+ORACLE["whois_parse"] = f"""WITH {whois_parsed_sql()}
+SELECT domain, ord, CAST(domain_age_days AS INTEGER) AS domain_age_days,
+       CAST(domain_expiry_days AS INTEGER) AS domain_expiry_days, registrar,
+       CAST(missing_whois AS INTEGER) AS missing_whois FROM w2"""
+
+
+def domain_table_sql() -> str:
+    now = f"TIMESTAMP '{AS_OF}'"
+    return f"""{whois_parsed_sql()},
+w3 AS (SELECT domain, arg_min(struct_pack(a := domain_age_days, e := domain_expiry_days, r := registrar, m := missing_whois),
+                              (missing_whois, ord)) AS w FROM w2 GROUP BY domain),
+k0 AS ({certs_sql()}),
+k1 AS (SELECT domain, CAST(c.reachable AS INTEGER) AS has_ssl, CAST(c.reachable AND c.verified AS INTEGER) AS ssl_valid,
+              CASE WHEN c.reachable AND c.verified AND c.not_after IS NOT NULL THEN {days_sql('c.not_after', now)} ELSE -1 END AS ssl_days_remaining
+       FROM k0),
+dt AS (SELECT coalesce(w3.domain, k1.domain) AS domain,
+              CAST(coalesce(w.a, -1) AS INTEGER) AS domain_age_days, CAST(coalesce(w.e, -1) AS INTEGER) AS domain_expiry_days,
+              coalesce(w.r, '') AS registrar, CAST(coalesce(w.m, 1) AS INTEGER) AS missing_whois,
+              CAST(coalesce(has_ssl, 0) AS INTEGER) AS has_ssl, CAST(coalesce(ssl_valid, 0) AS INTEGER) AS ssl_valid,
+              CAST(coalesce(ssl_days_remaining, -1) AS INTEGER) AS ssl_days_remaining
+       FROM w3 FULL OUTER JOIN k1 ON w3.domain = k1.domain),
+dtf AS (SELECT *, CAST(domain_expiry_days <> -1 AND domain_expiry_days < 180 AS INTEGER) AS short_expiry_domain,
+               CAST(domain_age_days <> -1 AND domain_age_days < 180 AS INTEGER) AS is_new_domain FROM dt)"""
+
+
+DOMAIN_COLS = ("domain_age_days, domain_expiry_days, registrar, missing_whois, has_ssl, ssl_valid, "
+               "ssl_days_remaining, short_expiry_domain, is_new_domain")
+
+ORACLE["domain_features"] = f"WITH {domain_table_sql()}\nSELECT domain, {DOMAIN_COLS} FROM dtf"
+
+
+def lookup_domain_sql(host: str) -> str:
+    k = suffix_len_sql(host)
+    labels_nz = f"list_filter(string_split({host}, '.'), lambda x: x <> '')"
+    m = f"len({labels_nz})"
+    fallback = (
+        f"CASE WHEN {m} >= 3 AND length({labels_nz}[-1]) = 2 AND {labels_nz}[-2] IN {qlist(D.COMMON_SECOND_LEVEL)} "
+        f"THEN array_to_string(list_slice({labels_nz}, {m} - 2, {m}), '.') "
+        f"WHEN {m} >= 2 THEN array_to_string(list_slice({labels_nz}, {m} - 1, {m}), '.') ELSE {host} END"
+    )
+    raw = f"string_split({host}, '.')"
+    n = f"len({raw})"
+    return (
+        f"(CASE WHEN {k} > 0 AND {n} > {k} THEN array_to_string(list_slice({raw}, {n} - {k}, {n}), '.') "
+        f"ELSE {fallback} END)"
+    )
+
+
+ORACLE["domain_features_urls"] = f"""WITH {domain_table_sql()},
+cu AS (SELECT c_custkey, 'https://www.shop' || CAST(c_custkey AS VARCHAR) || '.' ||
+              ['com', 'net', 'org', 'xyz', 'co.uk'][c_custkey % 5 + 1] || '/account' AS url FROM customer),
+{url_parts_ctes('cu', 'url', 'c_custkey, url')},
+lk AS (SELECT c_custkey, url, {lookup_domain_sql('host')} AS lookup_domain FROM p6)
+SELECT c_custkey, url, lookup_domain,
+       CAST(coalesce(domain_age_days, -1) AS INTEGER) AS domain_age_days,
+       CAST(coalesce(domain_expiry_days, -1) AS INTEGER) AS domain_expiry_days,
+       coalesce(registrar, '') AS registrar, CAST(coalesce(missing_whois, 1) AS INTEGER) AS missing_whois,
+       CAST(coalesce(has_ssl, 0) AS INTEGER) AS has_ssl, CAST(coalesce(ssl_valid, 0) AS INTEGER) AS ssl_valid,
+       CAST(coalesce(ssl_days_remaining, -1) AS INTEGER) AS ssl_days_remaining,
+       CAST(coalesce(short_expiry_domain, 0) AS INTEGER) AS short_expiry_domain,
+       CAST(coalesce(is_new_domain, 0) AS INTEGER) AS is_new_domain
+FROM lk LEFT JOIN dtf ON lk.lookup_domain = dtf.domain"""

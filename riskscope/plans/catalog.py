@@ -96,3 +96,37 @@ def q_score_pages(spark, sf):
     """Flagship: URL + page + content features -> family scores -> score ->
     band, drivers, notes, active signals for every page."""
     return SP.flagship_report(_pages(spark, sf))
+
+
+# -------------------------------------------------------------------- domains
+from riskscope.functions.urls import lookup_domain as _lookup_domain  # noqa: E402
+from riskscope.operators import domains as DM  # noqa: E402
+from riskscope.sources import fixtures as FX  # noqa: E402
+
+
+@register("whois_parse")
+def q_whois_parse(spark, sf):
+    """D2-D4 on every WHOIS record."""
+    w = DM.parse_whois(FX.whois_raw(spark, sf), as_of=FX.AS_OF)
+    return w.select("domain", "ord", "domain_age_days", "domain_expiry_days", "registrar", "missing_whois")
+
+
+@register("domain_features")
+def q_domain_features(spark, sf):
+    """D2-D6 per domain: first usable WHOIS record + certificate facts."""
+    return DM.domain_table(FX.whois_raw(spark, sf), FX.certs(spark, sf), as_of=FX.AS_OF)
+
+
+def _customer_urls(spark, sf):
+    c = read_table(spark, sf, "customer").select("c_custkey")
+    tld = F.element_at(F.array(*[F.lit(t) for t in ("com", "net", "org", "xyz", "co.uk")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return c.select("c_custkey", F.concat(F.lit("https://www.shop"), F.col("c_custkey").cast("string"), F.lit("."), tld, F.lit("/account")).alias("url"))
+
+
+@register("domain_features_urls")
+def q_domain_features_urls(spark, sf):
+    """D1 + D7: every customer's shop URL joined to the domain table; URLs
+    whose domain has no data get the defaults."""
+    dom = DM.domain_table(FX.whois_raw(spark, sf), FX.certs(spark, sf), as_of=FX.AS_OF)
+    out = DM.with_domain_features(_customer_urls(spark, sf), dom)
+    return out.select("c_custkey", "url", "lookup_domain", *DM.DOMAIN_FEATURES)

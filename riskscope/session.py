@@ -58,5 +58,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin repartition only when the scan yields fewer partitions
+    than ``factor`` x the cluster's cores (e.g. a single-row-group file).
+    Row-wise work (regexes over HTML and text) is CPU bound, so the extra
+    exchange pays for itself there; at cluster scale the input already has
+    thousands of splits and this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *, spread_rows: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows else df
