@@ -557,3 +557,81 @@ SELECT c_custkey, url, lookup_domain,
        CAST(coalesce(short_expiry_domain, 0) AS INTEGER) AS short_expiry_domain,
        CAST(coalesce(is_new_domain, 0) AS INTEGER) AS is_new_domain
 FROM lk LEFT JOIN dtf ON lk.lookup_domain = dtf.domain"""
+
+
+# -------------------------------------------------------------------- dataset
+def reference_files_sql() -> str:
+    url = "'https://' || source || '.example.com/' || CAST(doc_id AS VARCHAR)"
+    label = "CASE WHEN toxic = 1 OR quality = 0 THEN '1' ELSE '0' END"
+    return f"""rf0 AS (SELECT d.doc_id, d.text, d.source, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)),
+rf1 AS (SELECT {url} AS url0, {label} AS label0, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text_content,
+               'ref/a.csv' AS source_dataset, doc_id AS line FROM rf0
+        UNION ALL
+        SELECT {url}, {label}, CASE WHEN doc_id % 3 = 1 THEN '' ELSE text END, 'ref/b.csv', doc_id FROM rf0 WHERE doc_id % 4 = 0),
+rf2 AS (SELECT {normalize_sql('url0')} AS url, TRY_CAST(label0 AS DOUBLE) AS lab, coalesce(text_content, '') AS text_content,
+               source_dataset, line FROM rf1),
+rr AS (SELECT url, CAST(lab AS INTEGER) AS label, text_content, source_dataset, line,
+              {strip_ws_sql('text_content')} <> '' AS has_reference_text FROM rf2 WHERE url <> '' AND lab IN (0.0, 1.0)),
+dr AS (SELECT url, r.label AS label, r.source_dataset AS source_dataset, r.line AS line, r.has_reference_text AS has_reference_text
+       FROM (SELECT url, arg_min(struct_pack(label := label, source_dataset := source_dataset, line := line,
+                                             has_reference_text := has_reference_text),
+                                 (NOT has_reference_text, source_dataset, line)) AS r FROM rr GROUP BY url))"""
+
+
+ORACLE["reference_rows"] = f"WITH {reference_files_sql()}\nSELECT url, label, source_dataset, line, has_reference_text FROM rr"
+ORACLE["dedupe_reference"] = f"WITH {reference_files_sql()}\nSELECT url, label, source_dataset, line, has_reference_text FROM dr"
+
+
+def h60(x: str) -> str:
+    return f"('0x' || substr({x}, 1, 15))::BIGINT"
+
+
+def balanced_sample_sql(rows: int = 250, seed: int = 42) -> str:
+    per, rem = rows // 2, rows % 2
+    return f"""WITH {reference_files_sql()},
+b0 AS (SELECT *, md5('{seed}:' || label || ':' || url) AS h FROM dr),
+cnt AS (SELECT label, count(*) FILTER (WHERE has_reference_text) AS n_text, count(*) FILTER (WHERE NOT has_reference_text) AS n_other,
+               CASE WHEN label = 0 THEN {per + rem} ELSE {per} END AS need FROM b0 GROUP BY label),
+pools AS (SELECT label, 't' AS tag, true AS want_text, need AS k, n_text AS size FROM cnt WHERE n_text >= need
+          UNION ALL SELECT label, 't', true, n_text, n_text FROM cnt WHERE n_text < need AND n_text > 0
+          UNION ALL SELECT label, 'f', false, need - n_text, n_other FROM cnt WHERE n_text < need AND n_text > 0
+          UNION ALL SELECT label, 'a', NULL, need, n_text + n_other FROM cnt WHERE n_text = 0),
+pr AS (SELECT b0.*, pools.tag, pools.k, pools.size,
+              row_number() OVER (PARTITION BY b0.label, pools.tag ORDER BY h) - 1 AS rnk
+       FROM b0 JOIN pools ON b0.label = pools.label AND (pools.want_text IS NULL OR pools.want_text = b0.has_reference_text)),
+plain AS (SELECT url, label, source_dataset, line, has_reference_text, 0 AS draw FROM pr WHERE size >= k AND rnk < k),
+dr0 AS (SELECT label, tag, size, unnest(range(k)) AS i FROM pools WHERE size < k AND k > 0),
+drw AS (SELECT label, tag, i + 1 AS draw, {h60("md5('" + str(seed) + ":draw:' || label || ':' || tag || ':' || i)")} % size AS rnk FROM dr0),
+repl AS (SELECT pr.url, pr.label, pr.source_dataset, pr.line, pr.has_reference_text, drw.draw
+         FROM pr JOIN drw ON pr.label = drw.label AND pr.tag = drw.tag AND pr.rnk = drw.rnk),
+s AS (SELECT * FROM plain UNION ALL SELECT * FROM repl)
+SELECT url, label, source_dataset, line, has_reference_text, CAST(draw AS BIGINT) AS draw,
+       md5('{seed}:' || url || ':' || draw) AS sample_order FROM s"""
+
+
+ORACLE["balanced_sample"] = balanced_sample_sql()
+
+ORACLE["stratified_split"] = f"""WITH {reference_files_sql()},
+r AS (SELECT url, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || url)) - 1 AS rnk,
+             count(*) OVER (PARTITION BY label) AS n FROM dr)
+SELECT url, label, rnk < round(n * 0.2) AS is_test FROM r"""
+
+ORACLE["stratified_folds"] = f"""WITH {reference_files_sql()},
+r AS (SELECT url, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:fold:' || url)) - 1 AS rnk FROM dr)
+SELECT url, label, CAST(rnk % 5 AS INTEGER) AS fold FROM r"""
+
+ORACLE["dedupe_urls"] = f"""WITH c AS (
+  SELECT url, page_id * 3 AS pos FROM pages
+  UNION ALL SELECT upper(url), page_id * 3 + 1 FROM pages
+  UNION ALL SELECT url || '/', page_id * 3 + 2 FROM pages),
+n AS (SELECT {normalize_sql('url')} AS url, pos FROM c),
+k AS (SELECT lower(regexp_replace(url, '/+$', '')) AS dedupe_key, url, pos FROM n WHERE url <> '')
+SELECT dedupe_key, arg_min(url, pos) AS url, min(pos) AS pos FROM k GROUP BY dedupe_key"""
+
+ORACLE["feed_union"] = f"""WITH c AS (
+  SELECT url, page_id AS pos, 0 AS feed FROM pages
+  UNION ALL SELECT 'https://' || source || '.example.com/' || CAST(doc_id AS VARCHAR), doc_id, 1 FROM documents),
+n AS (SELECT {normalize_sql('url')} AS url, pos, feed FROM c),
+k AS (SELECT lower(regexp_replace(url, '/+$', '')) AS dedupe_key, url, pos, feed FROM n WHERE url <> ''),
+d AS (SELECT dedupe_key, arg_min(struct_pack(url := url, pos := pos, feed := feed), (feed, pos)) AS r FROM k GROUP BY dedupe_key)
+SELECT r.url AS url, r.pos AS pos, r.feed AS feed FROM d ORDER BY r.feed, r.pos LIMIT 300"""

@@ -130,3 +130,78 @@ def q_domain_features_urls(spark, sf):
     dom = DM.domain_table(FX.whois_raw(spark, sf), FX.certs(spark, sf), as_of=FX.AS_OF)
     out = DM.with_domain_features(_customer_urls(spark, sf), dom)
     return out.select("c_custkey", "url", "lookup_domain", *DM.DOMAIN_FEATURES)
+
+
+# -------------------------------------------------------------------- dataset
+from riskscope.operators import dataset as DS  # noqa: E402
+
+SAMPLE_ROWS = 250
+SEED = 42
+
+
+def reference_rows(spark, sf):
+    return DS.valid_labeled_rows(FX.labeled_reference_files(spark, sf))
+
+
+def deduped_reference(spark, sf):
+    return DS.dedupe_reference(reference_rows(spark, sf))
+
+
+@register("reference_rows")
+def q_reference_rows(spark, sf):
+    """S1 + F1: both reference files, validated (label 0/1, URL normalised)."""
+    return reference_rows(spark, sf).select("url", "label", "source_dataset", "line", "has_reference_text")
+
+
+@register("dedupe_reference")
+def q_dedupe_reference(spark, sf):
+    """One row per URL (text first, then source, then line)."""
+    return deduped_reference(spark, sf).select("url", "label", "source_dataset", "line", "has_reference_text")
+
+
+@register("balanced_sample")
+def q_balanced_sample(spark, sf):
+    """M1: balanced sample of the de-duplicated reference rows (text
+    preferred, with-replacement draws where a pool is short)."""
+    s = DS.balanced_sample(deduped_reference(spark, sf), SAMPLE_ROWS, SEED)
+    return s.select("url", "label", "source_dataset", "line", "has_reference_text", "draw", "sample_order")
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    """M2: label-proportional 80/20 split by md5(url) order."""
+    return DS.stratified_split(deduped_reference(spark, sf), 0.2, SEED).select("url", "label", "is_test")
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf):
+    """M3: five label-proportional folds."""
+    return DS.stratified_folds(deduped_reference(spark, sf), 5, SEED).select("url", "label", "fold")
+
+
+def _url_copies(spark, sf):
+    p = _pages(spark, sf).select("page_id", "url")
+    return (
+        p.select(F.col("url"), (F.col("page_id") * 3).alias("pos"))
+        .unionByName(p.select(F.upper(F.col("url")).alias("url"), (F.col("page_id") * 3 + 1).alias("pos")))
+        .unionByName(p.select(F.concat(F.col("url"), F.lit("/")).alias("url"), (F.col("page_id") * 3 + 2).alias("pos")))
+    )
+
+
+@register("dedupe_urls")
+def q_dedupe_urls(spark, sf):
+    """Page URLs plus upper-case and trailing-slash copies, first per key."""
+    return DS.dedupe_urls(_url_copies(spark, sf)).select("dedupe_key", "url", "pos")
+
+
+@register("feed_union")
+def q_feed_union(spark, sf):
+    """X1 + M4: first 300 distinct URLs of the page feed, topped up from a
+    document feed."""
+    primary = _pages(spark, sf).select("url", F.col("page_id").alias("pos"))
+    d = _docs(spark, sf)
+    secondary = d.select(
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
+        F.col("doc_id").alias("pos"),
+    )
+    return DS.union_with_shortfall(primary, secondary, 300).select("url", "pos", "_prio").withColumnRenamed("_prio", "feed")
