@@ -572,9 +572,10 @@ rf2 AS (SELECT {normalize_sql('url0')} AS url, TRY_CAST(label0 AS DOUBLE) AS lab
                source_dataset, line FROM rf1),
 rr AS (SELECT url, CAST(lab AS INTEGER) AS label, text_content, source_dataset, line,
               {strip_ws_sql('text_content')} <> '' AS has_reference_text FROM rf2 WHERE url <> '' AND lab IN (0.0, 1.0)),
-dr AS (SELECT url, r.label AS label, r.source_dataset AS source_dataset, r.line AS line, r.has_reference_text AS has_reference_text
+dr AS (SELECT url, r.label AS label, r.source_dataset AS source_dataset, r.line AS line, r.has_reference_text AS has_reference_text,
+              r.text_content AS text_content
        FROM (SELECT url, arg_min(struct_pack(label := label, source_dataset := source_dataset, line := line,
-                                             has_reference_text := has_reference_text),
+                                             has_reference_text := has_reference_text, text_content := text_content),
                                  (NOT has_reference_text, source_dataset, line)) AS r FROM rr GROUP BY url))"""
 
 
@@ -587,8 +588,14 @@ def h60(x: str) -> str:
 
 
 def balanced_sample_sql(rows: int = 250, seed: int = 42) -> str:
+    return f"""WITH {balanced_ctes(rows, seed)}
+SELECT url, label, source_dataset, line, has_reference_text, CAST(draw AS BIGINT) AS draw,
+       md5('{seed}:' || url || ':' || draw) AS sample_order FROM s"""
+
+
+def balanced_ctes(rows: int = 250, seed: int = 42) -> str:
     per, rem = rows // 2, rows % 2
-    return f"""WITH {reference_files_sql()},
+    return f"""{reference_files_sql()},
 b0 AS (SELECT *, md5('{seed}:' || label || ':' || url) AS h FROM dr),
 cnt AS (SELECT label, count(*) FILTER (WHERE has_reference_text) AS n_text, count(*) FILTER (WHERE NOT has_reference_text) AS n_other,
                CASE WHEN label = 0 THEN {per + rem} ELSE {per} END AS need FROM b0 GROUP BY label),
@@ -599,14 +606,12 @@ pools AS (SELECT label, 't' AS tag, true AS want_text, need AS k, n_text AS size
 pr AS (SELECT b0.*, pools.tag, pools.k, pools.size,
               row_number() OVER (PARTITION BY b0.label, pools.tag ORDER BY h) - 1 AS rnk
        FROM b0 JOIN pools ON b0.label = pools.label AND (pools.want_text IS NULL OR pools.want_text = b0.has_reference_text)),
-plain AS (SELECT url, label, source_dataset, line, has_reference_text, 0 AS draw FROM pr WHERE size >= k AND rnk < k),
+plain AS (SELECT url, label, source_dataset, line, has_reference_text, text_content, 0 AS draw FROM pr WHERE size >= k AND rnk < k),
 dr0 AS (SELECT label, tag, size, unnest(range(k)) AS i FROM pools WHERE size < k AND k > 0),
 drw AS (SELECT label, tag, i + 1 AS draw, {h60("md5('" + str(seed) + ":draw:' || label || ':' || tag || ':' || i)")} % size AS rnk FROM dr0),
-repl AS (SELECT pr.url, pr.label, pr.source_dataset, pr.line, pr.has_reference_text, drw.draw
+repl AS (SELECT pr.url, pr.label, pr.source_dataset, pr.line, pr.has_reference_text, pr.text_content, drw.draw
          FROM pr JOIN drw ON pr.label = drw.label AND pr.tag = drw.tag AND pr.rnk = drw.rnk),
-s AS (SELECT * FROM plain UNION ALL SELECT * FROM repl)
-SELECT url, label, source_dataset, line, has_reference_text, CAST(draw AS BIGINT) AS draw,
-       md5('{seed}:' || url || ':' || draw) AS sample_order FROM s"""
+s AS (SELECT * FROM plain UNION ALL SELECT * FROM repl)"""
 
 
 ORACLE["balanced_sample"] = balanced_sample_sql()
@@ -635,3 +640,200 @@ n AS (SELECT {normalize_sql('url')} AS url, pos, feed FROM c),
 k AS (SELECT lower(regexp_replace(url, '/+$', '')) AS dedupe_key, url, pos, feed FROM n WHERE url <> ''),
 d AS (SELECT dedupe_key, arg_min(struct_pack(url := url, pos := pos, feed := feed), (feed, pos)) AS r FROM k GROUP BY dedupe_key)
 SELECT r.url AS url, r.pos AS pos, r.feed AS feed FROM d ORDER BY r.feed, r.pos LIMIT 300"""
+
+
+# ----------------------------------------------------------------- evaluation
+def eval_ctes() -> str:
+    fl = flagship_sql()
+    host = "lower(regexp_extract(url, '^(?:[^:/?#]+:)?//(?:[^/?#]*@)?([^/?#:]*)', 1))"
+    return f"""fl AS ({fl}),
+ev AS (SELECT url, CAST(regexp_matches({host}, 'cheap-pills|casino-win|free-bets') AS INTEGER) AS expected_label,
+              url AS final_url, 'success' AS scrape_status, '' AS scrape_error,
+              CASE WHEN prediction = 'SCAM' THEN 1 ELSE 0 END AS predicted_label, prediction AS predicted_name,
+              confidence, scam_probability FROM fl),
+ev2 AS (SELECT *, CASE WHEN expected_label = 1 THEN 'SCAM' ELSE 'LEGIT' END AS expected_name,
+               CAST(predicted_label = expected_label AS INTEGER) AS correct FROM ev)"""
+
+
+ORACLE["evaluation_rows"] = f"""WITH {eval_ctes()}
+SELECT url, expected_label, expected_name, final_url, scrape_status, scrape_error, predicted_label,
+       predicted_name, confidence, scam_probability, correct FROM ev2"""
+
+ORACLE["holdout_metrics"] = f"""WITH {eval_ctes()},
+b AS (SELECT expected_label AS y, predicted_label AS p, scam_probability AS s FROM ev2),
+bs AS (SELECT s, count(*) AS n_s, sum(y) AS pos_s FROM b GROUP BY s),
+r AS (SELECT *, coalesce(sum(n_s) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n_s + 1) / 2.0 AS midrank FROM bs),
+a AS (SELECT sum(midrank * pos_s) AS rank_sum FROM r),
+c AS (SELECT count(*) AS n, sum(CAST(y = 1 AND p = 1 AS BIGINT)) AS tp, sum(CAST(y = 0 AND p = 1 AS BIGINT)) AS fp,
+             sum(CAST(y = 1 AND p <> 1 AS BIGINT)) AS fn, sum(CAST(y = p AS BIGINT)) AS correct, sum(y) AS n_pos FROM b),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS prec,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS rec FROM c, a)
+SELECT round_even(correct / n, 6) AS accuracy, round_even(prec, 6) AS precision, round_even(rec, 6) AS recall,
+       round_even(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END, 6) AS f1,
+       round_even(CASE WHEN n_pos > 0 AND n - n_pos > 0 THEN (rank_sum - n_pos * (n_pos + 1) / 2.0) / (n_pos * (n - n_pos)) END, 6) AS roc_auc
+FROM m"""
+
+CM_SQL = """cm AS (SELECT g.expected, g.predicted, coalesce(c.n, 0) AS n
+  FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(expected, predicted)
+  LEFT JOIN (SELECT CAST(expected_label AS INTEGER) AS expected, CAST(predicted_label AS INTEGER) AS predicted, count(*) AS n
+             FROM ev2 GROUP BY ALL) c USING (expected, predicted))"""
+
+ORACLE["confusion_matrix"] = f"WITH {eval_ctes()},\n{CM_SQL}\nSELECT CAST(expected AS INTEGER) AS expected, CAST(predicted AS INTEGER) AS predicted, n FROM cm"
+
+ORACLE["classification_report"] = f"""WITH {eval_ctes()},
+{CM_SQL},
+pc AS (SELECT k, sum(CASE WHEN expected = k AND predicted = k THEN n ELSE 0 END) AS tp,
+              sum(CASE WHEN predicted = k THEN n ELSE 0 END) AS pp, sum(CASE WHEN expected = k THEN n ELSE 0 END) AS sup
+       FROM cm, (VALUES (0), (1)) kk(k) GROUP BY k),
+pr AS (SELECT CAST(k AS VARCHAR) AS class, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
+              CASE WHEN sup > 0 THEN tp / sup ELSE 0.0 END AS recall, sup AS support FROM pc),
+pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pr),
+al AS (SELECT * FROM pf
+       UNION ALL SELECT 'macro avg', avg(precision), avg(recall), sum(support), avg(f1) FROM pf
+       UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(support),
+                        sum(f1 * support) / sum(support) FROM pf)
+SELECT class, round_even(precision, 6) AS precision, round_even(recall, 6) AS recall, round_even(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM al"""
+
+ORACLE["real_summary"] = f"""WITH {eval_ctes()}
+SELECT expected_name, count(*) AS total, CAST(sum(correct) AS BIGINT) AS correct,
+       round_even(avg(confidence), 6) AS mean_confidence, round_even(avg(correct), 6) AS accuracy
+FROM ev2 GROUP BY expected_name"""
+
+ORACLE["eval_summary"] = f"""WITH {eval_ctes()},
+r AS (SELECT expected_label, CAST(sum(correct) AS BIGINT) AS correct, count(*) AS total FROM ev2 GROUP BY ROLLUP (expected_label))
+SELECT CASE WHEN expected_label IS NULL THEN 'Total' WHEN expected_label = 0 THEN 'Legit' ELSE 'Scam' END AS scope,
+       correct, total,
+       printf('- %s: %d/%d correct', CASE WHEN expected_label IS NULL THEN 'Total' WHEN expected_label = 0 THEN 'Legit' ELSE 'Scam' END, correct, total) AS line
+FROM r"""
+
+ORACLE["confidence_histogram"] = f"""WITH {eval_ctes()},
+mm AS (SELECT min(confidence) AS lo, max(confidence) AS hi FROM ev2),
+w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 10 ELSE 0.0 END AS width FROM mm),
+bb AS (SELECT expected_name, CASE WHEN width = 0 THEN 0 ELSE CAST(least(floor((confidence - lo) / width), 9) AS INTEGER) END AS bin,
+              lo, width FROM ev2, w)
+SELECT expected_name, CAST(bin AS INTEGER) AS bin, round_even(lo + bin * width, 6) AS lower,
+       round_even(lo + (bin + 1) * width, 6) AS upper, count(*) AS n
+FROM bb GROUP BY expected_name, bin, lo, width"""
+
+ORACLE["top_confident_examples"] = f"""WITH {eval_ctes()}
+SELECT url, expected_name, predicted_name, correct, printf('%.2f%%', confidence * 100) AS confidence_pct
+FROM ev2 ORDER BY correct ASC, confidence DESC, url ASC LIMIT 12"""
+
+ORACLE["case_history"] = f"""WITH fl AS ({flagship_sql()}),
+h AS (SELECT p.page_id, p.url, e.ts FROM pages p JOIN events e ON p.page_id = e.event_id)
+SELECT h.url, fl.prediction, fl.confidence, fl.scam_probability, fl.risk_label, strftime(h.ts, '%Y-%m-%dT%H:%M:%S') AS checked_at
+FROM h JOIN fl USING (page_id) ORDER BY checked_at DESC, url ASC LIMIT 12"""
+
+
+# ------------------------------------------------------- prepared / cleaning
+DOMAIN_FEATURE_NAMES = ("domain_age_days", "domain_expiry_days", "registrar", "missing_whois", "has_ssl", "ssl_valid",
+                        "ssl_days_remaining", "short_expiry_domain", "is_new_domain")
+CONTENT_FEATURE_NAMES = ("text_length", "token_count", "scam_keyword_count", "scam_keyword_density", "has_form",
+                         "has_iframe", "exclamation_count", "caps_ratio", "avg_word_length")
+META = ("url", "final_url", "source_dataset", "has_reference_text", "scrape_status", "scrape_error", "redirect_count", "registrar")
+CANDIDATES = [c for c in URL_FEATURE_NAMES + DOMAIN_FEATURE_NAMES + CONTENT_FEATURE_NAMES if c not in META]
+
+
+def prepared_ctes(rows: int = 250, seed: int = 42) -> str:
+    dom = ("-1 AS domain_age_days, -1 AS domain_expiry_days, '' AS registrar, 1 AS missing_whois, 0 AS has_ssl, "
+           "0 AS ssl_valid, -1 AS ssl_days_remaining, 0 AS short_expiry_domain, 0 AS is_new_domain")
+    return f"""{balanced_ctes(rows, seed)},
+{url_parts_ctes('s', 'url', 'url, draw, label, source_dataset, has_reference_text')},
+uf AS (SELECT url, draw, label, source_dataset, has_reference_text, {url_feature_select_sql()} FROM p6),
+{content_ctes('s', 'url, draw', "''", 'text_content')},
+cf AS (SELECT url, draw, {CONTENT_SELECT}, 0 AS has_form, 0 AS has_iframe FROM c2),
+prep AS (SELECT uf.url, uf.url AS final_url, uf.label, uf.source_dataset, CAST(uf.has_reference_text AS INTEGER) AS has_reference_text,
+                'not_scraped' AS scrape_status, '' AS scrape_error, 0 AS redirect_count, CAST(uf.draw AS BIGINT) AS draw,
+                {', '.join('uf.' + c for c in URL_FEATURE_NAMES)}, {dom},
+                {', '.join('cf.' + c for c in CONTENT_FEATURE_NAMES)}
+         FROM uf JOIN cf ON uf.url = cf.url AND uf.draw = cf.draw)"""
+
+
+ORACLE["prepared_dataset"] = f"""WITH {prepared_ctes()}
+SELECT * REPLACE (CAST(domain_age_days AS INTEGER) AS domain_age_days, CAST(domain_expiry_days AS INTEGER) AS domain_expiry_days,
+                  CAST(missing_whois AS INTEGER) AS missing_whois, CAST(has_ssl AS INTEGER) AS has_ssl, CAST(ssl_valid AS INTEGER) AS ssl_valid,
+                  CAST(ssl_days_remaining AS INTEGER) AS ssl_days_remaining, CAST(short_expiry_domain AS INTEGER) AS short_expiry_domain,
+                  CAST(is_new_domain AS INTEGER) AS is_new_domain, CAST(has_form AS INTEGER) AS has_form,
+                  CAST(has_iframe AS INTEGER) AS has_iframe, CAST(redirect_count AS INTEGER) AS redirect_count)
+FROM prep"""
+
+ORACLE["label_counts"] = f"""WITH {prepared_ctes()},
+c AS (SELECT label, count(*) AS n FROM prep GROUP BY label),
+f AS (SELECT g.label, coalesce(c.n, 0) AS n FROM (VALUES (0), (1)) g(label) LEFT JOIN c USING (label))
+SELECT CAST(label AS INTEGER) AS label, n, round_even(CASE WHEN sum(n) OVER () > 0 THEN n / sum(n) OVER () ELSE 0.0 END, 6) AS share FROM f"""
+
+ORACLE["dataset_summary"] = f"""WITH {prepared_ctes()}
+SELECT count(*) AS rows, 54 AS columns, CAST(sum(has_reference_text) AS BIGINT) AS rows_with_text,
+       CAST(sum(1 - has_reference_text) AS BIGINT) AS url_only_rows FROM prep"""
+
+ORACLE["null_counts"] = """WITH d AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
+                FROM documents d LEFT JOIN labels l USING (doc_id)),
+u AS (UNPIVOT (SELECT CAST(doc_id IS NULL AS BIGINT) AS doc_id, CAST(text IS NULL AS BIGINT) AS text,
+                      CAST(lang IS NULL AS BIGINT) AS lang, CAST(source IS NULL AS BIGINT) AS source,
+                      CAST(n_chars IS NULL AS BIGINT) AS n_chars, CAST(quality IS NULL AS BIGINT) AS quality,
+                      CAST(toxic IS NULL AS BIGINT) AS toxic FROM d)
+      ON COLUMNS(*) INTO NAME "column" VALUE null_flag)
+SELECT "column", sum(null_flag) AS nulls FROM u GROUP BY "column" ORDER BY nulls DESC, "column" LIMIT 20"""
+
+ALL_PREP_COLS = ["url", "final_url", "label", "source_dataset", "has_reference_text", "scrape_status", "scrape_error",
+                 "redirect_count", *URL_FEATURE_NAMES, *DOMAIN_FEATURE_NAMES, *CONTENT_FEATURE_NAMES]
+
+ORACLE["constant_columns"] = f"""WITH {prepared_ctes()},
+u AS (UNPIVOT (SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in ALL_PREP_COLS)} FROM prep)
+      ON COLUMNS(*) INTO NAME "column" VALUE v)
+SELECT "column" FROM u GROUP BY "column" HAVING count(v) = 0 OR min(v) = max(v)"""
+
+
+def profile_ctes() -> str:
+    pos = " ".join(f"WHEN {q(c)} THEN {i}" for i, c in enumerate(CANDIDATES))
+    return f"""{prepared_ctes()},
+num AS (SELECT url, draw, label, {', '.join(f'TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) AS {c}' for c in CANDIDATES)} FROM prep),
+lng AS (UNPIVOT num ON {', '.join(CANDIDATES)} INTO NAME "column" VALUE v),
+cols AS (SELECT unnest({sql_list(CANDIDATES)}) AS "column"),
+agg AS (SELECT "column", count(v) AS non_null, min(v) AS min, max(v) AS max FROM lng GROUP BY "column"),
+prof AS (SELECT "column", CASE "column" {pos} END AS position, (SELECT count(*) FROM prep) AS n,
+                coalesce(non_null, 0) AS non_null, min, max FROM cols LEFT JOIN agg USING ("column")),
+kept AS (SELECT *, non_null > 0 AND (min <> max OR non_null < n) AS kept FROM prof),
+kl AS (SELECT lng.* FROM lng JOIN kept USING ("column") WHERE kept.kept)"""
+
+
+ORACLE["feature_profile"] = f"""WITH {profile_ctes()}
+SELECT "column", CAST(position AS INTEGER) AS position, n, non_null, min, max, kept FROM kept"""
+
+ORACLE["describe_features"] = f"""WITH {profile_ctes()}
+SELECT "column", round_even(avg(v), 6) AS mean, round_even(stddev_samp(v), 6) AS std, round_even(min(v), 6) AS min,
+       round_even(max(v), 6) AS max FROM kl GROUP BY "column"
+"""
+
+ORACLE["feature_variance_topk"] = f"""WITH {profile_ctes()}
+SELECT "column", round_even(var_samp(v), 6) AS variance FROM kl GROUP BY "column"
+ORDER BY var_samp(v) DESC NULLS LAST, "column" LIMIT 16"""
+
+ORACLE["correlation_pairs"] = f"""WITH {profile_ctes()},
+kp AS (SELECT "column", position FROM kept WHERE kept),
+pa AS (SELECT a."column" AS feature_a, b."column" AS feature_b, la.v AS va, lb.v AS vb
+       FROM kp a JOIN kp b ON b.position < a.position
+       JOIN kl la ON la."column" = a."column" JOIN kl lb ON lb."column" = b."column" AND lb.url = la.url AND lb.draw = la.draw)
+SELECT feature_a, feature_b, round_even(corr(va, vb), 6) AS corr FROM pa GROUP BY feature_a, feature_b"""
+
+BOX = ("url_length", "num_dots", "num_hyphen", "num_digits", "url_entropy", "path_depth", "text_length", "token_count")
+
+ORACLE["box_stats"] = f"""WITH {prepared_ctes()},
+lng AS (UNPIVOT (SELECT label, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in BOX)} FROM prep)
+        ON {', '.join(BOX)} INTO NAME feature VALUE value),
+qq AS (SELECT feature, label, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+              quantile_cont(value, 0.75) AS q3 FROM lng GROUP BY feature, label),
+j AS (SELECT lng.*, q1, median, q3, q3 - q1 AS iqr FROM lng JOIN qq USING (feature, label))
+SELECT feature, label, round_even(q1, 6) AS q1, round_even(median, 6) AS median, round_even(q3, 6) AS q3,
+       round_even(min(CASE WHEN value >= q1 - 1.5 * iqr THEN value END), 6) AS whisker_low,
+       round_even(max(CASE WHEN value <= q3 + 1.5 * iqr THEN value END), 6) AS whisker_high
+FROM j GROUP BY feature, label, q1, median, q3"""
+
+ORACLE["feature_medians"] = f"""WITH {profile_ctes()}
+SELECT "column", round_even(quantile_cont(v, 0.5), 6) AS median FROM kl GROUP BY "column"
+"""
+
+ORACLE["class_weights"] = f"""WITH {prepared_ctes()},
+c AS (SELECT label, count(*) AS n FROM prep GROUP BY label)
+SELECT CAST(label AS INTEGER) AS label, round_even(sum(n) OVER () / (2.0 * n), 6) AS weight, n FROM c"""

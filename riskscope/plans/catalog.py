@@ -205,3 +205,194 @@ def q_feed_union(spark, sf):
         F.col("doc_id").alias("pos"),
     )
     return DS.union_with_shortfall(primary, secondary, 300).select("url", "pos", "_prio").withColumnRenamed("_prio", "feed")
+
+
+# ----------------------------------------------------------------- evaluation
+from riskscope.operators import domains as _DM  # noqa: E402,F811
+from riskscope.operators import evaluate as EV  # noqa: E402
+from riskscope.operators import scoring as SC  # noqa: E402
+
+
+def evaluation_table(spark, sf):
+    """Scored pages with the block-list label as the expected class (the
+    deterministic mean-of-families score stands in for a model)."""
+    rep = SP.flagship_report(_pages(spark, sf))
+    lab = FX.weak_labels(rep)
+    return lab.select(
+        "url",
+        "expected_label",
+        F.when(F.col("expected_label") == 1, "SCAM").otherwise("LEGIT").alias("expected_name"),
+        F.col("url").alias("final_url"),
+        F.lit("success").alias("scrape_status"),
+        F.lit("").alias("scrape_error"),
+        F.when(F.col("prediction") == "SCAM", 1).otherwise(0).alias("predicted_label"),
+        F.col("prediction").alias("predicted_name"),
+        "confidence",
+        "scam_probability",
+        (F.when(F.col("prediction") == "SCAM", 1).otherwise(0) == F.col("expected_label")).cast("int").alias("correct"),
+    )
+
+
+@register("evaluation_rows")
+def q_evaluation_rows(spark, sf):
+    """T11 evaluation rows (expected vs predicted per page)."""
+    return evaluation_table(spark, sf)
+
+
+@register("holdout_metrics")
+def q_holdout_metrics(spark, sf):
+    """A5: accuracy, precision, recall, F1, exact ROC AUC."""
+    return EV.holdout_metrics(evaluation_table(spark, sf), "expected_label", "predicted_label", "scam_probability")
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    """2x2 zero-filled confusion matrix."""
+    return EV.confusion_matrix(evaluation_table(spark, sf))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf):
+    """Per-class and averaged precision / recall / F1 / support."""
+    return EV.classification_report(evaluation_table(spark, sf))
+
+
+@register("real_summary")
+def q_real_summary(spark, sf):
+    """Per expected class totals, correct, mean confidence, accuracy."""
+    return EV.real_summary(evaluation_table(spark, sf))
+
+
+@register("eval_summary")
+def q_eval_summary(spark, sf):
+    """A9 / S5 summary lines: total, legit and scam correct counts."""
+    return EV.eval_summary(evaluation_table(spark, sf))
+
+
+@register("confidence_histogram")
+def q_confidence_histogram(spark, sf):
+    """10 equal-width confidence bins by expected class."""
+    return EV.confidence_histogram(evaluation_table(spark, sf))
+
+
+@register("top_confident_examples")
+def q_top_confident(spark, sf):
+    """The 12 most telling examples (wrong first, then confident)."""
+    return EV.top_confident_examples(evaluation_table(spark, sf))
+
+
+@register("case_history")
+def q_case_history(spark, sf):
+    """The 12 latest scans (page URL scored, time from events)."""
+    hist = FX.url_history(spark, sf)
+    rep = SP.flagship_report(_pages(spark, sf)).select("page_id", "prediction", "confidence", "scam_probability", "risk_label")
+    j = hist.join(rep, "page_id").withColumn("checked_at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return EV.case_history(j.select("url", "prediction", "confidence", "scam_probability", "risk_label", "checked_at"))
+
+
+def prepared_dataset(spark, sf):
+    """Dataset build (lifecycle B): balanced sample -> 28 URL features,
+    9 content features from the reference text, 9 domain defaults, 8 meta
+    columns = 54 columns."""
+    s = DS.balanced_sample(deduped_reference(spark, sf), SAMPLE_ROWS, SEED)
+    u = UF.with_url_features(s, "url")
+    c = C.with_content_features(u, F.lit(""), "text_content", F.lit(""))
+    d = c.withColumns(_DM.empty_domain_defaults())
+    meta = [
+        F.col("url"), F.col("url").alias("final_url"), F.col("label"), F.col("source_dataset"),
+        F.col("has_reference_text").cast("int").alias("has_reference_text"),
+        F.lit("not_scraped").alias("scrape_status"), F.lit("").alias("scrape_error"), F.lit(0).alias("redirect_count"),
+    ]
+    return d.select(*meta, "draw", *UF.URL_FEATURES, *[F.col(x).cast("string" if x == "registrar" else "int").alias(x) for x in _DM.DOMAIN_FEATURES], *C.CONTENT_FEATURES)
+
+
+@register("prepared_dataset")
+def q_prepared_dataset(spark, sf):
+    """The 54-column prepared rows (+ draw number of the sample)."""
+    return prepared_dataset(spark, sf)
+
+
+@register("label_counts")
+def q_label_counts(spark, sf):
+    """A1: label counts and shares of the prepared dataset."""
+    return EV.label_counts(prepared_dataset(spark, sf))
+
+
+@register("dataset_summary")
+def q_dataset_summary(spark, sf):
+    """Rows, columns, rows with text, URL-only rows."""
+    return EV.dataset_summary(prepared_dataset(spark, sf).drop("draw"))
+
+
+@register("null_counts")
+def q_null_counts(spark, sf):
+    """A2: NULLs per column of documents LEFT JOIN labels (top 20)."""
+    d = _docs(spark, sf).join(read_table(spark, sf, "labels"), "doc_id", "left")
+    return EV.null_counts(d)
+
+
+@register("constant_columns")
+def q_constant_columns(spark, sf):
+    """A3: constant columns of the prepared dataset."""
+    return EV.constant_columns(prepared_dataset(spark, sf).drop("draw"))
+
+
+@register("feature_profile")
+def q_feature_profile(spark, sf):
+    """L1: numeric profile and keep/drop decision per candidate column."""
+    return EV.feature_profile(prepared_dataset(spark, sf).drop("draw")).select(
+        "column", "position", "n", "non_null", "min", "max", "kept"
+    )
+
+
+def clean_dataset(spark, sf):
+    return EV.select_numeric_features(prepared_dataset(spark, sf).drop("draw"))
+
+
+@register("describe_features")
+def q_describe(spark, sf):
+    """A4: mean, sample sd, min, max of every kept feature."""
+    clean, feats = clean_dataset(spark, sf)
+    d = EV.describe_features(clean, feats)
+    return d.select("column", *[F.bround(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("feature_variance_topk")
+def q_variance(spark, sf):
+    """A10: the 16 features with the largest sample variance."""
+    clean, feats = clean_dataset(spark, sf)
+    v = EV.feature_variance_topk(clean, feats, 16)
+    return v.select("column", F.bround("variance", 6).alias("variance"))
+
+
+@register("correlation_pairs")
+def q_corr(spark, sf):
+    """Pearson correlation of every pair of kept features."""
+    clean, feats = clean_dataset(spark, sf)
+    c = EV.correlation_pairs(clean, feats)
+    return c.select("feature_a", "feature_b", F.bround("corr", 6).alias("corr"))
+
+
+BOX_FEATURES = ("url_length", "num_dots", "num_hyphen", "num_digits", "url_entropy", "path_depth", "text_length", "token_count")
+
+
+@register("box_stats")
+def q_box(spark, sf):
+    """Quartiles and whiskers of eight features by label."""
+    b = EV.box_stats(prepared_dataset(spark, sf), BOX_FEATURES)
+    return b.select("feature", "label", *[F.bround(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
+
+
+@register("feature_medians")
+def q_medians(spark, sf):
+    """L2: exact medians of the kept features (training imputation values)."""
+    clean, feats = clean_dataset(spark, sf)
+    med = clean.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in feats])
+    return med.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.bround(F.col(c), 6).alias("median")) for c in feats])).alias("r")).select("r.*")
+
+
+@register("class_weights")
+def q_class_weights(spark, sf):
+    """L4: balanced class weight per label."""
+    clean, _ = clean_dataset(spark, sf)
+    return EV.balanced_weights(clean).groupBy("label").agg(F.bround(F.first("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
