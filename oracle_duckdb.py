@@ -837,3 +837,102 @@ SELECT "column", round_even(quantile_cont(v, 0.5), 6) AS median FROM kl GROUP BY
 ORACLE["class_weights"] = f"""WITH {prepared_ctes()},
 c AS (SELECT label, count(*) AS n FROM prep GROUP BY label)
 SELECT CAST(label AS INTEGER) AS label, round_even(sum(n) OVER () / (2.0 * n), 6) AS weight, n FROM c"""
+
+
+# ------------------------------------------------------------------ captures
+CONTENT_TYPES = ("text/html; charset=utf-8", "text/html", "application/xhtml+xml", "", "text/plain",
+                 "application/pdf", "image/png")
+
+
+def split_ctes(name: str, source: str, col: str, keys: str) -> str:
+    """CTE ``name`` = keys + scheme, netloc, path, query, frag, has_q, has_f of ``col``."""
+    return f"""{name}0 AS (SELECT {keys}, regexp_replace({col}, '[\\t\\r\\n]', '', 'g') AS s_ FROM {source}),
+{name} AS (SELECT * EXCLUDE (s_), lower(regexp_extract(s_, {q(RFC)}, 1)) AS scheme, regexp_extract(s_, {q(RFC)}, 2) AS netloc,
+           regexp_extract(s_, {q(RFC)}, 3) AS path, regexp_extract(s_, {q(RFC)}, 4) AS query,
+           regexp_extract(s_, {q(RFC)}, 5) AS frag, regexp_matches(s_, '^[^#]*\\?') AS has_q, contains(s_, '#') AS has_f FROM {name}0)"""
+
+
+def homepage_expr(url: str) -> str:
+    s = f"regexp_replace({url}, '[\\t\\r\\n]', '', 'g')"
+    sch = f"lower(regexp_extract({s}, {q(RFC)}, 1))"
+    net = f"regexp_extract({s}, {q(RFC)}, 2)"
+    return f"(CASE WHEN {sch} = '' OR {net} = '' THEN {url} ELSE {sch} || '://' || {net} || '/' END)"
+
+
+def captures_sql() -> str:
+    ct = sql_list(CONTENT_TYPES)
+    return f"""cap AS (
+  SELECT url, page_id % 13 <> 0 AS ok, {ct}[page_id % 7 + 1] AS content_type, url AS final_url,
+         CAST(page_id % 3 AS INTEGER) AS redirect_count, html FROM pages
+  UNION ALL
+  SELECT hurl, true, 'text/html', hurl, 0, b.html FROM (
+    SELECT hurl, arg_max(struct_pack(html := html, page_id := page_id), (length(html), page_id)) AS b
+    FROM (SELECT {homepage_expr('url')} AS hurl, html, page_id FROM pages) GROUP BY hurl)),
+fcap AS (SELECT * FROM cap WHERE ok AND (
+    (contains(lower(coalesce(content_type, '')), 'text/html') OR contains(lower(coalesce(content_type, '')), 'application/xhtml+xml')
+     OR contains(lower(substr(coalesce(html, ''), 1, 1000)), '<html') OR contains(lower(substr(coalesce(html, ''), 1, 1000)), '<body')
+     OR (contains(lower(coalesce(content_type, '')), 'text/plain') AND contains(lower(substr(coalesce(html, ''), 1, 1000)), '<')
+         AND contains(lower(substr(coalesce(html, ''), 1, 1000)), '>'))
+     OR lower(coalesce(content_type, '')) = '')
+    AND NOT (contains(lower(coalesce(content_type, '')), 'image/') OR contains(lower(coalesce(content_type, '')), 'video/')
+             OR contains(lower(coalesce(content_type, '')), 'application/pdf'))))"""
+
+
+ORACLE["filter_html"] = f"WITH {captures_sql()}\nSELECT url, content_type, redirect_count FROM fcap"
+
+
+def first_capture_ctes(name: str, keys_source: str, key: str) -> str:
+    tail = ("(CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN query <> '' THEN '?' || query ELSE '' END) "
+            "|| (CASE WHEN frag <> '' THEN '#' || frag ELSE '' END)")
+    www = "(CASE WHEN starts_with(netloc, 'www.') THEN substr(netloc, 5) ELSE 'www.' || netloc END)"
+    pre = "(CASE WHEN scheme <> '' THEN scheme || ':' ELSE '' END)"
+    return f"""{name}k AS (SELECT DISTINCT {key} AS k FROM {keys_source} WHERE {key} IS NOT NULL),
+{split_ctes(name + 's', name + 'k', 'k', 'k')},
+{name}c AS (SELECT k, 1 AS rnk, CASE WHEN netloc = '' THEN k ELSE {pre} || '//' || netloc || {tail} END AS candidate FROM {name}s
+   UNION ALL SELECT k, 2, 'http://' || netloc || {tail} FROM {name}s WHERE netloc <> '' AND scheme = 'https'
+   UNION ALL SELECT k, 3, {pre} || '//' || {www} || {tail} FROM {name}s WHERE netloc <> ''),
+{name} AS (SELECT k, arg_min(up.pg, rnk) AS pg FROM {name}c JOIN up ON up.url = {name}c.candidate GROUP BY k)"""
+
+
+def resolve_sql() -> str:
+    canon_src = "ul"
+    return f"""WITH {captures_sql()},
+{page_ctes('fcap', 'url, final_url, redirect_count')},
+up AS (SELECT url, arg_min(struct_pack(final_url := final_url, redirect_count := redirect_count, title := title,
+                                      text := text, text_length := CAST(length(text) AS INTEGER),
+                                      low_content := CAST(length(text) < {D.LOW_CONTENT_CHARS} AS INTEGER), link_count := link_count),
+                          (final_url, redirect_count, text)) AS pg FROM h2 GROUP BY url),
+ul AS (SELECT page_id, url FROM pages
+       UNION ALL SELECT page_id * 10 + 1, CASE WHEN starts_with(regexp_extract(url, {q(RFC)}, 2), 'www.')
+                                           THEN regexp_replace(url, '//www\\.', '//') ELSE regexp_replace(url, '//', '//www.') END
+                 FROM pages WHERE page_id % 5 = 0
+       UNION ALL SELECT page_id * 10 + 2, url || '/missing' FROM pages WHERE page_id % 7 = 0
+       UNION ALL SELECT doc_id * 10 + 3, 'http://docs.example.net/d/' || CAST(doc_id AS VARCHAR) FROM labels),
+un AS (SELECT page_id, url, {normalize_sql('url')} AS u FROM ul),
+{split_ctes('us', 'un', 'u', 'page_id, url')},
+base AS (SELECT page_id, url, CASE WHEN netloc = '' THEN '' ELSE scheme || '://' || lower({strip_ws_sql('netloc')}) ||
+              (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN has_q AND query <> '' THEN '?' || query ELSE '' END) ||
+              (CASE WHEN has_f AND frag <> '' THEN '#' || frag ELSE '' END) END AS nurl FROM us),
+{first_capture_ctes('fc', 'base', 'nurl')},
+r1 AS (SELECT base.*, fc.pg FROM base LEFT JOIN fc ON fc.k = base.nurl),
+r2 AS (SELECT *, CASE WHEN nurl = '' THEN NULL WHEN pg IS NULL THEN {homepage_expr('nurl')}
+                      WHEN pg.low_content = 1 THEN {homepage_expr('pg.final_url')} END AS hkey,
+              CASE WHEN pg IS NULL THEN nurl ELSE pg.final_url END AS origin FROM r1),
+{first_capture_ctes('hc', 'r2', 'hkey')},
+r3 AS (SELECT r2.*, hc.pg AS hp FROM r2 LEFT JOIN hc ON hc.k = r2.hkey),
+r4 AS (SELECT *, coalesce(hp IS NOT NULL AND hkey <> origin AND (pg IS NULL OR hp.text_length > pg.text_length), false) AS fb FROM r3),
+r5 AS (SELECT *, CASE WHEN fb THEN hp ELSE pg END AS fpg FROM r4)
+SELECT page_id, url,
+       CASE WHEN nurl = '' THEN 'failed' WHEN fpg IS NOT NULL THEN 'success' ELSE 'partial' END AS status,
+       CASE WHEN nurl = '' THEN '' WHEN fpg IS NOT NULL THEN fpg.final_url ELSE nurl END AS final_url,
+       CASE WHEN nurl = '' THEN 'Invalid URL' WHEN fb THEN 'Homepage fallback used'
+            WHEN fpg IS NULL THEN 'Scraping blocked, non-HTML content, or request failed' END AS error,
+       CAST(CASE WHEN fpg IS NOT NULL AND nurl <> '' THEN fpg.redirect_count ELSE 0 END AS INTEGER) AS redirect_count,
+       CASE WHEN fpg IS NOT NULL AND nurl <> '' THEN fpg.title ELSE '' END AS title,
+       CAST(CASE WHEN fpg IS NOT NULL AND nurl <> '' THEN fpg.text_length ELSE 0 END AS INTEGER) AS text_length,
+       CAST(CASE WHEN fpg IS NOT NULL AND nurl <> '' THEN fpg.low_content ELSE 0 END AS INTEGER) AS low_content,
+       CAST(CASE WHEN fpg IS NOT NULL AND nurl <> '' THEN fpg.link_count ELSE 0 END AS INTEGER) AS link_count
+FROM r5"""
+
+
+ORACLE["resolve_captures"] = resolve_sql()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskscope import dictionaries as D
 from riskscope.functions import html as H
 from riskscope.functions import text as T
+from riskscope.functions.memo import freeze, jvm_memo
 from riskscope.functions.urls import py_strip
 from riskscope.operators.joins import join_skew_safe
 
@@ -48,31 +49,31 @@ def with_content_features(
             "_txt": py_strip(F.coalesce(_col(text), F.lit(""))),
             "_norm": T.normalize_text(T.weighted_text(_col(title), _col(text), title_weight)),
         }
-    ).withColumn("_tok", T.clean_tokens(F.col("_norm"), stop_words))
-    tok, txt = F.col("_tok"), F.col("_txt")
-    n = F.size(tok)
-    hits = T.keyword_hits(tok, F.col("_norm"), keywords)
+    )
+    tok, exprs, density = _content_exprs(freeze(keywords), freeze(stop_words), has_flags)
+    if has_flags:
+        h = F.coalesce(_col(html), F.lit(""))
+        exprs = {**exprs, "has_form": H.has_tag(h, "form"), "has_iframe": H.has_tag(h, "iframe")}
+    staged = staged.withColumn("_tok", tok).withColumns(exprs).withColumn("scam_keyword_density", density)
+    ordered = [c for c in staged.columns if c not in CONTENT_FEATURES and c not in ("_norm", "_tok", "_txt")]
+    return staged.select(*ordered, *[c for c in CONTENT_FEATURES if c in staged.columns])
+
+
+@jvm_memo
+def _content_exprs(keywords, stop_words, has_flags):
+    tok = T.clean_tokens(F.col("_norm"), stop_words)
+    t, txt = F.col("_tok"), F.col("_txt")
+    n = F.size(t)
     exprs = {
         "text_length": F.least(F.length(txt), F.lit(D.MAX_TEXT_LENGTH_FEATURE)).cast("int"),
         "token_count": F.least(n, F.lit(D.MAX_TOKEN_COUNT_FEATURE)).cast("int"),
-        "scam_keyword_count": hits,
+        "scam_keyword_count": T.keyword_hits(t, F.col("_norm"), keywords),
+        "exclamation_count": F.least(T.exclamations(txt), F.lit(D.MAX_EXCLAMATION_FEATURE)).cast("int"),
+        "caps_ratio": T.caps_ratio(txt),
+        "avg_word_length": T.avg_word_length(t),
     }
-    if has_flags:
-        h = F.coalesce(_col(html), F.lit(""))
-        exprs["has_form"] = H.has_tag(h, "form")
-        exprs["has_iframe"] = H.has_tag(h, "iframe")
-    exprs.update(
-        {
-            "exclamation_count": F.least(T.exclamations(txt), F.lit(D.MAX_EXCLAMATION_FEATURE)).cast("int"),
-            "caps_ratio": T.caps_ratio(txt),
-            "avg_word_length": T.avg_word_length(tok),
-        }
-    )
-    staged = staged.withColumns(exprs).withColumn(
-        "scam_keyword_density",
-        F.when(n == 0, F.lit(0.0)).otherwise(F.bround(F.col("scam_keyword_count") / n, 6)),
-    )
-    return staged.drop("_norm", "_tok", "_txt")
+    density = F.when(n == 0, F.lit(0.0)).otherwise(F.bround(F.col("scam_keyword_count") / n, 6))
+    return tok, exprs, density
 
 
 def zero_content_features(df: DataFrame) -> DataFrame:

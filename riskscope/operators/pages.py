@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from riskscope import dictionaries as D
 from riskscope.functions import html as H
+from riskscope.functions.memo import jvm_memo
 from riskscope.operators.joins import join_skew_safe
 from riskscope.operators.url_features import candidate_urls
-from riskscope.functions.urls import homepage_url, normalize_url
+from riskscope.functions.urls import canonical_url, homepage_url
 
 PAGE_COLUMNS = ("title", "meta_description", "text", "text_length", "low_content", "link_count")
 
@@ -30,31 +31,34 @@ def extract_pages(
     """H8 (+H9): title, meta description, visible text, text length,
     low-content flag and link count; ``has_form``/``has_iframe`` on the raw
     HTML.  The cleaned HTML is computed once in its own projection."""
-    staged = df.withColumn("_clean", H.strip_boilerplate(F.col(html_col)))
+    clean, flag_exprs, page_exprs, len_exprs = _page_exprs(html_col, min_text_length)
+    staged = df.withColumn("_clean", clean)
     if flags:
-        staged = staged.withColumns(
-            {"has_form": H.has_tag(F.col(html_col), "form"), "has_iframe": H.has_tag(F.col(html_col), "iframe")}
-        )
-    c = F.col("_clean")
-    staged = staged.withColumns(
-        {
-            "title": H.title(c),
-            "meta_description": H.meta_description(c),
-            "text": H.visible_text(c),
-            "link_count": H.link_count(c),
-        }
-    )
-    out = staged.withColumns(
-        {
-            "text_length": F.length("text").cast("int"),
-            "low_content": (F.length("text") < min_text_length).cast("int"),
-        }
-    ).drop("_clean")
+        staged = staged.withColumns(flag_exprs)
+    out = staged.withColumns(page_exprs).withColumns(len_exprs).drop("_clean")
     if not keep_html:
         out = out.drop(html_col)
     return out
 
 
+@jvm_memo
+def _page_exprs(html_col: str, min_text_length: int):
+    raw = F.col(html_col)
+    c = F.col("_clean")
+    flags = {"has_form": H.has_tag(raw, "form"), "has_iframe": H.has_tag(raw, "iframe")}
+    page = {
+        "title": H.title(c),
+        "meta_description": H.meta_description(c),
+        "text": H.visible_text(c),
+        "link_count": H.link_count(c),
+    }
+    lens = {
+        "text_length": F.length("text").cast("int"),
+        "low_content": (F.length("text") < min_text_length).cast("int"),
+    }
+    return H.strip_boilerplate(raw), flags, page, lens
+
+
 def filter_html(captures: DataFrame) -> DataFrame:
     """H1: keep OK captures whose content looks like an HTML page."""
     return captures.filter(F.col("ok") & H.looks_like_html(F.col("content_type"), F.col("html")))
@@ -64,65 +68,78 @@ def usable_pages(captures: DataFrame, *, min_text_length: int = D.LOW_CONTENT_CH
     """H1 + H8 on captures, one row per capture URL (first by final URL when
     a URL was captured more than once); the HTML is dropped here."""
     pages = extract_pages(filter_html(captures), min_text_length=min_text_length)
-    best = F.min_by(F.struct(*[c for c in pages.columns if c != "url"]), F.col("final_url"))
+    best = F.min_by(
+        F.struct(*[c for c in pages.columns if c != "url"]),
+        F.struct(F.col("final_url"), F.col("redirect_count"), F.col("text")),
+    )
     return pages.groupBy("url").agg(best.alias("_b")).select("url", "_b.*")
 
 
+def first_capture(keys: DataFrame, key_col: str, pages: DataFrame) -> DataFrame:
+    """First usable capture of each distinct key by candidate rank (itself,
+    http variant, www toggled).  Works on distinct keys, so a URL repeated a
+    million times is resolved once."""
+    page_cols = [c for c in pages.columns if c != "url"]
+    cands = candidate_urls(keys.select(key_col).where(F.col(key_col).isNotNull()).distinct(), key_col)
+    hit = cands.join(pages.withColumnRenamed("url", "candidate"), "candidate", "inner")
+    return hit.groupBy(key_col).agg(F.min_by(F.struct(*page_cols), F.col("rank")).alias("_pg"))
+
+
+FAILED = "Invalid URL"
+PARTIAL = "Scraping blocked, non-HTML content, or request failed"
+FALLBACK = "Homepage fallback used"
+
+
 def resolve_captures(
     urls: DataFrame,
     captures: DataFrame,
     url_col: str = "url",
     *,
     min_text_length: int = D.LOW_CONTENT_CHARS,
-    homepage_fallback: bool = True,
     hot_key_rows: int = 100_000,
 ) -> DataFrame:
-    """H10 + H11: each URL to its first usable capture by candidate rank; if
-    none, or the page is low-content and the homepage has longer text, the
-    homepage capture is used.  Adds ``status`` (success/partial),
-    ``final_url``, ``error``, ``redirect_count`` and the page columns.
-
-    Joins are on candidate / homepage URL strings.  Candidates fan out at
-    most 3x; a hot homepage key (many URLs on one host) is split off and
-    joined by broadcast (:func:`join_skew_safe`)."""
+    """H10 + H11 over a capture table instead of live fetches.
+
+    Each URL is canonicalised (U1b); no netloc -> ``failed`` / Invalid URL.
+    Its first usable capture by candidate rank is taken; without one, the
+    homepage (resolved through its own candidates) is tried; a low-content
+    page is replaced by its homepage when that has longer text.  No capture
+    at all -> ``partial``.  Output: input columns + status, final_url,
+    error, redirect_count, title, meta_description, text, text_length,
+    low_content, link_count, has_form, has_iframe.
+
+    Both joins are keyed by URL strings with one row per key on the right;
+    a hot key (one URL or one homepage held by many rows) is split off and
+    broadcast by :func:`join_skew_safe`."""
     pages = usable_pages(captures, min_text_length=min_text_length)
-    page_cols = [c for c in pages.columns if c != "url"]
-    base = urls.withColumn("_nurl", normalize_url(F.col(url_col)))
-    cands = candidate_urls(base.select("_nurl").distinct(), "_nurl")
-    hit = cands.join(pages.withColumnRenamed("url", "candidate"), "candidate", "inner")
-    first = hit.groupBy("_nurl").agg(F.min_by(F.struct(*page_cols), F.col("rank")).alias("_pg"))
-    res = base.join(first, "_nurl", "left")
-    if homepage_fallback:
-        res = res.withColumn("_home", homepage_url(F.col("_nurl")))
-        home = pages.select(F.col("url").alias("_home"), F.struct(*page_cols).alias("_hp"))
-        res = join_skew_safe(res, home, "_home", hot_key_rows=hot_key_rows)
-        use_home = (
-            F.col("_hp").isNotNull()
-            & (F.col("_home") != F.col("_nurl"))
-            & (
-                F.col("_pg").isNull()
-                | ((F.col("_pg.low_content") == 1) & (F.col("_hp.text_length") > F.col("_pg.text_length")))
-            )
-        )
-        res = res.withColumn("_fallback", use_home).withColumn(
-            "_pg", F.when(F.col("_fallback"), F.col("_hp")).otherwise(F.col("_pg"))
-        )
-    else:
-        res = res.withColumn("_fallback", F.lit(False))
+    base = urls.withColumn("_nurl", canonical_url(F.col(url_col)))
+    first = first_capture(base, "_nurl", pages)
+    res = join_skew_safe(base, first, "_nurl", hot_key_rows=hot_key_rows)
+    pg = F.col("_pg")
+    home_of = F.when(pg.isNull(), homepage_url(F.col("_nurl"))).when(
+        pg["low_content"] == 1, homepage_url(pg["final_url"])
+    )
+    origin = F.when(pg.isNull(), F.col("_nurl")).otherwise(pg["final_url"])
+    res = res.withColumn("_hkey", F.when(F.col("_nurl") != "", home_of)).withColumn("_origin", origin)
+    home = first_capture(res, "_hkey", pages).withColumnRenamed("_pg", "_hp")
+    res = join_skew_safe(res, home, "_hkey", hot_key_rows=hot_key_rows)
+    hp = F.col("_hp")
+    use_home = hp.isNotNull() & (F.col("_hkey") != F.col("_origin")) & (
+        pg.isNull() | (hp["text_length"] > pg["text_length"])
+    )
+    res = res.withColumn("_fallback", F.coalesce(use_home, F.lit(False))).withColumn(
+        "_pg", F.when(F.col("_fallback"), hp).otherwise(pg)
+    )
+    invalid = F.col("_nurl") == ""
     found = F.col("_pg").isNotNull()
-    out = res.select(
+    text_cols = ("title", "meta_description", "text")
+    int_cols = ("text_length", "low_content", "link_count", "has_form", "has_iframe")
+    return res.select(
         *urls.columns,
-        F.when(found, F.lit("success")).otherwise(F.lit("partial")).alias("status"),
-        F.when(found, F.col("_pg.final_url")).otherwise(F.col("_nurl")).alias("final_url"),
-        F.when(F.col("_fallback"), F.lit("Homepage fallback used"))
-        .when(~found, F.lit("Scraping blocked, non-HTML content, or request failed"))
-        .alias("error"),
-        F.when(found, F.col("_pg.redirect_count")).otherwise(F.lit(0)).cast("int").alias("redirect_count"),
-        *[
-            (F.col(f"_pg.{c}") if c not in ("text_length", "low_content", "link_count") else F.coalesce(F.col(f"_pg.{c}"), F.lit(0)))
-            .alias(c)
-            for c in page_cols
-            if c not in ("final_url", "redirect_count", "ok", "content_type")
-        ],
+        F.when(invalid, "failed").when(found, "success").otherwise("partial").alias("status"),
+        F.when(invalid, "").when(found, F.col("_pg.final_url")).otherwise(F.col("_nurl")).alias("final_url"),
+        F.when(invalid, FAILED).when(F.col("_fallback"), FALLBACK).when(~found, PARTIAL).alias("error"),
+        F.when(found & ~invalid, F.col("_pg.redirect_count")).otherwise(F.lit(0)).cast("int").alias("redirect_count"),
+        *[F.when(found & ~invalid, F.col(f"_pg.{c}")).otherwise(F.lit("")).alias(c) for c in text_cols],
+        *[F.when(found & ~invalid, F.col(f"_pg.{c}")).otherwise(F.lit(0)).cast("int").alias(c) for c in int_cols],
     )
-    return out

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskscope import dictionaries as D
+from riskscope.functions.memo import jvm_memo
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — family score weights, labels and texts (must match).
@@ -49,16 +50,21 @@ def _f(name: str) -> Column:
 
 def family_scores(df: DataFrame) -> DataFrame:
     """Five clamped weighted sums, 3 dp (missing features count as 0)."""
+    return df.withColumns(_family_exprs())
+
+
+@jvm_memo
+def _family_exprs() -> dict[str, Column]:
     exprs = {}
     for (label, _detail, parts), name in zip(FAMILIES, FAMILY_COLUMNS):
         total = F.lit(0.0)
         for feat, div, w in parts:
             total = total + _f(feat) / F.lit(float(div)) * F.lit(w)
         exprs[name] = F.bround(F.greatest(F.lit(0.0), F.least(total, F.lit(1.0))), 3)
-    return df.withColumns(exprs)
+    return exprs
 
 
-def radar(df: DataFrame) -> Column:
+def radar(df: DataFrame | None = None) -> Column:
     """Radar bars as array<struct<label, value, detail>> (listed order)."""
     return F.array(
         *[
@@ -194,19 +200,20 @@ def explain(df: DataFrame, probability_col: str = "scam_probability") -> DataFra
     """L11-L15 on a scored table: ``risk_band``, ``signals`` and
     ``insights`` (radar, top_drivers, notes)."""
     fam = family_scores(df) if not set(FAMILY_COLUMNS) <= set(df.columns) else df
-    return fam.withColumns(
-        {
-            "risk_band": risk_band(F.col(probability_col)),
-            "signals": signal_cards(),
-            "insights": F.struct(
-                radar(fam).alias("radar"),
-                top_drivers().alias("top_drivers"),
-                reliability_notes(
-                    F.col("status"), F.col("text_length"), F.col("brand_domain_mismatch")
-                ).alias("notes"),
-            ),
-        }
-    )
+    return fam.withColumns(_explain_exprs(probability_col))
+
+
+@jvm_memo
+def _explain_exprs(probability_col: str) -> dict[str, Column]:
+    return {
+        "risk_band": risk_band(F.col(probability_col)),
+        "signals": signal_cards(),
+        "insights": F.struct(
+            radar(None).alias("radar"),
+            top_drivers().alias("top_drivers"),
+            reliability_notes(F.col("status"), F.col("text_length"), F.col("brand_domain_mismatch")).alias("notes"),
+        ),
+    }
 
 
 def batch_verdict(df: DataFrame, expected_col: str = "expected", probability_col: str = "scam_probability") -> DataFrame:

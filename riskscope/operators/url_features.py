@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskscope import dictionaries as D
 from riskscope.functions import urls as U
+from riskscope.functions.memo import freeze, jvm_memo
 
 # Output columns of U26, in the order of the stored schema.
 URL_FEATURES = (
@@ -82,13 +83,35 @@ def url_feature_exprs(
     return exprs
 
 
+@jvm_memo
+def _parts_exprs(url_col: str, prefix: str):
+    u = F.col(f"{prefix}u")
+    return U.normalize_url(F.col(url_col)), U.parse_url_parts(u)
+
+
 def with_url_parts(df: DataFrame, url_col: str = "url", *, prefix: str = "_") -> DataFrame:
     """Normalise ``url_col`` into ``{prefix}u`` and split it once into the
     struct ``{prefix}p`` (see :func:`riskscope.functions.urls.parse_url_parts`)."""
-    u = f"{prefix}u"
-    return df.withColumn(u, U.normalize_url(F.col(url_col))).withColumn(
-        f"{prefix}p", U.parse_url_parts(F.col(u))
+    norm, parts = _parts_exprs(url_col, prefix)
+    return df.withColumn(f"{prefix}u", norm).withColumn(f"{prefix}p", parts)
+
+
+@jvm_memo
+def _feature_stage_exprs(suffix_rules, frozen_dicts):
+    p = F.col("_p")
+    stage = {
+        "_host": p["hostname"],
+        "_path": F.lower(p["path"]),
+        "_query": p["query"],
+        "_scheme": p["scheme"],
+        "url_valid": p["valid"],
+    }
+    reg = U.registered_domain(F.col("_host"), suffix_rules)
+    dicts = {k: (dict(v) if k == "official" else v) for k, v in frozen_dicts}
+    exprs = url_feature_exprs(
+        F.col("_u"), F.col("_host"), F.col("_path"), F.col("_query"), F.col("_scheme"), F.col("_reg"), **dicts
     )
+    return stage, reg, exprs
 
 
 def with_url_features(
@@ -101,25 +124,20 @@ def with_url_features(
 ) -> DataFrame:
     """Add the 28 URL features plus ``normalized_url``, ``hostname``,
     ``registered_domain`` and ``url_valid`` (False where a strict splitter
-    rejects the URL; such rows are scored as errors downstream)."""
-    suffix_rules = tuple(suffix_rules)
+    rejects the URL; such rows are scored as errors downstream).
+
+    Three projections: normalise, split once, features from the parts; the
+    expression trees are built once per JVM and reused."""
+    stage, reg, exprs = _feature_stage_exprs(freeze(suffix_rules), freeze(dicts))
     parted = with_url_parts(df, url_col)
-    p = F.col("_p")
-    staged = parted.withColumns(
+    staged = parted.withColumns(stage).withColumn("_reg", reg)
+    out = staged.withColumns(
         {
-            "_host": p["hostname"],
-            "_path": F.lower(p["path"]),
-            "_query": p["query"],
-            "_scheme": p["scheme"],
-            "url_valid": p["valid"],
+            **exprs,
+            "normalized_url": F.col("_u"),
+            "hostname": F.col("_host"),
+            "registered_domain": F.col("_reg"),
         }
-    ).withColumn("_reg", U.registered_domain(F.col("_host"), suffix_rules))
-    exprs = url_feature_exprs(
-        F.col("_u"), F.col("_host"), F.col("_path"), F.col("_query"), F.col("_scheme"), F.col("_reg"),
-        **dicts,
-    )
-    out = staged.withColumns(exprs).withColumns(
-        {"normalized_url": F.col("_u"), "hostname": F.col("_host"), "registered_domain": F.col("_reg")}
     )
     if not keep_internal:
         out = out.drop("_u", "_p", "_host", "_path", "_query", "_scheme", "_reg")

@@ -396,3 +396,21 @@ def q_class_weights(spark, sf):
     """L4: balanced class weight per label."""
     clean, _ = clean_dataset(spark, sf)
     return EV.balanced_weights(clean).groupBy("label").agg(F.bround(F.first("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ captures
+@register("filter_html")
+def q_filter_html(spark, sf):
+    """H1: captures that are OK and look like HTML (type / body sniffing)."""
+    return P.filter_html(FX.captures(spark, sf)).select("url", "content_type", "redirect_count")
+
+
+@register("resolve_captures")
+def q_resolve_captures(spark, sf):
+    """H10 + H11: URL list (page URLs, www-toggled copies, missing paths)
+    resolved against the capture table with homepage fallback."""
+    r = P.resolve_captures(FX.url_list(spark, sf), FX.captures(spark, sf))
+    return r.select(
+        "page_id", "url", "status", "final_url", "error", "redirect_count", "title", "text_length",
+        "low_content", "link_count",
+    )

@@ -46,7 +46,7 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
     home = (
         pages.select(homepage_url(F.col("url")).alias("url"), "html", "page_id")
         .groupBy("url")
-        .agg(F.max_by(F.struct("html", "page_id"), F.length("html")).alias("b"))
+        .agg(F.max_by(F.struct("html", "page_id"), F.struct(F.length("html"), F.col("page_id"))).alias("b"))
         .select(
             "url",
             F.lit(True).alias("ok"),
@@ -61,8 +61,9 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
 
 def url_list(spark: SparkSession, sf: str) -> DataFrame:
     """URLs to resolve: every page URL, its ``www``-toggled form for every
-    fifth page, and a path-only variant for every seventh (so candidates,
-    misses and homepage fallbacks all occur)."""
+    fifth page, a missing path for every seventh, and one URL per labelled
+    document on a host without captures (so candidates, misses, homepage
+    fallbacks and partial results all occur)."""
     pages = read_table(spark, sf, "pages").select("page_id", "url")
     p = parse_url_parts(F.col("url"))
     toggled = pages.where(F.col("page_id") % 5 == 0).select(
@@ -75,7 +76,11 @@ def url_list(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("page_id") * 10 + 2).alias("page_id"),
         F.concat(F.col("url"), F.lit("/missing")).alias("url"),
     )
-    return pages.unionByName(toggled).unionByName(missing)
+    unknown = read_table(spark, sf, "labels").select(
+        (F.col("doc_id") * 10 + 3).alias("page_id"),
+        F.concat(F.lit("http://docs.example.net/d/"), F.col("doc_id").cast("string")).alias("url"),
+    )
+    return pages.unionByName(toggled).unionByName(missing).unionByName(unknown)
 
 
 def labeled_reference_files(spark: SparkSession, sf: str) -> DataFrame:
