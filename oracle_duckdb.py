@@ -936,3 +936,126 @@ FROM r5"""
 
 
 ORACLE["resolve_captures"] = resolve_sql()
+
+
+# ------------------------------------------------------------ URL utilities
+from riskscope.functions.urls import PRIVATE_V4_RE, PRIVATE_V6_RE  # noqa: E402
+
+
+def canonical_ctes(source: str, col: str, keys: str, name: str = "cn") -> str:
+    return f"""{name}a AS (SELECT {keys}, {normalize_sql(col)} AS cu FROM {source}),
+{split_ctes(name + 'b', name + 'a', 'cu', keys + ', cu')},
+{name} AS (SELECT {keys}, cu, CASE WHEN netloc = '' THEN '' ELSE scheme || '://' || lower({strip_ws_sql('netloc')}) ||
+              (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN has_q AND query <> '' THEN '?' || query ELSE '' END) ||
+              (CASE WHEN has_f AND frag <> '' THEN '#' || frag ELSE '' END) END AS canonical_url FROM {name}b)"""
+
+
+ORACLE["url_parts"] = f"""WITH src AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, upper(url) FROM pages),
+{canonical_ctes('src', 'url', 'page_id, url')},
+{url_parts_ctes('src', 'url', 'page_id, url')}
+SELECT p6.page_id, p6.url, u AS normalized_url, scheme, netloc, host AS hostname, path_raw AS path, query,
+       regexp_extract(s_, {q(RFC)}, 5) AS fragment, cn.canonical_url,
+       lower(regexp_replace(u, '/+$', '')) AS dedupe_key, {homepage_expr('u')} AS homepage_url
+FROM p6 JOIN cn USING (page_id)"""
+
+ORACLE["candidate_urls"] = f"""WITH {canonical_ctes('pages', 'url', 'page_id')},
+{split_ctes('cs', 'cn', 'canonical_url', 'page_id, canonical_url')},
+t AS (SELECT *, (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN query <> '' THEN '?' || query ELSE '' END)
+                || (CASE WHEN frag <> '' THEN '#' || frag ELSE '' END) AS tail,
+             (CASE WHEN scheme <> '' THEN scheme || ':' ELSE '' END) AS pre FROM cs),
+c AS (SELECT page_id, canonical_url, CASE WHEN netloc = '' THEN [canonical_url] ELSE list_distinct_ordered END AS cands
+      FROM (SELECT *, list_filter([pre || '//' || netloc || tail,
+                                   CASE WHEN scheme = 'https' THEN 'http://' || netloc || tail END,
+                                   pre || '//' || (CASE WHEN starts_with(netloc, 'www.') THEN substr(netloc, 5) ELSE 'www.' || netloc END) || tail],
+                                  lambda x: x IS NOT NULL) AS list_distinct_ordered FROM t))
+SELECT page_id, canonical_url AS url, CAST(i AS INTEGER) AS rank, cands[i] AS candidate
+FROM c, range(1, len(cands) + 1) r(i)"""
+
+ORACLE["public_hosts"] = f"""WITH {url_parts_ctes('pages', 'url', 'page_id')},
+ev AS (SELECT concat_ws('.', {', '.join(f'CAST((user_id * {k} + CAST(floor(value) AS BIGINT)) % 256 AS VARCHAR)' for k in (1, 7, 13, 31))}) AS host FROM events),
+h AS (SELECT DISTINCT host FROM (SELECT host FROM p6 UNION ALL SELECT host FROM ev))
+SELECT host,
+       host <> '' AND lower(host) NOT IN ('localhost', 'localhost.localdomain')
+       AND NOT (regexp_matches(lower(host), {q(IPV4_RE)}) AND regexp_matches(lower(host), {q(PRIVATE_V4_RE)}))
+       AND NOT (regexp_matches(lower(host), {q(IPV6_RE)}) AND regexp_matches(lower(host), {q(PRIVATE_V6_RE)})) AS is_public,
+       CAST(regexp_matches(host, {q(IPV4_RE)}) OR regexp_matches(host, {q(IPV6_RE)}) AS INTEGER) AS is_ip
+FROM h"""
+
+ORACLE["text_corpus"] = f"""WITH {page_ctes('pages', 'page_id')}
+SELECT page_id, {strip_ws_sql(f"concat_ws(' ', nullif({strip_ws_sql('title')}, ''), nullif({strip_ws_sql('text')}, ''))")} AS corpus_text
+FROM h2 WHERE trim(text) <> ''"""
+
+
+def tfidf_sql(top_n: int = 10) -> str:
+    punct = D.ASCII_PUNCTUATION
+    norm = collapse_sql(f"translate(lower(coalesce(text, '')), {q(punct)}, {q(' ' * len(punct))})")
+    return f"""WITH t0 AS (SELECT doc_id, unnest(list_filter(string_split({norm}, ' '), lambda x: x <> '' AND x NOT IN {qlist(D.ENGLISH_STOP_WORDS)})) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t0 GROUP BY doc_id, term),
+nd AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + nd.n) / (1 + df.df)) + 1) AS raw FROM tf JOIN df USING (term), nd WHERE nd.n >= 2),
+nw AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term ASC) AS rnk FROM nw)
+SELECT doc_id, CAST(rnk AS INTEGER) AS rank, term, round_even(weight, 6) AS weight FROM r WHERE rnk <= {top_n}"""
+
+
+ORACLE["tfidf_top_terms"] = tfidf_sql()
+
+
+# --------------------------------------------------------------------- store
+def stored_sql() -> str:
+    return f"""(WITH {page_ctes('pages', 'page_id, url')},
+{url_parts_ctes('h2', 'url', 'page_id, url, title, text')},
+uf AS (SELECT url, title, text, {url_feature_select_sql()} FROM p6)
+SELECT url, title, 'success' AS status, url AS final_url, CAST(NULL AS INTEGER) AS label, url_length,
+       suspicious_word_count, CAST(length(text) AS INTEGER) AS text_length FROM uf)"""
+
+
+def incoming_sql() -> str:
+    host = "lower(regexp_extract(url, '^(?:[^:/?#]+:)?//(?:[^/?#]*@)?([^/?#:]*)', 1))"
+    return f"""(WITH rs AS ({resolve_sql()}),
+rs2 AS (SELECT *, CASE WHEN final_url <> '' THEN final_url ELSE url END AS furl FROM rs),
+{url_parts_ctes('rs2', 'furl', 'url, title, status, final_url, text_length')},
+uf AS (SELECT url, title, status, final_url, text_length, {url_feature_select_sql()} FROM p6)
+SELECT url, title, status, final_url, CAST(regexp_matches({host}, 'cheap-pills|casino-win|free-bets') AS INTEGER) AS label,
+       url_length, suspicious_word_count, text_length FROM uf)"""
+
+
+def merge_sql(mode: str) -> str:
+    cols = ("title", "status", "final_url", "label", "url_length", "suspicious_word_count", "text_length")
+    scrape = ("title", "status", "final_url")
+    sel = []
+    for c in cols:
+        if c == "label":
+            sel.append(f"coalesce(i.label, s.label) AS label")
+        elif mode == "ignore" and c in scrape:
+            sel.append(f"CASE WHEN s.url IS NOT NULL THEN s.{c} ELSE i.{c} END AS {c}")
+        else:
+            sel.append(f"CASE WHEN i.url IS NOT NULL THEN i.{c} ELSE s.{c} END AS {c}")
+    return f"""SELECT coalesce(s.url, i.url) AS url, {', '.join(sel)}
+FROM {stored_sql()} s FULL OUTER JOIN (SELECT * FROM {incoming_sql()} x QUALIFY row_number() OVER (PARTITION BY url ORDER BY url) = 1) i
+ON s.url = i.url"""
+
+
+ORACLE["websites_merge"] = merge_sql("merge")
+ORACLE["websites_insert_ignore"] = merge_sql("ignore")
+ORACLE["websites_export"] = f"""SELECT url, status, final_url, label, url_length, suspicious_word_count, text_length
+FROM ({merge_sql('merge')}) m WHERE label IS NOT NULL"""
+
+ORACLE["not_seen_urls"] = f"""WITH rs AS ({resolve_sql()})
+SELECT page_id, url FROM rs WHERE url NOT IN (SELECT url FROM {stored_sql()} st)"""
+
+BATCH_WHITELIST = ("www.therer.example.com", "ththre.example.com", "blog.tionsh.example.net")
+
+ORACLE["batch_check"] = f"""WITH fl AS ({flagship_sql()}),
+b AS (SELECT page_id, url, scam_probability,
+             CASE WHEN regexp_matches(lower(regexp_extract(url, '^(?:[^:/?#]+:)?//(?:[^/?#]*@)?([^/?#:]*)', 1)),
+                                      'cheap-pills|casino-win|free-bets') THEN 'Scam' ELSE 'Legit' END AS expected,
+             lower(regexp_extract(regexp_replace(url, '[\\t\\r\\n]', '', 'g'), {q(RFC)}, 2)) AS netloc FROM fl),
+v AS (SELECT page_id, url, expected, 'LEGITIMATE' AS predicted_verdict, '100.00%' AS confidence_text, 'Whitelisted' AS note
+      FROM b WHERE netloc IN {qlist(BATCH_WHITELIST)}
+      UNION ALL
+      SELECT page_id, url, expected, CASE WHEN scam_probability >= 0.5 THEN 'SCAM' ELSE 'LEGITIMATE' END,
+             printf('%.2f%%', greatest(scam_probability, 1 - scam_probability) * 100), 'ML Prediction'
+      FROM b WHERE netloc NOT IN {qlist(BATCH_WHITELIST)})
+SELECT *, CASE WHEN contains(predicted_verdict, upper(expected)) THEN '[PASS]' ELSE '[FAIL]' END AS "check" FROM v"""

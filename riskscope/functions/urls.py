@@ -160,23 +160,27 @@ def uses_free_hosting(host: Column, domains: Iterable[str] = D.FREE_HOSTING_DOMA
     return h.rlike(rf"(^|\.)({alt})$").cast("int")
 
 
+# Non-public address ranges: private, loopback, link-local, shared,
+# documentation/reserved, multicast and the 240/4 block.
+PRIVATE_V4_RE = (
+    r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|"
+    r"100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|"
+    r"198\.51\.100\.|203\.0\.113\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)"
+)
+PRIVATE_V6_RE = r"^(?:::1?$|f[cd]|fe[89ab]|ff|2001:db8:)"
+
+
 def is_public_host(host: Column) -> Column:
     """Reject empty, localhost and private/loopback/link-local/reserved/
     multicast IPv4 literals and the matching IPv6 ranges."""
     h = F.lower(host)
-    private_v4 = (
-        r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|"
-        r"100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|"
-        r"198\.51\.100\.|203\.0\.113\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)"
-    )
-    v6_private = r"^(?:::1?$|f[cd]|fe[89ab]|ff|2001:db8:)"
     v4 = h.rlike(IPV4_RE)
     v6 = h.rlike(IPV6_RE)
     return (
         (h != "")
         & ~h.isin("localhost", "localhost.localdomain")
-        & ~(v4 & h.rlike(private_v4))
-        & ~(v6 & h.rlike(v6_private))
+        & ~(v4 & h.rlike(PRIVATE_V4_RE))
+        & ~(v6 & h.rlike(PRIVATE_V6_RE))
     )
 
 

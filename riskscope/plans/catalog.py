@@ -414,3 +414,134 @@ def q_resolve_captures(spark, sf):
         "page_id", "url", "status", "final_url", "error", "redirect_count", "title", "text_length",
         "low_content", "link_count",
     )
+
+
+# ------------------------------------------------------------ URL utilities
+from riskscope.functions import urls as U  # noqa: E402
+
+
+@register("url_parts")
+def q_url_parts(spark, sf):
+    """U1, U1b, U2, U27, U28 on every page URL (and its upper-cased copy)."""
+    p = _pages(spark, sf).select("page_id", "url")
+    p = p.unionByName(p.select((F.col("page_id") + 1_000_000).alias("page_id"), F.upper("url").alias("url")))
+    n = p.withColumn("normalized_url", U.normalize_url(F.col("url")))
+    n = n.withColumn("_p", U.parse_url_parts(F.col("normalized_url")))
+    return n.select(
+        "page_id", "url", "normalized_url",
+        F.col("_p.scheme").alias("scheme"), F.col("_p.netloc").alias("netloc"), F.col("_p.hostname").alias("hostname"),
+        F.col("_p.path").alias("path"), F.col("_p.query").alias("query"), F.col("_p.fragment").alias("fragment"),
+        U.canonical_url(F.col("url")).alias("canonical_url"),
+        U.dedupe_key(F.col("normalized_url")).alias("dedupe_key"),
+        U.homepage_url(F.col("normalized_url")).alias("homepage_url"),
+    )
+
+
+@register("candidate_urls")
+def q_candidate_urls(spark, sf):
+    """Ranked fetch candidates of every canonical page URL."""
+    p = _pages(spark, sf).select("page_id", U.canonical_url(F.col("url")).alias("url"))
+    return UF.candidate_urls(p, "url").select("page_id", "url", "rank", "candidate")
+
+
+@register("public_hosts")
+def q_public_hosts(spark, sf):
+    """Public-host check on every page host and on the IPv4 literals
+    built from each event's (user_id, value) pair."""
+    hosts = _pages(spark, sf).select(U.parse_url_parts(U.normalize_url(F.col("url")))["hostname"].alias("host"))
+    ev = read_table(spark, sf, "events").select(
+        F.concat_ws(".", *[((F.col("user_id") * k + F.floor(F.col("value"))) % m).cast("long").cast("string")
+                           for k, m in ((1, 256), (7, 256), (13, 256), (31, 256))]).alias("host")
+    )
+    h = hosts.unionByName(ev).distinct()
+    return h.select("host", U.is_public_host(F.col("host")).alias("is_public"), U.is_ip_literal(F.col("host")).cast("int").alias("is_ip"))
+
+
+@register("text_corpus")
+def q_text_corpus(spark, sf):
+    """F3 + C11: pages with non-blank text; corpus text = title + text."""
+    ex = P.extract_pages(_pages(spark, sf)).withColumnRenamed("text", "text_content")
+    return DS.text_corpus(ex, "title", "text_content").select("page_id", "corpus_text")
+
+
+@register("tfidf_top_terms")
+def q_tfidf(spark, sf):
+    """Top 10 TF-IDF terms of every document (smoothed idf, L2 norm)."""
+    return C.tfidf_top_terms(_docs(spark, sf), "doc_id", "text", top_n=10)
+
+
+# --------------------------------------------------------------------- store
+from riskscope.operators import store as ST  # noqa: E402
+
+MERGE_COLUMNS = ("title", "status", "final_url", "label", "url_length", "suspicious_word_count", "text_length")
+
+
+def stored_websites(spark, sf):
+    """Stored table: every page, extracted and featurised, no label yet."""
+    ex = P.extract_pages(_pages(spark, sf).select("url", "html"))
+    f = UF.with_url_features(ex, "url")
+    return f.select(
+        "url", "title", F.lit("success").alias("status"), F.col("url").alias("final_url"),
+        F.lit(None).cast("int").alias("label"), "url_length", "suspicious_word_count", "text_length",
+    )
+
+
+def incoming_websites(spark, sf):
+    """Incoming batch: the URL list resolved against the captures, URL
+    features of the final URL, block-list label."""
+    r = P.resolve_captures(FX.url_list(spark, sf), FX.captures(spark, sf))
+    r = r.withColumn("_furl", F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url")))
+    f = FX.weak_labels(UF.with_url_features(r, "_furl"), "url")
+    return f.select(
+        "url", "title", "status", "final_url", F.col("expected_label").alias("label"), "url_length",
+        "suspicious_word_count", "text_length",
+    ).dropDuplicates(["url"])
+
+
+@register("not_seen_urls")
+def q_not_seen(spark, sf):
+    """URLs of the list that are not stored yet."""
+    return ST.not_seen(FX.url_list(spark, sf), stored_websites(spark, sf)).select("page_id", "url")
+
+
+@register("websites_merge")
+def q_websites_merge(spark, sf):
+    """J4 + J5: upsert the incoming batch into the stored table (merge mode)."""
+    return ST.merge_websites(stored_websites(spark, sf), incoming_websites(spark, sf), "merge")
+
+
+@register("websites_insert_ignore")
+def q_websites_ignore(spark, sf):
+    """J4 + J5 in insert-ignore mode: stored scrape fields kept, features
+    and labels updated."""
+    return ST.merge_websites(stored_websites(spark, sf), incoming_websites(spark, sf), "ignore")
+
+
+@register("websites_export")
+def q_websites_export(spark, sf):
+    """F2 + F4: labelled rows of the merged table without text columns."""
+    m = ST.merge_websites(stored_websites(spark, sf), incoming_websites(spark, sf), "merge")
+    return ST.export_dataset(m, labeled_only=True, drop_text=True)
+
+
+BATCH_WHITELIST = ("www.therer.example.com", "ththre.example.com", "blog.tionsh.example.net")
+
+
+@register("batch_check")
+def q_batch_check(spark, sf):
+    """J6 + L17: whitelisted hosts are LEGITIMATE at 100 %; the rest are
+    scored and checked against the block-list expectation."""
+    rep = SP.flagship_report(_pages(spark, sf)).select("page_id", "url", "scam_probability")
+    rep = FX.weak_labels(rep).withColumn("expected", F.when(F.col("expected_label") == 1, "Scam").otherwise("Legit"))
+    rep = rep.withColumn("netloc", F.lower(U.parse_url_parts(F.col("url"))["netloc"]))
+    white, rest = SC.whitelist_split(rep, "netloc", BATCH_WHITELIST)
+    w = white.select(
+        "page_id", "url", "expected", F.lit("LEGITIMATE").alias("predicted_verdict"),
+        F.lit("100.00%").alias("confidence_text"), F.lit("Whitelisted").alias("note"),
+    )
+    s = SC.batch_verdict(rest, "expected").select(
+        "page_id", "url", "expected", "predicted_verdict", "confidence_text", F.lit("ML Prediction").alias("note")
+    )
+    out = w.unionByName(s)
+    ok = F.col("predicted_verdict").contains(F.upper(F.col("expected")))
+    return out.withColumn("check", F.when(ok, "[PASS]").otherwise("[FAIL]"))
