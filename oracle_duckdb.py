@@ -489,7 +489,7 @@ w1 AS (SELECT domain, ord,
    CASE WHEN {usable} THEN {date_sql(first_match_sql('raw', EXPIRY_PATTERNS))} END AS e_,
    CASE WHEN {usable} THEN substr({first_match_sql('raw', REGISTRAR_PATTERNS)}, 1, 255) END AS r_ FROM w0),
 w2 AS (SELECT domain, ord,
-   coalesce(greatest({days_sql(now, 'c_')}, 0), -1) AS domain_age_days,
+   CASE WHEN c_ IS NULL THEN -1 ELSE greatest({days_sql(now, 'c_')}, 0) END AS domain_age_days,
    coalesce({days_sql('e_', now)}, -1) AS domain_expiry_days,
    coalesce(r_, '') AS registrar,
    CASE WHEN c_ IS NOT NULL OR e_ IS NOT NULL OR r_ IS NOT NULL THEN 0 ELSE 1 END AS missing_whois FROM w1)"""

@@ -103,7 +103,10 @@ def parse_whois(df: DataFrame, raw_col: str = "raw", *, as_of: str, strict_dates
     )
     return staged.withColumns(
         {
-            "domain_age_days": F.coalesce(F.greatest(days_between(now, F.col("_c")), F.lit(0)), F.lit(-1)),
+            # greatest() skips NULLs, so the unknown case is handled first
+            "domain_age_days": F.when(F.col("_c").isNull(), F.lit(-1)).otherwise(
+                F.greatest(days_between(now, F.col("_c")), F.lit(0))
+            ),
             "domain_expiry_days": F.coalesce(days_between(F.col("_e"), now), F.lit(-1)),
             "registrar": F.coalesce(F.col("_r"), F.lit("")),
             "missing_whois": F.when(

@@ -84,34 +84,53 @@ def url_feature_exprs(
 
 
 @jvm_memo
-def _parts_exprs(url_col: str, prefix: str):
-    u = F.col(f"{prefix}u")
-    return U.normalize_url(F.col(url_col)), U.parse_url_parts(u)
+def _split_stages(url_col: str):
+    """Four projections: normalise; RFC 3986 groups; host info; host, path,
+    validity.  Each regex is evaluated once per row."""
+    u = U.normalize_url(F.col(url_col))
+    s = F.regexp_replace(F.col("_u"), "[\t\r\n]", "")
+    groups = {
+        "_scheme": F.lower(F.regexp_extract(F.col("_s"), U.RFC3986, 1)),
+        "_netloc": F.regexp_extract(F.col("_s"), U.RFC3986, 2),
+        "_rawpath": F.regexp_extract(F.col("_s"), U.RFC3986, 3),
+        "_query": F.regexp_extract(F.col("_s"), U.RFC3986, 4),
+    }
+    hostinfo = F.regexp_extract(F.col("_netloc"), "([^@]*)$", 1)
+    hi = F.col("_hostinfo")
+    net = F.col("_netloc")
+    last = {
+        "_host": F.lower(
+            F.when(hi.contains("["), F.regexp_extract(hi, r"\[([^\]]*)", 1)).otherwise(F.regexp_extract(hi, "^([^:]*)", 1))
+        ),
+        "_path": F.lower(F.regexp_replace(F.col("_rawpath"), ";[^/]*$", "")),
+        "url_valid": (net.contains("[") == net.contains("]"))
+        & F.when(hi.contains("["), F.lower(hi).rlike(r"^\[" + U.IPV6_RE[1:-1] + r"\](?::.*)?$")).otherwise(F.lit(True)),
+    }
+    return u, s, groups, hostinfo, last
 
 
-def with_url_parts(df: DataFrame, url_col: str = "url", *, prefix: str = "_") -> DataFrame:
-    """Normalise ``url_col`` into ``{prefix}u`` and split it once into the
-    struct ``{prefix}p`` (see :func:`riskscope.functions.urls.parse_url_parts`)."""
-    norm, parts = _parts_exprs(url_col, prefix)
-    return df.withColumn(f"{prefix}u", norm).withColumn(f"{prefix}p", parts)
+def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """Normalised URL ``_u`` and its parts ``_scheme, _netloc, _query,
+    _host, _path`` (lower case), ``url_valid`` as staged projections."""
+    u, s, groups, hostinfo, last = _split_stages(url_col)
+    return (
+        df.withColumn("_u", u)
+        .withColumn("_s", s)
+        .withColumns(groups)
+        .withColumn("_hostinfo", hostinfo)
+        .withColumns(last)
+        .drop("_s", "_rawpath", "_hostinfo")
+    )
 
 
 @jvm_memo
 def _feature_stage_exprs(suffix_rules, frozen_dicts):
-    p = F.col("_p")
-    stage = {
-        "_host": p["hostname"],
-        "_path": F.lower(p["path"]),
-        "_query": p["query"],
-        "_scheme": p["scheme"],
-        "url_valid": p["valid"],
-    }
     reg = U.registered_domain(F.col("_host"), suffix_rules)
     dicts = {k: (dict(v) if k == "official" else v) for k, v in frozen_dicts}
     exprs = url_feature_exprs(
         F.col("_u"), F.col("_host"), F.col("_path"), F.col("_query"), F.col("_scheme"), F.col("_reg"), **dicts
     )
-    return stage, reg, exprs
+    return reg, exprs
 
 
 def with_url_features(
@@ -128,9 +147,8 @@ def with_url_features(
 
     Three projections: normalise, split once, features from the parts; the
     expression trees are built once per JVM and reused."""
-    stage, reg, exprs = _feature_stage_exprs(freeze(suffix_rules), freeze(dicts))
-    parted = with_url_parts(df, url_col)
-    staged = parted.withColumns(stage).withColumn("_reg", reg)
+    reg, exprs = _feature_stage_exprs(freeze(suffix_rules), freeze(dicts))
+    staged = with_url_parts(df, url_col).withColumn("_reg", reg)
     out = staged.withColumns(
         {
             **exprs,
@@ -140,7 +158,7 @@ def with_url_features(
         }
     )
     if not keep_internal:
-        out = out.drop("_u", "_p", "_host", "_path", "_query", "_scheme", "_reg")
+        out = out.drop("_u", "_netloc", "_host", "_path", "_query", "_scheme", "_reg")
     return out
 
 
