@@ -1059,3 +1059,23 @@ v AS (SELECT page_id, url, expected, 'LEGITIMATE' AS predicted_verdict, '100.00%
              printf('%.2f%%', greatest(scam_probability, 1 - scam_probability) * 100), 'ML Prediction'
       FROM b WHERE netloc NOT IN {qlist(BATCH_WHITELIST)})
 SELECT *, CASE WHEN contains(predicted_verdict, upper(expected)) THEN '[PASS]' ELSE '[FAIL]' END AS "check" FROM v"""
+
+
+# ------------------------------------------------------------ URL-only score
+def url_only_sql() -> str:
+    lab, _tone = band_sql("p")
+    zeros = ", ".join(f"0 AS {c}" for c in ("text_length", "token_count", "scam_keyword_count", "has_form", "has_iframe", "exclamation_count")) + \
+        ", 0.0 AS scam_keyword_density, 0.0 AS caps_ratio, 0.0 AS avg_word_length"
+    return f"""WITH {url_parts_ctes('pages', 'url', 'page_id, url')},
+uf AS (SELECT page_id, url, url_valid, {url_feature_select_sql()}, {zeros} FROM p6),
+f AS (SELECT *, {family_sql()} FROM uf),
+s AS (SELECT *, round_even(({' + '.join(FAMILY_COLUMNS)}) / {len(FAMILY_COLUMNS)}, 4) AS p0 FROM f),
+o AS (SELECT *, CASE WHEN url_valid THEN p0 ELSE 0.0 END AS p FROM s)
+SELECT page_id, url, {', '.join(FAMILY_COLUMNS)}, p AS scam_probability,
+       CASE WHEN NOT url_valid THEN 'ERROR' WHEN p0 >= 0.5 THEN 'SCAM' ELSE 'LEGIT' END AS prediction,
+       CASE WHEN NOT url_valid THEN 0.0 WHEN p0 >= 0.5 THEN round_even(p0, 4) ELSE round_even(1.0 - p0, 4) END AS confidence,
+       {lab} AS risk_label
+FROM o"""
+
+
+ORACLE["url_only_scores"] = url_only_sql()

@@ -545,3 +545,71 @@ def q_batch_check(spark, sf):
     out = w.unionByName(s)
     ok = F.col("predicted_verdict").contains(F.upper(F.col("expected")))
     return out.withColumn("check", F.when(ok, "[PASS]").otherwise("[FAIL]"))
+
+
+# ------------------------------------------------------------------------ ML
+from riskscope.operators import ml as ML  # noqa: E402
+from riskscope.streaming.jobs import score_urls as _score_urls  # noqa: E402
+from riskscope.session import cut_lineage  # noqa: E402
+
+# Small forests for the registered checks; full sizes are the defaults of
+# TrainConfig.
+CHECK_CONFIG = ML.TrainConfig(
+    n_extra_trees=40, n_random_forest=40, gbt_iter=20, max_depth=8, lr_max_iter=200, rff_dim=64, svc_max_iter=40
+)
+
+
+@register("url_only_scores")
+def q_url_only(spark, sf):
+    """URL-only scoring (zero content features) of every page URL."""
+    s = _score_urls(_pages(spark, sf).select("page_id", "url"))
+    return s.select("page_id", "url", *SC.FAMILY_COLUMNS, "scam_probability", "prediction", "confidence", "risk_label")
+
+
+def _train_test(spark, sf):
+    prep = cut_lineage(prepared_dataset(spark, sf).drop("draw").dropDuplicates(["url"]))
+    _, feats = EV.select_numeric_features(prep)
+    keyed = prep.select("url", *[F.col(c).cast("double").alias(c) for c in feats], "label")
+    # Training reads the split many times: cut the lineage once (reliable
+    # checkpoint in the shared checkpoint directory).
+    split = cut_lineage(DS.stratified_split(keyed, 0.2, SEED))
+    return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test"), feats
+
+
+@register("cv_leaderboard")
+def q_cv_leaderboard(spark, sf):
+    """L5 + L6 + A14: 5-fold CV of the five candidates on the training part
+    of the prepared dataset; ranked by F1 then AUC, display names."""
+    train, _, feats = _train_test(spark, sf)
+    board, _ = ML.cross_validate(train, feats, CHECK_CONFIG)
+    name = F.initcap(F.replace(F.col("model"), F.lit("_"), F.lit(" ")))
+    return board.select("model", name.alias("display_name"), *[c for c in board.columns if c != "model"])
+
+
+@register("holdout_model_metrics")
+def q_holdout_model(spark, sf):
+    """L5 + L7 + A5: calibrated random forest on the training part, exact
+    holdout metrics on the 20 % test part."""
+    train, test, feats = _train_test(spark, sf)
+    ens = ML.calibrate_isotonic(train, feats, "random_forest", CHECK_CONFIG)
+    scored = ens.transform(test)
+    return EV.holdout_metrics(SC.score_batch(scored, valid_col=None), "label", "prediction_label", "scam_probability")
+
+
+@register("calibrated_scores")
+def q_calibrated_scores(spark, sf):
+    """L8 with a model: calibrated logistic regression scores, labels and
+    bands for the holdout rows."""
+    train, test, feats = _train_test(spark, sf)
+    ens = ML.calibrate_isotonic(train, feats, "logistic_regression", CHECK_CONFIG)
+    s = SC.score_batch(ens.transform(test), valid_col=None)
+    return s.select("url", "label", "scam_probability", "prediction", "confidence", SC.risk_band(F.col("scam_probability"))["label"].alias("risk_label"))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    """Mean feature importance over the calibrated extra-trees folds."""
+    train, _, feats = _train_test(spark, sf)
+    ens = ML.calibrate_isotonic(train, feats, "extra_trees", CHECK_CONFIG)
+    imp = ML.feature_importance(ens, top=20)
+    return spark.createDataFrame([(i + 1, f, round(v, 6)) for i, (f, v) in enumerate(imp)], "rank int, feature string, importance double")
