@@ -1079,3 +1079,35 @@ FROM o"""
 
 
 ORACLE["url_only_scores"] = url_only_sql()
+
+
+# ------------------------------------------------- groups, alignment, impute
+GROUPS = (("URL structure", URL_FEATURE_NAMES[:25]), ("Hosting and brand signals", URL_FEATURE_NAMES[25:]),
+          ("Page content", ("text_length", "token_count", "scam_keyword_count", "scam_keyword_density",
+                            "exclamation_count", "caps_ratio", "avg_word_length")))
+MODEL_FEATURES = tuple(f for _, fs in GROUPS for f in fs)
+
+ORACLE["feature_group_counts"] = f"""WITH {profile_ctes()},
+g AS (SELECT * FROM (VALUES {', '.join(f'({q(f)}, {q(g)})' for g, fs in GROUPS for f in fs)}) t(feature, grp))
+SELECT coalesce(g.grp, 'Domain signals') AS "group", count(*) AS feature_count
+FROM kept LEFT JOIN g ON g.feature = kept."column" WHERE kept.kept GROUP BY ALL"""
+
+ORACLE["feature_preview"] = f"""WITH {url_parts_ctes('pages', 'url', 'page_id')},
+uf AS (SELECT page_id, {url_feature_select_sql()} FROM p6)
+SELECT page_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' if c in URL_FEATURE_NAMES else f'0.0 AS {c}' for c in MODEL_FEATURES)}
+FROM uf"""
+
+ORACLE["impute_domain"] = f"""WITH {domain_table_sql()},
+cu AS (SELECT c_custkey, 'https://www.shop' || CAST(c_custkey AS VARCHAR) || '.' ||
+              ['com', 'net', 'org', 'xyz', 'co.uk'][c_custkey % 5 + 1] || '/account' AS url FROM customer),
+{url_parts_ctes('cu', 'url', 'c_custkey, url')},
+lk AS (SELECT c_custkey, {lookup_domain_sql('host')} AS lookup_domain FROM p6),
+j AS (SELECT lk.c_custkey, dtf.* FROM lk LEFT JOIN dtf ON lk.lookup_domain = dtf.domain)
+SELECT c_custkey, coalesce(CAST(domain_age_days AS DOUBLE), -1.0) AS domain_age_days,
+       coalesce(CAST(domain_expiry_days AS DOUBLE), -1.0) AS domain_expiry_days,
+       coalesce(CAST(ssl_days_remaining AS DOUBLE), -1.0) AS ssl_days_remaining,
+       CAST(coalesce(CAST(domain_age_days AS DOUBLE), -1.0) = -1 AS INTEGER) AS missing_whois,
+       coalesce(CAST(has_ssl AS DOUBLE), -1.0) AS has_ssl, coalesce(CAST(ssl_valid AS DOUBLE), -1.0) AS ssl_valid,
+       coalesce(CAST(is_new_domain AS DOUBLE), -1.0) AS is_new_domain,
+       coalesce(CAST(short_expiry_domain AS DOUBLE), -1.0) AS short_expiry_domain
+FROM j"""

@@ -613,3 +613,46 @@ def q_feature_importance(spark, sf):
     ens = ML.calibrate_isotonic(train, feats, "extra_trees", CHECK_CONFIG)
     imp = ML.feature_importance(ens, top=20)
     return spark.createDataFrame([(i + 1, f, round(v, 6)) for i, (f, v) in enumerate(imp)], "rank int, feature string, importance double")
+
+
+# ------------------------------------------------- groups, alignment, impute
+FEATURE_GROUPS = (
+    ("URL structure", UF.URL_FEATURES[:25]),
+    ("Hosting and brand signals", UF.URL_FEATURES[25:]),
+    ("Page content", ("text_length", "token_count", "scam_keyword_count", "scam_keyword_density", "exclamation_count", "caps_ratio", "avg_word_length")),
+)
+MODEL_FEATURES = tuple(f for _, fs in FEATURE_GROUPS for f in fs)
+
+
+@register("feature_group_counts")
+def q_feature_groups(spark, sf):
+    """Kept features of the cleaned dataset counted per feature group
+    (other kept columns count as domain signals)."""
+    prof = EV.feature_profile(prepared_dataset(spark, sf).drop("draw")).where("kept")
+    pairs = [(f, g) for g, fs in FEATURE_GROUPS for f in fs]
+    group = F.coalesce(
+        F.element_at(F.create_map(*[x for f, g in pairs for x in (F.lit(f), F.lit(g))]), F.col("column")),
+        F.lit("Domain signals"),
+    )
+    return prof.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("feature_count"))
+
+
+@register("feature_preview")
+def q_feature_preview(spark, sf):
+    """F5 + L10: URL features of every page aligned to the 35 model
+    features (content columns absent -> NULL -> 0)."""
+    f = UF.with_url_features(_pages(spark, sf).select("page_id", "url"))
+    return SC.feature_preview(f, MODEL_FEATURES, keep=["page_id"])
+
+
+@register("impute_domain")
+def q_impute_domain(spark, sf):
+    """Customer shop URLs left-joined to the domain table without
+    defaults, then imputed as the batch scorer does."""
+    dom = DM.domain_table(FX.whois_raw(spark, sf), FX.certs(spark, sf), as_of=FX.AS_OF)
+    urls = _customer_urls(spark, sf)
+    keyed = urls.withColumn("lookup_domain", U.lookup_domain(U.parse_url_parts(F.col("url"))["hostname"]))
+    j = keyed.join(dom.withColumnRenamed("domain", "lookup_domain"), "lookup_domain", "left")
+    out = DM.impute_domain(j.drop("missing_whois").withColumn("missing_whois", F.lit(None).cast("int")))
+    return out.select("c_custkey", "domain_age_days", "domain_expiry_days", "ssl_days_remaining", "missing_whois",
+                      "has_ssl", "ssl_valid", "is_new_domain", "short_expiry_domain")
