@@ -13,6 +13,7 @@ from riskscope.functions import text as T
 from riskscope.functions.memo import freeze, jvm_memo
 from riskscope.functions.urls import py_strip
 from riskscope.operators.joins import join_skew_safe
+from riskscope.session import cut_lineage
 
 CONTENT_FEATURES = (
     "text_length", "token_count", "scam_keyword_count", "scam_keyword_density", "has_form",
@@ -94,6 +95,7 @@ def tfidf_top_terms(
     top_n: int = 10,
     min_docs: int = 2,
     stop_words: Iterable[str] = D.ENGLISH_STOP_WORDS,
+    hot_key_rows: int = 100_000,
 ) -> DataFrame:
     """Top ``n`` TF-IDF terms per document.
 
@@ -104,16 +106,22 @@ def tfidf_top_terms(
     window.  The window partitions by document, so one long document is
     still bounded by its distinct terms.  Fewer than ``min_docs`` documents
     -> empty result."""
+    # explode first, then filter on the flat column: the stop-word test is a
+    # code-generated hash-set lookup instead of a lambda over a long array
     toks = docs.select(
         F.col(id_col).alias("doc"),
-        F.explode(T.clean_tokens(T.normalize_text(F.coalesce(F.col(text_col), F.lit(""))), stop_words)).alias("term"),
-    )
-    tf = toks.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = docs.count()  # one scalar for the idf formula
+        F.explode(F.split(T.normalize_text(F.coalesce(F.col(text_col), F.lit(""))), " ")).alias("term"),
+    ).where((F.col("term") != "") & ~F.col("term").isin(*tuple(stop_words)))
+    # (doc, term) counts are read three times (document frequency, hot
+    # terms, weights): materialise them once in the checkpoint directory.
+    tf = cut_lineage(toks.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n_docs = docs.select(id_col).count()  # one scalar for the idf formula
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # A common term is a hot key on the tf side: split it off and broadcast.
+    # A common term is a hot key on the tf side; its tf row count is its
+    # document frequency, so hot terms come straight from ``dfreq``.
+    hot = dfreq.where(F.col("df") >= hot_key_rows).select("term")
     w = (
-        join_skew_safe(tf, dfreq, "term", "inner")
+        join_skew_safe(tf, dfreq, "term", "inner", hot_keys=hot)
         .where(F.lit(n_docs >= min_docs))
         .withColumn("raw", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1))
     )

@@ -35,16 +35,22 @@ def hash60(hex_md5: Column) -> Column:
     return F.conv(F.substring(hex_md5, 1, 15), 16, 10).cast("long")
 
 
-def exact_rank(df: DataFrame, order_col: str, group_cols: Sequence[str] = (), out: str = "rank") -> DataFrame:
+def exact_rank(
+    df: DataFrame, order_col: str, group_cols: Sequence[str] = (), out: str = "rank", max_groups: int | None = 2
+) -> DataFrame:
     """0-based rank of each row inside its group by ``order_col`` (an md5
-    hex string), computed without a whole-group window."""
+    hex string), computed without a whole-group window.
+
+    The offsets table has at most ``max_groups`` x 2^16 rows; with a known
+    bound it is broadcast directly, otherwise after a size check."""
     g = list(group_cols)
     b = F.shiftright(hash60(F.col(order_col)), HASH_BITS - BUCKET_BITS).alias("_bucket")
     keyed = df.withColumn("_bucket", b)
     hist = keyed.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    j = keyed.join(broadcast_if_small(offsets), [*g, "_bucket"])
+    small = F.broadcast(offsets) if max_groups is not None and max_groups <= 16 else broadcast_if_small(offsets)
+    j = keyed.join(small, [*g, "_bucket"])
     inner = Window.partitionBy(*g, "_bucket").orderBy(order_col)
     return j.withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("long")).drop("_bucket", "_off")
 

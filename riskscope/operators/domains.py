@@ -37,6 +37,15 @@ DATE_FORMATS = (
     "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy/M/d", "yyyy-M-d", "d-MMM-yyyy",
     "d-MMM-yyyy H:m:s", "d.M.yyyy", "d/M/yyyy", "M/d/yyyy", "MMM d yyyy",
 )
+# Shape of each format: a format is only tried on text of its shape, so a
+# failed parse (an exception inside the parser) is never the common case.
+_D, _T = r"[0-9]{1,2}", r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+DATE_SHAPES = (
+    rf"^[0-9]{{4}}-{_D}-{_D}T{_T}$", rf"^[0-9]{{4}}-{_D}-{_D} {_T}$", rf"^[0-9]{{4}}/{_D}/{_D} {_T}$",
+    rf"^[0-9]{{4}}/{_D}/{_D}$", rf"^[0-9]{{4}}-{_D}-{_D}$", rf"^{_D}-[A-Za-z]{{3}}-[0-9]{{4}}$",
+    rf"^{_D}-[A-Za-z]{{3}}-[0-9]{{4}} {_T}$", rf"^{_D}\.{_D}\.[0-9]{{4}}$", rf"^{_D}/{_D}/[0-9]{{4}}$",
+    rf"^{_D}/{_D}/[0-9]{{4}}$", rf"^[A-Za-z]{{3}} {_D} [0-9]{{4}}$",
+)
 SHORT_DAYS = 180
 REGISTRAR_MAX = 255
 # ---------------------------------------------------------------------------
@@ -78,8 +87,14 @@ def clean_date_text(raw: Column, strict: bool = False) -> Column:
 
 def parse_domain_date(raw: Column, strict: bool = False) -> Column:
     """D3: timestamp (UTC) of the first format that parses, else NULL."""
-    s = clean_date_text(raw, strict)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
+    return parse_clean_date(clean_date_text(raw, strict))
+
+
+def parse_clean_date(s: Column) -> Column:
+    """D3 on already cleaned text (stage the cleaning in its own projection)."""
+    return F.coalesce(
+        *[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f))) for f, shape in zip(DATE_FORMATS, DATE_SHAPES)]
+    )
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -94,12 +109,20 @@ def parse_whois(df: DataFrame, raw_col: str = "raw", *, as_of: str, strict_dates
     raw = F.coalesce(F.col(raw_col), F.lit(""))
     usable = (py_strip(raw) != "") & ~(raw.contains("Connecting to") & ~raw.contains("Registrar:"))
     now = F.to_timestamp(F.lit(as_of))
-    staged = df.withColumns(
-        {
-            "_c": F.when(usable, parse_domain_date(first_match(raw, CREATION_PATTERNS), strict_dates)),
-            "_e": F.when(usable, parse_domain_date(first_match(raw, EXPIRY_PATTERNS), strict_dates)),
-            "_r": F.when(usable, F.substring(first_match(raw, REGISTRAR_PATTERNS), 1, REGISTRAR_MAX)),
-        }
+    # Staged so each cleaned date string is computed once: inside when /
+    # coalesce branches Spark does not share common subexpressions.
+    staged = (
+        df.withColumn("_ok", usable)
+        .withColumns(
+            {
+                "_cr": F.when(F.col("_ok"), first_match(raw, CREATION_PATTERNS)),
+                "_er": F.when(F.col("_ok"), first_match(raw, EXPIRY_PATTERNS)),
+                "_r": F.when(F.col("_ok"), F.substring(first_match(raw, REGISTRAR_PATTERNS), 1, REGISTRAR_MAX)),
+            }
+        )
+        .withColumns({"_cs": clean_date_text(F.col("_cr"), strict_dates), "_es": clean_date_text(F.col("_er"), strict_dates)})
+        .withColumns({"_c": parse_clean_date(F.col("_cs")), "_e": parse_clean_date(F.col("_es"))})
+        .drop("_ok", "_cr", "_er", "_cs", "_es")
     )
     return staged.withColumns(
         {

@@ -144,7 +144,7 @@ def holdout_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "pr
     offs = hist.withColumn("_off", F.coalesce(F.sum("_nb").over(w_off), F.lit(0))).drop("_nb")
     w_in = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
-        by_s.join(broadcast_if_small(offs), "_b")
+        by_s.join(F.broadcast(offs), "_b")  # at most 2^16 rows by construction
         .withColumn("below", F.col("_off") + F.coalesce(F.sum("n_s").over(w_in), F.lit(0)))
         .withColumn("midrank", F.col("below") + (F.col("n_s") + 1) / 2.0)
     )

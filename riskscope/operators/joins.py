@@ -24,6 +24,7 @@ def join_skew_safe(
     *,
     hot_key_rows: int = 100_000,
     max_hot_keys: int = MAX_BROADCAST_ROWS,
+    hot_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large ``left`` to a ``right_unique`` table (one row per key)
     without letting a hot key land in one task.
@@ -32,8 +33,10 @@ def join_skew_safe(
     aggregation (map-side combine, so the count itself is not skewed).
     Their right rows number at most ``rows / hot_key_rows`` and go out by
     broadcast; the hot left rows then join locally with no shuffle.  The
-    remaining keys take an ordinary shuffle join."""
-    hot = (
+    remaining keys take an ordinary shuffle join.  ``hot_keys`` may be given
+    when the caller already knows the key counts (e.g. a document
+    frequency), which saves the counting pass."""
+    hot = hot_keys if hot_keys is not None else (
         left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_key_rows).select(key)
     )
     n_hot = hot.limit(max_hot_keys + 1).count()

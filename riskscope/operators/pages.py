@@ -14,6 +14,7 @@ from riskscope import dictionaries as D
 from riskscope.functions import html as H
 from riskscope.functions.memo import jvm_memo
 from riskscope.operators.joins import join_skew_safe
+from riskscope.session import cut_lineage
 from riskscope.operators.url_features import candidate_urls
 from riskscope.functions.urls import canonical_url, homepage_url
 
@@ -111,7 +112,9 @@ def resolve_captures(
     Both joins are keyed by URL strings with one row per key on the right;
     a hot key (one URL or one homepage held by many rows) is split off and
     broadcast by :func:`join_skew_safe`."""
-    pages = usable_pages(captures, min_text_length=min_text_length)
+    # Extracted captures (HTML already dropped) are read by both candidate
+    # joins and by the hot-key checks: materialise them once.
+    pages = cut_lineage(usable_pages(captures, min_text_length=min_text_length))
     base = urls.withColumn("_nurl", canonical_url(F.col(url_col)))
     first = first_capture(base, "_nurl", pages)
     res = join_skew_safe(base, first, "_nurl", hot_key_rows=hot_key_rows)
