@@ -36,10 +36,13 @@ def get_spark(master: str | None = None, app: str = "riskscope", shuffle_partiti
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the cluster's shared ``spark.checkpoint.dir``.  Only when it is
     unset (local tests) a scratch directory is created and registered."""
-    conf = spark.sparkContext.getConf()
+    try:
+        conf = spark.sparkContext.getConf()
+    except Exception:  # no driver-side context: the server owns the directory
+        return spark.conf.get("spark.checkpoint.dir", None)
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -64,10 +67,12 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     Row-wise work (regexes over HTML and text) is CPU bound, so the extra
     exchange pays for itself there; at cluster scale the input already has
     thousands of splits and this is a no-op."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * factor
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without an RDD API: leave the plan as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *, spread_rows: bool = True) -> DataFrame:
