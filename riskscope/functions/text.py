@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskscope import dictionaries as D
-from riskscope.functions.urls import collapse_ws, count_substr, py_strip
+from riskscope.functions.urls import WS_CHARS, collapse_ws, count_substr, py_strip
 
 
 def weighted_text(title: Column, text: Column, weight: int = D.TITLE_WEIGHT) -> Column:
@@ -21,8 +21,10 @@ def weighted_text(title: Column, text: Column, weight: int = D.TITLE_WEIGHT) ->
 
 
 def normalize_text(col: Column) -> Column:
-    """Lower case, ASCII punctuation to spaces, white space collapsed."""
-    return collapse_ws(F.translate(F.lower(col), D.ASCII_PUNCTUATION, " " * len(D.ASCII_PUNCTUATION)))
+    """Lower case, ASCII punctuation and white space to single spaces
+    (one ``translate`` pass for both), runs collapsed, trimmed."""
+    chars = D.ASCII_PUNCTUATION + WS_CHARS
+    return F.trim(F.regexp_replace(F.translate(F.lower(col), chars, " " * len(chars)), " {2,}", " "))
 
 
 def clean_tokens(normalized: Column, stop_words: Iterable[str] = D.ENGLISH_STOP_WORDS) -> Column:

@@ -20,8 +20,17 @@ from pyspark.sql import functions as F
 from riskscope import dictionaries as D
 
 # Characters that Python-style ``str.strip()`` / ``str.split()`` treat as white
-# space.  Written so that Java regex and RE2 read it the same way.
-WS_CLASS = r"[\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}\p{Z}]"
+# space: tab..CR, the four separators 0x1c-0x1f, NEL and the Unicode space
+# separators (category Z), spelled out as code points.  Written so that Java
+# regex and RE2 read it the same way.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+WS_CLASS = (
+    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 
 RFC3986 = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -57,8 +66,11 @@ def py_strip(col: Column | str) -> Column:
 
 
 def collapse_ws(col: Column | str) -> Column:
-    """``' '.join(s.split())``: runs of white space to one space, trimmed."""
-    return py_strip(F.regexp_replace(_c(col), rf"{WS_CLASS}+", " "))
+    """``' '.join(s.split())``: runs of white space to one space, trimmed.
+    One ``translate`` pass maps every white-space character to a space, then
+    only runs of plain spaces are rewritten."""
+    spaced = F.translate(_c(col), WS_CHARS, " " * len(WS_CHARS))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def count_substr(col: Column, needle: str) -> Column:
