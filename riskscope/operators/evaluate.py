@@ -100,7 +100,16 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def box_stats(df: DataFrame, cols: Sequence[str], label_col: str = "label") -> DataFrame:
+def _quantile(col: str, q: float, exact: bool, accuracy: int) -> F.Column:
+    """Exact ``percentile`` keeps every distinct value of a group in the
+    final task; ``percentile_approx`` keeps a bounded sketch (use it when a
+    group holds a large, continuous column)."""
+    return F.percentile(col, q) if exact else F.percentile_approx(col, q, accuracy)
+
+
+def box_stats(
+    df: DataFrame, cols: Sequence[str], label_col: str = "label", *, exact: bool = True, accuracy: int = 10_000
+) -> DataFrame:
     """Long form (feature, label) -> quartiles and 1.5 IQR whiskers
     (the most extreme values inside the fences)."""
     long = df.select(
@@ -108,9 +117,9 @@ def box_stats(df: DataFrame, cols: Sequence[str], label_col: str = "label") -> D
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m"),
     ).select(label_col, "m.feature", "m.value")
     q = long.groupBy("feature", label_col).agg(
-        F.percentile("value", 0.25).alias("q1"),
-        F.percentile("value", 0.5).alias("median"),
-        F.percentile("value", 0.75).alias("q3"),
+        _quantile("value", 0.25, exact, accuracy).cast("double").alias("q1"),
+        _quantile("value", 0.5, exact, accuracy).cast("double").alias("median"),
+        _quantile("value", 0.75, exact, accuracy).cast("double").alias("q3"),
     )
     j = long.join(q, ["feature", label_col])
     iqr = F.col("q3") - F.col("q1")
@@ -313,9 +322,10 @@ def select_numeric_features(df: DataFrame, label_col: str = "label") -> tuple[Da
     return clean, feats
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """L2: exact medians (``percentile`` 0.5, linear interpolation)."""
-    row = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols]).first()
+def medians(df: DataFrame, cols: Sequence[str], *, exact: bool = True, accuracy: int = 10_000) -> dict[str, float]:
+    """L2: medians (exact ``percentile`` 0.5 with linear interpolation, or
+    ``percentile_approx`` for large inputs)."""
+    row = df.agg(*[_quantile(c, 0.5, exact, accuracy).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 
 
