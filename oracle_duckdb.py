@@ -1111,3 +1111,5 @@ SELECT c_custkey, coalesce(CAST(domain_age_days AS DOUBLE), -1.0) AS domain_age_
        coalesce(CAST(is_new_domain AS DOUBLE), -1.0) AS is_new_domain,
        coalesce(CAST(short_expiry_domain AS DOUBLE), -1.0) AS short_expiry_domain
 FROM j"""
+
+ORACLE["page_extract_exact"] = ORACLE["page_extract"]

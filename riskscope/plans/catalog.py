@@ -656,3 +656,13 @@ def q_impute_domain(spark, sf):
     out = DM.impute_domain(j.drop("missing_whois").withColumn("missing_whois", F.lit(None).cast("int")))
     return out.select("c_custkey", "domain_age_days", "domain_expiry_days", "ssl_days_remaining", "missing_whois",
                       "has_ssl", "ssl_valid", "is_new_domain", "short_expiry_domain")
+
+
+@register("page_extract_exact")
+def q_page_extract_exact(spark, sf):
+    """H8 exact mode (stdlib HTML parser per Arrow batch) over every page;
+    same columns and oracle as ``page_extract``."""
+    return P.extract_pages_exact(_pages(spark, sf)).select(
+        "page_id", "title", "meta_description", "text", "text_length", "low_content", "link_count",
+        "has_form", "has_iframe",
+    )
