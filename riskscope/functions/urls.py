@@ -299,32 +299,33 @@ def public_suffix_labels(host: Column, rules: Iterable[tuple[str, str]] = D.BUIL
 
     Exact rule ``c``; wildcard ``*.p`` matches any ``x.p`` that is not an
     exception; exception ``!e`` makes ``parent(e)`` the suffix and wins.
-    Pure projection: the rule sets are literal hash sets, so nothing is
-    joined or shuffled however skewed the hosts are.
-    """
+    Candidates are the last ``j`` labels (``substring_index(host, '.', -j)``)
+    for ``j`` up to the deepest rule, tested against literal hash sets: a
+    code-generated projection, no lambda, no join, no shuffle, however
+    skewed the hosts are."""
     exact, wild, exc = suffix_sets(rules)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-
-    def cand(k):
-        return F.array_join(F.slice(labels, k, n - k + 1), ".")
+    depth = max(
+        [len(r.split(".")) for r in exact]
+        + [len(r.split(".")) + 1 for r in wild]
+        + [len(r.split(".")) for r in exc]
+        + [1]
+    )
+    n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
     def in_set(c, values):
         return c.isin(*values) if values else F.lit(False)
 
-    def rule_len(acc, k):
-        c = cand(k)
-        parent = F.when(k < n, cand(k + 1)).otherwise(F.lit(""))
-        hit = in_set(c, exact) | (in_set(parent, wild) & ~in_set(c, exc))
-        return F.greatest(acc, F.when(hit, n - k + 1).otherwise(F.lit(0)))
-
-    def exc_len(acc, k):
-        return F.greatest(acc, F.when(in_set(cand(k), exc), n - k).otherwise(F.lit(0)))
-
-    ks = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    normal = F.aggregate(ks, F.lit(0), rule_len)
+    cand = {j: F.substring_index(host, ".", -j) for j in range(1, depth + 1)}
+    normal = F.lit(0)
+    for j in range(1, depth + 1):
+        hit = in_set(cand[j], exact)
+        if j >= 2 and wild:
+            hit = hit | (in_set(cand[j - 1], wild) & ~in_set(cand[j], exc))
+        normal = F.when((n >= j) & hit, F.lit(j)).otherwise(normal)
     if exc:
-        exception = F.aggregate(ks, F.lit(0), exc_len)
+        exception = F.lit(0)
+        for j in range(1, depth + 1):
+            exception = F.when((n >= j) & in_set(cand[j], exc), F.lit(j - 1)).otherwise(exception)
         normal = F.when(exception > 0, exception).otherwise(normal)
     return F.when(host == "", F.lit(0)).otherwise(normal)
 
@@ -332,17 +333,20 @@ def public_suffix_labels(host: Column, rules: Iterable[tuple[str, str]] = D.BUIL
 def registered_domain(host: Column, rules: Iterable[tuple[str, str]] = D.BUILTIN_SUFFIXES) -> Column:
     """eTLD+1 of the host; the host itself when no suffix or no label
     before it (IP literals, unknown TLDs, bare suffixes)."""
+    rules = tuple(rules)
     k = public_suffix_labels(host, rules)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.when(
-        (k > 0) & (n > k), F.array_join(F.slice(labels, n - k, k + 1), ".")
-    ).otherwise(host)
+    n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    depth = max([len(r.split(".")) + 1 for r, _ in rules] + [1])
+    out = host
+    for j in range(depth, 0, -1):
+        out = F.when((k == j) & (n > j), F.substring_index(host, ".", -(j + 1))).otherwise(out)
+    return out
 
 
 def lookup_domain(host: Column, rules: Iterable[tuple[str, str]] = D.BUILTIN_SUFFIXES) -> Column:
     """Registered domain for WHOIS/TLS lookups.  Without a known suffix:
     last three labels for ``x.co.uk`` shapes, else the last two."""
+    rules = tuple(rules)
     k = public_suffix_labels(host, rules)
     labels = host_labels(host)
     raw = F.split(host, r"\.")
