@@ -143,17 +143,16 @@ def host_labels(host: Column) -> Column:
 
 
 def subdomain_count(host: Column, second_level: Iterable[str] = D.COMMON_SECOND_LEVEL) -> Column:
-    """Labels beyond the registered part (approximation without a suffix list)."""
-    labels = host_labels(host)
-    n = F.size(labels)
+    """Labels beyond the registered part (approximation without a suffix
+    list).  Non-empty labels are counted and picked with code-generated
+    regex functions (no lambda)."""
+    n = F.size(F.regexp_extract_all(host, F.lit(r"([^.]+)"), 1))
+    last = F.regexp_extract(host, r"([^.]+)\.*$", 1)
+    second = F.regexp_extract(host, r"([^.]+)\.+[^.]+\.*$", 1)
     return (
         F.when((host == "") | is_ip_literal(host), F.lit(0))
         .when(n <= 2, F.lit(0))
-        .when(
-            (F.length(F.element_at(labels, -1)) == 2)
-            & F.element_at(labels, -2).isin(*second_level),
-            F.greatest(n - 3, F.lit(0)),
-        )
+        .when((F.length(last) == 2) & second.isin(*second_level), F.greatest(n - 3, F.lit(0)))
         .otherwise(F.greatest(n - 2, F.lit(0)))
     ).cast("int")
 
@@ -243,7 +242,7 @@ def num_query_params(query: Column) -> Column:
 
 def path_depth(path_l: Column) -> Column:
     """Non-empty path segments."""
-    return F.size(F.filter(F.split(path_l, "/"), lambda x: x != "")).cast("int")
+    return F.size(F.regexp_extract_all(path_l, F.lit("([^/]+)"), 1)).cast("int")
 
 
 def tld_in_path(path_l: Column, tlds: Iterable[str] = D.PATH_TLDS) -> Column:
