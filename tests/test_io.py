@@ -43,3 +43,17 @@ def test_markdown_report(spark, tmpdir_path):
     text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.startswith("part-"))
     assert "- Total: 1/2 correct" in text and "- Scam: 0/1 correct" in text
     assert "| SCAM | LEGIT | no | 75.00% | https://b |" in text
+
+
+def test_csv_and_json_writers(spark, tmpdir_path):
+    import json
+
+    df = spark.createDataFrame([("https://a", 1), ("https://b", 0)], "url string, label int")
+    out = os.path.join(tmpdir_path, "csv")
+    IO.write_csv(df, out)
+    back = spark.read.option("header", True).csv(out)
+    assert sorted((r["url"], r["label"]) for r in back.collect()) == [("https://a", "1"), ("https://b", "0")]
+    rep = os.path.join(tmpdir_path, "report")
+    IO.write_report_json(spark, {"rows": 2, "best_model": "random_forest"}, rep)
+    text = "\n".join(r["value"] for r in spark.read.text(rep).collect())
+    assert json.loads(text) == {"rows": 2, "best_model": "random_forest"}
