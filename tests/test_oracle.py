@@ -50,5 +50,5 @@ def test_entry_runs(spark):
 
 
 def test_every_query_registered_has_oracle_or_is_documented():
-    missing = set(E.queries()) - set(ORACLE)
+    missing = set(E.QUERIES) - set(ORACLE)
     assert missing <= {"cv_leaderboard", "holdout_model_metrics", "feature_importance", "calibrated_scores"}, missing
