@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,21 @@ def raw_texts(col: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in col.cast(kind).to_pylist()]
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, about ``size`` bytes of it at a time."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + size)
+        if end < len(raw):
+            blank = _BLANK.search(raw, end)
+            end = blank.start() if blank else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

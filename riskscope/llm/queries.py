@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe
+from riskscope.llm import bpe, simhash
 from riskscope.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,5 +24,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and component of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), shingle=3)
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_simhash": op3_simhash,
+}
 ORACLE: dict[str, str] = {}
