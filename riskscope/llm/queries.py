@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, simhash
+from riskscope.llm import bpe, quality, rules, simhash
 from riskscope.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,8 +29,30 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), shingle=3)
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from rows not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, _labels(spark, sf_dir))
+    return quality.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdicts of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    forest = rules.train(docs, _labels(spark, sf_dir))
+    return rules.judge(docs, forest).select("doc_id", "rules.*")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
+    "op7_quality_rules": op7_quality_rules,
 }
 ORACLE: dict[str, str] = {}
