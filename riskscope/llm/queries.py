@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, quality, rules, simhash
+from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash
 from riskscope.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, shards of near equal bytes."""
+    return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), shards=40)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), shingle=3)
@@ -49,10 +54,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, forest).select("doc_id", "rules.*")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op7_quality_rules": op7_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {}
