@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash
+from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash, substring
 from riskscope.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), shingle=3)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left without repeated windows of 20."""
+    out = substring.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), window=20)
+    # Without a removal the text's own words, joined by one blank.
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return out.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.coalesce("dedup.kept_text", plain), 256).alias("kept_sha256"))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
@@ -64,6 +72,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_substring": op5_substring,
     "op7_quality_rules": op7_quality_rules,
     "op10_mixing": op10_mixing,
 }
