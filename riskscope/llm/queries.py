@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash, substring
+from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash, substring, topk
 from riskscope.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, forest).select("doc_id", "rules.*")
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every fiftieth vector."""
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return topk.top_k(vectors.select("vec_id", "embedding"), "vec_id % 50 = 0", k=5)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
@@ -74,6 +80,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
     "op7_quality_rules": op7_quality_rules,
+    "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
 }
 ORACLE: dict[str, str] = {}
