@@ -72,11 +72,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the cluster's shared ``spark.checkpoint.dir``.
-    Raises where neither that setting nor a checkpoint folder is set."""
+    Only a local session without that setting gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = own.get() if own.isDefined() else None
+    if not base and re.match(r"local(\[|$)", spark.sparkContext.master):
+        base = tempfile.mkdtemp(prefix="riskscope-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if not base:
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -103,12 +103,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, to the nearest whole
     document; rows it takes less than half of are left out."""
-    name, times, again = (free_name(docs, x) for x in ("mix_id", "mix_times", "mix_again"))
+    name, times, again, size, of_size = (free_name(docs, x) for x in ("mix_id", "mix_times", "mix_again", "mix_size", "mix_of_size"))
     # One count per id and size: rows that repeat an id share what they were given.
     taken = mix(docs, id_col, text_col, source_col, **options)
     per = taken.where("taken > 0").groupBy(F.col(id_col).alias(name), "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias(times))
-    size = free_name(docs, "mix_size")
     out = docs.withColumn(size, n_words(F.col(text_col))).join(
-        per.withColumnRenamed("size", f"{size}_"), F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.col(size) == F.col(f"{size}_"))
+        per.withColumnRenamed("size", of_size), F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.col(size) == F.col(of_size))
     )
     return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).where(F.col(times) > 0).select(*[f"`{c}`" for c in docs.columns])

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash, substring, topk
-from riskscope.llm.common import documents
+from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash, substring, topk, urlfilter, warc
+from riskscope.llm.common import documents, shared_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -42,6 +42,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.coalesce("dedup.kept_text", plain), 256).alias("kept_sha256"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
 
@@ -62,6 +66,34 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, forest).select("doc_id", "rules.*")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back: responses by their
+    payloads, revisits by their headers alone."""
+    path = shared_dir(spark, "warc")
+    warc.write(warc.records_of(_pages(spark, sf_dir)), path)
+    same = [warc.page_id(F.col("record_id")).alias("page_id")]
+    own = warc.read(spark, path).where("warc_type = 'response'").select(
+        *same, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
+    )
+    again = warc.read(spark, path, payload=False).where("warc_type = 'revisit'").select(
+        *same, F.col("payload_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), warc.page_id(F.col("refers_to")).alias("refers_to"),
+    )
+    return own.unionByName(again)
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on page URLs.  Listed are the canonical URLs that more than
+    one page has."""
+    pages = _pages(spark, sf_dir).select("page_id", "url")
+    often = pages.select(urlfilter.canonical(F.col("url")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    return urlfilter.judge(pages, RULES, often).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best others of every fiftieth vector."""
     vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
@@ -79,8 +111,75 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
+    "op8_urls": op8_urls,
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
 }
-ORACLE: dict[str, str] = {}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op5_substring": f"""
+        with d as (select doc_id, {WORDS_SQL} as w from documents),
+        s as (select doc_id, w, unnest(range(1, len(w) - 18)) as p from d where len(w) >= 20),
+        k as (select doc_id, p, row_number() over (partition by array_to_string(w[p:p + 19], ' ') order by doc_id, p) as n from s),
+        c as (select distinct doc_id, p + unnest(range(20)) as i from k where n > 1),
+        g as (select doc_id, list(i) as gone from c group by doc_id)
+        select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+               sha256(array_to_string(case when gone is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i)), lambda i: w[i]) end, ' ')) as kept_sha256
+        from d left join g using (doc_id)""",
+    "op6_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        q as (select page_id, strlen(h)::bigint as payload_bytes, sha256(h) as payload_digest, min(page_id) over (partition by h) as first from p)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+        from q""",
+    "op8_urls": r"""
+        with a as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path,
+                          string_split(regexp_extract(coalesce(url, ''), '://[^?#]*\?([^#]*)', 1), '&') as params, contains(coalesce(url, ''), '://') as ok from pages),
+        b as (select *, list_sort(list_filter(params, lambda x: x <> '' and not starts_with(x, 'utm_'))) as kept from a),
+        c as (select *, case when ok then regexp_replace(host, '^www\.', '') || rtrim(path, '/') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as canonical from b),
+        d as (select *, canonical is not null and count(*) over (partition by canonical) > 1 as listed,
+                     case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                          when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                          when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+                          when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from c)
+        select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when listed then 'block' else 'allow' end as verdict
+        from d""",
+    "op9_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as e from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        u as (select vec_id, unnest(e) as x, generate_subscripts(e, 1) as i from v),
+        s as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
+              from u q join u c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, rank::integer as rank, vec_id, score from r where rank <= 5""",
+    "op10_mixing": f"""
+        with d as (select doc_id, source, len({WORDS_SQL})::bigint as size, md5('17:' || coalesce(doc_id::varchar, '')) as k from documents),
+        e as (select *, ('0x' || k[1:4])::bigint % 64 as shard from d),
+        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as place from e group by source),
+        w as (select *, [5, 2, 1][((place - 1) % 3 + 1)::int] as weight, (select sum(source_size) from s) as total from s),
+        o as (select *, 2 * source_size / weight as most, sum(2 * source_size) over (order by 2 * source_size / weight, place) - 2 * source_size as before,
+                     sum(weight) over (order by 2 * source_size / weight, place rows between current row and unbounded following) as ahead from w),
+        l as (select *, (1.5::double * total - before) / ahead as level from o),
+        t as (select place, source, source_size, total, least(2.0::double * source_size, (select max(level) from l where level <= most) * weight) as target from l),
+        z as (select *, greatest(1, least(262144, floor(1.5 * total))) as seats, count(*) over () as n from t),
+        q as (select place, target, unnest(range(0, floor((target / (greatest(1.5::double * total, 1) / (2 * seats + n)) + 1) / 2)::bigint)) as j, seats from z where target > 0),
+        b as (select place, row_number() over (order by target / (2 * j + 1) desc, place, j) as r, seats from q),
+        u as (select place, count(*) as quota from b where r <= seats group by place),
+        c as (select place, shard, sum(size) as cell_size from e join z on e.source is not distinct from z.source group by all),
+        x as (select place, shard, quota, cell_size, unnest(range(0, floor((cell_size::double / (source_size::double / (2 * quota + 64)) + 1) / 2)::bigint)) as j
+              from c join u using (place) join z using (place) where cell_size > 0),
+        y as (select *, row_number() over (partition by place order by cell_size::double / (2 * j + 1) desc, shard, j) as r from x),
+        v as (select place, shard, count(*) as won from y where r <= quota group by all),
+        f as (select place, shard, cell_size, least(floor(coalesce(won, 0) * greatest(1.0::double, 1.5::double * total / seats))::bigint, 2 * cell_size) as words
+              from c left join v using (place, shard) join z using (place)),
+        g as (select doc_id, size, source_size, target, cell_size, words, sum(size) over (partition by place, shard order by k, doc_id, size rows unbounded preceding) - size as start
+              from e join z on e.source is not distinct from z.source join f using (place, shard))
+        select doc_id, size, source_size::bigint as source_size, target,
+               (case when cell_size > 0 then (words // cell_size) * size + greatest(0, least(size, words % cell_size - start)) else 0 end)::bigint as taken
+        from g""",
+}

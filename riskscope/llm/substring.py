@@ -328,3 +328,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per = runs.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("from", "to")).alias(name))
     whole = docs.join(per, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NULL_ID))) == F.col(key), "left")
     return whole.withColumn(out, removed(F.col(text_col), F.col(name))).drop(name, key)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """``docs`` with the text of rows that lose words replaced by the words
+    kept, and ``length_col`` (if there is one) by its length."""
+    out = free_name(docs, "dedup")
+    rows = remove_repeats(docs, id_col, text_col, out, **options).withColumn(text_col, F.coalesce(F.col(out)["kept_text"], F.col(text_col)))
+    if length_col in docs.columns:
+        rows = rows.withColumn(length_col, F.when(F.col(out)["n_removed"] > 0, F.char_length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return rows.select(*[f"`{c}`" for c in docs.columns])

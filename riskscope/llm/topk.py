@@ -132,20 +132,20 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id``, ``dim``, ``vec`` (integers) of the rows that take part."""
+def usable(vectors: DataFrame, is_query: str, id_col: str, vec_col: str) -> DataFrame:
+    """``id``, ``dim``, ``vec`` (integers), ``is_query`` of the rows that take part."""
     x = F.transform(F.col(vec_col), lambda v: F.floor(v.cast("double") * SCALE).cast("long"))
     fine = F.forall(F.col(vec_col), lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")), F.lit(False)))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fine).select(
-        F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), x.alias("vec")
+        F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), x.alias("vec"), F.expr(is_query).alias("is_query")
     )
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k best other rows of
-    every row for which the condition ``is_query`` holds."""
+    every row for which the SQL condition ``is_query`` holds."""
     ship(vectors.sparkSession)
-    rows = cut(usable(vectors, id_col, vec_col).withColumn("is_query", F.expr(is_query.replace(id_col, "id"))))
+    rows = cut(usable(vectors, is_query, id_col, vec_col))
     n, asked = rows.agg(F.count(F.lit(1)), F.sum(F.col("is_query").cast("int"))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-(asked or 0) // query_rows))
     candidates = rows.select("dim", "id", "vec", F.pmod(F.xxhash64("vec", "id"), F.lit(shards)).cast("int").alias("s"))
