@@ -1,7 +1,8 @@
 """Exact substring dedup by super-k-mer partitioning.
 
 A window is ``window`` consecutive words of a document.  Its minimiser is the
-word with the smallest hash; consecutive windows that share one form a
+run of ``MER`` words with the smallest hash (one word would make buckets of
+frequent words hot); consecutive windows that share one form a
 super-k-mer, whose words travel as one packed string to the bucket of the
 minimiser.  Equal windows have equal minimisers and so meet in one bucket,
 where sorting finds the first start of every window exactly (hashes order the
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from riskscope.llm.common import cut, free_name, ragged, raw_texts, ship
 
 WINDOW = 20
+MER = 4
 BUCKET_BYTES = 12 << 20
 MAX_BUCKETS = 1 << 20
 HOT = 20_000
@@ -81,6 +83,15 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
+def _mers(hashes: np.ndarray, mer: int) -> np.ndarray:
+    """Hash of every ``mer`` neighbours."""
+    n = len(hashes) - mer + 1
+    total = hashes[:n].copy()
+    for d in range(1, mer):
+        total = total * _ODD + hashes[d : d + n]
+    return _mix(total)
+
+
 class Kmers:
     """The super-k-mers of some texts: minimiser, id, first word, windows and
     the bytes from ``begin`` to ``end`` of ``data``."""
@@ -97,7 +108,7 @@ class Kmers:
             return
         counts, ids = counts[some], ids[some]
         begin, end = _spans(self.data)
-        low = _sliding_min(word_hashes(self.data, begin, end), window)
+        low = _sliding_min(_mers(word_hashes(self.data, begin, end), min(MER, window)), window - min(MER, window) + 1)
         start = ragged(np.cumsum(counts) - counts, counts - window + 1)  # first word of every window that stays in one text
         low = low[start]
         text = np.repeat(np.arange(len(some)), counts - window + 1)
