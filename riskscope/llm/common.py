@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 # Words are runs of anything but the ASCII blanks x20 and x09-x0D; that is
 # what bytes.split() splits on.
+BATCH_BYTES = 6 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,9 +50,12 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once per context, so that
+    """Make a session ready for the operators: Arrow batches of bounded bytes,
+    and this package sent to the Python workers, once per context, so that
     functions of its modules can be loaded there without a PYTHONPATH."""
     sc = spark.sparkContext
+    # Whole texts go to Python: bound a batch by its bytes, not by 10,000 rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not getattr(sc, "_riskscope_sent", False):
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="riskscope-"), "riskscope.zip")

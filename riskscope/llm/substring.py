@@ -13,7 +13,8 @@ Buckets hold about ``BUCKET_BYTES`` and are sorted within their partition, so
 that a task has one bucket in memory at a time.  Minimisers with more than
 ``hot`` super-k-mers (a passage that very many documents share) are found by
 a count beforehand; their windows go singly, pre-aggregated to the smallest
-id before they are shuffled.
+id before they are shuffled.  The count is of a sample of documents
+(``SAMPLE``); it only decides which of the two exact ways a window goes.
 
 Defined results: a null text has no words; null ids come after all others and
 rows of one id don't remove from each other (repeated rows stay alike); an
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskscope.llm.common import cut, free_name, ragged, raw_texts, ship
@@ -36,6 +37,7 @@ MER = 4
 BUCKET_BYTES = 12 << 20
 MAX_BUCKETS = 1 << 20
 HOT = 20_000
+SAMPLE = 1 / 32
 MAX_HOT = 2_000_000  # a bound on the hot minimisers sent to the executors (16 MB)
 NULL_ID = np.iinfo(np.int64).max
 SLICE = 2 << 20
@@ -161,7 +163,7 @@ def _blocks(window: int, buckets: int, hot):
         pack = ZstdCompressor(level=3).compress
         for batch in batches:
             rows: dict[str, list] = {"bucket": [], "block": []}
-            for k in _pieces(batch, window, 12 << 20):
+            for k in _pieces(batch, window):
                 bucket = (k.minimiser % np.uint64(buckets)).astype(np.int64)
                 cold = np.flatnonzero(~_in(hot.value, k.minimiser))
                 cold = cold[np.argsort(bucket[cold], kind="stable")]
@@ -282,15 +284,18 @@ def _hot_runs(docs: DataFrame, window: int, hot) -> DataFrame:
     return hit.select("id", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, sample: float = SAMPLE) -> DataFrame:
     """``id``, ``from``, ``to``: runs of words covered by windows that also
     start earlier.  Runs may overlap."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    per = cut(rows.mapInArrow(_minimisers(window), "minimiser bigint, n bigint, bytes bigint").groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
-    n, size = (x or 0 for x in per.agg(F.sum("n"), F.sum("bytes")).first())
-    limit = max(hot, -(-n // MAX_HOT))
-    keys = [r.minimiser for r in per.where(F.col("n") > limit).select("minimiser").collect()]
+    seen = Observation()
+    counted = rows.sample(False, sample, 5) if sample < 1 else rows
+    counted = counted.mapInArrow(_minimisers(window), "minimiser bigint, n bigint, bytes bigint").observe(seen, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    often = cut(counted.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") > hot * sample))
+    n, size = (int((seen.get[x] or 0) / sample) for x in ("n", "bytes"))
+    limit = max(hot, -(-n // MAX_HOT))  # so that at most MAX_HOT are above it
+    keys = [r.minimiser for r in often.where(F.col("n") > limit * sample).select("minimiser").collect()]
     sent = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(np.uint64)))
     buckets = int(min(MAX_BUCKETS, max(1, -(-size // bucket_bytes))))
     parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 16)))
