@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from riskscope.llm.common import ragged, raw_texts, ship
 
-UNIT_BYTES = 48 << 20  # remembered units per worker, in bytes of text and ids
+UNIT_BYTES = 16 << 20  # remembered units per worker, in bytes of text and ids
 OPEN = re.compile(r"\s[ \n]")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 

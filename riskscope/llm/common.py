@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,33 @@ from pyspark.sql import functions as F
 
 # Words are runs of anything but the ASCII blanks x20 and x09-x0D; that is
 # what bytes.split() splits on.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to give large blocks back to the system when they
+    are freed; Arrow uses it too.  Workers live on between tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, fixed
+        return libc
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def lean() -> None:
+    """Give freed memory of this Python worker back to the system."""
+    libc = _libc()
+    if libc is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def raw_texts(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
+    lean()
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
     return [b"" if v is None else v for v in col.cast(kind).to_pylist()]
 

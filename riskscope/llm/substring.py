@@ -27,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskscope.llm.common import cut, free_name, ragged, raw_texts, ship
+from riskscope.llm.common import cut, free_name, lean, ragged, raw_texts, ship
 
 WINDOW = 20
 MER = 4
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+PACKED = 3.2  # bytes of packed strings for a byte of text
 MAX_BUCKETS = 1 << 20
 HOT = 20_000
 SAMPLE = 1 / 32
@@ -147,9 +148,8 @@ def _minimisers(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in _pieces(batch, window):
-                keys, at, n = np.unique(k.minimiser, return_inverse=True, return_counts=True)
-                sizes = np.bincount(at, k.end - k.begin, len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(sizes)], names=["minimiser", "n", "bytes"])
+                keys, n = np.unique(k.minimiser, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["minimiser", "n"])
 
     return run
 
@@ -248,6 +248,7 @@ def _found(window: int):
                 if bucket != now and parts:
                     yield _runs(*repeated(parts, window), window)
                     parts = []
+                    lean()
                 now = bucket
                 parts.append(_unpack(unpack(block.as_py())))
         if parts:
@@ -289,15 +290,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     start earlier.  Runs may overlap."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = Observation()
     counted = rows.sample(False, sample, 5) if sample < 1 else rows
-    counted = counted.mapInArrow(_minimisers(window), "minimiser bigint, n bigint, bytes bigint").observe(seen, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    often = cut(counted.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") > hot * sample))
-    n, size = (int((seen.get[x] or 0) / sample) for x in ("n", "bytes"))
-    limit = max(hot, -(-n // MAX_HOT))  # so that at most MAX_HOT are above it
-    keys = [r.minimiser for r in often.where(F.col("n") > limit * sample).select("minimiser").collect()]
+    counted = counted.mapInArrow(_minimisers(window), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("n") > hot * sample).orderBy(F.col("n").desc(), "minimiser").limit(MAX_HOT)
+    keys = [r.minimiser for r in often.collect()]
+    size = PACKED * (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     sent = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(np.uint64)))
-    buckets = int(min(MAX_BUCKETS, max(1, -(-size // bucket_bytes))))
+    buckets = int(min(MAX_BUCKETS, max(1, size // bucket_bytes)))
     parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 16)))
     blocks = rows.mapInArrow(_blocks(window, buckets, sent), "bucket int, block binary")
     found = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_found(window), "id bigint, from bigint, to bigint")
