@@ -43,9 +43,11 @@ def _quantiles(sample: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return sample.withColumn("run", run).where(F.floor(F.col("run") / PER_RANGE) > F.floor((F.col("run") - F.col("copies")) / PER_RANGE))
 
 
-def ranged(rows: DataFrame, total: int, n_ranges: int) -> DataFrame:
-    """``rows`` with ``range`` (by splitters over ``k``) and ``part`` (0, or by
-    splitters over ``k``, ``id``, ``uid`` where the range is overfull)."""
+def ranged(rows: DataFrame, total: int, n_ranges: int, whole_bytes: float) -> DataFrame:
+    """``rows`` with ``range`` (by splitters over ``k``), ``part`` (0, or by
+    splitters over ``k``, ``id``, ``uid`` where the range is overfull) and
+    ``hot``: of a text with over ``whole_bytes`` in an overfull range.  Only
+    hot texts are divided, and there are at most total / whole_bytes of them."""
     share = max(total, 1) / n_ranges
     sample = rows.select("k", _copies(F.lit(share / PER_RANGE)).alias("copies")).where("copies > 0")
     splitters = _quantiles(sample, [], ["k"]).select("k").distinct()
@@ -61,11 +63,13 @@ def ranged(rows: DataFrame, total: int, n_ranges: int) -> DataFrame:
 
     full = found.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 4 * share)
     full = full.withColumn("parts", F.least(F.lit(MAX_PARTS), F.ceil(F.col("bytes") / share)))
+    hot = found.join(F.broadcast(full.select("range")), "range", "left_semi").groupBy("k").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > whole_bytes)
+    found = found.join(F.broadcast(hot.select("k", F.lit(True).alias("hot"))), "k", "left").withColumn("hot", F.col("hot").isNotNull())
     again = found.join(F.broadcast(full), "range").withColumn("copies", _copies(F.col("bytes") / (F.col("parts") * PER_RANGE))).where("copies > 0")
-    key = F.struct("k", "id", "uid")
-    inner = _quantiles(again.select("range", "k", "id", "uid", "copies"), ["range"], ["k", "id", "uid"]).groupBy("range").agg(F.collect_list(key).alias("inner"))
+    key = F.struct("k", F.when(F.col("hot"), F.col("id")).alias("id"), F.when(F.col("hot"), F.col("uid")).alias("uid"))
+    inner = _quantiles(again.select("range", "k", "id", "uid", "hot", "copies"), ["range"], ["k", "id", "uid"]).groupBy("range").agg(F.collect_list(key).alias("inner"))
     part = F.size(F.filter("inner", lambda s: s <= key))
-    return found.join(F.broadcast(inner), "range", "left").withColumn("divided", F.col("inner").isNotNull()).withColumn("part", F.when(F.col("divided"), part).otherwise(0)).drop("inner")
+    return found.join(F.broadcast(inner), "range", "left").withColumn("part", F.when(F.col("inner").isNotNull(), part).otherwise(0)).drop("inner")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, whole_share: float = 0.05, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -85,7 +89,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     n_ranges = min(MAX_RANGES, max(8 * shards, -(-total // range_bytes)))
     at = ["range", "part"]
     inside = Window.partitionBy(*at).orderBy("k", "id", "uid")
-    found = ranged(rows, total, n_ranges)
+    whole_bytes = whole_share * max(total, 1) / shards
+    found = ranged(rows, total, n_ranges, whole_bytes)
     counted = found.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     counted = counted.withColumn("row", F.row_number().over(inside))
     group = Window.partitionBy(*at, "k")
@@ -94,7 +99,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     ahead = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = counted.groupBy(*at).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     ranges = ranges.select(*at, (F.sum("b").over(ahead) - F.col("b")).alias("bytes_before"), (F.sum("n").over(ahead) - F.col("n")).alias("rows_before"))
-    whole = ~F.col("divided") & (F.col("group_bytes") <= whole_share * max(total, 1) / shards)
+    whole = ~F.col("hot") & (F.col("group_bytes") <= whole_bytes)
     twice_mid = F.when(whole, 2 * F.col("group_start") + F.col("group_bytes")).otherwise(2 * F.col("end") - F.col("size")) + 2 * F.col("bytes_before")
     placed = counted.join(F.broadcast(ranges), at).withColumn("twice_mid", twice_mid)
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(twice_mid * {shards}L) div {2 * max(total, 1)}L")).cast("int"))

@@ -80,16 +80,17 @@ def on_list(rows: DataFrame, key: str, listed: DataFrame, out: str) -> DataFrame
     n = own.count()
     blocks = max(1, -(-n // KEYS_PER_BLOCK))
     table = checked_broadcast(bloom(own, "listed_key", blocks), blocks, 8 * (WORDS + 1), BROADCAST_BYTES)
-    probe = rows.select(*[f"`{c}`" for c in rows.columns], F.struct(*_bits(F.col(f"`{key}`"), blocks)).alias("probe_bits"))
-    hit = F.lit(True)
+    # The caller's columns travel as one struct, so that no name can clash.
+    probe = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{key}`").alias("row_key"))
+    probe = probe.withColumn("bits", F.struct(*_bits(F.col("row_key"), blocks)))
+    hit = F.col("row_key").isNotNull()
     for w in range(WORDS):
-        hit = hit & (F.col(f"f{w}").bitwiseAND(F.col(f"probe_bits.w{w}")) == F.col(f"probe_bits.w{w}"))
-    passed = F.coalesce(hit & F.col(f"`{key}`").isNotNull(), F.lit(False))
-    seen = probe.join(table, F.col("probe_bits.block") == F.col("block"), "left").withColumn("passed_bloom", passed)
-    back = [f"`{c}`" for c in rows.columns]
-    misses = seen.where(~F.col("passed_bloom")).select(*back, F.lit(False).alias(out))
-    hits = seen.where("passed_bloom").select(*back).join(own.hint("shuffle_hash"), F.col(f"`{key}`") == F.col("listed_key"), "left")
-    return misses.unionByName(hits.select(*back, F.col("listed_key").isNotNull().alias(out)))
+        hit = hit & (F.col(f"f{w}").bitwiseAND(F.col(f"bits.w{w}")) == F.col(f"bits.w{w}"))
+    seen = probe.join(table, F.col("bits.block") == F.col("block"), "left").withColumn("passed", F.coalesce(hit, F.lit(False)))
+    misses = seen.where(~F.col("passed")).select("row", F.lit(False).alias("is_listed"))
+    hits = seen.where("passed").select("row", "row_key").join(own.hint("shuffle_hash"), F.col("row_key") == F.col("listed_key"), "left")
+    both = misses.unionByName(hits.select("row", F.col("listed_key").isNotNull().alias("is_listed")))
+    return both.select("row.*", F.col("is_listed").alias(out))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url_col: str = "url", listed_verdict: str = "block") -> DataFrame:
