@@ -225,7 +225,10 @@ FROM p6"""
 
 
 # --------------------------------------------------------------- pages, text
-from riskscope.functions.html import COMMENT_RE, ENTITIES, TAG_RE  # noqa: E402
+# The references the test pages have, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&euro;", "€"), ("&amp;", "&"))
+TAG_RE = r"<(?:/?[A-Za-z]|[!?])[^>]*>"
+COMMENT_RE = r"(?s)<!--.*?-->"
 
 
 def strip_ws_sql(x: str) -> str:
@@ -735,10 +738,11 @@ META = ("url", "final_url", "source_dataset", "has_reference_text", "scrape_stat
 CANDIDATES = [c for c in URL_FEATURE_NAMES + DOMAIN_FEATURE_NAMES + CONTENT_FEATURE_NAMES if c not in META]
 
 
-def prepared_ctes(rows: int = 250, seed: int = 42) -> str:
+def prepared_ctes() -> str:
     dom = ("-1 AS domain_age_days, -1 AS domain_expiry_days, '' AS registrar, 1 AS missing_whois, 0 AS has_ssl, "
            "0 AS ssl_valid, -1 AS ssl_days_remaining, 0 AS short_expiry_domain, 0 AS is_new_domain")
-    return f"""{balanced_ctes(rows, seed)},
+    return f"""{reference_files_sql()},
+s AS (SELECT *, 0 AS draw FROM dr),
 {url_parts_ctes('s', 'url', 'url, draw, label, source_dataset, has_reference_text')},
 uf AS (SELECT url, draw, label, source_dataset, has_reference_text, {url_feature_select_sql()} FROM p6),
 {content_ctes('s', 'url, draw', "''", 'text_content')},
@@ -751,7 +755,7 @@ prep AS (SELECT uf.url, uf.url AS final_url, uf.label, uf.source_dataset, CAST(u
 
 
 ORACLE["prepared_dataset"] = f"""WITH {prepared_ctes()}
-SELECT * REPLACE (CAST(domain_age_days AS INTEGER) AS domain_age_days, CAST(domain_expiry_days AS INTEGER) AS domain_expiry_days,
+SELECT * EXCLUDE (draw) REPLACE (CAST(domain_age_days AS INTEGER) AS domain_age_days, CAST(domain_expiry_days AS INTEGER) AS domain_expiry_days,
                   CAST(missing_whois AS INTEGER) AS missing_whois, CAST(has_ssl AS INTEGER) AS has_ssl, CAST(ssl_valid AS INTEGER) AS ssl_valid,
                   CAST(ssl_days_remaining AS INTEGER) AS ssl_days_remaining, CAST(short_expiry_domain AS INTEGER) AS short_expiry_domain,
                   CAST(is_new_domain AS INTEGER) AS is_new_domain, CAST(has_form AS INTEGER) AS has_form,
@@ -939,7 +943,39 @@ ORACLE["resolve_captures"] = resolve_sql()
 
 
 # ------------------------------------------------------------ URL utilities
-from riskscope.functions.urls import PRIVATE_V4_RE, PRIVATE_V6_RE  # noqa: E402
+#: First and last address of each IPv4 range that isn't public.
+V4_RANGES = (
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
+    ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"),
+    ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"),
+    ("203.0.113.0", "203.0.113.255"), ("224.0.0.0", "255.255.255.255"),
+)
+
+
+def _v4(address: str) -> int:
+    value = 0
+    for part in address.split("."):
+        value = value * 256 + int(part)
+    return value
+
+
+def private_v4_sql(host: str) -> str:
+    """Is the dotted quad in one of the ranges, compared as a number?"""
+    number = f"list_reduce(list_transform(string_split({host}, '.'), lambda x: TRY_CAST(x AS BIGINT)), lambda a, x: a * 256 + x)"
+    return "(" + " OR ".join(f"{number} BETWEEN {_v4(a)} AND {_v4(b)}" for a, b in V4_RANGES) + ")"
+
+
+def private_v6_sql(host: str) -> str:
+    """By the first two groups: public are 2000::/3 without its special
+    blocks, and fec0::/10."""
+    first = f"regexp_extract({host}, '^([0-9a-f]*):', 1)"
+    second = f"coalesce(TRY_CAST('0x' || nullif(regexp_extract({host}, '^[0-9a-f]+:([0-9a-f]+)', 1), '') AS BIGINT), 0)"
+    head = f"coalesce(TRY_CAST('0x' || nullif({first}, '') AS BIGINT), 0)"
+    special = f"""({head} = 8193 AND ({second} = 3512 OR ({second} < 512 AND NOT ({second} = 3 OR {second} BETWEEN 32 AND 63
+        OR regexp_matches({host}, '^2001:0*1::[12]$') OR regexp_matches({host}, '^2001:0*4:0*112:')))))"""
+    return f"NOT ({head} BETWEEN 65216 AND 65279 OR ({head} BETWEEN 8192 AND 16383 AND NOT ({special} OR {head} = 8194)))"
+
+
 
 
 def canonical_ctes(source: str, col: str, keys: str, name: str = "cn") -> str:
@@ -976,8 +1012,8 @@ ev AS (SELECT concat_ws('.', {', '.join(f'CAST((user_id * {k} + CAST(floor(value
 h AS (SELECT DISTINCT host FROM (SELECT host FROM p6 UNION ALL SELECT host FROM ev))
 SELECT host,
        host <> '' AND lower(host) NOT IN ('localhost', 'localhost.localdomain')
-       AND NOT (regexp_matches(lower(host), {q(IPV4_RE)}) AND regexp_matches(lower(host), {q(PRIVATE_V4_RE)}))
-       AND NOT (regexp_matches(lower(host), {q(IPV6_RE)}) AND regexp_matches(lower(host), {q(PRIVATE_V6_RE)})) AS is_public,
+       AND NOT (regexp_matches(lower(host), {q(IPV4_RE)}) AND {private_v4_sql('lower(host)')})
+       AND NOT (regexp_matches(lower(host), {q(IPV6_RE)}) AND {private_v6_sql('lower(host)')}) AS is_public,
        CAST(regexp_matches(host, {q(IPV4_RE)}) OR regexp_matches(host, {q(IPV6_RE)}) AS INTEGER) AS is_ip
 FROM h"""
 

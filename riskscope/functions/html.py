@@ -13,6 +13,7 @@ ones.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,44 +21,54 @@ from pyspark.sql import functions as F
 from riskscope import dictionaries as D
 from riskscope.functions.urls import collapse_ws
 
-# Named and numeric character references decoded in text and attribute
-# values; ``&amp;`` is decoded last so ``&amp;lt;`` stays ``&lt;``.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&#34;", '"'), ("&nbsp;", " "), ("&#160;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&bull;", "•"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&euro;", "€"), ("&pound;", "£"),
-    ("&#38;", "&"), ("&amp;", "&"),
-)
+# Named character references of HTML 4 by the standard library's table, and
+# the apostrophe.  A no-break space counts as a blank.
+NAMED = {name: " " if code == 160 else chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+REFERENCE_RE = r"^(#[xX][0-9A-Fa-f]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);"
 
 TAG_RE = r"<(?:[A-Za-z][^>]*|/[A-Za-z][^>]*|![^>]*|\?[^>]*)>"
-COMMENT_RE = r"(?s)<!--.*?-->"
 
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _code_point(code: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(code == 160, F.lit(" ")).otherwise(char)
+
+
 def decode_entities(col: Column) -> Column:
-    out = col
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references decoded once each (``&amp;lt;`` gives ``&lt;``):
+    the text is cut at ``&``, and a piece that begins with a reference gets
+    its character.  Texts without ``&`` stay as they are."""
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, REFERENCE_RE, 1)
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).try_cast("long")
+        char = F.when(ref.startswith("#"), _code_point(code)).when(ref != "", F.try_element_at(named, ref))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(ref) + 2)), F.concat(F.lit("&"), p))
+
+    pieces = F.split(col, "&")
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
+    return F.when(col.contains("&"), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(col)
 
 
 def boilerplate_re(tags: Iterable[str] = D.DROPPED_TAGS) -> str:
+    """Comments and whole boilerplate elements, leftmost first, so that a tag
+    inside a comment opens nothing.  A name ends at a blank, slash or bracket
+    (``<header-bar>`` is no header)."""
     alt = "|".join(tags)
-    return rf"(?is)<({alt})\b(?:[^>]*?/>|[^>]*>.*?</\1\s*>)"
+    return rf"(?is)<!--.*?-->|<({alt})(?=[\s/>])(?:[^>]*?/>|[^>]*>.*?</\1\s*>)"
 
 
 def strip_boilerplate(html: Column | str, tags: Iterable[str] = D.DROPPED_TAGS) -> Column:
-    """H2: remove the boilerplate tags with their content (one pass, leftmost
-    first), then comments.  Each removed piece becomes a space."""
-    h = F.coalesce(_c(html), F.lit(""))
-    h = F.regexp_replace(h, boilerplate_re(tags), " ")
-    return F.regexp_replace(h, COMMENT_RE, " ")
+    """H2: remove comments and the boilerplate tags with their content in one
+    pass, leftmost first.  Each removed piece becomes a space."""
+    return F.regexp_replace(F.coalesce(_c(html), F.lit("")), boilerplate_re(tags), " ")
 
 
 def title(clean_html: Column) -> Column:

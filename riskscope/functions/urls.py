@@ -171,14 +171,21 @@ def uses_free_hosting(host: Column, domains: Iterable[str] = D.FREE_HOSTING_DOMA
     return h.rlike(rf"(^|\.)({alt})$").cast("int")
 
 
-# Non-public address ranges: private, loopback, link-local, shared,
-# documentation/reserved, multicast and the 240/4 block.
+# Non-public address ranges (fixed values of the IANA special-purpose
+# registries): private, loopback, link-local, documentation, reserved,
+# multicast and the 240/4 block.  Shared space 100.64/10 and 192.0.0.9-10
+# count as public; outside 2000::/3, of IPv6 only fec0::/10 does.
 PRIVATE_V4_RE = (
     r"^(?:10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|"
-    r"100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|"
+    r"192\.0\.0\.(?:[0-8]|1[1-9]|[2-9][0-9]|[12][0-9][0-9])$|192\.0\.2\.|198\.1[89]\.|"
     r"198\.51\.100\.|203\.0\.113\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)"
 )
-PRIVATE_V6_RE = r"^(?:::1?$|f[cd]|fe[89ab]|ff|2001:db8:)"
+PRIVATE_V6_RE = (
+    r"^(?:[0-9a-f]{0,3}:|[014-9a-e][0-9a-f]{3}:|f[0-9a-df][0-9a-f]{2}:|fe[0-9ab][0-9a-f]:|"
+    r"2001::|2001:0{0,2}1?[0-9a-f]{1,2}:|2001:0?db8:|2002:)"
+)
+# Global exceptions inside 2001::/23.
+GLOBAL_V6_RE = r"^(?:2001:0{0,3}1::[12]$|2001:0{0,3}3:|2001:0{0,3}4:0?112:|2001:0{0,2}[23][0-9a-f]:)"
 
 
 def is_public_host(host: Column) -> Column:
@@ -191,7 +198,7 @@ def is_public_host(host: Column) -> Column:
         (h != "")
         & ~h.isin("localhost", "localhost.localdomain")
         & ~(v4 & h.rlike(PRIVATE_V4_RE))
-        & ~(v6 & h.rlike(PRIVATE_V6_RE))
+        & ~(v6 & h.rlike(PRIVATE_V6_RE) & ~h.rlike(GLOBAL_V6_RE))
     )
 
 

@@ -36,14 +36,23 @@ def join_skew_safe(
     remaining keys take an ordinary shuffle join.  ``hot_keys`` may be given
     when the caller already knows the key counts (e.g. a document
     frequency), which saves the counting pass."""
-    hot = hot_keys if hot_keys is not None else (
-        left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_key_rows).select(key)
-    )
-    n_hot = hot.limit(max_hot_keys + 1).count()
-    if n_hot == 0 or n_hot > max_hot_keys:
-        return left.join(right_unique, key, how)
+    if how == "left":  # null keys match nothing: they need no shuffle, let alone one partition
+        nulls = left.where(F.col(key).isNull())
+        for name, kind in right_unique.drop(key).dtypes:
+            nulls = nulls.withColumn(name, F.lit(None).cast(kind))
+    left = left.where(F.col(key).isNotNull())
+    if hot_keys is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_key_rows)
+        # The hottest keys up to the bound of what is broadcast.
+        hot = counts.orderBy(F.col("_n").desc(), key).limit(max_hot_keys).select(key)
+    else:
+        hot = hot_keys.limit(max_hot_keys)
+    if hot.isEmpty():
+        joined = left.join(right_unique, key, how)
+        return joined.unionByName(nulls.select(joined.columns)) if how == "left" else joined
     hot_b = F.broadcast(hot)
     left_hot = left.join(hot_b, key, "left_semi")
     left_cold = left.join(hot_b, key, "left_anti")
     right_hot = F.broadcast(right_unique.join(hot_b, key, "left_semi"))
-    return left_cold.join(right_unique, key, how).unionByName(left_hot.join(right_hot, key, how))
+    joined = left_cold.join(right_unique, key, how).unionByName(left_hot.join(right_hot, key, how))
+    return joined.unionByName(nulls.select(joined.columns)) if how == "left" else joined

@@ -237,5 +237,5 @@ def whitelist_split(
     """(whitelisted rows, rows to score).  The whitelist is a literal set,
     so both sides are filters, not joins."""
     wl = tuple(w.lower() for w in whitelist)
-    hit = F.lower(F.col(netloc_col)).isin(*wl)
+    hit = F.coalesce(F.lower(F.col(netloc_col)).isin(*wl), F.lit(False))  # a null host is scored
     return df.filter(hit), df.filter(~hit)

@@ -135,7 +135,8 @@ def q_domain_features_urls(spark, sf):
 # -------------------------------------------------------------------- dataset
 from riskscope.operators import dataset as DS  # noqa: E402
 
-SAMPLE_ROWS = 250
+SAMPLE_ROWS = 250  # rows of the balanced sample, where a sample is the feature
+MAX_FIT_ROWS = 20_000  # bound on the rows models are fitted on; all others are scored
 SEED = 42
 
 
@@ -291,10 +292,10 @@ def q_case_history(spark, sf):
 
 
 def prepared_dataset(spark, sf):
-    """Dataset build (lifecycle B): balanced sample -> 28 URL features,
-    9 content features from the reference text, 9 domain defaults, 8 meta
-    columns = 54 columns."""
-    s = DS.balanced_sample(deduped_reference(spark, sf), SAMPLE_ROWS, SEED)
+    """Dataset build (lifecycle B) over the whole de-duplicated reference:
+    28 URL features, 9 content features from the reference text, 9 domain
+    defaults, 8 meta columns = 54 columns."""
+    s = deduped_reference(spark, sf)
     u = UF.with_url_features(s, "url")
     c = C.with_content_features(u, F.lit(""), "text_content", F.lit(""))
     d = c.withColumns(_DM.empty_domain_defaults())
@@ -303,12 +304,12 @@ def prepared_dataset(spark, sf):
         F.col("has_reference_text").cast("int").alias("has_reference_text"),
         F.lit("not_scraped").alias("scrape_status"), F.lit("").alias("scrape_error"), F.lit(0).alias("redirect_count"),
     ]
-    return d.select(*meta, "draw", *UF.URL_FEATURES, *[F.col(x).cast("string" if x == "registrar" else "int").alias(x) for x in _DM.DOMAIN_FEATURES], *C.CONTENT_FEATURES)
+    return d.select(*meta, *UF.URL_FEATURES, *[F.col(x).cast("string" if x == "registrar" else "int").alias(x) for x in _DM.DOMAIN_FEATURES], *C.CONTENT_FEATURES)
 
 
 @register("prepared_dataset")
 def q_prepared_dataset(spark, sf):
-    """The 54-column prepared rows (+ draw number of the sample)."""
+    """The 54-column prepared rows."""
     return prepared_dataset(spark, sf)
 
 
@@ -321,7 +322,7 @@ def q_label_counts(spark, sf):
 @register("dataset_summary")
 def q_dataset_summary(spark, sf):
     """Rows, columns, rows with text, URL-only rows."""
-    return EV.dataset_summary(prepared_dataset(spark, sf).drop("draw"))
+    return EV.dataset_summary(prepared_dataset(spark, sf))
 
 
 @register("null_counts")
@@ -334,19 +335,19 @@ def q_null_counts(spark, sf):
 @register("constant_columns")
 def q_constant_columns(spark, sf):
     """A3: constant columns of the prepared dataset."""
-    return EV.constant_columns(prepared_dataset(spark, sf).drop("draw"))
+    return EV.constant_columns(prepared_dataset(spark, sf))
 
 
 @register("feature_profile")
 def q_feature_profile(spark, sf):
     """L1: numeric profile and keep/drop decision per candidate column."""
-    return EV.feature_profile(prepared_dataset(spark, sf).drop("draw")).select(
+    return EV.feature_profile(prepared_dataset(spark, sf)).select(
         "column", "position", "n", "non_null", "min", "max", "kept"
     )
 
 
 def clean_dataset(spark, sf):
-    return EV.select_numeric_features(prepared_dataset(spark, sf).drop("draw"))
+    return EV.select_numeric_features(prepared_dataset(spark, sf))
 
 
 @register("describe_features")
@@ -567,13 +568,14 @@ def q_url_only(spark, sf):
 
 
 def _train_test(spark, sf):
-    prep = cut_lineage(prepared_dataset(spark, sf).drop("draw").dropDuplicates(["url"]))
+    prep = cut_lineage(prepared_dataset(spark, sf).dropDuplicates(["url"]))
     _, feats = EV.select_numeric_features(prep)
     keyed = prep.select("url", *[F.col(c).cast("double").alias(c) for c in feats], "label")
     # Training reads the split many times: cut the lineage once (reliable
     # checkpoint in the shared checkpoint directory).
     split = cut_lineage(DS.stratified_split(keyed, 0.2, SEED))
-    return split.where(~F.col("is_test")).drop("is_test"), split.where("is_test").drop("is_test"), feats
+    train = split.where(~F.col("is_test")).drop("is_test").orderBy(F.md5("url"), "url").limit(MAX_FIT_ROWS)
+    return cut_lineage(train), split.where("is_test").drop("is_test"), feats
 
 
 @register("cv_leaderboard")
@@ -628,7 +630,7 @@ MODEL_FEATURES = tuple(f for _, fs in FEATURE_GROUPS for f in fs)
 def q_feature_groups(spark, sf):
     """Kept features of the cleaned dataset counted per feature group
     (other kept columns count as domain signals)."""
-    prof = EV.feature_profile(prepared_dataset(spark, sf).drop("draw")).where("kept")
+    prof = EV.feature_profile(prepared_dataset(spark, sf)).where("kept")
     pairs = [(f, g) for g, fs in FEATURE_GROUPS for f in fs]
     group = F.coalesce(
         F.element_at(F.create_map(*[x for f, g in pairs for x in (F.lit(f), F.lit(g))]), F.col("column")),

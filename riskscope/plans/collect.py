@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskscope.functions.urls import normalize_url
 from riskscope.operators import content as C
 from riskscope.operators import domains as DM
 from riskscope.operators import pages as P
@@ -25,7 +26,9 @@ def collect(
     mode: str = "merge",
     scraped_at: str = "1970-01-01 00:00:00",
 ) -> DataFrame:
-    """Return the new ``websites`` table version (url-keyed)."""
+    """Return the new ``websites`` table version (url-keyed).  URLs are
+    normalised and made unique first."""
+    urls = urls.withColumn("url", normalize_url(F.col("url"))).where("url <> ''").dropDuplicates(["url"])
     todo = urls if websites is None else ST.not_seen(urls, websites, force=force)
     res = P.resolve_captures(todo, captures)
     res = res.withColumn("_furl", F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url")))

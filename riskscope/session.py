@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,9 @@ def get_spark(master: str | None = None, app: str = "riskscope", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the cluster's shared ``spark.checkpoint.dir``.  Only when it is
-    unset (local tests) a scratch directory is created and registered."""
+    """Return the cluster's shared ``spark.checkpoint.dir``.  Where it is
+    unset a local session gets a scratch directory; on a cluster that is an
+    error, as executors would each write to a disk of their own."""
     try:
         conf = spark.sparkContext.getConf()
     except Exception:  # no driver-side context: the server owns the directory
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="riskscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -62,12 +66,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition only when the scan yields fewer partitions
-    than ``factor`` x the cluster's cores (e.g. a single-row-group file).
-    Row-wise work (regexes over HTML and text) is CPU bound, so the extra
-    exchange pays for itself there; at cluster scale the input already has
-    thousands of splits and this is a no-op."""
+    """In a local session, round-robin repartition when the scan yields fewer
+    partitions than ``factor`` x the cores (e.g. a single-row-group file):
+    row-wise work (regexes over HTML and text) is CPU bound there.  On a
+    cluster the scan stays as it is, whatever its splits."""
     try:
+        if not re.match(r"local(\[|$)", df.sparkSession.sparkContext.master):
+            return df
         target = df.sparkSession.sparkContext.defaultParallelism * factor
         current = df.rdd.getNumPartitions()
     except Exception:  # sessions without an RDD API: leave the plan as is

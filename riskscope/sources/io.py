@@ -79,11 +79,10 @@ def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_feed_csv(spark: SparkSession, path: str) -> DataFrame:
     """S3: a ``#``-commented CSV feed; rows with at least three fields whose
     third field starts with ``http://``/``https://``."""
-    raw = spark.read.option("comment", "#").option("header", False).csv(path)
-    if len(raw.columns) < 3:
-        return spark.createDataFrame([], "url string, pos long")
-    third = F.col(raw.columns[2])
-    df = raw.where(third.startswith("http://") | third.startswith("https://")).select(third.alias("url"))
+    # A fixed width: shorter rows get nulls, longer ones lose what follows.
+    raw = spark.read.option("comment", "#").schema("first string, second string, url string").csv(path)
+    url = F.col("url")
+    df = raw.where(url.startswith("http://") | url.startswith("https://")).select("url")
     return _with_line(df).withColumnRenamed("line", "pos")
 
 
