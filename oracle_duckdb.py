@@ -8,9 +8,10 @@ independent formulation of the same rules (RE2 regexes, list lambdas,
 from __future__ import annotations
 
 from riskscope import dictionaries as D
-from riskscope.functions.urls import IPV4_RE, IPV6_RE, RFC3986, WS_CLASS
 
-RFC = RFC3986
+# Code points that Python's str.isspace accepts (fixed values).
+WS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                       0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def q(s: str) -> str:
@@ -26,8 +27,49 @@ def sql_list(values) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
 
 
+def url_part_sql(url: str, part: int) -> str:
+    """Part of a URL by cutting at the first '#', '?', ':' and '//':
+    1 scheme, 2 authority, 3 path, 4 query, 5 fragment."""
+    before_hash = f"split_part({url}, '#', 1)"
+    if part == 5:
+        return f"substr({url}, length({before_hash}) + 2)"
+    before_query = f"split_part({before_hash}, '?', 1)"
+    if part == 4:
+        return f"substr({before_hash}, length({before_query}) + 2)"
+    segment = f"split_part({before_query}, '/', 1)"
+    scheme = f"(CASE WHEN contains({segment}, ':') THEN split_part({segment}, ':', 1) ELSE '' END)"
+    if part == 1:
+        return scheme
+    rest = f"(CASE WHEN {scheme} = '' THEN {before_query} ELSE substr({before_query}, length({scheme}) + 2) END)"
+    authority = f"(CASE WHEN starts_with({rest}, '//') THEN split_part(substr({rest}, 3), '/', 1) ELSE '' END)"
+    if part == 2:
+        return authority
+    return f"(CASE WHEN starts_with({rest}, '//') THEN substr({rest}, 3 + length({authority})) ELSE {rest} END)"
+
+
+def v4_sql(host: str) -> str:
+    """Four decimal numbers up to 255 without leading zeros."""
+    good = "regexp_matches(o4, '^[0-9]{1,3}$') AND (o4 = '0' OR NOT starts_with(o4, '0')) AND TRY_CAST(o4 AS INTEGER) <= 255"
+    return f"(len(string_split({host}, '.')) = 4 AND list_bool_and(list_transform(string_split({host}, '.'), lambda o4: {good})))"
+
+
+def v6_sql(host: str) -> str:
+    """Eight groups, or fewer around one '::'; a dotted quad at the end is two."""
+    groups = f"list_filter(string_split({host}, ':'), lambda g6: g6 <> '')"
+    last = f"coalesce({groups}[-1], '')"
+    quad = f"({v4_sql(last)} AND ends_with({host}, {last}))"
+    head = f"(CASE WHEN {quad} THEN list_slice({groups}, 1, len({groups}) - 1) ELSE {groups} END)"
+    n = f"(len({groups}) + CASE WHEN {quad} THEN 1 ELSE 0 END)"
+    return (
+        f"(contains({host}, ':') AND NOT contains({host}, ':::') AND len(string_split({host}, '::')) <= 2 "
+        f"AND NOT regexp_matches({host}, '^:([^:]|$)|[^:]:$') "
+        f"AND (CASE WHEN contains({host}, '::') THEN {n} <= 7 ELSE {n} = 8 END) "
+        f"AND len(list_filter({head}, lambda h6: NOT regexp_matches(h6, '^[0-9a-f]{{1,4}}$'))) = 0)"
+    )
+
+
 def normalize_sql(col: str) -> str:
-    t = f"coalesce(regexp_replace({col}, {q('^' + WS_CLASS + '+|' + WS_CLASS + '+$')}, '', 'g'), '')"
+    t = f"coalesce(trim({col}, {q(WS)}), '')"
     return (
         f"(CASE WHEN {t} = '' THEN '' "
         f"WHEN starts_with({t}, 'http://') OR starts_with({t}, 'https://') THEN {t} "
@@ -73,20 +115,20 @@ def registered_sql(host: str, k: str) -> str:
 def url_parts_ctes(source: str, url_col: str = "url", keys: str = "*") -> str:
     """CTEs p0..p3 over ``source`` producing u, scheme, netloc, path_l, query,
     host, url_valid, reg (registered domain)."""
-    v6 = IPV6_RE[1:-1]
+    bracketed = "lower(regexp_extract(hostinfo, '\\[([^\\]]*)', 1))"
     return f"""
 p0 AS (SELECT {keys}, {normalize_sql(url_col)} AS u FROM {source}),
 p1 AS (SELECT *, regexp_replace(u, '[\\t\\r\\n]', '', 'g') AS s_ FROM p0),
-p2 AS (SELECT *, lower(regexp_extract(s_, {q(RFC)}, 1)) AS scheme,
-              regexp_extract(s_, {q(RFC)}, 2) AS netloc,
-              regexp_replace(regexp_extract(s_, {q(RFC)}, 3), ';[^/]*$', '') AS path_raw,
-              regexp_extract(s_, {q(RFC)}, 4) AS query FROM p1),
+p2 AS (SELECT *, lower({url_part_sql('s_', 1)}) AS scheme,
+              {url_part_sql('s_', 2)} AS netloc,
+              regexp_replace({url_part_sql('s_', 3)}, ';[^/]*$', '') AS path_raw,
+              {url_part_sql('s_', 4)} AS query FROM p1),
 p3 AS (SELECT *, regexp_extract(netloc, '([^@]*)$', 1) AS hostinfo FROM p2),
 p4 AS (SELECT *, lower(CASE WHEN contains(hostinfo, '[') THEN regexp_extract(hostinfo, '\\[([^\\]]*)', 1)
                            ELSE regexp_extract(hostinfo, '^([^:]*)', 1) END) AS host,
               lower(path_raw) AS path_l,
               (contains(netloc, '[') = contains(netloc, ']')) AND
-              (NOT contains(hostinfo, '[') OR regexp_matches(lower(hostinfo), {q('^\\[' + v6 + '\\](?::.*)?$')})) AS url_valid
+              (NOT contains(hostinfo, '[') OR (regexp_matches(hostinfo, '^\\[[^\\]]*\\](:.*)?$') AND {v6_sql(bracketed)})) AS url_valid
        FROM p3),
 p5 AS (SELECT *, {suffix_len_sql('host')} AS sfx_k FROM p4),
 p6 AS (SELECT *, {registered_sql('host', 'sfx_k')} AS reg FROM p5)"""
@@ -104,7 +146,7 @@ def url_feature_select_sql() -> str:
     official = " OR ".join(
         f"(contains({hp}, {q(b)}) AND reg IN {qlist(ds)})" for b, ds in D.OFFICIAL_BRAND_DOMAINS.items()
     )
-    is_ip = f"(regexp_matches(host, {q(IPV4_RE)}) OR regexp_matches(host, {q(IPV6_RE)}))"
+    is_ip = f"({v4_sql('host')} OR {v6_sql('host')})"
     labels = "list_filter(string_split(host, '.'), lambda x: x <> '')"
     n = f"len({labels})"
     cnt = lambda ch: f"(length(u) - length(replace(u, {q(ch)}, '')))"
@@ -130,7 +172,7 @@ def url_feature_select_sql() -> str:
         "num_digits": "length(regexp_replace(u, '[^\\p{Nd}]', '', 'g'))",
         "num_query_params": (
             "len(list_distinct(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), "
-            "lambda x: replace(split_part(x, '=', 1), '+', ' '))))"
+            "lambda x: url_decode(replace(split_part(x, '=', 1), '+', ' ')))))"
         ),
         "has_query": "(query <> '')",
         "path_depth": "len(list_filter(string_split(path_l, '/'), lambda x: x <> ''))",
@@ -188,13 +230,25 @@ FROM p6"""
 ORACLE["url_features"] = url_features_sql("pages", "url", ["page_id", "url"])
 
 
+ORACLE["url_features_probes"] = url_features_sql(
+    """(SELECT page_id, unnest(['credentials', 'IPv4', 'IPv6', 'suffix', 'short', 'hosted brand', 'hosted', 'official']) AS probe,
+        unnest(['https://user@h' || page_id || '.example.com/a//b#f',
+                'http://' || (page_id % 223 + 1) || '.' || (page_id % 256) || '.' || (page_id * 7 % 256) || '.9:8080/login',
+                'http://[2001:db8::' || lower(to_hex(page_id % 65536)) || ']/x',
+                'https://secure-login' || page_id || '.xyz/verify?a%20b=1&a+b=2&c=' || page_id,
+                'https://bit.ly/' || page_id,
+                'https://paypal-' || page_id || '.weebly.com/x.com/signin',
+                'https://u' || page_id || '.github.io/a_b/index~' || page_id || '.html',
+                'https://www.paypal.com/' || page_id || '/caf%C3%A9']) AS url FROM pages)""",
+    "url", ["page_id", "probe", "url"])
+
+
 def mutations_sql(source: str, url_col: str, keys: str, keyword: str) -> str:
     """U30 in SQL: returns ``keys, variant, label, mutated_url``."""
-    ws = WS_CLASS
-    strip = lambda c: f"regexp_replace({c}, {q('^' + ws + '+|' + ws + '+$')}, '', 'g')"
+    strip = lambda c: f"trim({c}, {q(WS)})"
     m = r"^([A-Za-z][A-Za-z0-9+.-]*:)//([^/?#@]*@)?([^/?#:@]+)(:[0-9]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
     kw0 = strip(q(keyword))
-    kw = f"regexp_replace(CASE WHEN {kw0} = '' THEN 'verify-account' ELSE {kw0} END, {q(ws + '+')}, '-', 'g')"
+    kw = f"regexp_replace(CASE WHEN {kw0} = '' THEN 'verify-account' ELSE {kw0} END, {q('[' + WS + ']+')}, '-', 'g')"
     raw = strip(f"coalesce({url_col}, '')")
     return f"""m0 AS (SELECT {keys}, {kw} AS kw,
         CASE WHEN {raw} = '' THEN 'https://www.example.com/login' ELSE {raw} END AS raw FROM {source}),
@@ -232,11 +286,11 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 
 
 def strip_ws_sql(x: str) -> str:
-    return f"regexp_replace({x}, {q('^' + WS_CLASS + '+|' + WS_CLASS + '+$')}, '', 'g')"
+    return f"trim({x}, {q(WS)})"
 
 
 def collapse_sql(x: str) -> str:
-    return strip_ws_sql(f"regexp_replace({x}, {q(WS_CLASS + '+')}, ' ', 'g')")
+    return strip_ws_sql(f"regexp_replace({x}, {q('[' + WS + ']+')}, ' ', 'g')")
 
 
 def decode_sql(x: str) -> str:
@@ -714,10 +768,22 @@ ORACLE["confidence_histogram"] = f"""WITH {eval_ctes()},
 mm AS (SELECT min(confidence) AS lo, max(confidence) AS hi FROM ev2),
 w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 10 ELSE 0.0 END AS width FROM mm),
 bb AS (SELECT expected_name, CASE WHEN width = 0 THEN 0 ELSE CAST(least(floor((confidence - lo) / width), 9) AS INTEGER) END AS bin,
-              lo, width FROM ev2, w)
-SELECT expected_name, CAST(bin AS INTEGER) AS bin, round_even(lo + bin * width, 6) AS lower,
-       round_even(lo + (bin + 1) * width, 6) AS upper, count(*) AS n
-FROM bb GROUP BY expected_name, bin, lo, width"""
+              lo, width FROM ev2, w),
+g AS (SELECT DISTINCT expected_name, unnest(range(10)) AS bin FROM ev2)
+SELECT g.expected_name, CAST(g.bin AS INTEGER) AS bin, round_even(w.lo + g.bin * w.width, 6) AS lower,
+       round_even(w.lo + (g.bin + 1) * w.width, 6) AS upper,
+       (SELECT count(*) FROM bb WHERE bb.expected_name = g.expected_name AND bb.bin = g.bin) AS n
+FROM g, w"""
+
+ORACLE["report_lines"] = f"""WITH {eval_ctes()},
+t AS (SELECT count(*) AS n, sum(correct) AS c, count(*) FILTER (expected_label = 0) AS ln, count(*) FILTER (expected_label = 1) AS sn,
+             coalesce(sum(correct) FILTER (expected_label = 0), 0) AS lc, coalesce(sum(correct) FILTER (expected_label = 1), 0) AS sc FROM ev2),
+h AS (SELECT unnest(['# Real Site Prediction Results', '', '- Total: ' || c || '/' || n || ' correct', '- Legit: ' || lc || '/' || ln || ' correct',
+                     '- Scam: ' || sc || '/' || sn || ' correct', '', '| Expected | Predicted | Correct | Confidence | URL |',
+                     '|---|---|---:|---:|---|']) AS line, unnest(range(8)) AS i FROM t)
+SELECT 0 AS section, CAST(i AS VARCHAR) AS ord_key, line FROM h
+UNION ALL SELECT 1, url, '| ' || expected_name || ' | ' || predicted_name || ' | ' || CASE WHEN correct = 1 THEN 'yes' ELSE 'no' END ||
+       ' | ' || printf('%.2f%%', confidence * 100) || ' | ' || url || ' |' FROM ev2"""
 
 ORACLE["top_confident_examples"] = f"""WITH {eval_ctes()}
 SELECT url, expected_name, predicted_name, correct, printf('%.2f%%', confidence * 100) AS confidence_pct
@@ -838,6 +904,12 @@ ORACLE["feature_medians"] = f"""WITH {profile_ctes()}
 SELECT "column", round_even(quantile_cont(v, 0.5), 6) AS median FROM kl GROUP BY "column"
 """
 
+_Z = ", ".join(
+    f"round_even((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}" for c in BOX
+)
+ORACLE["standardized_features"] = f"""WITH {prepared_ctes()}
+SELECT url, label, {_Z} FROM prep"""
+
 ORACLE["class_weights"] = f"""WITH {prepared_ctes()},
 c AS (SELECT label, count(*) AS n FROM prep GROUP BY label)
 SELECT CAST(label AS INTEGER) AS label, round_even(sum(n) OVER () / (2.0 * n), 6) AS weight, n FROM c"""
@@ -851,15 +923,15 @@ CONTENT_TYPES = ("text/html; charset=utf-8", "text/html", "application/xhtml+xml
 def split_ctes(name: str, source: str, col: str, keys: str) -> str:
     """CTE ``name`` = keys + scheme, netloc, path, query, frag, has_q, has_f of ``col``."""
     return f"""{name}0 AS (SELECT {keys}, regexp_replace({col}, '[\\t\\r\\n]', '', 'g') AS s_ FROM {source}),
-{name} AS (SELECT * EXCLUDE (s_), lower(regexp_extract(s_, {q(RFC)}, 1)) AS scheme, regexp_extract(s_, {q(RFC)}, 2) AS netloc,
-           regexp_extract(s_, {q(RFC)}, 3) AS path, regexp_extract(s_, {q(RFC)}, 4) AS query,
-           regexp_extract(s_, {q(RFC)}, 5) AS frag, regexp_matches(s_, '^[^#]*\\?') AS has_q, contains(s_, '#') AS has_f FROM {name}0)"""
+{name} AS (SELECT * EXCLUDE (s_), lower({url_part_sql('s_', 1)}) AS scheme, {url_part_sql('s_', 2)} AS netloc,
+           {url_part_sql('s_', 3)} AS path, {url_part_sql('s_', 4)} AS query,
+           {url_part_sql('s_', 5)} AS frag, regexp_matches(s_, '^[^#]*\\?') AS has_q, contains(s_, '#') AS has_f FROM {name}0)"""
 
 
 def homepage_expr(url: str) -> str:
     s = f"regexp_replace({url}, '[\\t\\r\\n]', '', 'g')"
-    sch = f"lower(regexp_extract({s}, {q(RFC)}, 1))"
-    net = f"regexp_extract({s}, {q(RFC)}, 2)"
+    sch = f"lower({url_part_sql(s, 1)})"
+    net = f"{url_part_sql(s, 2)}"
     return f"(CASE WHEN {sch} = '' OR {net} = '' THEN {url} ELSE {sch} || '://' || {net} || '/' END)"
 
 
@@ -907,7 +979,7 @@ up AS (SELECT url, arg_min(struct_pack(final_url := final_url, redirect_count :=
                                       low_content := CAST(length(text) < {D.LOW_CONTENT_CHARS} AS INTEGER), link_count := link_count),
                           (final_url, redirect_count, text)) AS pg FROM h2 GROUP BY url),
 ul AS (SELECT page_id, url FROM pages
-       UNION ALL SELECT page_id * 10 + 1, CASE WHEN starts_with(regexp_extract(url, {q(RFC)}, 2), 'www.')
+       UNION ALL SELECT page_id * 10 + 1, CASE WHEN starts_with({url_part_sql('url', 2)}, 'www.')
                                            THEN regexp_replace(url, '//www\\.', '//') ELSE regexp_replace(url, '//', '//www.') END
                  FROM pages WHERE page_id % 5 = 0
        UNION ALL SELECT page_id * 10 + 2, url || '/missing' FROM pages WHERE page_id % 7 = 0
@@ -990,7 +1062,7 @@ ORACLE["url_parts"] = f"""WITH src AS (SELECT page_id, url FROM pages UNION ALL
 {canonical_ctes('src', 'url', 'page_id, url')},
 {url_parts_ctes('src', 'url', 'page_id, url')}
 SELECT p6.page_id, p6.url, u AS normalized_url, scheme, netloc, host AS hostname, path_raw AS path, query,
-       regexp_extract(s_, {q(RFC)}, 5) AS fragment, cn.canonical_url,
+       {url_part_sql('s_', 5)} AS fragment, cn.canonical_url,
        lower(regexp_replace(u, '/+$', '')) AS dedupe_key, {homepage_expr('u')} AS homepage_url
 FROM p6 JOIN cn USING (page_id)"""
 
@@ -1012,9 +1084,9 @@ ev AS (SELECT concat_ws('.', {', '.join(f'CAST((user_id * {k} + CAST(floor(value
 h AS (SELECT DISTINCT host FROM (SELECT host FROM p6 UNION ALL SELECT host FROM ev))
 SELECT host,
        host <> '' AND lower(host) NOT IN ('localhost', 'localhost.localdomain')
-       AND NOT (regexp_matches(lower(host), {q(IPV4_RE)}) AND {private_v4_sql('lower(host)')})
-       AND NOT (regexp_matches(lower(host), {q(IPV6_RE)}) AND {private_v6_sql('lower(host)')}) AS is_public,
-       CAST(regexp_matches(host, {q(IPV4_RE)}) OR regexp_matches(host, {q(IPV6_RE)}) AS INTEGER) AS is_ip
+       AND NOT ({v4_sql('lower(host)')} AND {private_v4_sql('lower(host)')})
+       AND NOT ({v6_sql('lower(host)')} AND {private_v6_sql('lower(host)')}) AS is_public,
+       CAST({v4_sql('host')} OR {v6_sql('host')} AS INTEGER) AS is_ip
 FROM h"""
 
 ORACLE["text_corpus"] = f"""WITH {page_ctes('pages', 'page_id')}
@@ -1087,7 +1159,7 @@ ORACLE["batch_check"] = f"""WITH fl AS ({flagship_sql()}),
 b AS (SELECT page_id, url, scam_probability,
              CASE WHEN regexp_matches(lower(regexp_extract(url, '^(?:[^:/?#]+:)?//(?:[^/?#]*@)?([^/?#:]*)', 1)),
                                       'cheap-pills|casino-win|free-bets') THEN 'Scam' ELSE 'Legit' END AS expected,
-             lower(regexp_extract(regexp_replace(url, '[\\t\\r\\n]', '', 'g'), {q(RFC)}, 2)) AS netloc FROM fl),
+             lower({url_part_sql("regexp_replace(url, '[\\t\\r\\n]', '', 'g')", 2)}) AS netloc FROM fl),
 v AS (SELECT page_id, url, expected, 'LEGITIMATE' AS predicted_verdict, '100.00%' AS confidence_text, 'Whitelisted' AS note
       FROM b WHERE netloc IN {qlist(BATCH_WHITELIST)}
       UNION ALL
@@ -1148,4 +1220,3 @@ SELECT c_custkey, coalesce(CAST(domain_age_days AS DOUBLE), -1.0) AS domain_age_
        coalesce(CAST(short_expiry_domain AS DOUBLE), -1.0) AS short_expiry_domain
 FROM j"""
 
-ORACLE["page_extract_exact"] = ORACLE["page_extract"]

@@ -36,10 +36,17 @@ def hash60(hex_md5: Column) -> Column:
 
 
 def exact_rank(
-    df: DataFrame, order_col: str, group_cols: Sequence[str] = (), out: str = "rank", max_groups: int | None = 2
+    df: DataFrame,
+    order_col: str,
+    group_cols: Sequence[str] = (),
+    out: str = "rank",
+    max_groups: int | None = 2,
+    below: int | None = None,
 ) -> DataFrame:
     """0-based rank of each row inside its group by ``order_col`` (an md5
-    hex string), computed without a whole-group window.
+    hex string), computed without a whole-group window.  With ``below``, only
+    rows of a smaller rank are returned: buckets past it drop out before the
+    shuffle, so that only winners (and one bucket more) are moved.
 
     The offsets table has at most ``max_groups`` x 2^16 rows; with a known
     bound it is broadcast directly, otherwise after a size check."""
@@ -49,10 +56,13 @@ def exact_rank(
     hist = keyed.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    if below is not None:
+        offsets = offsets.where(F.col("_off") < below)
     small = F.broadcast(offsets) if max_groups is not None and max_groups <= 16 else broadcast_if_small(offsets)
     j = keyed.join(small, [*g, "_bucket"])
     inner = Window.partitionBy(*g, "_bucket").orderBy(order_col)
-    return j.withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("long")).drop("_bucket", "_off")
+    ranked = j.withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("long")).drop("_bucket", "_off")
+    return ranked if below is None else ranked.where(F.col(out) < below)
 
 
 # ------------------------------------------------------------------ F1 / F3
@@ -167,10 +177,10 @@ def balanced_sample(
         for pool, k, size, tag in pools:
             if k <= 0:
                 continue
-            ranked = exact_rank(pool, "_h", out="_rank")
             if size >= k:
-                parts.append(ranked.where(F.col("_rank") < k).withColumn("draw", F.lit(0).cast("long")))
+                parts.append(exact_rank(pool, "_h", out="_rank", below=k).withColumn("draw", F.lit(0).cast("long")))
             else:
+                ranked = exact_rank(pool, "_h", out="_rank")
                 spark = df.sparkSession
                 draws = spark.range(k).select(
                     (F.col("id") + 1).alias("draw"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskscope.operators.joins import broadcast_if_small
+from riskscope.session import cut_lineage
 
 # Columns that are never features (dropped before training).
 METADATA_COLUMNS = (
@@ -249,13 +249,20 @@ def eval_summary(df: DataFrame) -> DataFrame:
 
 def confidence_histogram(df: DataFrame, col: str = "confidence", group_col: str = "expected_name", bins: int = 10) -> DataFrame:
     """``bins`` equal-width bins over the data range of ``col`` (last
-    edge closed), counted per group; the range is one scalar aggregate."""
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    edge closed), counted per group, empty bins included.  ``df`` is read
+    once: its counts per group and value are written, and the range and the
+    bins are taken from those."""
+    values = cut_lineage(df.groupBy(group_col, col).agg(F.count(F.lit(1)).alias("_n")))
+    # Only now: before, the filter would be pushed into the scoring and run it twice.
+    values = values.where(F.col(col).isNotNull())
+    lo, hi = values.agg(F.min(col), F.max(col)).first()
     if lo is None:
         return df.sparkSession.createDataFrame([], f"{group_col} string, bin int, lower double, upper double, n long")
     width = (hi - lo) / bins if hi > lo else 0.0
     b = F.lit(0) if width == 0 else F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    c = df.groupBy(group_col, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    filled = values.select(group_col, b.alias("bin"), "_n")
+    empty = values.select(group_col).distinct().select(group_col, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).alias("_n"))
+    c = filled.unionByName(empty).groupBy(group_col, "bin").agg(F.sum("_n").alias("n"))
     return c.select(
         group_col, "bin",
         F.bround(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("lower"),

@@ -146,118 +146,3 @@ def resolve_captures(
         *[F.when(found & ~invalid, F.col(f"_pg.{c}")).otherwise(F.lit("")).alias(c) for c in text_cols],
         *[F.when(found & ~invalid, F.col(f"_pg.{c}")).otherwise(F.lit(0)).cast("int").alias(c) for c in int_cols],
     )
-
-
-# --------------------------------------------------------- exact HTML mode
-def _parse_html(html: str, dropped: frozenset, min_text_length: int) -> tuple:
-    """One page with the stdlib tolerant parser: boilerplate subtrees
-    skipped (nesting tracked), comments ignored, entities decoded."""
-    from html.parser import HTMLParser
-
-    class P(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.skip = []
-            self.all, self.body = [], []
-            self.in_body = self.saw_body = False
-            self.title, self.in_title, self.title_bad, self.title_done = [], False, False, False
-            self.meta_name = self.meta_prop = None
-            self.links = 0
-
-        def handle_starttag(self, tag, attrs):
-            if self.skip:
-                if tag == self.skip[-1]:
-                    self.skip.append(tag)
-                return
-            if tag in dropped:
-                self.skip.append(tag)
-                return
-            if self.in_title:
-                self.title_bad = True
-            a = dict(attrs)
-            if tag == "body" and not self.saw_body:
-                self.in_body = self.saw_body = True
-            elif tag == "title" and not self.title_done:
-                self.in_title = True
-            elif tag == "meta":
-                if self.meta_name is None and (a.get("name") or "").lower() == "description":
-                    self.meta_name = a.get("content") or ""
-                if self.meta_prop is None and a.get("property") == "og:description":
-                    self.meta_prop = a.get("content") or ""
-            elif tag == "a" and "href" in a:
-                self.links += 1
-
-        def handle_startendtag(self, tag, attrs):
-            if not self.skip and tag not in dropped:
-                self.handle_starttag(tag, attrs)
-                if tag in ("title", "body"):
-                    self.handle_endtag(tag)
-
-        def handle_endtag(self, tag):
-            if self.skip:
-                if tag == self.skip[-1]:
-                    self.skip.pop()
-                return
-            if tag == "body":
-                self.in_body = False
-            elif tag == "title" and self.in_title:
-                self.in_title, self.title_done = False, True
-
-        def handle_data(self, data):
-            if self.skip:
-                return
-            self.all.append(data)
-            if self.in_body:
-                self.body.append(data)
-            if self.in_title:
-                self.title.append(data)
-
-    p = P()
-    p.feed(html or "")
-    p.close()
-    clean = lambda s: " ".join(s.split())
-    pieces = p.body if p.saw_body else p.all
-    text = clean(" ".join(x.strip() for x in pieces if x.strip()))
-    title = "" if (p.title_bad or not p.title) else clean("".join(p.title))
-    meta = p.meta_name if p.meta_name is not None else (p.meta_prop or "")
-    return title, clean(meta), text, len(text), int(len(text) < min_text_length), p.links
-
-
-def extract_pages_exact(
-    df: DataFrame, html_col: str = "html", *, min_text_length: int = D.LOW_CONTENT_CHARS, keep_html: bool = False
-) -> DataFrame:
-    """H8 exact mode: the same columns as :func:`extract_pages`, computed
-    per Arrow batch with the stdlib HTML parser (documented slow path for
-    pages the regex form cannot handle: nested or unclosed boilerplate tags,
-    ``>`` inside attributes, any character reference)."""
-    import re
-
-    from pyspark.sql import types as T
-
-    dropped = frozenset(D.DROPPED_TAGS)
-    form_re, iframe_re = re.compile(r"<form\b", re.I), re.compile(r"<iframe\b", re.I)
-    out_fields = [
-        T.StructField("has_form", T.IntegerType()), T.StructField("has_iframe", T.IntegerType()),
-        T.StructField("title", T.StringType()), T.StructField("meta_description", T.StringType()),
-        T.StructField("text", T.StringType()), T.StructField("link_count", T.IntegerType()),
-        T.StructField("text_length", T.IntegerType()), T.StructField("low_content", T.IntegerType()),
-    ]
-    schema = T.StructType(list(df.schema.fields) + out_fields)
-
-    def fn(batches):
-        for pdf in batches:
-            rows = [_parse_html(h if isinstance(h, str) else "", dropped, min_text_length) for h in pdf[html_col]]
-            raw = [h if isinstance(h, str) else "" for h in pdf[html_col]]
-            pdf = pdf.copy()
-            pdf["has_form"] = [int(bool(form_re.search(h))) for h in raw]
-            pdf["has_iframe"] = [int(bool(iframe_re.search(h))) for h in raw]
-            pdf["title"] = [r[0] for r in rows]
-            pdf["meta_description"] = [r[1] for r in rows]
-            pdf["text"] = [r[2] for r in rows]
-            pdf["link_count"] = [r[5] for r in rows]
-            pdf["text_length"] = [r[3] for r in rows]
-            pdf["low_content"] = [r[4] for r in rows]
-            yield pdf
-
-    out = df.mapInPandas(fn, schema)
-    return out if keep_html else out.drop(html_col)

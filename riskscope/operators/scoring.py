@@ -173,7 +173,8 @@ def score_batch(
     valid_col: str | None = "url_valid",
 ) -> DataFrame:
     """Probability -> prediction (p >= 0.5 is SCAM), confidence (p or
-    1 - p), both 4 dp.  Rows failing ``valid_col`` become ERROR rows
+    1 - p, 4 dp).  The probability stays as it is, for metrics and bands;
+    reports round it.  Rows failing ``valid_col`` become ERROR rows
     (prediction_label -1, confidence 0, probability 0).  With a ``model``
     (a fitted ``PipelineModel`` with a ``probability`` vector output) the
     probability comes from ``model.transform``."""
@@ -191,7 +192,7 @@ def score_batch(
             "prediction_label": F.when(ok, label).otherwise(F.lit(-1)).cast("int"),
             "prediction": F.when(~ok, F.lit("ERROR")).when(label == 1, F.lit("SCAM")).otherwise(F.lit("LEGIT")),
             "confidence": F.when(ok, F.bround(F.when(label == 1, p).otherwise(1.0 - p), 4)).otherwise(F.lit(0.0)),
-            probability_col: F.when(ok, F.bround(p, 4)).otherwise(F.lit(0.0)),
+            probability_col: F.when(ok, p).otherwise(F.lit(0.0)),
         }
     )
 

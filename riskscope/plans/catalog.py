@@ -208,6 +208,32 @@ def q_feed_union(spark, sf):
     return DS.union_with_shortfall(primary, secondary, 300).select("url", "pos", "_prio").withColumnRenamed("_prio", "feed")
 
 
+def url_probes(pages):
+    """Eight URLs made of every page id, so that each URL rule both holds and
+    fails somewhere."""
+    i, text = F.col("page_id"), lambda c: c.cast("string")
+    probes = {
+        "credentials": F.concat(F.lit("https://user@h"), text(i), F.lit(".example.com/a//b#f")),
+        "IPv4": F.concat(F.lit("http://"), F.concat_ws(".", text(i % 223 + 1), text(i % 256), text(i * 7 % 256), F.lit("9")), F.lit(":8080/login")),
+        "IPv6": F.concat(F.lit("http://[2001:db8::"), F.lower(F.hex(i % 65536)), F.lit("]/x")),
+        "suffix": F.concat(F.lit("https://secure-login"), text(i), F.lit(".xyz/verify?a%20b=1&a+b=2&c="), text(i)),
+        "short": F.concat(F.lit("https://bit.ly/"), text(i)),
+        "hosted brand": F.concat(F.lit("https://paypal-"), text(i), F.lit(".weebly.com/x.com/signin")),
+        "hosted": F.concat(F.lit("https://u"), text(i), F.lit(".github.io/a_b/index~"), text(i), F.lit(".html")),
+        "official": F.concat(F.lit("https://www.paypal.com/"), text(i), F.lit("/caf%C3%A9")),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("probe"), v.alias("url")) for k, v in probes.items()])
+    return pages.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
+
+
+@register("url_features_probes")
+def q_url_probes(spark, sf):
+    """U1-U26 over probe URLs of every page: credentials, double slashes, IP
+    hosts, odd suffixes, shorteners, free hosting, suffixes in paths."""
+    df = UF.with_url_features(url_probes(_pages(spark, sf)))
+    return df.select("page_id", "probe", "url", "registered_domain", *UF.URL_FEATURES)
+
+
 # ----------------------------------------------------------------- evaluation
 from riskscope.operators import domains as _DM  # noqa: E402,F811
 from riskscope.operators import evaluate as EV  # noqa: E402
@@ -276,6 +302,14 @@ def q_confidence_histogram(spark, sf):
     return EV.confidence_histogram(evaluation_table(spark, sf))
 
 
+@register("report_lines")
+def q_report_lines(spark, sf):
+    """The lines of the Markdown report, a row per line."""
+    from riskscope.sources.io import report_lines
+
+    return report_lines(evaluation_table(spark, sf)).select("section", "ord_key", "line")
+
+
 @register("top_confident_examples")
 def q_top_confident(spark, sf):
     """The 12 most telling examples (wrong first, then confident)."""
@@ -285,10 +319,12 @@ def q_top_confident(spark, sf):
 @register("case_history")
 def q_case_history(spark, sf):
     """The 12 latest scans (page URL scored, time from events)."""
-    hist = FX.url_history(spark, sf)
-    rep = SP.flagship_report(_pages(spark, sf)).select("page_id", "prediction", "confidence", "scam_probability", "risk_label")
-    j = hist.join(rep, "page_id").withColumn("checked_at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
-    return EV.case_history(j.select("url", "prediction", "confidence", "scam_probability", "risk_label", "checked_at"))
+    hist = FX.url_history(spark, sf).withColumn("checked_at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    # The latest first: 12 rows, so only their pages are scored.
+    last = F.broadcast(hist.orderBy(F.desc("checked_at"), "url", "page_id").limit(12).select("page_id", "checked_at"))
+    pages = read_table(spark, sf, "pages", spread_rows=False).join(last.select("page_id"), "page_id", "left_semi")
+    rep = SP.flagship_report(pages).join(last, "page_id")
+    return EV.case_history(rep.select("url", "prediction", "confidence", "scam_probability", "risk_label", "checked_at"))
 
 
 def prepared_dataset(spark, sf):
@@ -392,6 +428,15 @@ def q_medians(spark, sf):
     return med.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.bround(F.col(c), 6).alias("median")) for c in feats])).alias("r")).select("r.*")
 
 
+@register("standardized_features")
+def q_standardized(spark, sf):
+    """L2 + L3: median imputation, then (x - mean) / population sd, of eight
+    features of every prepared row."""
+    d = prepared_dataset(spark, sf).select("url", "label", *[F.col(c).cast("double").alias(c) for c in BOX_FEATURES])
+    z = EV.standard_scale(EV.median_impute(d, EV.medians(d, BOX_FEATURES)), BOX_FEATURES)
+    return z.select("url", "label", *[F.bround(c, 6).alias(c) for c in BOX_FEATURES])
+
+
 @register("class_weights")
 def q_class_weights(spark, sf):
     """L4: balanced class weight per label."""
@@ -605,7 +650,7 @@ def q_calibrated_scores(spark, sf):
     train, test, feats = _train_test(spark, sf)
     ens = ML.calibrate_isotonic(train, feats, "logistic_regression", CHECK_CONFIG)
     s = SC.score_batch(ens.transform(test), valid_col=None)
-    return s.select("url", "label", "scam_probability", "prediction", "confidence", SC.risk_band(F.col("scam_probability"))["label"].alias("risk_label"))
+    return s.select("url", "label", F.bround("scam_probability", 4).alias("scam_probability"), "prediction", "confidence", SC.risk_band(F.col("scam_probability"))["label"].alias("risk_label"))
 
 
 @register("feature_importance")
@@ -658,13 +703,3 @@ def q_impute_domain(spark, sf):
     out = DM.impute_domain(j.drop("missing_whois").withColumn("missing_whois", F.lit(None).cast("int")))
     return out.select("c_custkey", "domain_age_days", "domain_expiry_days", "ssl_days_remaining", "missing_whois",
                       "has_ssl", "ssl_valid", "is_new_domain", "short_expiry_domain")
-
-
-@register("page_extract_exact")
-def q_page_extract_exact(spark, sf):
-    """H8 exact mode (stdlib HTML parser per Arrow batch) over every page;
-    same columns and oracle as ``page_extract``."""
-    return P.extract_pages_exact(_pages(spark, sf)).select(
-        "page_id", "title", "meta_description", "text", "text_length", "low_content", "link_count",
-        "has_form", "has_iframe",
-    )

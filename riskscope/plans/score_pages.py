@@ -44,7 +44,7 @@ def flagship_report(pages: DataFrame) -> DataFrame:
         "registered_domain",
         "title",
         *S.FAMILY_COLUMNS,
-        "scam_probability",
+        F.bround("scam_probability", 4).alias("scam_probability"),
         "prediction",
         "confidence",
         F.col("risk_band.label").alias("risk_label"),

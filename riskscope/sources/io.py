@@ -120,7 +120,6 @@ def write_csv(df: DataFrame, path: str) -> None:
 def report_lines(evaluation: DataFrame) -> DataFrame:
     """Markdown report as rows (``section``, ``ord``, ``line``): title,
     three summary lines, table header, one row per prediction."""
-    spark = evaluation.sparkSession
     summ = evaluation.agg(
         F.sum("correct").alias("c"),
         F.count(F.lit(1)).alias("n"),
@@ -130,7 +129,7 @@ def report_lines(evaluation: DataFrame) -> DataFrame:
         F.sum((F.col("expected_label") == 1).cast("int")).alias("sn"),
     )
     head = summ.select(
-        F.explode(
+        F.posexplode(
             F.array(
                 F.lit("# Real Site Prediction Results"),
                 F.lit(""),
@@ -141,9 +140,8 @@ def report_lines(evaluation: DataFrame) -> DataFrame:
                 F.lit("| Expected | Predicted | Correct | Confidence | URL |"),
                 F.lit("|---|---|---:|---:|---|"),
             )
-        ).alias("line")
-    )
-    head = head.withColumn("section", F.lit(0)).withColumn("ord", F.monotonically_increasing_id())
+        ).alias("ord", "line")
+    ).withColumn("section", F.lit(0))
     rows = evaluation.select(
         F.lit(1).alias("section"),
         F.col("url").alias("ord_key"),
@@ -156,7 +154,6 @@ def report_lines(evaluation: DataFrame) -> DataFrame:
             F.col("url"),
         ).alias("line"),
     )
-    del spark
     return head.select("section", F.col("ord").cast("string").alias("ord_key"), "line").unionByName(rows)
 
 
