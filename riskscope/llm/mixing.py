@@ -6,8 +6,9 @@ shards' sizes in the same way.  In a shard the documents stand in a seeded
 order and the mix takes the words of its quota of blocks from the front, going
 round at most twice, so that at most one document per shard is taken in part.
 
-Only DataFrame operations.  Windows see one shard of one source, the table of
-sources, or at most ``blocks`` quotients.
+Only DataFrame operations.  Windows see one range of the order in a shard of
+one source (``RANGE_ROWS`` rows or so, whatever the input's size), the table of
+these ranges' sizes, that of the sources, or at most ``blocks`` quotients.
 
 Defined results: a null text has size 0 and is never taken; null sources are
 one source, the last; equal rows may swap their shares; a table without words
@@ -26,6 +27,7 @@ SHARE = 1.5
 MOST = 2
 BLOCKS = 1 << 18
 SHARDS = 64
+RANGE_ROWS = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -55,14 +57,26 @@ def quotients(weight: Column, least: Column) -> Column:
     return F.when((weight > 0) & (n > 0), F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
+def prefix_digits(n_rows: int, shards: int, range_rows: int) -> int:
+    """Leading digits of the key whose ranges hold about ``range_rows`` rows.
+    The first four digits tell the shard too: they and it make 16^4 ranges."""
+    digits = 0
+    while digits < 12 and n_rows > range_rows * max(min(shards * 16**digits, 16**4), 16**digits):
+        digits += 1
+    return digits
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, blocks: int = BLOCKS, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per row: ``id_col``, ``size``, ``source_size``, ``target`` and ``taken``."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = cut(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
         .withColumn("shard", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % shards))
     )
-    cells = sized.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
+    digits = prefix_digits(sized.count(), shards, range_rows)
+    sized = sized.withColumn("range", F.substring("key", 1, digits))
+    ranges = cut(sized.groupBy("source", "shard", "range").agg(F.sum("size").alias("range_size")))
+    cells = ranges.groupBy("source", "shard").agg(F.sum("range_size").alias("cell_size"))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     places = sources.select("source", "source_size", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("place"))
     placed = cut(places.join(targets(places.select("place", "source_size")).drop("source_size"), "place"))
@@ -91,9 +105,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     shares = checked_broadcast(cut(shares).withColumnRenamed("source", "of"), n_sources * shards, 100)
 
-    at = Window.partitionBy("place", "shard").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = sized.join(shares.withColumnRenamed("shard", "in"), F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("in")))
-    out = out.withColumn("end", F.sum("size").over(at))
+    # Words before a row in its shard: those of the ranges before its own, and those before it in its range.
+    shard, rank = Window.partitionBy("place", "shard").orderBy("range"), Window.partitionBy("place", "shard", "range").orderBy("key", "id", "size")
+    upto = [w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (shard, rank)]
+    in_shard = F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("in"))
+    shares = shares.withColumnRenamed("shard", "in")
+    offsets = ranges.join(shares.select("of", "in", "place"), in_shard).withColumn("ahead", F.sum("range_size").over(upto[0]) - F.col("range_size"))
+    out = sized.join(shares, in_shard).withColumn("end", F.sum("size").over(upto[1]))
+    out = out.join(offsets.select("place", "shard", "range", "ahead"), ["place", "shard", "range"]).withColumn("end", F.col("end") + F.col("ahead"))
     rounds = F.when(F.col("cell_size") > 0, F.floor(F.col("words") / F.col("cell_size"))).otherwise(0).cast("long")
     rest = F.col("words") - rounds * F.col("cell_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("end") - F.col("size"))))

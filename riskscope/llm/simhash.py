@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskscope.llm.common import cut, raw_texts, ship, word_blocks
-from riskscope.llm.components import components
+from riskscope.llm.components import components, meet
 
 SEED = 42
 MAX_BITS = 3
@@ -176,10 +176,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp")))
     first = rows.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(links(first.select("fp")), "a", "b")
-    named = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = cut(first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
     # Written, so that both sides of the join are shuffled by it alone and a hot fingerprint can be split.
-    by_fp = cut(named.join(lowest, "root").select("fp", "component_id"))
+    by_fp = cut(meet(named, lowest, "root", named.count()).select("fp", "component_id"))
     return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

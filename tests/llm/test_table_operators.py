@@ -85,6 +85,17 @@ def test_mix_odd_rows(spark):
     assert {r.taken for r in mixing.mix(df.where("text is null")).collect()} == {0}
 
 
+def test_mix_ranges_dont_change_the_rows(spark):
+    """Places counted over many short ranges of the order are those of one."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 50 != 7, F.col("id") % 2900).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 4)).alias("source"),
+        F.when(F.col("id") % 11 > 0, F.repeat(F.lit("w "), (F.col("id") % 37).cast("int"))).alias("text"), F.lit(1).alias("range"), F.lit(2).alias("ahead"),
+    )
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert [mixing.prefix_digits(n, 64, 50_000) for n in (0, 3_200_000, 3_200_001, 8 * 10**8, 10**9, 5 * 10**10)] == [0, 0, 1, 2, 3, 5]
+    assert rows(mixing.mix(df, shards=2)) == rows(mixing.mix(df, shards=2, range_rows=1)) == rows(mixing.mix(df, shards=2, range_rows=40))
+
+
 def test_sainte_lague_quotas():
     """The bound that selects quotients is low enough for every seat."""
     for weights in ([5.0, 2.0, 1.0], [1e6, 1.0, 1.0], [3.0]):

@@ -106,6 +106,17 @@ def test_simhash_dense_lists(spark, monkeypatch):
     assert all(got.get(int(x), int(x)) == signed[r] for x, r in zip(signed, root, strict=True))
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs met by broadcast: a star, a path, a dense group, repeated and self links."""
+    monkeypatch.setattr("riskscope.llm.components.HUB", 4)
+    edges = [(500, i) for i in range(400, 460)] + [(i, i + 1) for i in range(40)] + [(i, j) for i in range(100, 109) for j in range(100, i)]
+    edges += [(500, 400), (7, 7), (900, 900), (460, 399), (459, 460)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    want = dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 109), 100) | dict.fromkeys([*range(399, 461), 500], 399)
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
 def test_simhash_odd_rows(spark):
     long = "one two three four five six " * 20_000
     df = frame(spark, [(5, None), (3, ""), (None, " "), (7, long), (7, long), (None, "q w e r t"), (9, "a b")])
