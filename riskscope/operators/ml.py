@@ -197,14 +197,20 @@ class CalibratedEnsemble:
         return res.withColumn(out, avg).drop(*names)
 
 
+def isotonic_map(held: DataFrame, in_col: str = "iso_in", label: str = "label"):
+    """Isotonic map of a score onto the label's mean.  Equal scores are
+    pooled first, so that the fit sees one weighted row per distinct score."""
+    pooled = held.groupBy(in_col).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol=in_col, labelCol=label, weightCol="weight", predictionCol="prediction", isotonic=True).fit(pooled)
+
+
 def calibrate_isotonic(train: DataFrame, feats: Sequence[str], name: str, cfg: TrainConfig, k: int = 3, label: str = "label", key: str = "url") -> CalibratedEnsemble:
     folded = cut_lineage(DS.stratified_folds(train, k, SEED + 1, key, label))
     members = []
     for f in range(k):
         m = fit_model(name, with_weights(folded.where(F.col("fold") != f), label), feats, cfg, label)
         held = m.score(folded.where(F.col("fold") == f), out="iso_in")
-        iso = IsotonicRegression(featuresCol="iso_in", labelCol=label, predictionCol="prediction", isotonic=True).fit(held)
-        members.append((m, iso))
+        members.append((m, isotonic_map(held, "iso_in", label)))
     return CalibratedEnsemble(members, list(feats))
 
 
