@@ -1,14 +1,19 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is cut into equal-token blocks.  Sources get blocks by highest
-quotients target / (2j + 1), then each source's blocks go to its shards by the
-shards' sizes in the same way.  In a shard the documents stand in a seeded
+The mix is cut into equal-token blocks: ``blocks`` of them if the smallest
+target then has ``FINE`` for each of its shards, otherwise one for every word.
+Sources get blocks by highest quotients target / (2j + 1), then each source's
+blocks go to its shards by the shards' sizes in the same way.  All but the last
+few blocks follow from a formula, so their number costs nothing; blocks beyond
+twice a size pass to the others.  In a shard the documents stand in a seeded
 order and the mix takes the words of its quota of blocks from the front, going
 round at most twice, so that at most one document per shard is taken in part.
+With blocks of more than a word, a shard taken twice may leave less than one.
 
 Only DataFrame operations.  Windows see one range of the order in a shard of
 one source (``RANGE_ROWS`` rows or so, whatever the input's size), the table of
-these ranges' sizes, that of the sources, or at most ``blocks`` quotients.
+these ranges' sizes, that of the sources, or about two quotients for each
+source, or for each shard of one.
 
 Defined results: a null text has size 0 and is never taken; null sources are
 one source, the last; equal rows may swap their shares; a table without words
@@ -27,6 +32,8 @@ SHARE = 1.5
 MOST = 2
 BLOCKS = 1 << 18
 SHARDS = 64
+FINE = 32
+NEAR = 1e-9  # of a quotient: more than doubles are off
 RANGE_ROWS = 50_000
 
 
@@ -51,10 +58,37 @@ def targets(sources: DataFrame) -> DataFrame:
     return out.withColumn("target", F.least(cap.cast("double"), F.col("level") * F.col("weight"))).select("place", "source_size", "target")
 
 
-def quotients(weight: Column, least: Column) -> Column:
-    """Array of the j whose quotient weight / (2j + 1) is at least ``least``."""
-    n = F.floor((weight / least + 1) / 2).cast("long")
-    return F.when((weight > 0) & (n > 0), F.sequence(F.lit(0).cast("long"), n - 1))
+def apportioned(rows: DataFrame, by: list[str], weight: Column, seats: Column, whole: Column, n: int, order: list[str], room: Column) -> DataFrame:
+    """``rows`` with ``won``: of the ``seats`` of its group ``by``, those of the
+    highest quotients weight / (2j + 1).  A group has at most ``n`` rows, whose
+    weights sum to ``whole``.  Seats over ``room`` pass to the rows with most
+    room left."""
+    group, weight = Window.partitionBy(*by), weight.cast("double")
+    # At least ``seats`` quotients reach the lower bound, as each row has more than (weight / bound - 1) / 2 of them, and at most ``seats`` the upper.
+    reach = lambda bound: F.floor((weight / bound + 1) / 2).cast("long")
+    some = (weight > 0) & (seats > 0)
+    rows = rows.withColumn("sure", F.when(some & (2 * seats > n), reach(whole / (2 * seats - n) * (1 + NEAR))).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("left", seats - F.sum("sure").over(group))
+    upto = reach(whole / (2 * seats + n) * (1 - NEAR))
+    near = rows.where(some).where(upto > F.col("sure")).withColumn("j", F.explode(F.sequence(F.col("sure"), upto - 1)))
+    best = Window.partitionBy(*by).orderBy((weight / (2 * F.col("j") + 1)).desc(), *order, "j")
+    more = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= F.col("left"))
+    key = list(dict.fromkeys([*by, *order]))
+    more = more.groupBy(*key).agg(F.count(F.lit(1)).alias("more"))
+    rows = rows.join(more, key, "left").withColumn("got", F.col("sure") + F.coalesce("more", F.lit(0)))
+    rows = rows.withColumn("spare", F.greatest(F.lit(0), room - F.col("got")))
+    over = F.sum(F.greatest(F.lit(0), F.col("got") - room)).over(group)
+    ahead = F.sum("spare").over(Window.partitionBy(*by).orderBy(F.col("spare").desc(), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("spare")
+    rows = rows.withColumn("passed", F.least(F.col("spare"), F.greatest(F.lit(0), over - ahead)))
+    return rows.withColumn("won", F.least(F.col("got"), room) + F.col("passed")).drop("sure", "left", "more", "got", "spare", "passed")
+
+
+def n_blocks(blocks: int, words: float, least: float, shards: int) -> int:
+    """``blocks``, or one for every word of the mix where there are fewer, or
+    where the smallest target would have under ``FINE`` for each shard."""
+    if blocks >= words or least * blocks < FINE * shards * words:
+        return max(1, int(words))
+    return max(1, blocks)
 
 
 def prefix_digits(n_rows: int, shards: int, range_rows: int) -> int:
@@ -80,29 +114,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     places = sources.select("source", "source_size", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("place"))
     placed = cut(places.join(targets(places.select("place", "source_size")).drop("source_size"), "place"))
-    n_sources, total = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
-    seats = max(1, min(blocks, int(SHARE * total)))
+    n_sources, total, least = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))).first()
+    seats = n_blocks(blocks, SHARE * total, least, shards)
     block = max(1.0, SHARE * total / seats)
-
-    # Blocks to sources.  At least ``seats`` quotients reach this bound: each source has more than (target / bound - 1) / 2 of them.
-    bound = F.lit(max(SHARE * total, 1.0) / (2 * seats + n_sources))
-    best = (
-        placed.select("place", "target", F.explode(quotients(F.col("target"), bound)).alias("j"))
-        .select("place", (F.col("target") / (2 * F.col("j") + 1)).alias("q"), "j").orderBy(F.col("q").desc(), "place", "j").limit(seats)
-    )
-    quotas = placed.join(F.broadcast(best.groupBy("place").agg(F.count(F.lit(1)).alias("quota"))), "place", "left").na.fill(0, ["quota"])
-
-    # A source's blocks to its shards.
-    parts = cells.join(checked_broadcast(quotas, n_sources, 100), cells.source.eqNullSafe(quotas.source)).select("place", "shard", "cell_size", "source_size", "quota")
-    own = F.col("source_size") / (2 * F.col("quota") + shards)
-    ranked = parts.where("quota > 0").select("place", "shard", "quota", "cell_size", F.explode(quotients(F.col("cell_size").cast("double"), own)).alias("j"))
-    order = Window.partitionBy("place").orderBy((F.col("cell_size") / (2 * F.col("j") + 1)).desc(), "shard", "j")
-    won = ranked.withColumn("n", F.row_number().over(order)).where("n <= quota").groupBy("place", "shard").agg(F.count(F.lit(1)).alias("won"))
-    words = F.least(F.floor(F.coalesce("won", F.lit(0)) * block).cast("long"), MOST * F.col("cell_size"))
-    shares = (
-        cells.join(checked_broadcast(quotas, n_sources, 100), cells.source.eqNullSafe(quotas.source)).select(cells.source, "place", "shard", "cell_size", "source_size", "target")
-        .join(won, ["place", "shard"], "left").withColumn("words", words).drop("won")
-    )
+    room = lambda size: F.ceil(MOST * F.col(size) / block).cast("long")
+
+    # Blocks to sources, then a source's blocks to its shards.
+    quotas = apportioned(placed, [], F.col("target"), F.lit(seats).cast("long"), F.lit(max(SHARE * total, 1.0)), n_sources, ["place"], room("source_size")).withColumnRenamed("won", "quota")
+    quotas = checked_broadcast(cut(quotas), n_sources, 100)
+    parts = cells.join(quotas, cells.source.eqNullSafe(quotas.source)).select(cells.source, "place", "shard", "cell_size", "source_size", "target", "quota")
+    shares = apportioned(parts, ["place"], F.col("cell_size"), F.col("quota"), F.col("source_size"), shards, ["shard"], room("cell_size"))
+    words = F.least(F.floor(F.col("won") * block).cast("long"), MOST * F.col("cell_size"))
+    shares = shares.withColumn("words", words).drop("won", "quota")
     shares = checked_broadcast(cut(shares).withColumnRenamed("source", "of"), n_sources * shards, 100)
 
     # Words before a row in its shard: those of the ranges before its own, and those before it in its range.

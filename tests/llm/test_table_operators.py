@@ -1,6 +1,7 @@
 """Shards, mix, archives, URL lists, search and the pipeline against brute force."""
 
 import collections
+import math
 import os
 import re
 import tempfile
@@ -104,6 +105,42 @@ def test_sainte_lague_quotas():
         assert sum(int((w / bound + 1) // 2) for w in weights) >= seats
 
 
+def mixed_sums(docs, **options):
+    """Words taken, target and size of every source."""
+    got = docs.join(mixing.mix(docs, **options), "doc_id").groupBy("source")
+    return {r.source: (r.t, r.target, r.n) for r in got.agg(F.sum("taken").alias("t"), F.max("target").alias("target"), F.sum("size").alias("n")).collect()}
+
+
+def test_mix_keeps_tiny_sources_beside_a_huge_one(spark):
+    """A block may hold more words than a source; no source loses its target by that."""
+    rows = [("huge", 20_000)] * 40 + [("s0", 1)] + [("s1", 1)] * 2 + [("s2", 30)] * 10 + [("s3", 7)] * 90
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    for options in ({}, {"blocks": 64}, {"blocks": 64, "shards": 3}):
+        sums = mixed_sums(docs, **options)
+        assert sum(t for t, _, _ in sums.values()) == int(1.5 * sum(n for _, n in rows))
+        assert all(abs(t - target) <= 1 for t, target, _ in sums.values()), sums
+        assert all(sums[s][0] == 2 * sums[s][2] for s in ("s0", "s1", "s2", "s3"))
+
+
+def test_mix_passes_on_what_is_over_twice_a_size(spark):
+    """Against Sainte-Laguë one seat at a time; seats over the room go to the most room left."""
+    rows = [(g, i, w) for g, ws in enumerate(([700, 90, 9, 1, 0], [3, 3, 3, 3], [10**9, 1, 1], [5])) for i, w in enumerate(ws)]
+    df = spark.createDataFrame([(g, i, w, seats, sum(x[2] for x in rows if x[0] == g)) for seats in (1, 7, 50, 999) for g, i, w in rows], "g int, i int, w long, seats long, whole long")
+    cap = F.ceil(F.col("w") / 2 + 1)
+    wide = mixing.apportioned(df.where("g < 4"), ["g", "seats"], F.col("w"), F.col("seats"), F.col("whole"), 5, ["i"], F.lit(10**6)).collect()
+    tight = mixing.apportioned(df, ["g", "seats"], F.col("w"), F.col("seats"), F.col("whole"), 5, ["i"], cap).collect()
+    for seats in (1, 7, 50, 999):
+        for g in range(4):
+            own = [w for h, _, w in rows if h == g]
+            won = [0] * len(own)
+            for _ in range(seats):
+                won[min(range(len(own)), key=lambda i: (-own[i] / (2 * won[i] + 1), i))] += 1
+            assert [r.won for r in sorted(wide) if (r.g, r.seats) == (g, seats)] == won
+            kept = [r for r in tight if (r.g, r.seats) == (g, seats)]
+            most = [math.ceil(r.w / 2 + 1) for r in kept]
+            assert all(r.won <= m for r, m in zip(kept, most, strict=True)) and sum(r.won for r in kept) == min(seats, sum(most))
+
+
 def test_warc_records_are_standard_gzip_members(spark):
     path = shared_dir(spark, "test-warc")
     pages = spark.createDataFrame(
