@@ -16,8 +16,14 @@ a count beforehand; their windows go singly, pre-aggregated to the smallest
 id before they are shuffled.  The count is of a sample of documents
 (``SAMPLE``); it only decides which of the two exact ways a window goes.
 
-Defined results: a null text has no words; null ids come after all others and
-rows of one id don't remove from each other (repeated rows stay alike); an
+A document is a row key: the id, and ``row``, which is 0 for an id with one
+text, below 0 (by the text's hash) for an id with several texts, and a row
+number from 1 on for a null id.  Super-k-mers carry both, documents stand in
+the order of both, and runs are grouped and joined by both.
+
+Defined results: a null text has no words; null ids come after all others, each
+row a document of its own, in no defined order; rows of one id and text are one
+document (repeated rows stay alike), other texts of an id other documents; an
 empty table gives an empty table.
 """
 
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskscope.llm.common import cut, free_name, lean, ragged, raw_texts, ship
+from riskscope.llm.common import checked_broadcast, cut, free_name, lean, ragged, raw_texts, ship
 
 WINDOW = 20
 MER = 4
@@ -96,10 +102,10 @@ def _mers(hashes: np.ndarray, mer: int) -> np.ndarray:
 
 
 class Kmers:
-    """The super-k-mers of some texts: minimiser, id, first word, windows and
+    """The super-k-mers of some texts: minimiser, id, row, first word, windows and
     the bytes from ``begin`` to ``end`` of ``data``."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], window: int) -> None:
+    def __init__(self, ids: np.ndarray, texts: list[bytes], window: int, rows: np.ndarray | None = None) -> None:
         plain = [b" ".join(t.split()) for t in texts]
         counts = np.fromiter((t.count(b" ") + 1 if t else 0 for t in plain), np.int64, len(plain))
         some = np.flatnonzero(counts >= window)
@@ -107,7 +113,7 @@ class Kmers:
         self.data = np.frombuffer(self.raw, np.uint8)
         if not some.size:
             self.minimiser = np.zeros(0, np.uint64)
-            self.ids = self.first = self.windows = self.begin = self.end = np.zeros(0, np.int64)
+            self.ids = self.rows = self.first = self.windows = self.begin = self.end = np.zeros(0, np.int64)
             return
         counts, ids = counts[some], ids[some]
         begin, end = _spans(self.data)
@@ -119,6 +125,7 @@ class Kmers:
         self.windows = np.diff(np.concatenate([new, [len(start)]]))
         self.minimiser, owner, word = low[new], text[new], start[new]
         self.ids, self.first = ids[owner], word - (np.cumsum(counts) - counts)[owner]
+        self.rows = np.zeros(len(owner), np.int64) if rows is None else rows[some][owner]
         self.begin, self.end = begin[word], end[word + self.windows + window - 2]
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -127,14 +134,14 @@ class Kmers:
 
 
 def _pieces(batch: pa.RecordBatch, window: int, size: int = 8 << 20) -> Iterator[Kmers]:
-    """Super-k-mers of a batch of (id, text), some megabytes of text at a time."""
-    ids = np.asarray(batch.column(0).fill_null(NULL_ID))
-    texts = raw_texts(batch.column(1))
+    """Super-k-mers of a batch of (id, row, text), some megabytes of text at a time."""
+    ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+    texts = raw_texts(batch.column(2))
     at = held = 0
     for i, t in enumerate(texts):
         held += len(t)
         if held >= size or i + 1 == len(texts):
-            yield Kmers(ids[at : i + 1], texts[at : i + 1], window)
+            yield Kmers(ids[at : i + 1], texts[at : i + 1], window, rows[at : i + 1])
             at, held = i + 1, 0
 
 
@@ -170,7 +177,7 @@ def _blocks(window: int, buckets: int, hot):
                 for part in np.split(cold, np.flatnonzero(np.diff(bucket[cold])) + 1):
                     if part.size:
                         rows["bucket"].append(int(bucket[part[0]]))
-                        rows["block"].append(pack(b"".join([np.int64(len(part)).tobytes(), *(x.tobytes() for x in k.take(part))])))
+                        rows["block"].append(pack(b"".join([np.int64(len(part)).tobytes(), k.rows[part].tobytes(), *(x.tobytes() for x in k.take(part))])))
             yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["block"], pa.binary())], names=["bucket", "block"])
 
     return run
@@ -178,8 +185,8 @@ def _blocks(window: int, buckets: int, hot):
 
 def _unpack(block: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(block, np.int64, 1)[0])
-    head = np.frombuffer(block, np.int64, 4 * n, 8).reshape(4, n)
-    return [*head, np.frombuffer(block, np.uint8, -1, 8 + 32 * n)]
+    head = np.frombuffer(block, np.int64, 5 * n, 8).reshape(5, n)
+    return [*head, np.frombuffer(block, np.uint8, -1, 8 + 40 * n)]
 
 
 def repeated(parts: list[list[np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,20 +228,36 @@ def repeated(parts: list[list[np.ndarray]], window: int) -> tuple[np.ndarray, np
     return own[hit], start[hit]
 
 
+def _ranked(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+    """Row and id of a bucket's documents in their order; the parts with the
+    place there instead of row and id."""
+    rows, ids = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.lexsort((rows, ids))
+    new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (rows[order][1:] != rows[order][:-1])])
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.cumsum(new) - 1
+    split = np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1])
+    return rows[order][new], ids[order][new], [[at, *p[2:]] for at, p in zip(split, parts, strict=True)]
+
+
 def _strings(part: list[np.ndarray]) -> list[bytes]:
     raw = part[4].tobytes()
     end = np.cumsum(part[3])
     return [raw[s:e] for s, e in zip((end - part[3]).tolist(), end.tolist(), strict=True)]
 
 
-def _runs(ids: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
-    """Windows as runs of words (id, from, to), neighbours as one."""
-    order = np.lexsort((start, ids))
-    ids, start = ids[order], start[order]
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (start[1:] > start[:-1] + 1)])[: len(ids)]
+def _runs(parts: list[list[np.ndarray]], window: int) -> pa.RecordBatch:
+    """Repeated windows of a bucket as runs of words (id, row, from, to),
+    neighbours as one."""
+    rows, ids, parts = _ranked(parts)
+    place, start = repeated(parts, window)
+    order = np.lexsort((start, place))
+    place, start = place[order], start[order]
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | (start[1:] > start[:-1] + 1)])[: len(place)]
     head = np.flatnonzero(new)
-    tail = np.concatenate([head[1:], [len(ids)]])[: len(head)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(start[head]), pa.array(start[tail] + window)], names=["id", "from", "to"])
+    tail = np.concatenate([head[1:], [len(place)]])[: len(head)] - 1
+    own = place[head]
+    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(rows[own]), pa.array(start[head]), pa.array(start[tail] + window)], names=["id", "row", "from", "to"])
 
 
 def _found(window: int):
@@ -246,13 +269,13 @@ def _found(window: int):
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != now and parts:
-                    yield _runs(*repeated(parts, window), window)
+                    yield _runs(parts, window)
                     parts = []
                     lean()
                 now = bucket
                 parts.append(_unpack(unpack(block.as_py())))
         if parts:
-            yield _runs(*repeated(parts, window), window)
+            yield _runs(parts, window)
 
     return run
 
@@ -267,9 +290,9 @@ def _hot_windows(window: int, hot):
                     rows: list[tuple] = []
                     for i in part.tolist():
                         words = k.raw[k.begin[i] : k.end[i]].split(b" ")
-                        rows += [(int(k.ids[i]), int(k.first[i]) + j, b" ".join(words[j : j + window])) for j in range(int(k.windows[i]))]
-                    cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["id", "start", "words"])
+                        rows += [(int(k.ids[i]), int(k.rows[i]), int(k.first[i]) + j, b" ".join(words[j : j + window])) for j in range(int(k.windows[i]))]
+                    cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["id", "row", "start", "words"])
 
     return run
 
@@ -278,18 +301,31 @@ def _hot_runs(docs: DataFrame, window: int, hot) -> DataFrame:
     """Runs of repeated windows of hot minimisers.  The first start of a
     window is the first start in its smallest id; both are plain minima that
     combine before the shuffle."""
-    rows = cut(docs.mapInArrow(_hot_windows(window, hot), "id bigint, start bigint, words binary"))
-    per_id = rows.groupBy("words", "id").agg(F.min("start").alias("in_id"))
-    first = cut(per_id.groupBy("words").agg(F.min("id").alias("first"), F.min_by("in_id", "id").alias("at")).withColumnRenamed("words", "w"))
-    hit = rows.join(first, F.col("words") == F.col("w")).where((F.col("id") != F.col("first")) | (F.col("start") != F.col("at")))
-    return hit.select("id", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, sample: float = SAMPLE) -> DataFrame:
-    """``id``, ``from``, ``to``: runs of words covered by windows that also
-    start earlier.  Runs may overlap."""
+    rows = cut(docs.mapInArrow(_hot_windows(window, hot), "id bigint, row bigint, start bigint, words binary"))
+    per_id = rows.groupBy("words", "id", "row").agg(F.min("start").alias("in_id"))
+    first = cut(per_id.groupBy("words").agg(F.min(F.struct("id", "row", "in_id")).alias("first")).withColumnRenamed("words", "w"))
+    hit = rows.join(first, F.col("words") == F.col("w")).where(F.struct("id", "row", F.col("start").alias("in_id")) != F.col("first"))
+    return hit.select("id", "row", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, key: str, row: str) -> DataFrame:
+    """``docs`` with the row key: ``key`` (the id, ``NULL_ID`` for null) and
+    ``row``.  Rows of null ids are written, so that their numbers stay."""
+    number, text = F.col(f"`{id_col}`").cast("long"), F.xxhash64(text_col)
+    known = docs.where(number.isNotNull()).withColumn(key, number)
+    several = known.groupBy(F.col(key).alias("of")).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("of")
+    several = cut(several)
+    known = known.join(checked_broadcast(several, several.count(), 16), F.col(key) == F.col("of"), "left")
+    known = known.withColumn(row, F.when(F.col("of").isNotNull(), text.bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.lit(0).cast("long"))).drop("of")
+    null = cut(docs.where(number.isNull()).withColumn(key, F.lit(int(NULL_ID))).withColumn(row, F.monotonically_increasing_id() + 1))
+    return known.unionByName(null)
+
+
+def repeats(docs: DataFrame, key: str, row: str, text_col: str = "text", window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, sample: float = SAMPLE) -> DataFrame:
+    """``id``, ``row``, ``from``, ``to``: runs of words covered by windows that
+    also start earlier.  Runs may overlap."""
     spark = ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(key).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     counted = rows.sample(False, sample, 5) if sample < 1 else rows
     counted = counted.mapInArrow(_minimisers(window), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n"))
     often = counted.where(F.col("n") > hot * sample).orderBy(F.col("n").desc(), "minimiser").limit(MAX_HOT)
@@ -299,7 +335,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     buckets = int(min(MAX_BUCKETS, max(1, size // bucket_bytes)))
     parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 16)))
     blocks = rows.mapInArrow(_blocks(window, buckets, sent), "bucket int, block binary")
-    found = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_found(window), "id bigint, from bigint, to bigint")
+    found = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_found(window), "id bigint, row bigint, from bigint, to bigint")
     return found.unionByName(_hot_runs(rows, window, sent)) if keys else found
 
 
@@ -338,11 +374,13 @@ def removed(text: Column, runs: Column) -> Column:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "dedup", **options) -> DataFrame:
     """``docs`` with struct column ``out``: n_words, n_removed and kept_text
     (the kept words joined by one blank; null where nothing is removed)."""
-    runs = repeats(docs, id_col, text_col, **options)
-    name, key = free_name(docs, "dedup_runs"), free_name(docs, "dedup_id")
-    per = runs.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("from", "to")).alias(name))
-    whole = docs.join(per, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NULL_ID))) == F.col(key), "left")
-    return whole.withColumn(out, removed(F.col(text_col), F.col(name))).drop(name, key)
+    name, key, row, of, of_row = (free_name(docs, x) for x in ("dedup_runs", "dedup_id", "dedup_row", "dedup_of", "dedup_of_row"))
+    docs = keyed(docs, id_col, text_col, key, row)
+    runs = repeats(docs, key, row, text_col, **options)
+    # A set: rows that repeat a document find its runs again.
+    per = runs.groupBy(F.col("id").alias(of), F.col("row").alias(of_row)).agg(F.collect_set(F.struct("from", "to")).alias(name))
+    whole = docs.join(per, (F.col(key) == F.col(of)) & (F.col(row) == F.col(of_row)), "left")
+    return whole.withColumn(out, removed(F.col(text_col), F.col(name))).drop(name, key, row, of, of_row)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:

@@ -168,6 +168,24 @@ def test_substring_odd_rows(spark):
     assert substring.without_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 10**6])
+def test_substring_null_and_repeated_ids_with_other_texts(spark, hot):
+    """Runs meet the row they were found in; null ids are documents of their own."""
+    words = lambda a, n: [f"{a}{i}" for i in range(n)]
+    text = lambda *parts: " ".join(sum(parts, []))
+    seven = words("p", 100)
+    one = text(words("a", 100), seven, words("b", 100))
+    rows = [(7, text(seven)), (None, one), (None, text(words("c", 50))), (None, text(words("d", 250))), (3, text(words("e", 60))), (3, text(words("f", 10), seven)), (3, None)]
+    rows += [(None, text(words("z", 40)))] * 2 + [(9, text(words("g", 30)))] * 2 + [(2**63 - 1, text(words("h", 30), words("a", 30)))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=20, hot=hot, bucket_bytes=1_000, sample=1.0)
+    gone = sorted((str(r.doc_id), r.text or "", r.dedup.n_removed) for r in got.collect())
+    # Ids come before: 3's passage is the first, those of 7 and of a null id repeat it; of two equal rows without an id one stays.
+    want = dict.fromkeys(rows, 0) | {rows[0]: 100, rows[1]: 130}
+    twice = sorted((str(i), t or "", want[i, t]) for i, t in rows)
+    at = max(n for n, r in enumerate(twice) if r[1].startswith("z0 "))
+    assert gone == sorted([*twice[:at], ("None", twice[at][1], 40), *twice[at + 1 :]])
+
+
 def test_counts_against_plain_python():
     for t in ["a b c a b c d", "x\nx\n\n y # $\nx", "É É É É\n!! ..", "one", "", "p q r " * 5 + "\x85"]:
         words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
