@@ -111,10 +111,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> np.nda
     ship(docs.sparkSession)
     ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # Rows that repeat an id can exceed the bound: the largest counts of each.
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "label", counted(F.col("text")).alias("c")).collect()
+        .select("doc_id", "label", counted(F.col("text")).alias("c")).groupBy("doc_id").agg(F.max(F.struct("label", "c")).alias("one")).collect()
     )
-    # Rows that repeat an id can exceed the bound: one of each.
-    one = {r.doc_id: [r.label, *r.c] for r in sorted(rows, key=lambda r: (r.doc_id, r.c))}
+    one = {r.doc_id: [r.one.label, *r.one.c] for r in rows}
     return np.array([one[k] for k in sorted(one)], np.int64).reshape(-1, 1 + len(COUNTS))

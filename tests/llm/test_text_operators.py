@@ -198,6 +198,17 @@ def test_counts_against_plain_python():
         assert c["n_repeat_words"] == len(covered)
 
 
+def test_labelled_sample_collects_one_row_of_an_id(spark, monkeypatch):
+    rows = [(1, "a " * (i % 40 + 1)) for i in range(500)] + [(2, "b"), (3, None), (None, "c")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    real, seen = type(docs).collect, []
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(real(self)) or seen[-1])
+    got = stats.labelled_sample(docs, labels, 20_000)
+    assert max(map(len, seen)) == 3
+    counts = [max(stats.counts(("a " * n).encode()) for n in range(1, 41)), stats.counts(b"b"), stats.counts(b"")]
+    assert got.tolist() == [[label, *c] for label, c in zip((1, 0, 1), counts, strict=True)]
+
+
 def test_quality_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
