@@ -11,7 +11,8 @@ round at most twice, so that at most one document per shard is taken in part.
 With blocks of more than a word, a shard taken twice may leave less than one.
 
 Only DataFrame operations.  Windows see one range of the order in a shard of
-one source (``RANGE_ROWS`` rows or so, whatever the input's size), the table of
+one source (``RANGE_ROWS`` rows or so, whatever the input's size and however
+often an id, or none, stands in it), the table of
 these ranges' sizes, that of the sources, or about two quotients for each
 source, or for each shard of one.
 
@@ -100,15 +101,34 @@ def prefix_digits(n_rows: int, shards: int, range_rows: int) -> int:
     return digits
 
 
+def ranged(sized: DataFrame, shards: int, range_rows: int) -> DataFrame:
+    """``sized`` with ``range``, a stretch of the order by key, id and size.  A
+    key of over ``range_rows`` rows (null, or one id repeated) has a range for
+    every size, and rows that are equal in all of them are dealt by ``uid``."""
+    digits = prefix_digits(sized.count(), shards, range_rows)
+    often = sized.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > range_rows)
+    keys = sorted(r.key for r in often.collect())  # at most a row for every ``range_rows``
+    prefix, no = F.substring("key", 1, digits), F.lit(0).cast("long")
+    if not keys:
+        return sized.withColumn("range", F.struct(prefix.alias("prefix"), no.alias("stretch"), no.alias("known"), no.alias("of_size"), no.alias("deal")))
+    known = F.col("id").isNotNull().cast("long")
+    below = F.size(F.filter(F.array(*map(F.lit, keys)), lambda k: k < F.col("key"))).cast("long")
+    hot = F.col("key").isin(keys)
+    alike = sized.where(hot).groupBy(F.col("key").alias("of_key"), F.col("size").alias("alike_size")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > range_rows)
+    out = sized.join(F.broadcast(alike), (F.col("key") == F.col("of_key")) & (F.col("size") == F.col("alike_size")), "left")
+    deal = F.coalesce(F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / range_rows)), no)
+    parts = [(2 * below + hot.cast("long")).alias("stretch"), *(F.when(hot, x).otherwise(no).alias(a) for x, a in ((known, "known"), (F.col("size"), "of_size"), (deal, "deal")))]
+    return out.withColumn("range", F.struct(prefix.alias("prefix"), *parts)).drop("of_key", "alike_size", "n")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, blocks: int = BLOCKS, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per row: ``id_col``, ``size``, ``source_size``, ``target`` and ``taken``."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = cut(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("uid"))
         .withColumn("shard", (F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % shards))
     )
-    digits = prefix_digits(sized.count(), shards, range_rows)
-    sized = sized.withColumn("range", F.substring("key", 1, digits))
+    sized = ranged(sized, shards, range_rows)
     ranges = cut(sized.groupBy("source", "shard", "range").agg(F.sum("size").alias("range_size")))
     cells = ranges.groupBy("source", "shard").agg(F.sum("range_size").alias("cell_size"))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))

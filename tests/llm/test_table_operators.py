@@ -141,6 +141,20 @@ def test_mix_passes_on_what_is_over_twice_a_size(spark):
             assert all(r.won <= m for r, m in zip(kept, most, strict=True)) and sum(r.won for r in kept) == min(seats, sum(most))
 
 
+def test_mix_ranges_divide_repeated_ids(spark):
+    """A third of the rows without an id, a third of one id, half of these alike."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 1, 7).when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") % 90).cast("int")).alias("text")
+    )
+    sized = df.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), F.monotonically_increasing_id().alias("uid"))
+    rows = mixing.ranged(sized, 2, 40)
+    assert rows.count() == 3000 and rows.groupBy("range").count().agg(F.max("count")).first()[0] <= 80
+    ordered = [(r.key, r.id is not None, r.size) for r in rows.orderBy("range", "key", "id", "size").collect()]
+    assert ordered == sorted(ordered)
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert rows(mixing.mix(df, shards=2)) == rows(mixing.mix(df, shards=2, range_rows=40))
+
+
 def test_warc_records_are_standard_gzip_members(spark):
     path = shared_dir(spark, "test-warc")
     pages = spark.createDataFrame(
