@@ -262,21 +262,45 @@ class WarcReader(DataSourceReader):
         return at + end + 4 + length + 4
 
     def _foreign(self, f, at: int) -> Iterator[tuple[Headers, bytes]]:
-        """A gzip member of unknown length."""
-        inflate, parts, used = zlib.decompressobj(31), [], at
+        """A gzip member of unknown length and its records, one or more."""
+        inflate, raw, rest, used = zlib.decompressobj(31), bytearray(), b"", at
         f.seek(at)
-        while not inflate.eof:
-            part = f.read(1 << 16)
-            if not part:
-                raise ValueError("a record ends early")
-            parts.append(inflate.decompress(part))
-            used += len(part)
-        raw = b"".join(parts)
-        end = raw.find(b"\r\n\r\n")
-        headers = Headers(raw[:end])
-        if self.matches(headers):
-            yield headers, raw[end + 4 : end + 4 + int(headers.named["content-length"])]
-        return used - len(inflate.unused_data)
+
+        def more() -> bool:
+            nonlocal rest, used
+            if inflate.eof:
+                return False
+            if not rest:
+                rest = f.read(1 << 16)
+                used += len(rest)
+                if not rest:
+                    raise ValueError("a record ends early")
+            raw.extend(inflate.decompress(rest, 1 << 20))
+            rest = inflate.unconsumed_tail
+            return True
+
+        while True:
+            while (end := raw.find(b"\r\n\r\n")) < 0:
+                if not more():
+                    if raw.strip():
+                        raise ValueError("a record ends early")
+                    return used - len(inflate.unused_data)
+            headers = Headers(bytes(raw[:end]))
+            wanted, left = self.matches(headers), int(headers.named["content-length"])
+            del raw[: end + 4]
+            while len(raw) < left:
+                if not wanted:  # not kept
+                    left -= len(raw)
+                    raw.clear()
+                if not more():
+                    raise ValueError("a record ends early")
+            if wanted:
+                yield headers, bytes(raw[:left])
+            del raw[:left]
+            while len(raw) < 4 and more():
+                pass
+            if raw[:4] == b"\r\n\r\n":
+                del raw[:4]
 
 
 class WarcSource(DataSource):

@@ -188,6 +188,20 @@ def test_warc_records_are_standard_gzip_members(spark):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_members_of_several_records(spark):
+    """An archive compressed as a whole, and members of one and of three records."""
+    import gzip
+
+    record = lambda i, kind, body: warc.record(dict(record_id=i, warc_type=kind, date=None, target_uri="u", refers_to=None, payload_digest=None, payload_length=len(body), payload=body))
+    big = os.urandom(3_000_000)
+    all_of = [record("a", "response", b"hi"), record("b", "resource", big), record("c", "response", b"")]
+    path = tempfile.mkdtemp(prefix="run-")
+    open(f"{path}/x.warc.gz", "wb").write(gzip.compress(b"".join(all_of)) + gzip.compress(all_of[0]) + gzip.compress(b"".join(all_of)))
+    got = warc.read(spark, path)
+    assert sorted((r.record_id, bytes(r.payload)) for r in got.collect()) == sorted([("a", b"hi")] * 3 + [("b", big)] * 2 + [("c", b"")] * 2)
+    assert got.where("warc_type = 'response'").count() == 5
+
+
 def test_warc_pushes_filters_and_skips_payloads(spark):
     reader = warc.WarcReader("/nowhere", False, 1)
     from pyspark.sql.datasource import EqualTo, GreaterThan
