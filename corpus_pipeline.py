@@ -56,7 +56,8 @@ STAGES = [
     ("byte-level bpe", token_ids),
 ]
 
-#: SQL has neither isolation forests, XXH64 nor BPE; tests hold the rows against a brute-force version.
+#: SQL has neither isolation forests, XXH64 nor BPE.  Tests hold near duplicates, passages and token ids against brute force operator
+#: by operator and the mix against SQL; of the stages together they compare row counts only.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -37,6 +38,34 @@ def test_sharding_query(spark):
     shards_of(got)
 
 
+def brute_shards(rows, shards):
+    """(id, text) -> id: (shard, slot), by one sort of all rows and the bytes before each."""
+    size = lambda t: len((t or "").encode()) + 16
+    key = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)
+    rows, total = sorted((key(t), i, size(t)) for i, t in rows), sum(size(t) for _, t in rows)
+    group, start, out, at, slots = collections.Counter(), {}, {}, 0, collections.Counter()
+    for k, _, n in rows:
+        group[k] += n
+    for k, i, n in rows:
+        start.setdefault(k, at)
+        whole = group[k] <= 0.05 * total / shards
+        s = min(shards - 1, (2 * start[k] + group[k] if whole else 2 * at + n) * shards // (2 * total))
+        out[i] = (s, slots[s])
+        slots[s] += 1
+        at += n
+    return out
+
+
+def test_sharding_against_a_plain_sort(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: (r.shard, r.slot) for r in queries.op2_sharding(spark, SF).collect()}
+    assert got == brute_shards([(r.doc_id, r.text) for r in docs.collect()], 40)
+    rows = [(i, "hot " * 20 if i % 3 == 0 else None if i % 100 == 7 else f"t {i % 2000}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for range_bytes in (1 << 10, 32 << 20):
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df, shards=9, range_bytes=range_bytes).collect()} == brute_shards(rows, 9)
+
+
 def test_sharding_is_the_whole_order_cut_at_equal_bytes(spark):
     """Against a plain sort; a hot text is divided, other groups stay whole."""
     df = spark.range(6000).select(
