@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, mixing, quality, rules, sharding, simhash, substring, topk, urlfilter, warc
+from riskscope.llm import bpe, merkle, mixing, quality, rules, sharding, simhash, substring, topk, urlfilter, warc
 from riskscope.llm.common import documents, shared_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -105,6 +105,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, roots and proof of every document, and whether a row that
+    may have been tampered with still folds to the root."""
+    own = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = documents(spark, sf_dir).select(
+        "doc_id", "source", merkle.leaf(*own, F.col("text")).alias("leaf"), F.when(hit, merkle.leaf(*own, low)).alias("tampered")
+    )
+    out = merkle.manifest(rows).withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sharding": op2_sharding,
@@ -116,7 +131,19 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
+    "op11_merkle": op11_merkle,
 }
+
+
+def _field_sql(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}, '-')"
+
+
+_HEAD_SQL = " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))
+_LOW_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of the decimal id, bit by bit over its bytes.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(doc_id::varchar[i])::bigint)),
+                  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
@@ -182,4 +209,25 @@ ORACLE: dict[str, str] = {
         select doc_id, size, source_size::bigint as source_size, target,
                (case when cell_size > 0 then (words // cell_size) * size + greatest(0, least(size, words % cell_size - start)) else 0 end)::bigint as taken
         from g""",
+    "op11_merkle": f"""
+        with recursive d as (select doc_id, source, sha256({_HEAD_SQL} || {_field_sql("text")}) as leaf, sha256({_HEAD_SQL} || {_field_sql(_LOW_SQL)}) as low,
+                                    coalesce({_CRC_SQL} % 5 = 0, false) as hit, row_number() over () as uid from documents),
+        x as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by source) as n from d),
+        t as (select source, 0 as lvl, place, n, leaf as h from x
+              union all select source, lvl + 1, place // 16, max(n + 15) // 16, sha256(string_agg(h, '' order by place)) from t where n > 1 group by source, lvl, place // 16),
+        s as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n from t where n = 1),
+        v as (select 0 as lvl, place, n, subroot as h from s
+              union all select lvl + 1, place // 16, max(n + 15) // 16, sha256(string_agg(h, '' order by place)) from v where n > 1 group by lvl, place // 16),
+        below as (select uid, lvl, string_agg(h, '' order by t.place) filter (t.place < x.place >> (4 * lvl)) as a, string_agg(h, '' order by t.place) filter (t.place > x.place >> (4 * lvl)) as b
+                  from x join t on x.source is not distinct from t.source where t.n > 1 and t.place // 16 = x.place >> (4 * lvl + 4) group by uid, lvl),
+        above as (select source, lvl, string_agg(h, '' order by v.place) filter (v.place < s.place >> (4 * lvl)) as a, string_agg(h, '' order by v.place) filter (v.place > s.place >> (4 * lvl)) as b
+                  from s join v on v.n > 1 and v.place // 16 = s.place >> (4 * lvl + 4) group by source, lvl),
+        path as (select uid, lvl, coalesce(a, '') as a, coalesce(b, '') as b from below
+                 union all select uid, 100 + lvl, coalesce(a, ''), coalesce(b, '') from x join above on x.source is not distinct from above.source),
+        step as (select *, row_number() over (partition by uid order by lvl) as k, count(*) over (partition by uid) as steps from path),
+        fold as (select uid, 0 as k, case when hit then low else leaf end as h from x union all select uid, step.k, sha256(a || h || b) from fold join step using (uid) where step.k = fold.k + 1),
+        proof as (select uid, sha256(string_agg(a || b, '' order by k)) as proof_sha256 from step group by uid),
+        done as (select uid, max_by(h, k) as folded_root from fold group by uid)
+        select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+        from x join s on x.source is not distinct from s.source join done using (uid) left join proof using (uid), (select h as root from v where n = 1)""",
 }
