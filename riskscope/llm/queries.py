@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, merkle, mixing, quality, rules, sharding, simhash, substring, topk, urlfilter, warc
+from riskscope.llm import bpe, merkle, mixing, quality, rules, sharding, simhash, substring, topk, trie, urlfilter, warc
 from riskscope.llm.common import documents, shared_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -120,6 +120,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt to share heads."""
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return trie.prefix_trie(turns, share_heads=True).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_sharding": op2_sharding,
@@ -132,6 +140,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
     "op11_merkle": op11_merkle,
+    "op13_trie": op13_trie,
 }
 
 
@@ -141,9 +150,14 @@ def _field_sql(column: str) -> str:
 
 _HEAD_SQL = " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))
 _LOW_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-#: CRC-32 of the decimal id, bit by bit over its bytes.
-_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(doc_id::varchar[i])::bigint)),
+
+
+def _crc_sql(number: str) -> str:
+    """CRC-32 of a decimal number, bit by bit over its bytes."""
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({number}::varchar) + 1), lambda i: ascii(({number}::varchar)[i])::bigint)),
                   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
@@ -211,7 +225,7 @@ ORACLE: dict[str, str] = {
         from g""",
     "op11_merkle": f"""
         with recursive d as (select doc_id, source, sha256({_HEAD_SQL} || {_field_sql("text")}) as leaf, sha256({_HEAD_SQL} || {_field_sql(_LOW_SQL)}) as low,
-                                    coalesce({_CRC_SQL} % 5 = 0, false) as hit, row_number() over () as uid from documents),
+                                    coalesce({_crc_sql("doc_id")} % 5 = 0, false) as hit, row_number() over () as uid from documents),
         x as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by source) as n from d),
         t as (select source, 0 as lvl, place, n, leaf as h from x
               union all select source, lvl + 1, place // 16, max(n + 15) // 16, sha256(string_agg(h, '' order by place)) from t where n > 1 group by source, lvl, place // 16),
@@ -230,4 +244,16 @@ ORACLE: dict[str, str] = {
         done as (select uid, max_by(h, k) as folded_root from fold group by uid)
         select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
         from x join s on x.source is not distinct from s.source join done using (uid) left join proof using (uid), (select h as root from v where n = 1)""",
+    "op13_trie": f"""
+        with o as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k, turn from conversations where conv_id is not null),
+        a as (select c, list({{'k': k, 'b': strlen(text)}} order by turn nulls first, k) as own from o group by c),
+        b as (select a.c, list_concat(coalesce(base.own, [])[:h], a.own[h + 1:]) as turns from (select *, {_crc_sql("c")} % 9 as h from a) a left join a base on base.c = a.c - a.c % 5),
+        r as (select c, d, len(turns) as n, sha256(array_to_string(list_transform(turns[:d], lambda x: x.k), '')) as p, case when d > 0 then turns[d].b else 0 end as bytes from (select *, unnest(range(0, len(turns) + 1)) as d from b)),
+        v as (select d, p, min(c) as conv_id, count(*) as n_convs, any_value(bytes) as bytes, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '')) as ends_sha256 from r group by d, p),
+        e as (select v.d, v.p, parent.p as up, pv.conv_id as parent_conv_id from v left join r parent on parent.c = v.conv_id and parent.d = v.d - 1 left join v pv on pv.p = parent.p and pv.d = parent.d),
+        k as (select up, d, count(*) as n_children from e group by up, d),
+        w as (select v.*, coalesce(n_children, 0) as n_children from v left join k on k.up = v.p and k.d = v.d + 1),
+        s as (select r.d, r.p, sum((w.n_convs - 1) * w.bytes) as saved_tokens, count(*) filter (w.n_children = 0) as n_leaves from w join r on r.c = w.conv_id and r.d <= w.d group by r.d, r.p)
+        select conv_id, d::bigint as depth, parent_conv_id, n_convs, n_children::bigint as n_children, n_leaves, saved_tokens::bigint as saved_tokens, ends_sha256
+        from w join s using (d, p) join e using (d, p)""",
 }
