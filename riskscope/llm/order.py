@@ -77,7 +77,12 @@ def scan(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]
     (nulls first; equal rows in any order), and for each ``column: name`` of
     ``sums`` the sum up to the row, itself included.  Summed columns are bigint
     without nulls.  ``df`` is read twice and must be a written table."""
-    spark, sums = ship(df.sparkSession), sums or {}
+    spark, names_out = ship(df.sparkSession), df.columns
+    inner = {c: f"k{i}" for i, c in enumerate(names_out)}  # names without dots, which mapInArrow can't have
+    new = {n: f"n{i}" for i, n in enumerate([place, *(sums or {}).values()])}
+    back = [*names_out, *new]
+    df, group, order = df.toDF(*inner.values()), [inner[c] for c in group], [inner[c] for c in order]
+    sums, place = {inner[c]: new[n] for c, n in (sums or {}).items()}, new[place]
     uid, part, head = (free_name(df, x) for x in ("scan_uid", "scan_part", "scan_head"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.withColumn(uid, F.monotonically_increasing_id()).repartitionByRange(parts, *group, *order, uid)
@@ -86,11 +91,11 @@ def scan(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]
     rows = cut(rows.mapInArrow(_numbered(group, sums, place, part, head), T.StructType([*rows.schema.fields, *extra])))
 
     # What the groups at the partitions' heads hold in each partition; at most a row per partition and head.
-    keys = [F.col(f"`{g}`").alias(f"head_{i}") for i, g in enumerate(group)]
+    keys = [F.col(g).alias(f"head_{i}") for i, g in enumerate(group)]
     heads = rows.where(head).select(*keys).distinct()
     same = F.lit(True)
     for i, g in enumerate(group):
-        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"head_{i}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"head_{i}"))
     held = (rows.join(F.broadcast(heads), same, "left_semi") if group else rows).groupBy(*group, part)
     ends = held.agg(F.max_by(F.struct((F.col(place) + 1).alias(place), *sums.values()), place).alias("end"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -99,4 +104,4 @@ def scan(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]
     # A partition's head is the only group of it that isn't in its first partition.
     offsets = offsets.where("nth > 1").drop("nth")
     out = rows.join(F.broadcast(offsets), F.col(head) & (F.col(part) == F.col("offset_part")), "left")
-    return out.withColumns({c: F.col(c) + F.coalesce(F.col(f"offset_{i}"), F.lit(0)) for i, c in enumerate(names)}).select(*[f"`{c}`" for c in df.columns], *names)
+    return out.withColumns({c: F.col(c) + F.coalesce(F.col(f"offset_{i}"), F.lit(0)) for i, c in enumerate(names)}).select(*df.columns, *names).toDF(*back)

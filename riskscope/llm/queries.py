@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, merkle, mixing, quality, rules, sharding, simhash, substring, topk, trie, urlfilter, warc
-from riskscope.llm.common import documents, shared_dir
+from riskscope.llm import bpe, merkle, mixing, packing, quality, rules, sharding, simhash, substring, topk, trie, urlfilter, warc
+from riskscope.llm.common import cut, documents, shared_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -120,6 +120,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of all documents."""
+    rows = packing.pieces(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = cut(rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.place(rows, order=["doc_id", "piece"])
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of all conversations, rebuilt to share heads."""
     turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
@@ -140,6 +147,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
     "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
     "op13_trie": op13_trie,
 }
 
