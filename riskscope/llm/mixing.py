@@ -1,14 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is cut into equal-token blocks: ``blocks`` of them if the smallest
-target then has ``FINE`` for each of its shards, otherwise one for every word.
+The mix is cut into equal-token blocks, one for every word, at every size.
 Sources get blocks by highest quotients target / (2j + 1), then each source's
 blocks go to its shards by the shards' sizes in the same way.  All but the last
 few blocks follow from a formula, so their number costs nothing; blocks beyond
 twice a size pass to the others.  In a shard the documents stand in a seeded
 order and the mix takes the words of its quota of blocks from the front, going
 round at most twice, so that at most one document per shard is taken in part.
-With blocks of more than a word, a shard taken twice may leave less than one.
 
 Only DataFrame operations.  Windows see one range of the order in a shard of
 one source (``RANGE_ROWS`` rows or so, whatever the input's size and however
@@ -31,9 +29,7 @@ from riskscope.llm.common import WORD_PATTERN, checked_broadcast, cut, free_name
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-BLOCKS = 1 << 18
 SHARDS = 64
-FINE = 32
 NEAR = 1e-9  # of a quotient: more than doubles are off
 RANGE_ROWS = 50_000
 
@@ -84,14 +80,6 @@ def apportioned(rows: DataFrame, by: list[str], weight: Column, seats: Column, w
     return rows.withColumn("won", F.least(F.col("got"), room) + F.col("passed")).drop("sure", "left", "more", "got", "spare", "passed")
 
 
-def n_blocks(blocks: int, words: float, least: float, shards: int) -> int:
-    """``blocks``, or one for every word of the mix where there are fewer, or
-    where the smallest target would have under ``FINE`` for each shard."""
-    if blocks >= words or least * blocks < FINE * shards * words:
-        return max(1, int(words))
-    return max(1, blocks)
-
-
 def prefix_digits(n_rows: int, shards: int, range_rows: int) -> int:
     """Leading digits of the key whose ranges hold about ``range_rows`` rows.
     The first four digits tell the shard too: they and it make 16^4 ranges."""
@@ -121,7 +109,7 @@ def ranged(sized: DataFrame, shards: int, range_rows: int) -> DataFrame:
     return out.withColumn("range", F.struct(prefix.alias("prefix"), *parts)).drop("of_key", "alike_size", "n")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, blocks: int = BLOCKS, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shards: int = SHARDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Per row: ``id_col``, ``size``, ``source_size``, ``target`` and ``taken``."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sized = cut(
@@ -134,18 +122,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     places = sources.select("source", "source_size", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("place"))
     placed = cut(places.join(targets(places.select("place", "source_size")).drop("source_size"), "place"))
-    n_sources, total, least = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))).first()
-    seats = n_blocks(blocks, SHARE * total, least, shards)
-    block = max(1.0, SHARE * total / seats)
-    room = lambda size: F.ceil(MOST * F.col(size) / block).cast("long")
+    n_sources, total = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    seats = max(1, int(SHARE * total))
+    room = lambda size: MOST * F.col(size)
 
     # Blocks to sources, then a source's blocks to its shards.
     quotas = apportioned(placed, [], F.col("target"), F.lit(seats).cast("long"), F.lit(max(SHARE * total, 1.0)), n_sources, ["place"], room("source_size")).withColumnRenamed("won", "quota")
     quotas = checked_broadcast(cut(quotas), n_sources, 100)
     parts = cells.join(quotas, cells.source.eqNullSafe(quotas.source)).select(cells.source, "place", "shard", "cell_size", "source_size", "target", "quota")
     shares = apportioned(parts, ["place"], F.col("cell_size"), F.col("quota"), F.col("source_size"), shards, ["shard"], room("cell_size"))
-    words = F.least(F.floor(F.col("won") * block).cast("long"), MOST * F.col("cell_size"))
-    shares = shares.withColumn("words", words).drop("won", "quota")
+    shares = shares.withColumnRenamed("won", "words").drop("quota")
     shares = checked_broadcast(cut(shares).withColumnRenamed("source", "of"), n_sources * shards, 100)
 
     # Words before a row in its shard: those of the ranges before its own, and those before it in its range.

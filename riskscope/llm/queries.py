@@ -201,9 +201,11 @@ ORACLE: dict[str, str] = {
     "op9_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as e from embeddings
                    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        u as (select vec_id, unnest(e) as x, generate_subscripts(e, 1) as i from v),
-        s as (select q.vec_id as query_id, c.vec_id, sum(q.x * c.x)::bigint as score
-              from u q join u c on q.i = c.i and q.vec_id <> c.vec_id where q.vec_id % 50 = 0 group by 1, 2),
+        a as (select vec_id, len(e) as n, e from v where vec_id % 50 = 0 qualify row_number() over (partition by vec_id order by len(e), e) = 1),
+        q as (select vec_id, n, unnest(e) as x, generate_subscripts(e, 1) as i from a),
+        c as (select vec_id, row, len(e) as n, unnest(e) as x, generate_subscripts(e, 1) as i from (select *, row_number() over () as row from v)),
+        s as (select q.vec_id as query_id, c.vec_id, c.row, sum(q.x * c.x)::bigint as score
+              from q join c on q.i = c.i and q.n = c.n and q.vec_id <> c.vec_id group by 1, 2, 3),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, rank::integer as rank, vec_id, score from r where rank <= 5""",
     "op10_mixing": f"""
@@ -215,19 +217,14 @@ ORACLE: dict[str, str] = {
                      sum(weight) over (order by 2 * source_size / weight, place rows between current row and unbounded following) as ahead from w),
         l as (select *, (1.5::double * total - before) / ahead as level from o),
         t as (select place, source, source_size, total, least(2.0::double * source_size, (select max(level) from l where level <= most) * weight) as target from l),
-        z as (select *, greatest(1, least(262144, floor(1.5 * total))) as seats, count(*) over () as n from t),
-        q as (select place, target, unnest(range(0, floor((target / (greatest(1.5::double * total, 1) / (2 * seats + n)) + 1) / 2)::bigint)) as j, seats from z where target > 0),
-        b as (select place, row_number() over (order by target / (2 * j + 1) desc, place, j) as r, seats from q),
-        u as (select place, count(*) as quota from b where r <= seats group by place),
-        c as (select place, shard, sum(size) as cell_size from e join z on e.source is not distinct from z.source group by all),
-        x as (select place, shard, quota, cell_size, unnest(range(0, floor((cell_size::double / (source_size::double / (2 * quota + 64)) + 1) / 2)::bigint)) as j
-              from c join u using (place) join z using (place) where cell_size > 0),
-        y as (select *, row_number() over (partition by place order by cell_size::double / (2 * j + 1) desc, shard, j) as r from x),
-        v as (select place, shard, count(*) as won from y where r <= quota group by all),
-        f as (select place, shard, cell_size, least(floor(coalesce(won, 0) * greatest(1.0::double, 1.5::double * total / seats))::bigint, 2 * cell_size) as words
-              from c left join v using (place, shard) join z using (place)),
+        n as (select unnest(range(0, (select greatest(1, floor(max(target))::bigint) from t))) as j),
+        b as (select place, row_number() over (order by target / (2 * j + 1) desc, place, j) as r from t join n on 2 * j + 1 <= 2 * target + 1 where target > 0),
+        m as (select place, count(*) as quota from b where r <= (select any_value(floor(1.5 * total)) from t) group by place),
+        c as (select place, shard, sum(size) as cell_size, coalesce(any_value(quota), 0) as quota from e join t on e.source is not distinct from t.source left join m using (place) group by place, shard),
+        y as (select place, shard, row_number() over (partition by place order by cell_size / (2 * j + 1) desc, shard, j) as r, quota from c join n on j < 2 * cell_size),
+        f as (select c.place, shard, cell_size, coalesce(words, 0) as words from c left join (select place, shard, count(*) as words from y where r <= quota group by all) using (place, shard)),
         g as (select doc_id, size, source_size, target, cell_size, words, sum(size) over (partition by place, shard order by k, doc_id, size rows unbounded preceding) - size as start
-              from e join z on e.source is not distinct from z.source join f using (place, shard))
+              from e join t on e.source is not distinct from t.source join f using (place, shard))
         select doc_id, size, source_size::bigint as source_size, target,
                (case when cell_size > 0 then (words // cell_size) * size + greatest(0, least(size, words % cell_size - start)) else 0 end)::bigint as taken
         from g""",

@@ -10,10 +10,12 @@ windows, bytes decide).
 
 Packed strings of one Arrow batch and bucket go as one compressed block.
 Buckets hold about ``BUCKET_BYTES`` and are sorted within their partition, so
-that a task has one bucket in memory at a time.  Minimisers with more than
-``hot`` super-k-mers (a passage that very many documents share) are found by
-a count beforehand; their windows go singly, pre-aggregated to the smallest
-id before they are shuffled.  The count is of a sample of documents
+that a task has one bucket in memory at a time; there are as many as that
+takes.  Minimisers with more than ``hot`` super-k-mers (a passage that very many
+documents share), or more than one in ``HOT_KEYS`` of all, are found by a count
+beforehand; their windows go singly, pre-aggregated to the smallest id before
+they are shuffled.  At most ``HOT_KEYS`` minimisers can hold that much, so all
+of them are sent to the executors.  The count is of a sample of documents
 (``SAMPLE``); it only decides which of the two exact ways a window goes.
 
 A document is a row key: the id, and ``row``, which is 0 for an id with one
@@ -21,7 +23,8 @@ text, below 0 (by the text's hash) for an id with several texts, and a row
 number from 1 on for a null id.  Super-k-mers carry both, documents stand in
 the order of both, and runs are grouped and joined by both.
 
-Defined results: a null text has no words; null ids come after all others, each
+Defined results: ids are integers, other types raise TypeError; a null text has
+no words; null ids come after all others, each
 row a document of its own, in no defined order; rows of one id and text are one
 document (repeated rows stay alike), other texts of an id other documents; an
 empty table gives an empty table.
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskscope.llm.common import checked_broadcast, cut, free_name, lean, ragged, raw_texts, ship
 
@@ -42,10 +46,9 @@ WINDOW = 20
 MER = 4
 BUCKET_BYTES = 6 << 20
 PACKED = 3.2  # bytes of packed strings for a byte of text
-MAX_BUCKETS = 1 << 20
 HOT = 20_000
 SAMPLE = 1 / 32
-MAX_HOT = 2_000_000  # a bound on the hot minimisers sent to the executors (16 MB)
+HOT_KEYS = 8_000_000  # hot minimisers that can exist (64 MB to the executors)
 NULL_ID = np.iinfo(np.int64).max
 SLICE = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +181,7 @@ def _blocks(window: int, buckets: int, hot):
                     if part.size:
                         rows["bucket"].append(int(bucket[part[0]]))
                         rows["block"].append(pack(b"".join([np.int64(len(part)).tobytes(), k.rows[part].tobytes(), *(x.tobytes() for x in k.take(part))])))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["block"], pa.binary())], names=["bucket", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), pa.array(rows["block"], pa.binary())], names=["bucket", "block"])
 
     return run
 
@@ -311,32 +314,35 @@ def _hot_runs(docs: DataFrame, window: int, hot) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str, text_col: str, key: str, row: str) -> DataFrame:
     """``docs`` with the row key: ``key`` (the id, ``NULL_ID`` for null) and
     ``row``.  Rows of null ids are written, so that their numbers stay."""
-    number, text = F.col(f"`{id_col}`").cast("long"), F.xxhash64(text_col)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, it is {docs.schema[id_col].dataType.simpleString()}; number the documents first")
+    number, text, of = F.col(f"`{id_col}`").cast("long"), F.xxhash64(text_col), free_name(docs, "dedup_several")
     known = docs.where(number.isNotNull()).withColumn(key, number)
-    several = known.groupBy(F.col(key).alias("of")).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("of")
+    several = known.groupBy(F.col(key).alias(of)).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select(of)
     several = cut(several)
-    known = known.join(checked_broadcast(several, several.count(), 16), F.col(key) == F.col("of"), "left")
-    known = known.withColumn(row, F.when(F.col("of").isNotNull(), text.bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.lit(0).cast("long"))).drop("of")
+    known = known.join(checked_broadcast(several, several.count(), 16), F.col(key) == F.col(of), "left")
+    known = known.withColumn(row, F.when(F.col(of).isNotNull(), text.bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.lit(0).cast("long"))).drop(of)
     null = cut(docs.where(number.isNull()).withColumn(key, F.lit(int(NULL_ID))).withColumn(row, F.monotonically_increasing_id() + 1))
     return known.unionByName(null)
 
 
-def repeats(docs: DataFrame, key: str, row: str, text_col: str = "text", window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, sample: float = SAMPLE) -> DataFrame:
+def repeats(docs: DataFrame, key: str, row: str, text_col: str = "text", window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, sample: float = SAMPLE, hot_keys: int = HOT_KEYS) -> DataFrame:
     """``id``, ``row``, ``from``, ``to``: runs of words covered by windows that
     also start earlier.  Runs may overlap."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     counted = rows.sample(False, sample, 5) if sample < 1 else rows
-    counted = counted.mapInArrow(_minimisers(window), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("n") > hot * sample).orderBy(F.col("n").desc(), "minimiser").limit(MAX_HOT)
-    keys = [r.minimiser for r in often.collect()]
+    counted = cut(counted.mapInArrow(_minimisers(window), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n")))
+    every = counted.agg(F.sum("n")).first()[0] or 0  # of the sample, as are the counts
+    often = counted.where(F.col("n") > max(hot * sample, every / hot_keys)).select("minimiser").toArrow()
+    keys = np.sort(np.asarray(often.column(0).combine_chunks(), np.int64).view(np.uint64))
     size = PACKED * (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    sent = spark.sparkContext.broadcast(np.sort(np.array(keys, np.int64).view(np.uint64)))
-    buckets = int(min(MAX_BUCKETS, max(1, size // bucket_bytes)))
+    sent = spark.sparkContext.broadcast(keys)
+    buckets = int(max(1, size // bucket_bytes))
     parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 16)))
-    blocks = rows.mapInArrow(_blocks(window, buckets, sent), "bucket int, block binary")
+    blocks = rows.mapInArrow(_blocks(window, buckets, sent), "bucket bigint, block binary")
     found = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_found(window), "id bigint, row bigint, from bigint, to bigint")
-    return found.unionByName(_hot_runs(rows, window, sent)) if keys else found
+    return found.unionByName(_hot_runs(rows, window, sent)) if len(keys) else found
 
 
 def _kept(texts: list[bytes], runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:

@@ -12,8 +12,10 @@ one shard and one block.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do rows without an id; vectors of another length don't meet
-the query; rows that repeat the query's id are left out with it; ties go to
-the smaller id (rows that repeat an id each count); fewer candidates than k
+the query; rows that repeat the query's id are left out with it; of several
+query rows of one id the shortest vector, then the smallest by components, is
+the query; ties go to the smaller id (candidate rows that repeat an id each
+count); fewer candidates than k
 give them all; an empty table gives an empty table.
 """
 
@@ -149,9 +151,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id",
     n, asked = rows.agg(F.count(F.lit(1)), F.sum(F.col("is_query").cast("int"))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-(asked or 0) // query_rows))
     candidates = rows.select("dim", "id", "vec", F.pmod(F.xxhash64("vec", "id"), F.lit(shards)).cast("int").alias("s"))
-    queries = rows.where("is_query").select(
-        F.col("dim").alias("qdim"), F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb")
-    )
+    queries = rows.where("is_query").groupBy(F.col("id").alias("qid")).agg(F.min(F.struct("dim", "vec")).alias("q"))
+    queries = queries.select(F.col("q.dim").alias("qdim"), "qid", F.col("q.vec").alias("qvec"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("qb"))
 
     def search(shard_from: int, shard_to: int, asked: DataFrame) -> DataFrame:
         """Shards from..to-1 against all queries, which carry ``kth``."""

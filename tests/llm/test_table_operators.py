@@ -141,10 +141,10 @@ def mixed_sums(docs, **options):
 
 
 def test_mix_keeps_tiny_sources_beside_a_huge_one(spark):
-    """A block may hold more words than a source; no source loses its target by that."""
+    """No source loses its target, however small it is beside the others."""
     rows = [("huge", 20_000)] * 40 + [("s0", 1)] + [("s1", 1)] * 2 + [("s2", 30)] * 10 + [("s3", 7)] * 90
     docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
-    for options in ({}, {"blocks": 64}, {"blocks": 64, "shards": 3}):
+    for options in ({}, {"shards": 64}, {"shards": 3}):
         sums = mixed_sums(docs, **options)
         assert sum(t for t, _, _ in sums.values()) == int(1.5 * sum(n for _, n in rows))
         assert all(abs(t - target) <= 1 for t, target, _ in sums.values()), sums
