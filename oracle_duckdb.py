@@ -243,6 +243,35 @@ ORACLE["url_features_probes"] = url_features_sql(
     "url", ["page_id", "probe", "url"])
 
 
+BUILTIN_RULES_SQL = ", ".join(f"({q(r)}, {q(k)})" for r, k in D.BUILTIN_SUFFIXES)
+
+
+def suffix_match_sql() -> str:
+    """Rule table and hosts made of the orders; every suffix of a host is
+    joined to the rules, and the longest match kept."""
+    labels, n = "string_split(host, '.')", "len(string_split(host, '.'))"
+    nz = f"list_filter({labels}, lambda x: x <> '')"
+    return f"""WITH {url_parts_ctes('pages', 'url', 'page_id, url')},
+o AS (SELECT o_orderkey AS k, o_custkey AS c, 'z' || o_orderkey || '.' || ['com', 'de', 'co.uk', 'jp'][(o_orderkey % 4 + 1)::int] AS suffix FROM orders),
+rules AS (SELECT DISTINCT * FROM (SELECT suffix, CASE WHEN k % 3 = 0 THEN 'exact' ELSE 'wildcard' END AS kind FROM o
+          UNION ALL SELECT 'city.' || suffix, 'exception' FROM o WHERE k % 3 = 2 UNION ALL (VALUES {BUILTIN_RULES_SQL}))),
+hosts AS (SELECT 'order' AS of, k::bigint AS id, CASE WHEN c % 5 = 0 THEN suffix WHEN c % 7 = 0 THEN 'x.' || suffix
+                 ELSE 'a' || c || '.b.' || CASE WHEN c % 3 = 0 THEN 'city.' ELSE '' END || suffix END AS host FROM o
+          UNION ALL SELECT 'page', page_id, host FROM p6),
+cand AS (SELECT of, id, {n} AS n, j, array_to_string({labels}[{n} - j + 1:], '.') AS suffix FROM (SELECT *, unnest(range(1, {n} + 1)) AS j FROM hosts)),
+hit AS (SELECT of, id, max(CASE WHEN kind = 'exception' THEN j - 1 END) AS e, max(CASE WHEN kind = 'exact' THEN j WHEN kind = 'wildcard' AND n > j THEN j + 1 END) AS r
+        FROM cand JOIN rules USING (suffix) GROUP BY of, id),
+m AS (SELECT of, id, host, CASE WHEN host = '' THEN 0 WHEN e > 0 THEN e ELSE coalesce(r, 0) END AS l FROM hosts LEFT JOIN hit USING (of, id))
+SELECT of, id, host, l::bigint AS suffix_labels, CASE WHEN l > 0 AND {n} > l THEN array_to_string({labels}[{n} - l:], '.') ELSE host END AS registered_domain,
+       CASE WHEN l > 0 AND {n} > l THEN array_to_string({labels}[{n} - l:], '.')
+            WHEN len({nz}) >= 3 AND length({nz}[-1]) = 2 AND {nz}[-2] IN {qlist(D.COMMON_SECOND_LEVEL)} THEN array_to_string({nz}[-3:], '.')
+            WHEN len({nz}) >= 2 THEN array_to_string({nz}[-2:], '.') ELSE host END AS lookup_domain
+FROM m"""
+
+
+ORACLE["public_suffix_match"] = suffix_match_sql()
+
+
 def mutations_sql(source: str, url_col: str, keys: str, keyword: str) -> str:
     """U30 in SQL: returns ``keys, variant, label, mutated_url``."""
     strip = lambda c: f"trim({c}, {q(WS)})"

@@ -137,7 +137,7 @@ ENGLISH_STOP_WORDS = (
 # Built-in public-suffix rules (ICANN part, a small subset).  ``kind`` is
 # ``exact``, ``wildcard`` (``*.ck`` stored as ``ck``) or ``exception``
 # (``!www.ck`` stored as ``www.ck``).  A full list can be loaded with
-# ``riskscope.sources.readers.read_public_suffix_list``.
+# ``riskscope.sources.io.read_suffix_rules``.
 BUILTIN_SUFFIXES = (
     # generic
     ("com", "exact"), ("net", "exact"), ("org", "exact"), ("edu", "exact"), ("gov", "exact"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskscope import dictionaries as D
 from riskscope.functions import urls as U
+from riskscope.operators.suffixes import with_registered_domain
 from riskscope.functions.memo import freeze, jvm_memo
 
 # Output columns of U26, in the order of the stored schema.
@@ -137,7 +138,7 @@ def with_url_features(
     df: DataFrame,
     url_col: str = "url",
     *,
-    suffix_rules: Iterable[tuple[str, str]] = D.BUILTIN_SUFFIXES,
+    suffix_rules: Iterable[tuple[str, str]] | DataFrame = D.BUILTIN_SUFFIXES,
     keep_internal: bool = False,
     **dicts,
 ) -> DataFrame:
@@ -146,9 +147,15 @@ def with_url_features(
     rejects the URL; such rows are scored as errors downstream).
 
     Three projections: normalise, split once, features from the parts; the
-    expression trees are built once per JVM and reused."""
-    reg, exprs = _feature_stage_exprs(freeze(suffix_rules), freeze(dicts))
-    staged = with_url_parts(df, url_col).withColumn("_reg", reg)
+    expression trees are built once per JVM and reused.  ``suffix_rules`` may be
+    a rule table (``suffixes.suffix_table``), such as a full public-suffix list."""
+    staged = with_url_parts(df, url_col)
+    if isinstance(suffix_rules, DataFrame):
+        staged = with_registered_domain(staged, "_host", suffix_rules, out="_reg")
+        _, exprs = _feature_stage_exprs(freeze(D.BUILTIN_SUFFIXES), freeze(dicts))
+    else:
+        reg, exprs = _feature_stage_exprs(freeze(suffix_rules), freeze(dicts))
+        staged = staged.withColumn("_reg", reg)
     out = staged.withColumns(
         {
             **exprs,

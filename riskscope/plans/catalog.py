@@ -234,6 +234,34 @@ def q_url_probes(spark, sf):
     return df.select("page_id", "probe", "url", "registered_domain", *UF.URL_FEATURES)
 
 
+def _order_rules(orders):
+    """A rule per order: exact, wildcard, or a wildcard and its exception."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    tld = F.element_at(F.array(*map(F.lit, ("com", "de", "co.uk", "jp"))), (key % 4 + 1).cast("int"))
+    suffix = F.concat(F.lit("z"), key.cast("string"), F.lit("."), tld)
+    rows = orders.select(F.when(key % 3 == 0, "exact").otherwise("wildcard").alias("kind"), suffix.alias("suffix"), (key % 3 == 2).alias("both"), cust.alias("cust"), key.alias("key"))
+    return rows, rows.select("suffix", "kind").unionByName(rows.where("both").select(F.concat(F.lit("city."), "suffix").alias("suffix"), F.lit("exception").alias("kind")))
+
+
+from riskscope.functions import urls as U  # noqa: E402
+from riskscope.operators import suffixes as SX  # noqa: E402
+
+
+@register("public_suffix_match")
+def q_public_suffix(spark, sf):
+    """J1, U23, D1 over a large rule table: the built-in rules and one or two
+    for every order, against the pages' hosts and hosts made of the orders."""
+    rows, made = _order_rules(read_table(spark, sf, "orders"))
+    table = SX.suffix_table(SX.builtin_rules(spark).unionByName(made))
+    below = F.concat(F.lit("a"), F.col("cust").cast("string"), F.lit(".b."), F.when(F.col("cust") % 3 == 0, "city.").otherwise(""), F.col("suffix"))
+    host = F.when(F.col("cust") % 5 == 0, F.col("suffix")).when(F.col("cust") % 7 == 0, F.concat(F.lit("x."), "suffix")).otherwise(below)
+    hosts = rows.select(F.lit("order").alias("of"), F.col("key").cast("long").alias("id"), host.alias("host"))
+    pages = _pages(spark, sf).select(F.lit("page").alias("of"), F.col("page_id").alias("id"), U.parse_url_parts(F.col("url"))["hostname"].alias("host"))
+    out = SX.with_suffix_labels(hosts.unionByName(pages), "host", table)
+    host, labels = F.col("host"), F.col("suffix_labels")
+    return out.select("of", "id", "host", labels.cast("long").alias("suffix_labels"), SX.registered(host, labels).alias("registered_domain"), SX.lookup(host, labels).alias("lookup_domain"))
+
+
 # ----------------------------------------------------------------- evaluation
 from riskscope.operators import domains as _DM  # noqa: E402,F811
 from riskscope.operators import evaluate as EV  # noqa: E402
@@ -463,8 +491,6 @@ def q_resolve_captures(spark, sf):
 
 
 # ------------------------------------------------------------ URL utilities
-from riskscope.functions import urls as U  # noqa: E402
-
 
 @register("url_parts")
 def q_url_parts(spark, sf):

@@ -86,30 +86,30 @@ def read_feed_csv(spark: SparkSession, path: str) -> DataFrame:
     return _with_line(df).withColumnRenamed("line", "pos")
 
 
-def read_public_suffix_list(spark: SparkSession, path: str, icann_only: bool = True) -> list[tuple[str, str]]:
-    """Rules of a public-suffix list file as ``(suffix, kind)`` tuples for
-    :func:`riskscope.functions.urls.registered_domain`.  The list has about
-    ten thousand rules (a fixed-size dimension), so it is collected once;
-    its size is checked."""
+def read_suffix_rules(spark: SparkSession, path: str, icann_only: bool = True) -> DataFrame:
+    """Rules of a public-suffix list file as rows (``suffix``, ``kind``), for
+    :func:`riskscope.operators.suffixes.suffix_table`."""
     lines = spark.read.text(path).select(F.trim(F.col("value")).alias("v"), F.monotonically_increasing_id().alias("i"))
     if icann_only:
         end = lines.where(F.col("v").startswith("// ===END ICANN DOMAINS===")).agg(F.min("i")).first()[0]
         if end is not None:
             lines = lines.where(F.col("i") < end)
-    rules = lines.where((F.col("v") != "") & ~F.col("v").startswith("//")).select(F.split("v", r"\s")[0].alias("r"))
+    rule = F.lower(F.split("v", r"\s")[0])
+    kind = F.when(rule.startswith("!"), "exception").when(rule.startswith("*."), "wildcard").otherwise("exact")
+    return lines.where((F.col("v") != "") & ~F.col("v").startswith("//")).select(
+        F.when(kind == "exception", F.substr(rule, F.lit(2))).when(kind == "wildcard", F.substr(rule, F.lit(3))).otherwise(rule).alias("suffix"), kind.alias("kind")
+    )
+
+
+def read_public_suffix_list(spark: SparkSession, path: str, icann_only: bool = True) -> list[tuple[str, str]]:
+    """The same as ``(suffix, kind)`` tuples for
+    :func:`riskscope.functions.urls.registered_domain`, which writes the rules
+    into the plan: for short lists."""
+    rules = read_suffix_rules(spark, path, icann_only)
     n = rules.count()
-    if n > 200_000:
-        raise ValueError(f"suffix list too large to inline: {n} rules")
-    out = []
-    for (r,) in rules.collect():
-        r = r.lower()
-        if r.startswith("!"):
-            out.append((r[1:], "exception"))
-        elif r.startswith("*."):
-            out.append((r[2:], "wildcard"))
-        else:
-            out.append((r, "exact"))
-    return out
+    if n > 2_000:
+        raise ValueError(f"suffix list too large for a column expression: {n} rules; use riskscope.operators.suffixes")
+    return [(r.suffix, r.kind) for r in rules.collect()]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
