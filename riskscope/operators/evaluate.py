@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskscope.operators.joins import broadcast_if_small
+from riskscope.operators.quantiles import exact_quantiles
 from riskscope.session import cut_lineage
 
 # Columns that are never features (dropped before training).
@@ -100,11 +102,17 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def _quantile(col: str, q: float, exact: bool, accuracy: int) -> F.Column:
-    """Exact ``percentile`` keeps every distinct value of a group in the
-    final task; ``percentile_approx`` keeps a bounded sketch (use it when a
-    group holds a large, continuous column)."""
-    return F.percentile(col, q) if exact else F.percentile_approx(col, q, accuracy)
+def _cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, feature, value): a row per value, from the named columns alone."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
+    return df.select(*keys, F.explode(cells).alias("m")).select(*keys, "m.feature", "m.value")
+
+
+def _quantiles(rows: DataFrame, keys: list[str], probs: dict[str, float], exact: bool, accuracy: int) -> DataFrame:
+    """Exact by refined histograms, or from a bounded sketch in one pass."""
+    if exact:
+        return exact_quantiles(rows, keys, "value", probs)
+    return rows.groupBy(*keys).agg(*[F.percentile_approx("value", p, accuracy).cast("double").alias(n) for n, p in probs.items()])
 
 
 def box_stats(
@@ -112,16 +120,10 @@ def box_stats(
 ) -> DataFrame:
     """Long form (feature, label) -> quartiles and 1.5 IQR whiskers
     (the most extreme values inside the fences)."""
-    long = df.select(
-        label_col,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m"),
-    ).select(label_col, "m.feature", "m.value")
-    q = long.groupBy("feature", label_col).agg(
-        _quantile("value", 0.25, exact, accuracy).cast("double").alias("q1"),
-        _quantile("value", 0.5, exact, accuracy).cast("double").alias("median"),
-        _quantile("value", 0.75, exact, accuracy).cast("double").alias("q3"),
-    )
-    j = long.join(q, ["feature", label_col])
+    long = cut_lineage(_cells(df, cols, [label_col]))
+    q = _quantiles(long, ["feature", label_col], {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact, accuracy)
+    of = cut_lineage(q).select(F.col("feature").alias("_f"), F.col(label_col).alias("_l"), "q1", "median", "q3")
+    j = long.join(broadcast_if_small(of), (F.col("feature") == F.col("_f")) & F.col(label_col).eqNullSafe(F.col("_l")))
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     return j.groupBy("feature", label_col, "q1", "median", "q3").agg(
@@ -329,11 +331,15 @@ def select_numeric_features(df: DataFrame, label_col: str = "label") -> tuple[Da
     return clean, feats
 
 
-def medians(df: DataFrame, cols: Sequence[str], *, exact: bool = True, accuracy: int = 10_000) -> dict[str, float]:
-    """L2: medians (exact ``percentile`` 0.5 with linear interpolation, or
-    ``percentile_approx`` for large inputs)."""
-    row = df.agg(*[_quantile(c, 0.5, exact, accuracy).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+def median_table(df: DataFrame, cols: Sequence[str], *, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """L2: ``feature``, ``median`` (exact, interpolated, or approximate from a sketch)."""
+    return _quantiles(_cells(df, cols), ["feature"], {"median": 0.5}, exact, accuracy)
+
+
+def medians(df: DataFrame, cols: Sequence[str], **options) -> dict[str, float]:
+    """The same as a dictionary; a value per column, so they are collected."""
+    found = {r["feature"]: r["median"] for r in median_table(df, cols, **options).collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def median_impute(df: DataFrame, med: dict[str, float]) -> DataFrame:

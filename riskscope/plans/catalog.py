@@ -452,8 +452,7 @@ def q_box(spark, sf):
 def q_medians(spark, sf):
     """L2: exact medians of the kept features (training imputation values)."""
     clean, feats = clean_dataset(spark, sf)
-    med = clean.agg(*[EV._quantile(c, 0.5, True, 10_000).alias(c) for c in feats])
-    return med.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.bround(F.col(c), 6).alias("median")) for c in feats])).alias("r")).select("r.*")
+    return EV.median_table(clean, feats).select(F.col("feature").alias("column"), F.bround("median", 6).alias("median"))
 
 
 @register("standardized_features")
