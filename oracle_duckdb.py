@@ -376,6 +376,17 @@ SELECT page_id, title, meta_description, text, CAST(length(text) AS INTEGER) AS
 FROM h2"""
 
 
+#: What a tolerant HTML parser leaves of the probe pages, written by hand.
+PROBE_TEXTS = {
+    "nested": "end @", "three deep": "out @ side", "unclosed": "a @", "quoted": "c @", "stray quote": "hm @ 'q'", "references": "x @ \u2713 &lt; \u00bd \u2713 &nosuch;",
+    "crossed": "b @ c", "script": "ok @ z q", "other names": "k @", "links": "l @ m", "long": " ".join(["word @ and more"] * 60), "empty": "",
+}
+ORACLE["page_extract_probes"] = f"""WITH v AS (SELECT page_id, probe, replace(body, '@', page_id::varchar) AS text FROM pages, (VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v in PROBE_TEXTS.items())}) t(probe, body))
+SELECT page_id, probe, 'T ' || page_id AS title, CASE page_id % 3 WHEN 0 THEN 'D & ' || page_id WHEN 1 THEN 'og ' || page_id ELSE '' END AS meta_description, text,
+       length(text)::int AS text_length, (length(text) < {D.LOW_CONTENT_CHARS})::int AS low_content, (probe = 'links')::int AS link_count, (probe = 'links')::int AS has_form, (probe = 'links')::int AS has_iframe
+FROM v"""
+
+
 def content_ctes(source: str, keys: str, title: str, text: str, keywords=D.SCAM_KEYWORDS, weight: int = D.TITLE_WEIGHT) -> str:
     """CTEs c0..c2 -> keys + the content features (except has_form/has_iframe)."""
     punct = D.ASCII_PUNCTUATION

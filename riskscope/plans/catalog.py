@@ -63,6 +63,35 @@ def q_page_extract(spark, sf):
     )
 
 
+#: Bodies of probe pages; ``@`` stands for the page's id.
+PAGE_PROBES = {
+    "nested": "<nav><nav>a</nav>LEAK</nav>end @",
+    "three deep": "<footer>1<footer>2<footer>3</footer>4</footer>5</footer>out @<aside/>side",
+    "unclosed": "<p>a @</p><nav>x",
+    "quoted": "<div title='a>b @'>c @</div>",
+    "stray quote": "<p title=it's>hm @</p> 'q'",
+    "references": "x @ &check; &amp;lt; &frac12; &#x2713; &nosuch;",
+    "crossed": "<header><nav>a</header>b @</nav>c",
+    "script": "<script>if(a<nav b='</x'){}</script>ok @<nav/>z<!-- <nav> -->q",
+    "other names": "<header-bar>k @</header-bar>",
+    "links": "<a href='u'>l @</a> <a name=x>m</a><form></form><iframe></iframe>",
+    "long": "word @ and more<br>" * 60,
+    "empty": "",
+}
+
+
+@register("page_extract_probes")
+def q_page_probes(spark, sf):
+    """H2-H9 over probe pages of every page's id: nested, unclosed, crossed and
+    quoted markup, references, descriptions of either kind, links, short and long texts."""
+    rows = F.array(*[F.struct(F.lit(k).alias("probe"), F.lit(v).alias("body")) for k, v in PAGE_PROBES.items()])
+    probes = _pages(spark, sf).select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
+    meta = F.when(F.col("page_id") % 3 == 0, "<META name='Description' content='D &amp; @'>").when(F.col("page_id") % 3 == 1, '<meta property="og:description" content="og @">').otherwise("")
+    html = F.concat(F.lit("<html><head><title> T  @</title>"), meta, F.lit("</head><body class='x>y'>"), "body", F.lit("</body></html>"))
+    out = P.extract_pages(probes.select("page_id", "probe", F.replace(html, F.lit("@"), F.col("page_id").cast("string")).alias("html")))
+    return out.select("page_id", "probe", "title", "meta_description", "text", "text_length", "low_content", "link_count", "has_form", "has_iframe")
+
+
 def _docs(spark, sf):
     return read_table(spark, sf, "documents")
 
