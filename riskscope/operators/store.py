@@ -2,15 +2,19 @@
 (J3-J5), export (F2, F4).
 
 The table is keyed by ``url``.  A merge is a full outer join of the stored
-table with the incoming batch followed by per-column choices; stored as
-Parquet bucketed by ``url`` (``bucketBy``), the stored side of that join is
-read bucket by bucket and never shuffled — only the (small) incoming batch
-is.  The merged result is written as a new table version, so a failed job
-leaves the previous version intact.
+table with the incoming batch followed by per-column choices.  A store is a
+view over the latest of its versions, tables of Parquet bucketed by ``url``: the
+stored side of the join is read bucket by bucket and never shuffled (with at
+least as many buckets as shuffle partitions), only the incoming batch is.  A
+merge writes a table of a new name and replaces the view last, so a failed job
+leaves the version before it readable, and readers see whole versions.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +48,6 @@ def not_seen(urls: DataFrame, websites: DataFrame, url_col: str = "url", force:
     return urls.join(websites.select(F.col("url").alias(url_col)), url_col, "left_anti")
 
 
-def already_stored(urls: DataFrame, websites: DataFrame, url_col: str = "url") -> DataFrame:
-    """J3 "exists": URLs already in the table (``left_semi``)."""
-    return urls.join(websites.select(F.col("url").alias(url_col)), url_col, "left_semi")
-
-
 def merge_websites(stored: DataFrame, incoming: DataFrame, mode: str = "merge", key: str = "url") -> DataFrame:
     """J4 + J5.
 
@@ -80,9 +79,60 @@ def merge_websites(stored: DataFrame, incoming: DataFrame, mode: str = "merge",
     return j.select(key, *out)
 
 
-def write_websites(df: DataFrame, table: str, buckets: int = 64) -> None:
-    """Persist a table version bucketed and sorted by URL."""
-    df.write.mode("overwrite").bucketBy(buckets, "url").sortBy("url").format("parquet").saveAsTable(table)
+def one_per_key(rows: DataFrame, key: str = "url", latest: str | None = None) -> DataFrame:
+    """A row per key, the same in every run: the latest by column ``latest``
+    (nulls last), among these the smallest by all other columns.  Rows without
+    a key are left out.  Minima combine before the shuffle."""
+    order = [c for c in rows.columns if c not in (key, latest)]
+    rank = [(-F.unix_micros(F.col(latest).cast("timestamp"))).alias("_late")] if latest else []
+    late = [F.col(latest).isNull().alias("_none"), *rank] if latest else []
+    pick = F.min(F.struct(*late, *order, *([latest] if latest else []))).alias("_r")
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(pick).select(*[key if c == key else F.col("_r")[c].alias(c) for c in rows.columns])
+
+
+def _name(store: str) -> str:
+    if not re.fullmatch(r"\w+(\.\w+)?", store):
+        raise ValueError(f"not a table name: {store!r}")
+    return store
+
+
+def versions(spark: SparkSession, store: str) -> list[str]:
+    """Names of a store's version tables, oldest first."""
+    *space, table = _name(store).split(".")
+    known = spark.catalog.listTables(space[0] if space else None)
+    found = [t.name for t in known if re.fullmatch(rf"{table.lower()}__v\d{{9}}_[0-9a-f]{{8}}", t.name.lower())]
+    return [".".join([*space, t]) for t in sorted(found)]
+
+
+def properties(spark: SparkSession, store: str) -> dict[str, str]:
+    """What :func:`publish` noted with the current version."""
+    if not spark.catalog.tableExists(_name(store)):
+        return {}
+    return json.loads(spark.catalog.getTable(store).description or "{}")
+
+
+def publish(rows: DataFrame, store: str, *, key: str = "url", buckets: int = 64, keep: int = 2, notes: dict[str, str] | None = None) -> str:
+    """Write ``rows`` as a new version and point the store to it; ``notes`` are
+    set in the same step.  The ``keep`` latest versions stay."""
+    spark = rows.sparkSession
+    old = versions(spark, store)
+    number = 1 + (int(re.search(r"__v(\d{9})_", old[-1])[1]) if old else 0)
+    version = f"{store}__v{number:09d}_{uuid.uuid4().hex[:8]}"
+    rows.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(version)
+    noted = json.dumps(properties(spark, store) | (notes or {}) | {"version": version}).replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE OR REPLACE VIEW {store} COMMENT '{noted}' AS SELECT * FROM {version}")
+    for name in [*old, version][:-keep]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return version
+
+
+def merge_into(incoming: DataFrame, store: str, mode: str = "merge", key: str = "url", latest: str | None = None, **options) -> str:
+    """Merge a batch into a store (J4, J5), or begin the store with it;
+    repeated keys of the batch count once (:func:`one_per_key`)."""
+    spark, incoming = incoming.sparkSession, one_per_key(incoming, key, latest)
+    if spark.catalog.tableExists(_name(store)):
+        incoming = merge_websites(spark.table(store), incoming, mode, key)
+    return publish(incoming, store, key=key, **options)
 
 
 def export_dataset(websites: DataFrame, labeled_only: bool = True, drop_text: bool = False) -> DataFrame:
@@ -92,11 +142,3 @@ def export_dataset(websites: DataFrame, labeled_only: bool = True, drop_text: bo
     if drop_text:
         out = out.drop(*[c for c in TEXT_COLUMNS if c in out.columns])
     return out
-
-
-def websites_rows(spark: SparkSession, resolved: DataFrame, features: DataFrame, scraped_at: str) -> DataFrame:
-    """Assemble T1 rows from resolved pages and their features."""
-    return empty_to_null(
-        features.withColumn("scraped_at", F.to_timestamp(F.lit(scraped_at))),
-        ("title", "meta_description", "text_content", "final_url", "status", "error_message"),
-    )

@@ -592,10 +592,10 @@ def incoming_websites(spark, sf):
     r = P.resolve_captures(FX.url_list(spark, sf), FX.captures(spark, sf))
     r = r.withColumn("_furl", F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url")))
     f = FX.weak_labels(UF.with_url_features(r, "_furl"), "url")
-    return f.select(
+    return ST.one_per_key(f.select(
         "url", "title", "status", "final_url", F.col("expected_label").alias("label"), "url_length",
         "suspicious_word_count", "text_length",
-    ).dropDuplicates(["url"])
+    ))
 
 
 @register("not_seen_urls")

@@ -26,9 +26,10 @@ def collect(
     mode: str = "merge",
     scraped_at: str = "1970-01-01 00:00:00",
 ) -> DataFrame:
-    """Return the new ``websites`` table version (url-keyed).  URLs are
-    normalised and made unique first."""
-    urls = urls.withColumn("url", normalize_url(F.col("url"))).where("url <> ''").dropDuplicates(["url"])
+    """Return the new ``websites`` table version (url-keyed), for
+    ``store.publish``.  URLs are normalised and made unique first, by the same
+    choice in every run."""
+    urls = ST.one_per_key(urls.withColumn("url", normalize_url(F.col("url"))).where("url <> ''"))
     todo = urls if websites is None else ST.not_seen(urls, websites, force=force)
     res = P.resolve_captures(todo, captures)
     res = res.withColumn("_furl", F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url")))

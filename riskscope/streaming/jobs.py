@@ -4,6 +4,9 @@ ST1 ``stream_score``: an arriving URL feed (files landing in a folder) is
 scored with the same column functions as the batch job: stateless, so every
 micro-batch is a projection.
 
+``stream_into_store`` upserts the scored URLs into a versioned store instead,
+each micro-batch once, also after a failure.
+
 ST2 ``stream_first_seen``: each URL (by its dedupe key) is processed once
 within a watermark bound: ``dropDuplicatesWithinWatermark`` keeps the state
 bounded by the watermark; URLs already stored in the ``websites`` table are
@@ -22,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskscope.functions.urls import dedupe_key, normalize_url
 from riskscope.operators import content as C
 from riskscope.operators import scoring as S
+from riskscope.operators import store as ST
 from riskscope.operators import url_features as UF
 
 URL_FEED_SCHEMA = "url string, ts timestamp"
@@ -61,6 +65,29 @@ def stream_score(
     return w.start()
 
 
+def store_batch(batch: DataFrame, batch_id: int, store: str, stream: str, **options) -> bool:
+    """Merge one micro-batch into a store, once: the version that holds a batch
+    notes its number, and a batch up to that number is passed over.  The note
+    and the version appear in one step, so a batch repeated after a failure is
+    either merged whole or already there."""
+    done = ST.properties(batch.sparkSession, store).get(f"batch.{stream}")
+    if done is not None and batch_id <= int(done):
+        return False
+    ST.merge_into(batch, store, notes={f"batch.{stream}": str(batch_id)}, **options)
+    return True
+
+
+def stream_into_store(
+    spark: SparkSession, source_dir: str, store: str, checkpoint_dir: str, *, stream: str = "urls", fmt: str = "json", max_files: int | None = None, **options
+) -> StreamingQuery:
+    """ST1 into the store: every arriving URL is scored and upserted by URL,
+    the latest arrival of a batch winning.  ``stream`` names this feed among
+    those that write to the store."""
+    scored = score_urls(read_url_stream(spark, source_dir, fmt, max_files)).select("url", "ts", "prediction", "scam_probability", "risk_label")
+    write = scored.writeStream.option("checkpointLocation", checkpoint_dir).trigger(availableNow=True)
+    return write.foreachBatch(lambda df, i: store_batch(df, i, store, stream, latest="ts", **options) and None).start()
+
+
 def first_seen(stream: DataFrame, websites: DataFrame | None, watermark: str = "1 day") -> DataFrame:
     """ST2 as a transformation: normalised URLs, empties dropped, first
     arrival per dedupe key within the watermark, stored URLs removed."""
