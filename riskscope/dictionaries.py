@@ -103,12 +103,6 @@ DROPPED_TAGS = (
     "nav", "aside",
 )
 
-# Hosts treated as legitimate without scoring (batch check whitelist).
-DEFAULT_WHITELIST = (
-    "spectricssolutions.com", "www.spectricssolutions.com", "google.com", "www.google.com",
-    "gtu.ac.in", "www.gtu.ac.in",
-)
-
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------

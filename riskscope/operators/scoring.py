@@ -233,7 +233,7 @@ def batch_verdict(df: DataFrame, expected_col: str = "expected", probability_col
 
 
 def whitelist_split(
-    df: DataFrame, netloc_col: str = "netloc", whitelist: Iterable[str] = D.DEFAULT_WHITELIST
+    df: DataFrame, netloc_col: str = "netloc", whitelist: Iterable[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(whitelisted rows, rows to score).  The whitelist is a literal set,
     so both sides are filters, not joins."""
