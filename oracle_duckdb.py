@@ -1150,6 +1150,21 @@ SELECT doc_id, CAST(rnk AS INTEGER) AS rank, term, round_even(weight, 6) AS weig
 ORACLE["tfidf_top_terms"] = tfidf_sql()
 
 
+def tfidf_transform_sql(min_df: int = 2) -> str:
+    """Terms of the turns, weighted by their document frequency in the documents."""
+    norm = collapse_sql(f"translate(lower(coalesce(text, '')), {q(D.ASCII_PUNCTUATION)}, {q(' ' * len(D.ASCII_PUNCTUATION))})")
+    terms = f"unnest(list_filter(string_split({norm}, ' '), lambda x: x <> '' AND x NOT IN {qlist(D.ENGLISH_STOP_WORDS)})) AS term"
+    return f"""WITH seen AS (SELECT DISTINCT doc_id, {terms} FROM documents),
+m AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM seen GROUP BY term HAVING count(*) >= {min_df}),
+u AS (SELECT conv_id || '-' || turn AS turn_id, {terms} FROM conversations),
+f AS (SELECT turn_id, term, count(*) AS tf FROM u GROUP BY ALL),
+w AS (SELECT turn_id, term, tf, tf * idf AS raw FROM f JOIN m USING (term))
+SELECT turn_id, term, tf, round_even(raw / sqrt(sum(raw * raw) OVER (PARTITION BY turn_id)), 6) AS weight FROM w"""
+
+
+ORACLE["tfidf_transform"] = tfidf_transform_sql()
+
+
 # --------------------------------------------------------------------- store
 def stored_sql() -> str:
     return f"""(WITH {page_ctes('pages', 'page_id, url')},

@@ -87,6 +87,39 @@ def zero_content_features(df: DataFrame) -> DataFrame:
     )
 
 
+def term_counts(docs: DataFrame, id_col: str, text_col: str, stop_words: Iterable[str] = D.ENGLISH_STOP_WORDS) -> DataFrame:
+    """(doc, term, tf): tokens of C2 + C3 counted with map-side combine."""
+    # explode first, then filter on the flat column: the stop-word test is a
+    # code-generated hash-set lookup instead of a lambda over a long array
+    words = F.split(T.normalize_text(F.coalesce(F.col(text_col), F.lit(""))), " ")
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode(words).alias("term"))
+    return rows.where((F.col("term") != "") & ~F.col("term").isin(*tuple(stop_words))).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def fit_tfidf(docs: DataFrame, id_col: str, text_col: str, *, min_df: int = 1, stop_words: Iterable[str] = D.ENGLISH_STOP_WORDS) -> DataFrame:
+    """C12 model: ``term``, ``df``, ``idf`` (smoothed) of the terms in at least
+    ``min_df`` documents.  An ordinary table: write it, read it, transform with
+    it.  Every row of ``docs`` counts as a document; an empty corpus gives an
+    empty model."""
+    n_docs = docs.count()  # one number for the formula
+    df = term_counts(docs, id_col, text_col, stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    return df.withColumn("idf", F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1)
+
+
+def transform_tfidf(
+    docs: DataFrame, id_col: str, text_col: str, model: DataFrame, *, stop_words: Iterable[str] = D.ENGLISH_STOP_WORDS, hot_key_rows: int = 100_000
+) -> DataFrame:
+    """``id_col``, ``term``, ``tf``, ``weight`` (L2-normalised per document)
+    of any documents under a fitted model; terms the model doesn't know are left
+    out, and so are documents without a known term.  Terms that are hot in
+    ``docs`` meet their model row by broadcast."""
+    tf = cut_lineage(term_counts(docs, id_col, text_col, stop_words))
+    known = join_skew_safe(tf, model.select("term", "idf"), "term", "inner", hot_key_rows=hot_key_rows)
+    raw = known.withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
+    return raw.select(F.col("doc").alias(id_col), "term", "tf", F.bround(F.col("raw") / norm, 6).alias("weight"))
+
+
 def tfidf_top_terms(
     docs: DataFrame,
     id_col: str,

@@ -3,13 +3,14 @@ operator of the inventory, each over the whole test tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskscope.operators import url_features as UF
-from riskscope.session import read_table
+from riskscope.session import ensure_checkpoint_dir, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -570,6 +571,16 @@ def q_tfidf(spark, sf):
     return C.tfidf_top_terms(_docs(spark, sf), "doc_id", "text", top_n=10)
 
 
+@register("tfidf_transform")
+def q_tfidf_transform(spark, sf):
+    """Every conversation turn under a model fitted to the documents,
+    written and read again."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
+    C.fit_tfidf(_docs(spark, sf), "doc_id", "text", min_df=2).write.parquet(path)
+    turns = read_table(spark, sf, "conversations").withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
+    return C.transform_tfidf(turns, "turn_id", "text", spark.read.parquet(path))
+
+
 # --------------------------------------------------------------------- store
 from riskscope.operators import store as ST  # noqa: E402
 
