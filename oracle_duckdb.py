@@ -231,11 +231,12 @@ ORACLE["url_features"] = url_features_sql("pages", "url", ["page_id", "url"])
 
 
 ORACLE["url_features_probes"] = url_features_sql(
-    """(SELECT page_id, unnest(['credentials', 'IPv4', 'IPv6', 'suffix', 'short', 'hosted brand', 'hosted', 'official']) AS probe,
+    """(SELECT page_id, unnest(['credentials', 'IPv4', 'IPv6', 'suffix', 'escapes', 'short', 'hosted brand', 'hosted', 'official']) AS probe,
         unnest(['https://user@h' || page_id || '.example.com/a//b#f',
                 'http://' || (page_id % 223 + 1) || '.' || (page_id % 256) || '.' || (page_id * 7 % 256) || '.9:8080/login',
                 'http://[2001:db8::' || lower(to_hex(page_id % 65536)) || ']/x',
                 'https://secure-login' || page_id || '.xyz/verify?a%20b=1&a+b=2&c=' || page_id,
+                'https://h' || page_id || '.example.org/?a%zz%41=1&a%zzA=2&a%ZZA=3&%e4%b8%ad=4&b%=5&b%25=6&c%4=7',
                 'https://bit.ly/' || page_id,
                 'https://paypal-' || page_id || '.weebly.com/x.com/signin',
                 'https://u' || page_id || '.github.io/a_b/index~' || page_id || '.html',

@@ -235,14 +235,29 @@ def longest_digit_run(host: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)).cast("int")
 
 
+def percent_decode(raw: Column) -> Column:
+    """Percent-decoding that keeps escapes without two hex digits and decodes
+    the others; ``+`` is a space, invalid UTF-8 becomes U+FFFD.  Built byte by
+    byte, as hex, only where the plain decoder gives up."""
+    pieces = F.split(F.replace(raw, F.lit("+"), F.lit(" ")), "%")
+    hexed = lambda text: F.hex(F.encode(text, "UTF-8"))
+
+    def piece(p: Column) -> Column:
+        good = p.rlike("^[0-9A-Fa-f]{2}")
+        return F.when(good, F.concat(F.substring(p, 1, 2), hexed(F.substr(p, F.lit(3))))).otherwise(F.concat(F.lit("25"), hexed(p)))
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
+    whole = F.unhex(F.concat(hexed(pieces[0]), F.array_join(rest, "")))
+    return F.coalesce(F.try_url_decode(raw), F.make_valid_utf8(whole.cast("string")))
+
+
 def num_query_params(query: Column) -> Column:
     """Number of distinct percent-decoded keys; blank values kept,
     empty segments skipped, ``+`` is a space."""
     segs = F.filter(F.split(query, "&"), lambda x: x != "")
 
     def key(seg):
-        raw = F.substring_index(seg, "=", 1)
-        return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
+        return percent_decode(F.substring_index(seg, "=", 1))
 
     return F.size(F.array_distinct(F.transform(segs, key))).cast("int")
 

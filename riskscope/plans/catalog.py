@@ -247,6 +247,7 @@ def url_probes(pages):
         "IPv4": F.concat(F.lit("http://"), F.concat_ws(".", text(i % 223 + 1), text(i % 256), text(i * 7 % 256), F.lit("9")), F.lit(":8080/login")),
         "IPv6": F.concat(F.lit("http://[2001:db8::"), F.lower(F.hex(i % 65536)), F.lit("]/x")),
         "suffix": F.concat(F.lit("https://secure-login"), text(i), F.lit(".xyz/verify?a%20b=1&a+b=2&c="), text(i)),
+        "escapes": F.concat(F.lit("https://h"), text(i), F.lit(".example.org/?a%zz%41=1&a%zzA=2&a%ZZA=3&%e4%b8%ad=4&b%=5&b%25=6&c%4=7")),
         "short": F.concat(F.lit("https://bit.ly/"), text(i)),
         "hosted brand": F.concat(F.lit("https://paypal-"), text(i), F.lit(".weebly.com/x.com/signin")),
         "hosted": F.concat(F.lit("https://u"), text(i), F.lit(".github.io/a_b/index~"), text(i), F.lit(".html")),

@@ -67,3 +67,11 @@ def test_public_host(spark):
     got = {r["h"]: r["p"] for r in df.select("h", U.is_public_host(F.col("h")).alias("p")).collect()}
     assert got == {"example.com": True, "": False, "localhost": False, "10.0.0.1": False, "8.8.8.8": True,
                    "::1": False, "2001:4860::8888": True, "224.0.0.1": False}
+
+
+def test_percent_decoding_keeps_bad_escapes(spark):
+    from urllib.parse import unquote_plus
+
+    keys = ["a%zz%41", "a+b%20c", "%e4%b8%ad%", "b%", "%", "", "%4", "x%ff%zz", "%%41", "plain"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").select("k", U.percent_decode(F.col("k")).alias("d"))
+    assert {r.k: r.d for r in df.collect()} == {k: unquote_plus(k) for k in keys}
