@@ -956,6 +956,46 @@ c AS (SELECT label, count(*) AS n FROM prep GROUP BY label)
 SELECT CAST(label AS INTEGER) AS label, round_even(sum(n) OVER () / (2.0 * n), 6) AS weight, n FROM c"""
 
 
+TREE_FEATURES = ("url_length", "num_dots", "num_hyphen", "num_digits", "path_depth", "text_length", "token_count")
+
+
+def extra_trees_sql(trees: int = 3, depth: int = 3, k: int = 3, seed: int = 42, min_leaf: int = 2) -> str:
+    """Each level in plain SQL: ``at`` says where a row stands in each tree, ``sz``
+    counts a node's labels, ``cand`` draws cuts, ``win`` takes the best."""
+    ctes = [prepared_ctes(), f"""tb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY url) AS id, label, {', '.join(TREE_FEATURES)} FROM prep),
+tw AS (SELECT count(*) / (2.0::DOUBLE * count(*) FILTER (label = 0)) AS w0, count(*) / (2.0::DOUBLE * count(*) FILTER (label = 1)) AS w1 FROM tb),
+tl AS MATERIALIZED (SELECT id, label, unnest(range({len(TREE_FEATURES)})) AS f, unnest([{', '.join(f'{c}::DOUBLE' for c in TREE_FEATURES)}]) AS v FROM tb),
+at0 AS (SELECT id, label, unnest(range({trees})) AS tree, 0 AS node FROM tb)"""]
+    out = []
+    for d in range(depth + 1):
+        ctes.append(f"sz{d} AS (SELECT tree, node, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM at{d} GROUP BY tree, node)")
+        if d == depth:
+            out.append(f"SELECT tree, node, n0, n1, NULL AS f, NULL AS cut FROM sz{d}")
+            break
+        key = f"'{seed}|' || '@' || '|' || tree || '|' || node || '|' || f"
+        ctes.append(f"""rg{d} AS (SELECT tree, node, f, min(v) AS lo, max(v) AS hi FROM at{d} JOIN tl USING (id) GROUP BY tree, node, f HAVING max(v) > min(v)),
+cand{d} AS MATERIALIZED (SELECT tree, node, n0, n1, f, lo + ('0x' || substr(md5({key.replace('@', 'cut')}), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (hi - lo) AS cut,
+       row_number() OVER (PARTITION BY tree, node ORDER BY md5({key.replace('@', 'pick')}), f) AS rk
+       FROM rg{d} JOIN sz{d} USING (tree, node) WHERE n0 > 0 AND n1 > 0 AND n0 + n1 >= {2 * min_leaf} QUALIFY rk <= {k}),
+lf{d} AS (SELECT tree, node, c.f, rk, any_value(n0) AS n0, any_value(n1) AS n1, any_value(cut) AS cut,
+       count(*) FILTER (v <= cut AND a.label = 0) AS l0, count(*) FILTER (v <= cut AND a.label = 1) AS l1
+       FROM cand{d} c JOIN at{d} a USING (tree, node) JOIN tl ON tl.id = a.id AND tl.f = c.f GROUP BY tree, node, c.f, rk),
+gn{d} AS (SELECT *, l0 * w0 AS a, l1 * w1 AS b, (n0 - l0) * w0 AS c, (n1 - l1) * w1 AS d FROM lf{d}, tw WHERE l0 + l1 >= {min_leaf} AND n0 + n1 - l0 - l1 >= {min_leaf}),
+win{d} AS MATERIALIZED (SELECT tree, node, f, cut FROM gn{d}
+       QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY (a * a + b * b) / (a + b) + (c * c + d * d) / (c + d) DESC, rk) = 1),
+at{d + 1} AS MATERIALIZED (SELECT at{d}.id, at{d}.label, tree, 2 * node + CASE WHEN v <= cut THEN 1 ELSE 2 END AS node
+       FROM at{d} JOIN win{d} w USING (tree, node) JOIN tl ON tl.id = at{d}.id AND tl.f = w.f)""")
+        out.append(f"SELECT tree, node, n0, n1, f, cut FROM sz{d} LEFT JOIN win{d} USING (tree, node)")
+    names = f"[{', '.join(map(q, TREE_FEATURES))}]"
+    return f"""WITH {(',' + chr(10)).join(ctes)}
+SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS BIGINT) AS node, n0, n1, {names}[f + 1] AS feature, round_even(cut, 6) AS cut,
+       round_even(n1 * w1 / (n0 * w0 + n1 * w1), 6) AS share
+FROM ({' UNION ALL '.join(out)}), tw"""
+
+
+ORACLE["extra_trees_nodes"] = extra_trees_sql()
+
+
 # ------------------------------------------------------------------ captures
 CONTENT_TYPES = ("text/html; charset=utf-8", "text/html", "application/xhtml+xml", "", "text/plain",
                  "application/pdf", "image/png")

@@ -3,28 +3,30 @@
 Spark ML pipelines: median ``Imputer`` -> ``VectorAssembler`` (-> scaler) ->
 classifier, with balanced class weights as ``weightCol``.  Candidates:
 
-* ``extra_trees``: no MLlib equivalent; stand-in = random forest without
-  bootstrap and with sqrt feature subsets (thresholds are not random).
+* ``extra_trees``: :mod:`riskscope.operators.extratrees`, as MLlib has none.
 * ``random_forest``, ``gradient_boosting``, ``logistic_regression``: MLlib
   models with the original hyper-parameters (``regParam = 1 / n`` is C = 1
   under balanced weights).
 * ``svc_rbf``: no kernel SVM in MLlib; stand-in = random Fourier features
   (Rahimi & Recht, 2007) computed per Arrow batch with numpy, then
-  ``LinearSVC``; its margin is mapped to (0, 1) by a logistic function.
+  ``LinearSVC``.  Gamma follows from the variance of the scaled inputs; the
+  probability is a sigmoid of the margin, fitted on held-out margins (Platt).
 
 Cross-validation assigns folds with the distributed exact rank (M3), fits
-each fold with Spark and scores it with the exact metrics of
-:func:`riskscope.operators.evaluate.holdout_metrics`.  Isotonic calibration
+each fold with Spark and writes its out-of-fold probabilities to a table;
+:func:`riskscope.operators.evaluate.holdout_metrics` then reads that table only.  Isotonic calibration
 follows the 3-fold ensemble scheme: base model on two folds, isotonic map on
 the third, probabilities averaged.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -32,11 +34,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskscope.operators import dataset as DS
 from riskscope.operators import evaluate as EV
-from riskscope.session import cut_lineage
+from riskscope.operators import extratrees as ET
+from riskscope.session import cut_lineage, ensure_checkpoint_dir
 
 MODEL_NAMES = ("extra_trees", "random_forest", "gradient_boosting", "logistic_regression", "svc_rbf")
 SEED = 42
@@ -78,17 +80,44 @@ def rff_transform(df: DataFrame, n_features: int, dim: int, gamma: float, seed:
     w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(dim, n_features))
     b = rng.uniform(0.0, 2.0 * np.pi, size=dim)
     scale = np.sqrt(2.0 / dim)
-    arr = df.withColumn("_x", vector_to_array(F.col(in_col)))
-    out_schema = T.StructType(arr.schema.fields + [T.StructField("_z", T.ArrayType(T.DoubleType()))])
 
-    def fn(batches):
-        for pdf in batches:
-            x = np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, n_features))
-            z = scale * np.cos(x @ w.T + b)
-            pdf["_z"] = list(z)
-            yield pdf
+    @F.pandas_udf("array<double>")
+    def fourier(xs: pd.Series) -> pd.Series:
+        if not len(xs):
+            return pd.Series([], dtype="object")
+        return pd.Series(list(scale * np.cos(np.vstack(xs.to_numpy()) @ w.T + b)))
 
-    return arr.mapInPandas(fn, out_schema).withColumn(out_col, array_to_vector(F.col("_z"))).drop("_x", "_z")
+    return df.withColumn(out_col, array_to_vector(fourier(vector_to_array(F.col(in_col)))))
+
+
+def scale_gamma(df: DataFrame, n_features: int, in_col: str = "features") -> float:
+    """1 / (features * variance over all entries): the "scale" rule."""
+    x = vector_to_array(F.col(in_col))
+    total = F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + v)).alias("s")
+    squares = F.sum(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)).alias("q")
+    r = df.agg(total, squares, F.count(F.lit(1)).alias("n")).first()
+    n = r["n"] * n_features
+    var = r["q"] / n - (r["s"] / n) ** 2 if n else 0.0
+    return 1.0 / (n_features * var) if var > 0 else 1.0
+
+
+def fit_sigmoid(held: DataFrame, margin: str = "margin", label: str = "label") -> tuple[float, float]:
+    """Platt's map p = 1 / (1 + exp(-(a * margin + c))) by logistic regression
+    on held-out margins.  The smoothed targets t = (n1 + 1) / (n1 + 2) and
+    1 / (n0 + 2) are given as two weighted rows each.  ``a`` is kept at zero or
+    above, so the probability never falls with the margin."""
+    n = {r[label]: r["n"] for r in held.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    t = F.when(F.col(label) == 1, (n.get(1, 0) + 1.0) / (n.get(1, 0) + 2.0)).otherwise(1.0 / (n.get(0, 0) + 2.0))
+    rows = held.select(margin, t.alias("t")).select(margin, F.explode(F.array(
+        F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")), F.struct(F.lit(0.0).alias("y"), (1.0 - F.col("t")).alias("w"))
+    )).alias("r")).select(margin, "r.y", "r.w")
+    rows = VectorAssembler(inputCols=[margin], outputCol="m").transform(rows)
+    m = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0, maxIter=200).fit(rows)
+    return max(float(m.coefficients[0]), 0.0), float(m.intercept)
+
+
+def _margin():
+    return vector_to_array(F.col("rawPrediction"))[1]
 
 
 @dataclass
@@ -96,6 +125,7 @@ class FittedModel:
     name: str
     pipeline: PipelineModel
     rff: dict | None = None
+    trees: ET.ExtraTrees | None = None
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
         """Adds the SCAM probability column ``out`` (a projection: every
@@ -105,23 +135,24 @@ class FittedModel:
             pre = self.rff["prep"].transform(df)
             z = rff_transform(pre, self.rff["n_features"], self.rff["dim"], self.rff["gamma"])
             t = self.rff["svc"].transform(z)
-            margin = vector_to_array(F.col("rawPrediction"))[1]
-            t = t.withColumn(out, 1.0 / (1.0 + F.exp(-margin)))
+            slope, intercept = self.rff["sigmoid"]
+            t = t.withColumn(out, 1.0 / (1.0 + F.exp(-(slope * _margin() + intercept))))
+        elif self.trees is not None:
+            t = self.pipeline.transform(df).withColumn(out, self.trees.probability(vector_to_array(F.col("features"))))
         else:
             t = self.pipeline.transform(df).withColumn(out, vector_to_array(F.col("probability"))[1])
         return t.drop(*[c for c in t.columns if c not in before and c != out])
 
 
-def fit_model(name: str, train: DataFrame, feats: Sequence[str], cfg: TrainConfig, label: str = "label") -> FittedModel:
-    """Fit one candidate (train must carry ``weight`` from L4)."""
+def fit_model(name: str, train: DataFrame, feats: Sequence[str], cfg: TrainConfig, label: str = "label", key: str = "url") -> FittedModel:
+    """Fit one candidate (train must carry ``weight`` from L4; ``key`` orders
+    the folds of the kernel model's sigmoid)."""
     n = train.count()
     if name == "extra_trees":
-        clf = RandomForestClassifier(
-            numTrees=cfg.n_extra_trees, bootstrap=False, featureSubsetStrategy="sqrt", minInstancesPerNode=2,
-            maxDepth=cfg.max_depth, weightCol="weight", labelCol=label, seed=SEED,
-        )
-        stages = _prep_stages(feats, cfg, False) + [clf]
-    elif name == "random_forest":
+        prep = Pipeline(stages=_prep_stages(feats, cfg, False)).fit(train)
+        rows = cut_lineage(prep.transform(train).select(vector_to_array("features").alias("x"), F.col(label).alias("label")))
+        return FittedModel(name, prep, trees=ET.fit(rows, len(feats), n_trees=cfg.n_extra_trees, max_depth=cfg.max_depth, seed=SEED))
+    if name == "random_forest":
         clf = RandomForestClassifier(
             numTrees=cfg.n_random_forest, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=cfg.max_depth,
             weightCol="weight", labelCol=label, seed=SEED,
@@ -138,10 +169,18 @@ def fit_model(name: str, train: DataFrame, feats: Sequence[str], cfg: TrainConfi
         stages = _prep_stages(feats, cfg, True) + [clf]
     elif name == "svc_rbf":
         prep = Pipeline(stages=_prep_stages(feats, cfg, True)).fit(train)
-        gamma = 1.0 / max(len(feats), 1)  # "scale" on standardised inputs
-        z = rff_transform(prep.transform(train), len(feats), cfg.rff_dim, gamma)
-        svc = LinearSVC(featuresCol="rff", labelCol=label, weightCol="weight", regParam=1.0 / (cfg.svc_c * max(n, 1)), maxIter=cfg.svc_max_iter).fit(z)
-        return FittedModel(name, prep, {"prep": prep, "svc": svc, "n_features": len(feats), "dim": cfg.rff_dim, "gamma": gamma})
+        scaled = prep.transform(train)
+        gamma = scale_gamma(scaled, len(feats))
+        z = cut_lineage(DS.stratified_folds(rff_transform(scaled, len(feats), cfg.rff_dim, gamma).select(key, label, "weight", "rff"), 3, SEED, key, label))
+
+        def svc_of(rows):
+            reg = 1.0 / (cfg.svc_c * max(n, 1))
+            return LinearSVC(featuresCol="rff", labelCol=label, weightCol="weight", regParam=reg, maxIter=cfg.svc_max_iter).fit(rows)
+
+        held = [svc_of(z.where(F.col("fold") != f)).transform(z.where(F.col("fold") == f)) for f in range(3)]
+        margins = [h.select(label, _margin().alias("margin")) for h in held]
+        sigmoid = fit_sigmoid(margins[0].unionAll(margins[1]).unionAll(margins[2]), "margin", label)
+        return FittedModel(name, prep, {"prep": prep, "svc": svc_of(z), "n_features": len(feats), "dim": cfg.rff_dim, "gamma": gamma, "sigmoid": sigmoid})
     else:
         raise ValueError(name)
     return FittedModel(name, Pipeline(stages=stages).fit(train))
@@ -156,17 +195,31 @@ def _metrics(scored: DataFrame, label: str = "label") -> DataFrame:
     return EV.holdout_metrics(s, label, "prediction_label", "scam_probability")
 
 
-def cross_validate(train: DataFrame, feats: Sequence[str], cfg: TrainConfig, k: int = 5, label: str = "label", key: str = "url") -> tuple[DataFrame, list[dict]]:
-    """K stratified folds x candidates; per-fold metrics and the
-    leaderboard (mean and population sd, ranked by F1 then AUC)."""
+def out_of_fold(train: DataFrame, feats: Sequence[str], cfg: TrainConfig, k: int = 5, label: str = "label", key: str = "url", path: str | None = None) -> DataFrame:
+    """A written table (model, fold, key, label, p) of each candidate's
+    probability for every row by the model of the other folds.  ``path``: a new
+    folder all executors share (default: one in the checkpoint folder, left to
+    the caller).  A part is written once its model is fitted, so later steps
+    never fit or score again."""
+    path = path or f"{ensure_checkpoint_dir(train.sparkSession)}/out-of-fold-{uuid.uuid4().hex}"
     folded = cut_lineage(DS.stratified_folds(train, k, SEED, key, label))
+    for name in cfg.models:
+        for f in range(k):
+            tr = with_weights(folded.where(F.col("fold") != f), label).drop("fold")
+            scored = fit_model(name, tr, feats, cfg, label, key).score(folded.where(F.col("fold") == f))
+            scored.select(key, F.col(label).cast("int").alias(label), "p").write.mode("overwrite").parquet(f"{path}/model={name}/fold={f}")
+    return train.sparkSession.read.schema(f"`{key}` {train.schema[key].dataType.simpleString()}, `{label}` int, p double, model string, fold int").parquet(path)
+
+
+def cross_validate(train: DataFrame, feats: Sequence[str], cfg: TrainConfig, k: int = 5, label: str = "label", key: str = "url", path: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """K stratified folds x candidates; per-fold metrics of the
+    :func:`out_of_fold` table and the leaderboard (mean and population sd, ranked
+    by F1 then AUC)."""
+    oof = out_of_fold(train, feats, cfg, k, label, key, path)
     rows = []
     for name in cfg.models:
         for f in range(k):
-            tr = with_weights(folded.where(F.col("fold") != f), label)
-            te = folded.where(F.col("fold") == f)
-            m = fit_model(name, tr, feats, cfg, label)
-            r = _metrics(m.score(te), label).first().asDict()
+            r = _metrics(oof.where((F.col("model") == name) & (F.col("fold") == f)), label).first().asDict()
             rows.append({"model": name, "fold": f, **{kk: float(v) if v is not None else None for kk, v in r.items()}})
     spark = train.sparkSession
     per_fold = spark.createDataFrame(rows, "model string, fold int, accuracy double, precision double, recall double, f1 double, roc_auc double")
@@ -208,7 +261,7 @@ def calibrate_isotonic(train: DataFrame, feats: Sequence[str], name: str, cfg: T
     folded = cut_lineage(DS.stratified_folds(train, k, SEED + 1, key, label))
     members = []
     for f in range(k):
-        m = fit_model(name, with_weights(folded.where(F.col("fold") != f), label), feats, cfg, label)
+        m = fit_model(name, with_weights(folded.where(F.col("fold") != f), label).drop("fold"), feats, cfg, label, key)
         held = m.score(folded.where(F.col("fold") == f), out="iso_in")
         members.append((m, isotonic_map(held, "iso_in", label)))
     return CalibratedEnsemble(members, list(feats))
@@ -220,7 +273,9 @@ def feature_importance(ens: CalibratedEnsemble, top: int = 20) -> list[tuple[str
     acc = np.zeros(len(ens.features))
     for m, _ in ens.members:
         last = m.pipeline.stages[-1] if m.rff is None else None
-        if last is not None and hasattr(last, "featureImportances"):
+        if m.trees is not None:
+            acc += m.trees.importances(len(ens.features))
+        elif last is not None and hasattr(last, "featureImportances"):
             acc += last.featureImportances.toArray()
         elif last is not None and hasattr(last, "coefficients"):
             acc += np.abs(last.coefficients.toArray())

@@ -660,6 +660,7 @@ def q_batch_check(spark, sf):
 
 
 # ------------------------------------------------------------------------ ML
+from riskscope.operators import extratrees as ET  # noqa: E402
 from riskscope.operators import ml as ML  # noqa: E402
 from riskscope.streaming.jobs import score_urls as _score_urls  # noqa: E402
 from riskscope.session import cut_lineage  # noqa: E402
@@ -699,6 +700,24 @@ def q_cv_leaderboard(spark, sf):
     return board.select("model", name.alias("display_name"), *[c for c in board.columns if c != "model"])
 
 
+TREE_FEATURES = ("url_length", "num_dots", "num_hyphen", "num_digits", "path_depth", "text_length", "token_count")
+
+
+@register("extra_trees_nodes")
+def q_extra_trees_nodes(spark, sf):
+    """The nodes of three extremely randomised trees of depth 3, grown over
+    the whole prepared dataset; each with its label counts, cut and share of
+    label 1 by class weight."""
+    x = F.array(*[F.col(c).cast("double") for c in TREE_FEATURES])
+    rows = cut_lineage(prepared_dataset(spark, sf).select(x.alias("x"), "label"))
+    model = ET.fit(rows, len(TREE_FEATURES), n_trees=3, max_depth=3, max_features=3, seed=SEED)
+    inner = F.col("feature") >= 0
+    name = F.element_at(F.array(*map(F.lit, TREE_FEATURES)), F.when(inner, F.col("feature") + 1).otherwise(1))
+    a, b = F.col("n0") * F.lit(model.weights[0]), F.col("n1") * F.lit(model.weights[1])
+    return model.table(spark).select("tree", "node", "n0", "n1", F.when(inner, name).alias("feature"),
+                                     F.when(inner, F.bround("cut", 6)).alias("cut"), F.bround(b / (a + b), 6).alias("share"))
+
+
 @register("holdout_model_metrics")
 def q_holdout_model(spark, sf):
     """L5 + L7 + A5: calibrated random forest on the training part, exact

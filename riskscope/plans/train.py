@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskscope.operators import dataset as DS
 from riskscope.operators import evaluate as EV
+from riskscope.operators import extratrees as ET
 from riskscope.operators import ml as ML
 from riskscope.operators import scoring as SC
 from riskscope.session import cut_lineage
@@ -72,13 +73,16 @@ def save_ensemble(ens: ML.CalibratedEnsemble, path: str) -> None:
     meta = {"features": ens.features, "members": []}
     for i, (m, iso) in enumerate(ens.members):
         base = f"{path}/member{i}"
-        entry = {"name": m.name, "rff": None}
+        entry = {"name": m.name, "rff": None, "tree_weights": None}
         if m.rff is None:
             m.pipeline.write().overwrite().save(f"{base}/pipeline")
         else:
             m.rff["prep"].write().overwrite().save(f"{base}/pipeline")
             m.rff["svc"].write().overwrite().save(f"{base}/svc")
-            entry["rff"] = {k: m.rff[k] for k in ("n_features", "dim", "gamma")}
+            entry["rff"] = {k: m.rff[k] for k in ("n_features", "dim", "gamma", "sigmoid")}
+        if m.trees is not None:
+            m.trees.table(spark).write.mode("overwrite").parquet(f"{base}/trees")
+            entry["tree_weights"] = m.trees.weights
         iso.write().overwrite().save(f"{base}/isotonic")
         meta["members"].append(entry)
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -93,5 +97,8 @@ def load_ensemble(spark: SparkSession, path: str) -> ML.CalibratedEnsemble:
         rff = None
         if entry["rff"]:
             rff = {**entry["rff"], "prep": pipe, "svc": LinearSVCModel.load(f"{base}/svc")}
-        members.append((ML.FittedModel(entry["name"], pipe, rff), IsotonicRegressionModel.load(f"{base}/isotonic")))
+        trees = None
+        if entry["tree_weights"]:
+            trees = ET.ExtraTrees.of_table(spark.read.parquet(f"{base}/trees"), entry["tree_weights"])
+        members.append((ML.FittedModel(entry["name"], pipe, rff, trees), IsotonicRegressionModel.load(f"{base}/isotonic")))
     return ML.CalibratedEnsemble(members, meta["features"])
