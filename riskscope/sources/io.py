@@ -1,26 +1,23 @@
 """Readers and writers (S1-S6) and the public-suffix list loader.
 
 Readers use explicit all-string schemas (no inference pass) and keep the
-position of each line where order matters (``line``), via the file name and
-a monotonically increasing id inside each file split; later steps never
-depend on partition order.
+position of each line where order matters: the file and the record's number in
+it (CSV), or a monotonically increasing id (URL lists); later steps never depend
+on partition order.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskscope.functions.urls import normalize_url
-
-REFERENCE_SCHEMA = T.StructType(
-    [T.StructField("url", T.StringType()), T.StructField("label", T.StringType()), T.StructField("text_content", T.StringType())]
-)
-
+from riskscope.session import cut_lineage
 
 def _with_line(df: DataFrame) -> DataFrame:
     """Position inside the source: (file, id) -- ``monotonically_increasing_id``
@@ -28,31 +25,83 @@ def _with_line(df: DataFrame) -> DataFrame:
     return df.withColumn("line", F.monotonically_increasing_id())
 
 
+def _ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the files under ``path`` with their place: ``source_dataset`` (the file),
+    ``block`` (start of the split) and ``i`` (growing within the split).  Hadoop's
+    line reader gives a line to the split in which it starts."""
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(
+        F.col("value"), meta["file_path"].alias("source_dataset"), meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("i"),
+    )
+
+
+def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files whose quoted fields may hold line breaks, without
+    reading a file in one task: ``source_dataset``, ``record`` (text), ``line``
+    (number of the record in its file; 0 is the header).
+
+    A line starts a record where an even number of quotes stands before it in the
+    file (a doubled quote counts two).  Quotes and lines are summed per split, the
+    sums (one row a split) run on per file, and within a split a window counts on;
+    so no window holds more than a split.  A record cut by a split's end is put
+    together by its number.  ``\\r\\n`` inside quotes becomes ``\\n``.  Blank lines
+    between records are dropped.  Quotes belong around fields only, doubled inside
+    them; one that is never closed takes the rest of its file into one record."""
+    # The places must not change between the passes: written once.
+    lines = cut_lineage(_ordered_lines(spark, path).withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))))
+    file, block = F.col("source_dataset"), F.col("block")
+    split = lines.groupBy(file, block).agg(F.sum("quotes").alias("_q"))
+    before = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    parity = split.select(file, block, F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(file, block).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    odd = (F.coalesce(F.sum("quotes").over(inside), F.lit(0)) + F.col("_before")) % 2
+    # One row a split: at most the number of input splits.
+    marked = cut_lineage(lines.join(F.broadcast(parity), ["source_dataset", "block"]).withColumn("_starts", (odd == 0) & (F.trim("value") != "")).withColumn("_open", odd == 1))
+    marked = marked.where(F.col("_starts") | F.col("_open"))
+    started = marked.groupBy(file, block).agg(F.sum(F.col("_starts").cast("long")).alias("_s"))
+    first = started.select(file, block, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_first"))
+    upto = Window.partitionBy(file, block).orderBy("i")
+    numbered = marked.join(F.broadcast(first), ["source_dataset", "block"]).withColumn(
+        "line", F.col("_first") + F.sum(F.col("_starts").cast("long")).over(upto) - 1
+    )
+    parts = F.array_sort(F.collect_list(F.struct("block", "i", "value")))["value"]
+    return numbered.groupBy("source_dataset", "line").agg(F.array_join(parts, "\n").alias("record"))
+
+
 def read_reference_csvs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read labelled CSV files; files without ``url``/``label`` columns
     are skipped; keep ``url, label, text_content`` (missing -> '') and add
-    ``source_dataset`` (the path) and ``line``.  The header of each file is
-    read first (one small job per file) to decide the columns."""
+    ``source_dataset`` (the path) and ``line`` (the record's number in its file).
+    Files are split by :func:`read_quoted_csv`, so a large one takes many tasks;
+    (``source_dataset``, ``line``) is the order of the files.  A short row has
+    nulls for what it lacks.  Headers may differ: they are few and small."""
     frames = []
     for path in paths:
-        header = spark.read.option("header", True).csv(path).columns
-        if "url" not in header or "label" not in header:
-            continue
-        df = (
-            spark.read.option("header", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
-            .csv(path)
-        )
-        cols = [F.col("url"), F.col("label")]
-        cols.append(F.coalesce(F.col("text_content"), F.lit("")).alias("text_content") if "text_content" in header else F.lit("").alias("text_content"))
-        frames.append(_with_line(df.select(*cols)).withColumn("source_dataset", F.lit(str(path))))
+        records = read_quoted_csv(spark, path)
+        heads = records.where("line = 0").select("source_dataset", "record").collect()  # one row a file
+        for names, files in _by_header(heads).items():
+            if "url" not in names or "label" not in names:
+                continue
+            kinds = ", ".join(f"c{i} string" for i in range(len(names)))
+            rows = records.where((F.col("line") > 0) & F.col("source_dataset").isin(files))
+            # multiLine: a quoted line break is part of the one record that is parsed here.
+            row = F.from_csv("record", kinds, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+            field = lambda c: row[f"c{names.index(c)}"]
+            text = F.coalesce(field("text_content"), F.lit("")) if "text_content" in names else F.lit("")
+            source = F.lit(str(path)) if len(heads) == 1 else F.col("source_dataset")
+            frames.append(rows.select(field("url").alias("url"), field("label").alias("label"), text.alias("text_content"), source.alias("source_dataset"), "line"))
     if not frames:
         raise FileNotFoundError("No usable reference CSV files found")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _by_header(heads) -> dict[tuple[str, ...], list[str]]:
+    """Files of each header."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in heads:
+        names = next(csv.reader([r["record"].lstrip("﻿")]))
+        out.setdefault(tuple(names), []).append(r["source_dataset"])
     return out
 
 

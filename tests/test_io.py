@@ -18,6 +18,69 @@ def test_reference_csvs_skip_files_without_label(spark, tmpdir_path):
     assert rows == [("x.com", "1", 'hello, "world"', "a.csv"), ("y.com", "0", "", "a.csv"), ("z.com", "1", "", "b.csv")]
 
 
+def _reference_files(folder, n=60):
+    """Two files with quoted line breaks, commas, quotes and blank lines in fields; their rows as the csv module reads them."""
+    import csv
+
+    want = {}
+    for name, cols in (("a.csv", ["url", "label", "text_content"]), ("b.csv", ["text_content", "extra", "label", "url"])):
+        rows = []
+        for i in range(n):
+            text = ["plain", f"one\ntwo {i}", 'say ""x"", "y"\n\n\nend,', "", "é\n" * (i % 7), '"', "\n"][i % 7]
+            rows.append({"url": f"{name}{i}.com", "label": str(i % 2), "text_content": text, "extra": f"x,\n{i}"})
+        with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as f:
+            w = csv.DictWriter(f, cols, extrasaction="ignore", lineterminator="\n")
+            w.writeheader()
+            w.writerows(rows)
+        want[name] = [(r["url"], r["label"], r["text_content"]) for r in rows]
+    return want
+
+
+def test_quoted_line_breaks_across_splits(spark, tmpdir_path):
+    want = _reference_files(tmpdir_path)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+           if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        blocks = IO._ordered_lines(spark, tmpdir_path).groupBy("source_dataset").agg({"block": "max"}).collect()
+        assert len(blocks) == 2 and all(r[1] > 97 * 5 for r in blocks)
+        for paths in ([tmpdir_path], [os.path.join(tmpdir_path, f) for f in want]):
+            got = {}
+            rows = IO.read_reference_csvs(spark, paths).orderBy("source_dataset", "line").collect()
+            for r in rows:
+                got.setdefault(os.path.basename(r["source_dataset"]), []).append((r["url"], r["label"], r["text_content"]))
+            assert got == want
+            assert [r["line"] for r in rows if r["source_dataset"].endswith("a.csv")] == list(range(1, 61))
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k) if k not in old else spark.conf.set(k, old[k])
+
+
+def test_duplicates_follow_the_order_of_the_files(spark, tmpdir_path):
+    """X2 over S1: of equal URLs with text the first line of the first file stays."""
+    from riskscope.operators import dataset as DS
+
+    body = "".join(f'u{i % 5}.com,1,"t\n{i}"\n' for i in range(40))
+    p = _w(os.path.join(tmpdir_path, "d.csv"), "url,label,text_content\n" + body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+    try:
+        got = DS.dedupe_reference(DS.valid_labeled_rows(IO.read_reference_csvs(spark, [p]))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["url"], r["line"], r["text_content"]) for r in got) == [(f"https://u{i}.com", i + 1, f"t\n{i}") for i in range(5)]
+
+
+def test_odd_reference_files(spark, tmpdir_path):
+    a = _w(os.path.join(tmpdir_path, "a.csv"), "\ufeffurl,label\r\nx.com,1\r\n\r\ny.com\r\n")
+    b = _w(os.path.join(tmpdir_path, "b.csv"), "")
+    c = _w(os.path.join(tmpdir_path, "c.csv"), 'url,label,text_content\nz.com,0,"never closed\nw.com,1,t\n')
+    got = [(r["url"], r["label"], r["text_content"], r["line"]) for r in IO.read_reference_csvs(spark, [a, b, c]).orderBy("source_dataset", "line").collect()]
+    assert got[:2] == [("x.com", "1", "", 1), ("y.com", None, "", 2)]
+    assert len(got) == 3 and got[2][:2] == ("z.com", "0")
+
+
 def test_url_lists_and_feeds(spark, tmpdir_path):
     t = _w(os.path.join(tmpdir_path, "u.txt"), "  example.com \n\nhttps://a.b/c\n")
     assert sorted(r["url"] for r in IO.read_url_list(spark, t).collect()) == ["https://a.b/c", "https://example.com"]
