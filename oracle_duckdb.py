@@ -1317,7 +1317,7 @@ SELECT c_custkey, coalesce(CAST(domain_age_days AS DOUBLE), -1.0) AS domain_age_
 FROM j"""
 
 # Max-min formula: the largest, over all starts up to a step, of the smallest mean over all ends from it.
-ORACLE["isotonic_calibration"] = """WITH s AS (SELECT CAST(least(n_chars // 500, 200) AS BIGINT) AS step, count(*) AS n, sum(quality) AS q
+ORACLE["isotonic_calibration"] = """WITH s AS (SELECT CAST(n_chars // 500 AS BIGINT) AS step, count(*) AS n, sum(quality) AS q
   FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND n_chars IS NOT NULL GROUP BY 1),
 c AS (SELECT *, sum(q) OVER (ORDER BY step) AS cq, sum(n) OVER (ORDER BY step) AS cn FROM s),
 g AS (SELECT a.step AS lo, b.step AS hi, (b.cq - a.cq + a.q) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.step <= b.step),

@@ -750,11 +750,10 @@ def q_feature_importance(spark, sf):
 @register("isotonic_calibration")
 def q_isotonic_calibration(spark, sf):
     """L7's isotonic map by itself: the raw score of a labelled document is
-    its length in steps of 500 characters (200: all longer ones), the label
-    ``quality``; the map at every step."""
+    its length in steps of 500 characters, the label ``quality``; the map at every step."""
     docs = read_table(spark, sf, "documents", spread_rows=False).where("n_chars is not null")
     labels = read_table(spark, sf, "labels", spread_rows=False).where("quality in (0, 1)")
-    step = F.least(F.floor(F.col("n_chars") / 500), F.lit(200)).cast("long")
+    step = F.floor(F.col("n_chars") / 500).cast("long")
     held = docs.join(labels, "doc_id").select(step.alias("step"), step.cast("double").alias("iso_in"), F.col("quality").alias("label"))
     per = held.groupBy("step", "iso_in").agg(F.count(F.lit(1)).alias("n_rows"))
     return ML.isotonic_map(held).transform(per).select("step", "n_rows", F.bround("prediction", 6).alias("calibrated"))
