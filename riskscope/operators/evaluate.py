@@ -132,15 +132,16 @@ def box_stats(
     )
 
 
-def holdout_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "prediction_label", prob_col: str = "scam_probability") -> DataFrame:
+def holdout_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "prediction_label", prob_col: str = "scam_probability", by: Sequence[str] = ()) -> DataFrame:
     """A5: accuracy, precision, recall, F1 (0 on zero division) and ROC AUC
-    by the rank-sum formula with mid-ranks for ties (exact)."""
-    y, p = F.col(label_col), F.col(pred_col)
-    base = df.select(y.alias("y"), p.alias("p"), F.col(prob_col).cast("double").alias("s"))
+    by the rank-sum formula with mid-ranks for ties (exact).  ``by``: columns
+    without nulls, one row of metrics for each of their combinations."""
+    y, p, by = F.col(label_col), F.col(pred_col), list(by)
+    base = df.select(*by, y.alias("y"), p.alias("p"), F.col(prob_col).cast("double").alias("s"))
     # Mid-rank of every distinct score.  The prefix count of lower scores is
     # a histogram over 2^16 score buckets (small, broadcast) plus a running
     # sum inside one bucket, so no single task sees all distinct scores.
-    by_s = base.groupBy("s").agg(
+    by_s = base.groupBy(*by, "s").agg(
         F.count(F.lit(1)).alias("n_s"),
         F.sum("y").alias("pos_s"),
         F.sum(((F.col("y") == 1) & (F.col("p") == 1)).cast("long")).alias("tp_s"),
@@ -150,16 +151,16 @@ def holdout_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "pr
     )
     nb = 1 << 16
     by_s = by_s.withColumn("_b", F.least(F.greatest(F.floor(F.col("s") * nb), F.lit(0)), F.lit(nb - 1)))
-    hist = by_s.groupBy("_b").agg(F.sum("n_s").alias("_nb"))
-    w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = by_s.groupBy(*by, "_b").agg(F.sum("n_s").alias("_nb"))
+    w_off = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.withColumn("_off", F.coalesce(F.sum("_nb").over(w_off), F.lit(0))).drop("_nb")
-    w_in = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(*by, "_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     ranks = (
-        by_s.join(F.broadcast(offs), "_b")  # at most 2^16 rows by construction
+        by_s.join(broadcast_if_small(offs) if by else F.broadcast(offs), [*by, "_b"])  # at most 2^16 rows a combination by construction
         .withColumn("below", F.col("_off") + F.coalesce(F.sum("n_s").over(w_in), F.lit(0)))
         .withColumn("midrank", F.col("below") + (F.col("n_s") + 1) / 2.0)
     )
-    j = ranks.agg(
+    j = ranks.groupBy(*by).agg(
         F.sum("n_s").alias("n"),
         F.sum("tp_s").alias("tp"),
         F.sum("fp_s").alias("fp"),
@@ -176,6 +177,7 @@ def holdout_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "pr
         (F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / (F.col("n_pos") * n_neg),
     )
     return j.select(
+        *by,
         F.bround(F.col("correct") / F.col("n"), 6).alias("accuracy"),
         F.bround(prec, 6).alias("precision"),
         F.bround(rec, 6).alias("recall"),

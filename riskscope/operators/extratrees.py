@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskscope.session import ship_package
+
 NODES = ("tree", "node", "n0", "n1", "feature", "cut", "left", "right")
 NODE_SCHEMA = "tree int, node long, n0 long, n1 long, feature int, cut double, left int, right int"
 
@@ -64,6 +66,7 @@ class ExtraTrees:
     def probability(self, x: Column) -> Column:
         """Mean over the trees of the weighted share of label 1 in the row's
         leaf, for a column of feature arrays; only that column goes to Python."""
+        ship_package()
         steps = [self.nodes[k] for k in ("feature", "cut", "left", "right")]
         value, n_trees = self.value(), self.n_trees
 
@@ -189,6 +192,7 @@ def fit(
     balanced class weights.  ``rows`` is read twice a level and group: give a
     written or checkpointed table.  ``max_features`` None: square root of their
     number.  Without rows, or with one label only, each tree is a lone leaf."""
+    ship_package()
     k = max_features or max(int(np.sqrt(n_features)), 1)
     df = rows.select(F.col(x).alias("x"), F.col(label).cast("int").alias("label"))
     count = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -22,7 +22,8 @@ the third, probabilities averaged.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +33,8 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskscope.operators import dataset as DS
@@ -55,6 +57,7 @@ class TrainConfig:
     rff_dim: int = 200
     svc_max_iter: int = 200
     imputer_relative_error: float = 0.001
+    parallelism: int = 4  # fits submitted to the cluster at a time
     models: Sequence[str] = field(default_factory=lambda: MODEL_NAMES)
 
 
@@ -190,9 +193,17 @@ def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return EV.balanced_weights(df, label)
 
 
-def _metrics(scored: DataFrame, label: str = "label") -> DataFrame:
+def _metrics(scored: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     s = scored.withColumn("prediction_label", (F.col("p") >= 0.5).cast("int")).withColumn("scam_probability", F.col("p"))
-    return EV.holdout_metrics(s, label, "prediction_label", "scam_probability")
+    return EV.holdout_metrics(s, label, "prediction_label", "scam_probability", by)
+
+
+def _side_by_side(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
+    """Results of ``jobs``, up to ``parallelism`` at a time: a fit is a chain of
+    short Spark jobs, which leaves most executors idle on its own.  Each job
+    keeps the caller's local properties; the first failure is raised."""
+    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs) or 1))) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(spark)(j) for j in jobs]))
 
 
 def out_of_fold(train: DataFrame, feats: Sequence[str], cfg: TrainConfig, k: int = 5, label: str = "label", key: str = "url", path: str | None = None) -> DataFrame:
@@ -203,11 +214,16 @@ def out_of_fold(train: DataFrame, feats: Sequence[str], cfg: TrainConfig, k: int
     never fit or score again."""
     path = path or f"{ensure_checkpoint_dir(train.sparkSession)}/out-of-fold-{uuid.uuid4().hex}"
     folded = cut_lineage(DS.stratified_folds(train, k, SEED, key, label))
-    for name in cfg.models:
-        for f in range(k):
+
+    def part(name: str, f: int):
+        def run():
             tr = with_weights(folded.where(F.col("fold") != f), label).drop("fold")
             scored = fit_model(name, tr, feats, cfg, label, key).score(folded.where(F.col("fold") == f))
             scored.select(key, F.col(label).cast("int").alias(label), "p").write.mode("overwrite").parquet(f"{path}/model={name}/fold={f}")
+
+        return run
+
+    _side_by_side(train.sparkSession, [part(name, f) for name in cfg.models for f in range(k)], cfg.parallelism)
     return train.sparkSession.read.schema(f"`{key}` {train.schema[key].dataType.simpleString()}, `{label}` int, p double, model string, fold int").parquet(path)
 
 
@@ -216,11 +232,8 @@ def cross_validate(train: DataFrame, feats: Sequence[str], cfg: TrainConfig, k:
     :func:`out_of_fold` table and the leaderboard (mean and population sd, ranked
     by F1 then AUC)."""
     oof = out_of_fold(train, feats, cfg, k, label, key, path)
-    rows = []
-    for name in cfg.models:
-        for f in range(k):
-            r = _metrics(oof.where((F.col("model") == name) & (F.col("fold") == f)), label).first().asDict()
-            rows.append({"model": name, "fold": f, **{kk: float(v) if v is not None else None for kk, v in r.items()}})
+    # One pass over the table; models x folds rows come back.
+    rows = [r.asDict() for r in _metrics(oof, label, ("model", "fold")).orderBy("model", "fold").collect()]
     spark = train.sparkSession
     per_fold = spark.createDataFrame(rows, "model string, fold int, accuracy double, precision double, recall double, f1 double, roc_auc double")
     aggs = []
@@ -259,11 +272,15 @@ def isotonic_map(held: DataFrame, in_col: str = "iso_in", label: str = "label"):
 
 def calibrate_isotonic(train: DataFrame, feats: Sequence[str], name: str, cfg: TrainConfig, k: int = 3, label: str = "label", key: str = "url") -> CalibratedEnsemble:
     folded = cut_lineage(DS.stratified_folds(train, k, SEED + 1, key, label))
-    members = []
-    for f in range(k):
-        m = fit_model(name, with_weights(folded.where(F.col("fold") != f), label).drop("fold"), feats, cfg, label, key)
-        held = m.score(folded.where(F.col("fold") == f), out="iso_in")
-        members.append((m, isotonic_map(held, "iso_in", label)))
+
+    def member(f: int):
+        def run():
+            m = fit_model(name, with_weights(folded.where(F.col("fold") != f), label).drop("fold"), feats, cfg, label, key)
+            return m, isotonic_map(m.score(folded.where(F.col("fold") == f), out="iso_in"), "iso_in", label)
+
+        return run
+
+    members = _side_by_side(train.sparkSession, [member(f) for f in range(k)], cfg.parallelism)
     return CalibratedEnsemble(members, list(feats))
 
 

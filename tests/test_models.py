@@ -164,3 +164,29 @@ def test_board_follows_from_the_out_of_fold_table(spark, tmpdir_path):
     assert [g[0] for g in got] == [w[0] for w in want]
     for g, w in zip(got, want):
         assert np.allclose(g[1:], w[1:], atol=1e-6), (g, w)
+
+
+def test_metrics_by_group_equal_those_of_each_group(spark):
+    """One pass over all models and folds: the rows that one pass for each gives,
+    ties in the score, a group of one label and a group of one row included."""
+    rows = [(m, f, i % 2 if f else 1, (i * 7 % 5) / 4 if m == "a" else (i % 3) / 3) for m in ("a", "b") for f in range(3) for i in range(12)] + [("c", 0, 0, 0.9)]
+    df = spark.createDataFrame(rows, "model string, fold int, label int, p double")
+    by = {(r["model"], r["fold"]): r[2:] for r in ML._metrics(df, by=("model", "fold")).collect()}
+    assert len(by) == 7
+    for m, f in by:
+        assert tuple(by[m, f]) == tuple(ML._metrics(df.where((F.col("model") == m) & (F.col("fold") == f))).first())
+    assert ML._metrics(df.limit(0), by=("model", "fold")).count() == 0
+
+
+def test_fits_side_by_side_raise_the_first_failure(spark):
+    def fails():
+        raise ValueError("no rows")
+
+    assert ML._side_by_side(spark, [lambda i=i: spark.range(i).count() for i in range(5)], 3) == [0, 1, 2, 3, 4]
+    assert ML._side_by_side(spark, [], 3) == []
+    try:
+        ML._side_by_side(spark, [lambda: 1, fails], 2)
+    except ValueError as e:
+        assert str(e) == "no rows"
+    else:
+        raise AssertionError
