@@ -56,8 +56,7 @@ STAGES = [
     ("byte-level bpe", token_ids),
 ]
 
-#: SQL has neither isolation forests, XXH64 nor BPE.  Tests hold near duplicates, passages and token ids against brute force operator
-#: by operator and the mix against SQL; of the stages together they compare row counts only.
+#: SQL has neither isolation forests, XXH64 nor BPE.  tests/llm/test_whole_rows.py holds all rows of run() against plain Python.
 ORACLE_SQL = None
 
 
