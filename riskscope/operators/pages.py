@@ -78,12 +78,13 @@ def usable_pages(captures: DataFrame, *, min_text_length: int = D.LOW_CONTENT_CH
 
 def first_capture(keys: DataFrame, key_col: str, pages: DataFrame) -> DataFrame:
     """First usable capture of each distinct key by candidate rank (itself,
-    http variant, www toggled).  Works on distinct keys, so a URL repeated a
-    million times is resolved once."""
-    page_cols = [c for c in pages.columns if c != "url"]
+    http variant, www toggled), as struct ``_pg`` of ``pages``' columns.  Works
+    on distinct keys, so a URL repeated a million times is resolved once; give
+    narrow ``pages``, as every hit is shuffled."""
     cands = candidate_urls(keys.select(key_col).where(F.col(key_col).isNotNull()).distinct(), key_col)
-    hit = cands.join(pages.withColumnRenamed("url", "candidate"), "candidate", "inner")
-    return hit.groupBy(key_col).agg(F.min_by(F.struct(*page_cols), F.col("rank")).alias("_pg"))
+    found = pages.select(F.col("url").alias("candidate"), F.struct(*pages.columns).alias("_c"))
+    hit = cands.join(found, "candidate", "inner")
+    return hit.groupBy(key_col).agg(F.min_by("_c", F.col("rank")).alias("_pg"))
 
 
 FAILED = "Invalid URL"
@@ -109,30 +110,38 @@ def resolve_captures(
     error, redirect_count, title, meta_description, text, text_length,
     low_content, link_count, has_form, has_iframe.
 
-    Both joins are keyed by URL strings with one row per key on the right;
-    a hot key (one URL or one homepage held by many rows) is split off and
-    broadcast by :func:`join_skew_safe`."""
+    The decision is made once per distinct URL on the captures' keys and
+    lengths alone and written as a narrow table (URL, capture taken, rows).
+    The rows then meet it, and the captures' texts, by one join each; that
+    table's counts tell both joins' hot keys, which :func:`join_skew_safe`
+    broadcasts.  A URL without a capture is joined under a key of its own that
+    no capture has, so nothing gathers at a null key."""
     # Extracted captures (HTML already dropped) are read by both candidate
-    # joins and by the hot-key checks: materialise them once.
+    # joins and by the last one: materialise them once.
     pages = cut_lineage(usable_pages(captures, min_text_length=min_text_length))
+    lean = pages.select("url", "final_url", "text_length", "low_content")
     base = urls.withColumn("_nurl", canonical_url(F.col(url_col)))
-    first = first_capture(base, "_nurl", pages)
-    res = join_skew_safe(base, first, "_nurl", hot_key_rows=hot_key_rows)
-    pg = F.col("_pg")
+    keys = base.groupBy("_nurl").agg(F.count(F.lit(1)).alias("_n"))
+    pg, hp = F.col("_pg"), F.col("_hp")
     home_of = F.when(pg.isNull(), homepage_url(F.col("_nurl"))).when(
         pg["low_content"] == 1, homepage_url(pg["final_url"])
     )
+    own = keys.join(first_capture(keys, "_nurl", lean), "_nurl", "left")
+    own = cut_lineage(own.withColumn("_hkey", F.when(F.col("_nurl") != "", home_of)))
+    home = first_capture(own, "_hkey", lean).withColumnRenamed("_pg", "_hp")
     origin = F.when(pg.isNull(), F.col("_nurl")).otherwise(pg["final_url"])
-    res = res.withColumn("_hkey", F.when(F.col("_nurl") != "", home_of)).withColumn("_origin", origin)
-    home = first_capture(res, "_hkey", pages).withColumnRenamed("_pg", "_hp")
-    res = join_skew_safe(res, home, "_hkey", hot_key_rows=hot_key_rows)
-    hp = F.col("_hp")
-    use_home = hp.isNotNull() & (F.col("_hkey") != F.col("_origin")) & (
-        pg.isNull() | (hp["text_length"] > pg["text_length"])
-    )
-    res = res.withColumn("_fallback", F.coalesce(use_home, F.lit(False))).withColumn(
-        "_pg", F.when(F.col("_fallback"), hp).otherwise(pg)
+    use_home = hp.isNotNull() & (F.col("_hkey") != origin) & (pg.isNull() | (hp["text_length"] > pg["text_length"]))
+    none = F.concat(F.lit("\0"), F.col("_nurl"))  # no URL has a zero byte in front
+    taken = cut_lineage(
+        join_skew_safe(own, home, "_hkey", hot_key_rows=hot_key_rows)
+        .withColumn("_fallback", F.coalesce(use_home, F.lit(False)))
+        .select("_nurl", "_n", "_fallback", F.coalesce(F.when(F.col("_fallback"), hp["url"]).otherwise(pg["url"]), none).alias("_src"))
     )
+    hot = taken.where(F.col("_n") >= hot_key_rows).select("_nurl")
+    res = join_skew_safe(base, taken.drop("_n"), "_nurl", "inner", hot_keys=hot)
+    hot = taken.groupBy("_src").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= hot_key_rows).select("_src")
+    texts = pages.select(F.col("url").alias("_src"), F.struct(*[c for c in pages.columns if c != "url"]).alias("_pg"))
+    res = join_skew_safe(res, texts, "_src", hot_keys=hot, nulls=False)
     invalid = F.col("_nurl") == ""
     found = F.col("_pg").isNotNull()
     text_cols = ("title", "meta_description", "text")

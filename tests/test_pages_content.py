@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from riskscope.operators.content import CONTENT_FEATURES, with_content_features
 from riskscope.operators.domains import parse_domain_date, parse_whois
+from riskscope.operators import pages as P
 from riskscope.operators.pages import extract_pages
 
 PAGE = ('<html><head><title> A  B </title><meta name="Description" content=" d  e "></head><body><nav><a href="/n">n</a>'
@@ -54,3 +55,25 @@ def test_whois_rules(spark):
     assert (out["b"]["domain_age_days"], out["b"]["missing_whois"]) == (-1, 1)
     assert out["c"]["missing_whois"] == 1
     assert out["d"]["domain_age_days"] == 2192 and out["d"]["registrar"] == ""
+
+
+def test_resolved_rows_do_not_depend_on_hot_keys(spark):
+    """Rows that hold one URL, one homepage, one bad URL or one URL without a
+    capture many times: the same whether a key is split off as hot or not."""
+    page = lambda n: "<html><head><title>t{0}</title></head><body>{1}</body></html>".format(n, "word " * n)
+    caps = spark.createDataFrame(
+        [(u, u, 0, True, "text/html", page(n)) for u, n in (("https://a.com/", 80), ("https://a.com/low", 2), ("https://www.b.com/x", 50), ("https://b.com/", 3), ("http://c.com/", 60))],
+        "url string, final_url string, redirect_count int, ok boolean, content_type string, html string",
+    )
+    urls = ["https://a.com/none"] * 5 + ["https://a.com/low"] * 4 + ["https://b.com/x", "https://c.com/", "https://c.com/"] + ["", None, "https://"] * 3 + ["https://nowhere.org/p"] * 6
+    rows = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
+    got = [sorted(map(repr, P.resolve_captures(rows, caps, hot_key_rows=h).collect())) for h in (1, 3, 10**9)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(urls)
+    by = {r["id"]: (r["status"], r["final_url"], r["title"], r["error"]) for r in P.resolve_captures(rows, caps, hot_key_rows=3).collect()}
+    assert by[0] == ("success", "https://a.com/", "t80", P.FALLBACK)
+    assert by[5][:3] == ("success", "https://a.com/", "t80")  # the homepage has more text
+    assert by[9] == ("success", "https://www.b.com/x", "t50", None)
+    assert by[10][:3] == ("success", "http://c.com/", "t60")
+    assert {by[i][0] for i, u in enumerate(urls) if not u} == {"failed"} and by[len(urls) - 1][:2] == ("partial", "https://nowhere.org/p")
+    assert P.resolve_captures(rows.limit(0), caps).count() == 0
+    assert {r["status"] for r in P.resolve_captures(rows, caps.limit(0)).collect()} == {"failed", "partial"}
