@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark import inheritable_thread_target
@@ -65,12 +65,18 @@ def _imputed(feats: Sequence[str]) -> list[str]:
     return [f"{c}__imp" for c in feats]
 
 
-def _prep_stages(feats: Sequence[str], cfg: TrainConfig, scaled: bool):
+def _prep_stages(feats: Sequence[str], cfg: TrainConfig, scaled_rows: int | None = None):
+    """Median, vector and, for ``scaled_rows`` fitted rows, mean 0 and population
+    standard deviation 1 (L3): MLlib divides by the sample's, which is larger by
+    sqrt(n / (n - 1))."""
+    scaled = scaled_rows is not None
     imp = Imputer(strategy="median", inputCols=list(feats), outputCols=_imputed(feats), relativeError=cfg.imputer_relative_error)
     asm = VectorAssembler(inputCols=_imputed(feats), outputCol="features_raw" if scaled else "features", handleInvalid="keep")
     stages = [imp, asm]
     if scaled:
-        stages.append(StandardScaler(inputCol="features_raw", outputCol="features", withMean=True, withStd=True))
+        grow = (scaled_rows / (scaled_rows - 1)) ** 0.5 if scaled_rows > 1 else 1.0
+        stages.append(StandardScaler(inputCol="features_raw", outputCol="features_sample", withMean=True, withStd=True))
+        stages.append(ElementwiseProduct(scalingVec=[grow] * len(feats), inputCol="features_sample", outputCol="features"))
     return stages
 
 
@@ -152,7 +158,7 @@ def fit_model(name: str, train: DataFrame, feats: Sequence[str], cfg: TrainConfi
     the folds of the kernel model's sigmoid)."""
     n = train.count()
     if name == "extra_trees":
-        prep = Pipeline(stages=_prep_stages(feats, cfg, False)).fit(train)
+        prep = Pipeline(stages=_prep_stages(feats, cfg)).fit(train)
         rows = cut_lineage(prep.transform(train).select(vector_to_array("features").alias("x"), F.col(label).alias("label")))
         return FittedModel(name, prep, trees=ET.fit(rows, len(feats), n_trees=cfg.n_extra_trees, max_depth=cfg.max_depth, seed=SEED))
     if name == "random_forest":
@@ -160,18 +166,18 @@ def fit_model(name: str, train: DataFrame, feats: Sequence[str], cfg: TrainConfi
             numTrees=cfg.n_random_forest, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=cfg.max_depth,
             weightCol="weight", labelCol=label, seed=SEED,
         )
-        stages = _prep_stages(feats, cfg, False) + [clf]
+        stages = _prep_stages(feats, cfg) + [clf]
     elif name == "gradient_boosting":
         clf = GBTClassifier(maxIter=cfg.gbt_iter, stepSize=0.1, maxDepth=3, labelCol=label, seed=SEED)
-        stages = _prep_stages(feats, cfg, False) + [clf]
+        stages = _prep_stages(feats, cfg) + [clf]
     elif name == "logistic_regression":
         clf = LogisticRegression(
             maxIter=cfg.lr_max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
             weightCol="weight", labelCol=label,
         )
-        stages = _prep_stages(feats, cfg, True) + [clf]
+        stages = _prep_stages(feats, cfg, n) + [clf]
     elif name == "svc_rbf":
-        prep = Pipeline(stages=_prep_stages(feats, cfg, True)).fit(train)
+        prep = Pipeline(stages=_prep_stages(feats, cfg, n)).fit(train)
         scaled = prep.transform(train)
         gamma = scale_gamma(scaled, len(feats))
         z = cut_lineage(DS.stratified_folds(rff_transform(scaled, len(feats), cfg.rff_dim, gamma).select(key, label, "weight", "rff"), 3, SEED, key, label))

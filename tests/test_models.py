@@ -112,7 +112,9 @@ def test_kernel_probability_is_a_rising_sigmoid(spark, tmpdir_path):
     wide = df.select(F.concat(F.lit("u"), "id").alias("url"), *[F.col("x")[i].alias(f) for i, f in enumerate(feats)], "label")
     cfg = ML.TrainConfig(rff_dim=64, svc_max_iter=30)
     m = ML.fit_model("svc_rbf", ML.with_weights(wide), feats, cfg)
-    assert abs(m.rff["gamma"] - 1 / 3) < 0.01  # three features of unit variance
+    assert abs(m.rff["gamma"] - 1 / 3) < 1e-9  # three features of unit population variance
+    z3 = np.vstack([r[0].toArray() for r in m.rff["prep"].transform(wide).select("features").collect()])
+    assert np.allclose(z3.mean(axis=0), 0, atol=1e-9) and np.allclose(z3.std(axis=0), 1, atol=1e-9)
     assert m.rff["sigmoid"][0] > 0
     z = ML.rff_transform(m.rff["prep"].transform(wide), 3, 64, m.rff["gamma"])
     margin = {r["url"]: r["m"] for r in m.rff["svc"].transform(z).select("url", ML._margin().alias("m")).collect()}
