@@ -680,7 +680,7 @@ def q_url_only(spark, sf):
 
 
 def _train_test(spark, sf):
-    prep = cut_lineage(prepared_dataset(spark, sf).dropDuplicates(["url"]))
+    prep = cut_lineage(ST.one_per_key(prepared_dataset(spark, sf)))
     _, feats = EV.select_numeric_features(prep)
     keyed = prep.select("url", *[F.col(c).cast("double").alias(c) for c in feats], "label")
     # Training reads the split many times: cut the lineage once (reliable

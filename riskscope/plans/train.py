@@ -17,6 +17,7 @@ from riskscope.operators import evaluate as EV
 from riskscope.operators import extratrees as ET
 from riskscope.operators import ml as ML
 from riskscope.operators import scoring as SC
+from riskscope.operators import store as ST
 from riskscope.session import cut_lineage
 from riskscope.sources.io import write_report_json
 
@@ -34,7 +35,7 @@ def train_and_report(
     Returns the final model and the report; with ``out_dir`` the models and
     ``report.json`` are written there (a shared location on a cluster)."""
     cfg = cfg or ML.TrainConfig()
-    prepared = prepared.dropDuplicates([key])
+    prepared = ST.one_per_key(prepared, key)  # the same rows in every run
     clean, feats = EV.select_numeric_features(prepared)
     keyed = prepared.select(key, *[F.col(c).cast("string").try_cast("double").alias(c) for c in feats], F.col("label").cast("int"))
     split = cut_lineage(DS.stratified_split(keyed, test_size, ML.SEED, key))

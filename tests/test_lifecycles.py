@@ -1,6 +1,7 @@
 import os
 
 from riskscope.operators import ml as ML
+from riskscope.operators import store as ST
 from riskscope.plans import build_dataset, collect, train
 from riskscope.plans.catalog import reference_rows
 from riskscope.sources import fixtures as FX
@@ -32,3 +33,11 @@ def test_collect_and_store(spark):
     urls = FX.url_list(spark, SF_ORACLE).select("url")
     second = collect.collect(urls, FX.captures(spark, SF_ORACLE), first)
     assert second.count() == second.select("url").distinct().count() == urls.distinct().count()
+
+
+def test_one_row_per_url_is_the_same_in_every_run(spark):
+    """Rows of one URL in any order and partitions: the split sees the same row."""
+    rows = [(u, float(i % 7), (i * 3) % 2) for i, u in enumerate(["a", "b", "c", "a", "b", "a", None, "d"] * 5)]
+    df = spark.createDataFrame(rows, "url string, x double, label int")
+    got = [sorted(ST.one_per_key(d).collect()) for d in (df, df.repartition(7), df.orderBy("x", "label").coalesce(1))]
+    assert got[0] == got[1] == got[2] and [r["url"] for r in got[0]] == ["a", "b", "c", "d"]
