@@ -7,7 +7,6 @@ import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskscope.session import ship_package
+
 # Words are runs of anything but the ASCII blanks x20 and x09-x0D; that is
 # what bytes.split() splits on.
 BATCH_BYTES = 4 << 20
@@ -76,20 +77,9 @@ def ship(spark: SparkSession) -> SparkSession:
     """Make a session ready for the operators: Arrow batches of bounded bytes,
     and this package sent to the Python workers, once per context, so that
     functions of its modules can be loaded there without a PYTHONPATH."""
-    sc = spark.sparkContext
     # Whole texts go to Python: bound a batch by its bytes, not by 10,000 rows.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if not getattr(sc, "_riskscope_sent", False):
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="riskscope-"), "riskscope.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(top):
-                for n in names:
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        sc.addPyFile(path)
-        sc._riskscope_sent = True
+    ship_package()
     return spark
 
 

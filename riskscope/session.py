@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import zipfile
 
 from pyspark import SparkContext
@@ -60,22 +61,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return path
 
 
+_sending = threading.Lock()
+
+
 def ship_package() -> None:
     """Send this package to the Python workers, once per context: functions
     that refer to its modules load there without an installation or a
-    PYTHONPATH.  Sessions without a context of their own (Spark Connect) need
-    the package installed."""
+    PYTHONPATH.  Fits run side by side in threads, and a context refuses a
+    second file of the same name: one thread sends, the others wait for it.
+    Sessions without a context of their own (Spark Connect) need the package
+    installed."""
     sc = SparkContext._active_spark_context
-    if sc is None or getattr(sc, "_riskscope_sent", False):
+    if sc is None:
         return
-    top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="riskscope-"), "riskscope.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for full in (os.path.join(folder, n) for n in sorted(names) if n.endswith(".py")):
-                z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)  # copied from the driver to every executor
-    sc._riskscope_sent = True
+    with _sending:
+        if getattr(sc, "_riskscope_sent", False):
+            return
+        top = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="riskscope-"), "riskscope.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(top):
+                for full in (os.path.join(folder, n) for n in sorted(names) if n.endswith(".py")):
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+        sc.addPyFile(path)  # copied from the driver to every executor
+        sc._riskscope_sent = True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -4,6 +4,11 @@ import os
 import subprocess
 import sys
 import tempfile
+import time
+from concurrent.futures import ThreadPoolExecutor
+
+from riskscope.llm.common import ship
+from riskscope.session import ship_package
 
 SCRIPT = """
 import sys
@@ -26,3 +31,18 @@ def test_workers_find_the_package_from_any_folder():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", SCRIPT.format(top=top)], cwd=tempfile.mkdtemp(prefix="riskscope-elsewhere-"), env=env, capture_output=True, text=True, timeout=240)
     assert got.returncode == 0 and "fitted" in got.stdout, got.stderr[-2000:]
+
+
+def test_threads_send_the_package_once(spark, monkeypatch):
+    sc = spark.sparkContext
+    sent = []
+
+    def slow(path):
+        sent.append(path)
+        time.sleep(0.3)  # the other threads ask meanwhile
+
+    monkeypatch.setattr(sc, "_riskscope_sent", False, raising=False)
+    monkeypatch.setattr(sc, "addPyFile", slow)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda send: send(), [ship_package, lambda: ship(spark)] * 2))
+    assert len(sent) == 1
