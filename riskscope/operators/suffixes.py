@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from riskscope import dictionaries as D
 from riskscope.functions.urls import host_labels
 from riskscope.operators.joins import join_skew_safe
+from riskscope.session import cut_lineage
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
+TASK_ROWS, HOT_ROWS = 250_000, 50_000
 KINDS = ("exact", "wildcard", "exception")
 
 
@@ -42,11 +44,11 @@ def _last(host: Column, n: Column | int) -> Column:
 
 
 def _labels_by_broadcast(df: DataFrame, host: str, table: DataFrame, depth: int, out: str) -> DataFrame:
-    """A broadcast join per depth; wildcard ``p`` covers one label more than
+    """A broadcast join per depth, with the rules of that depth; wildcard ``p`` covers one label more than
     ``p``, exception ``e`` one less than ``e`` and wins."""
     n, kept = _n_labels(F.col(host)), df.columns
     for j in range(1, depth + 1):
-        here = table.select(F.col("suffix").alias(f"_suffix{j}"), *[F.col(k).alias(f"_{k}{j}") for k in KINDS])
+        here = table.where(_n_labels(F.col("suffix")) == j).select(F.col("suffix").alias(f"_suffix{j}"), *[F.col(k).alias(f"_{k}{j}") for k in KINDS])
         df = df.join(F.broadcast(here), (n >= j) & (_last(F.col(host), j) == F.col(f"_suffix{j}")), "left")
     rule, exception = F.lit(0), F.lit(0)
     for j in range(1, depth + 1):  # the longest wins: later ones override
@@ -56,11 +58,16 @@ def _labels_by_broadcast(df: DataFrame, host: str, table: DataFrame, depth: int,
 
 
 def _labels_by_shuffle(df: DataFrame, host: str, table: DataFrame, depth: int, out: str) -> DataFrame:
-    """The same through the distinct hosts."""
-    hosts = df.select(F.col(host).alias("_h")).where(F.col(host).isNotNull()).distinct()
+    """The same through the distinct hosts.  Tasks get about ``TASK_ROWS``
+    candidates and rules each, whatever the input's size; suffixes that
+    ``HOT_ROWS`` hosts end on meet their rule by broadcast."""
+    hosts = cut_lineage(df.select(F.col(host).alias("_h")).where(F.col(host).isNotNull()).distinct())
     cand = hosts.withColumn("_n", _n_labels(F.col("_h")))
-    cand = cand.withColumn("_j", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(depth)))))
-    found = cand.withColumn("suffix", _last(F.col("_h"), F.col("_j"))).join(table, "suffix")
+    cand = cand.withColumn("_j", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(depth))))).withColumn("suffix", _last(F.col("_h"), F.col("_j")))
+    hot = F.broadcast(cut_lineage(cand.groupBy("suffix").agg(F.count(F.lit(1)).alias("_hosts")).where(F.col("_hosts") >= HOT_ROWS).select("suffix")))
+    parts = (hosts.count() * depth + table.count()) // TASK_ROWS + 1
+    warm = cand.join(hot, "suffix", "left_anti").repartition(parts, "suffix").join(table.repartition(parts, "suffix"), "suffix")
+    found = warm.unionByName(cand.join(F.broadcast(table.join(hot, "suffix", "left_semi")), "suffix"))
     per = found.groupBy(F.col("_h").alias(host)).agg(
         F.max(F.when(F.col("exception") & (F.col("_j") > 1), F.col("_j") - 1)).alias("_exc"),
         F.max(F.greatest(F.when(F.col("exact"), F.col("_j")), F.when(F.col("wildcard") & (F.col("_n") > F.col("_j")), F.col("_j") + 1))).alias("_rule"),

@@ -50,3 +50,15 @@ def test_rules_of_a_list_file(spark, tmpdir_path):
     icann = {(r.suffix, r.kind) for r in IO.read_suffix_rules(spark, path).collect()}
     assert icann == {("com", "exact"), ("ck", "wildcard"), ("www.ck", "exception")}
     assert ("blogspot.com", "exact") in {(r.suffix, r.kind) for r in IO.read_suffix_rules(spark, path, icann_only=False).collect()}
+
+
+def test_large_tables_are_dealt_by_rows_and_hot_suffixes_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(SX, "TASK_ROWS", 50)
+    monkeypatch.setattr(SX, "HOT_ROWS", 100)
+    made = spark.range(200).select(F.concat(F.lit("s"), F.col("id").cast("string"), F.lit(".com")).alias("suffix"), F.lit("exact").alias("kind"))
+    table = SX.suffix_table(made.unionByName(SX.builtin_rules(spark, [("com", "exact")])))
+    df = spark.range(300).select(F.concat(F.lit("x.y.s"), F.col("id").cast("string"), F.lit(".com")).alias("host"))
+    out = SX.with_suffix_labels(df, "host", table, broadcast_bytes=0)
+    assert sorted(r.suffix_labels for r in out.collect()) == [1] * 100 + [2] * 200
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [suffix" in plan and "LeftAnti" in plan
