@@ -129,14 +129,15 @@ def tfidf_top_terms(
     min_docs: int = 2,
     stop_words: Iterable[str] = D.ENGLISH_STOP_WORDS,
     hot_key_rows: int = 100_000,
+    broadcast_terms: int = 500_000,
 ) -> DataFrame:
     """Top ``n`` TF-IDF terms per document.
 
     tf = term count in the document, idf = ln((1 + N) / (1 + df)) + 1 (the
     smoothed form), weights L2-normalised per document.  Tokens come from C2 +
     C3.  Everything is a Spark aggregation: (doc, term) counts with map-side
-    combine, term document frequencies, then a per-document top-n with a
-    window.  The window partitions by document, so one long document is
+    combine, term document frequencies (sent to all where there are at most
+    ``broadcast_terms``), then a per-document top-n with a window.  The window partitions by document, so one long document is
     still bounded by its distinct terms.  Fewer than ``min_docs`` documents
     -> empty result."""
     # explode first, then filter on the flat column: the stop-word test is a
@@ -149,19 +150,21 @@ def tfidf_top_terms(
     # terms, weights): materialise them once in the checkpoint directory.
     tf = cut_lineage(toks.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.select(id_col).count()  # one scalar for the idf formula
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # A common term is a hot key on the tf side; its tf row count is its
-    # document frequency, so hot terms come straight from ``dfreq``.
-    hot = dfreq.where(F.col("df") >= hot_key_rows).select("term")
-    w = (
-        join_skew_safe(tf, dfreq, "term", "inner", hot_keys=hot)
-        .where(F.lit(n_docs >= min_docs))
-        .withColumn("raw", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1))
-    )
-    norm = Window.partitionBy("doc")
-    ranked = w.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(norm))).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("weight"), F.asc("term")))
-    )
+    # Written once too: it is sized, gives the hot terms and is joined.
+    dfreq = cut_lineage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    if dfreq.count() <= broadcast_terms:  # the (doc, term) rows stay where they are
+        known = tf.join(F.broadcast(dfreq), "term")
+    else:
+        # A common term is a hot key on the tf side; its tf row count is its
+        # document frequency, so hot terms come straight from ``dfreq``.
+        hot = dfreq.where(F.col("df") >= hot_key_rows).select("term")
+        known = join_skew_safe(tf, dfreq, "term", "inner", hot_keys=hot)
+    w = known.where(F.lit(n_docs >= min_docs)).withColumn("raw", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1))
+    # Weights fall with ``raw`` in a document: one sort serves norm and rank.
+    by_raw = Window.partitionBy("doc").orderBy(F.desc("raw"), F.asc("term"))
+    whole = by_raw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = w.withColumns({"_norm": F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole)), "rank": F.row_number().over(by_raw)})
+    ranked = ranked.withColumn("weight", F.col("raw") / F.col("_norm"))
     return ranked.where(F.col("rank") <= top_n).select(
         F.col("doc").alias(id_col), F.col("rank").cast("int"), "term", F.bround("weight", 6).alias("weight")
     )

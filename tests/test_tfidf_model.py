@@ -23,3 +23,11 @@ def test_model_weights_unseen_documents(spark, tmpdir_path):
 def test_model_of_an_empty_corpus(spark):
     model = C.fit_tfidf(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert model.count() == 0 and C.transform_tfidf(spark.createDataFrame([(1, "a b")], "id long, text string"), "id", "text", model).count() == 0
+
+
+def test_top_terms_alike_with_and_without_a_term_broadcast(spark):
+    docs = spark.createDataFrame([(1, "pay bank now now"), (2, "bank bank river"), (3, None), (1, "river")], "id long, text string")
+    small = C.tfidf_top_terms(docs, "id", "text", top_n=2)
+    large = C.tfidf_top_terms(docs, "id", "text", top_n=2, broadcast_terms=0)
+    assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 4
+    assert "hashpartitioning(term" not in small._jdf.queryExecution().executedPlan().toString()
