@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskscope.llm.common import raw_texts, ship, word_blocks
+from riskscope.llm.common import cut, raw_texts, ship, word_blocks
 
 COUNTS = (
     "n_bytes", "n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
@@ -104,13 +104,32 @@ def counted(text: Column) -> Column:
     return run(text)
 
 
+def _label_per_id(labels: DataFrame) -> DataFrame:
+    """Null ids and labels other than 0 and 1 are left out; of several labels
+    of an id the smallest holds."""
+    return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(label, c) of every labelled document: its label and counts, of rows
+    that repeat an id the largest.  Texts are never shuffled: few ids are
+    broadcast, many meet the counts."""
+    ship(docs.sparkSession)
+    ids = cut(_label_per_id(labels))
+    c = counted(F.col("text")).alias("c")
+    if ids.count() <= broadcast_rows:
+        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", c)
+    else:
+        rows = docs.select("doc_id", c).join(ids, "doc_id")
+    return rows.groupBy("doc_id").agg(F.max(F.struct("label", "c")).alias("one")).select("one.label", "one.c")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> np.ndarray:
     """At most ``max_rows`` labelled documents (the smallest hashes of the id),
     in the order of the id: label, then the counts.  Null ids and labels other
     than 0 and 1 are left out; of several labels of an id the smallest holds."""
     ship(docs.sparkSession)
-    ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = _label_per_id(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # Rows that repeat an id can exceed the bound: the largest counts of each.
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

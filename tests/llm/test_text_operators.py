@@ -239,3 +239,25 @@ def test_rules_reject_junk_and_keep_good(spark):
     good = [r.kept for r in rows if labels[r.doc_id] == 1]
     bad = [r.kept for r in rows if labels[r.doc_id] == 0]
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_rules_learn_from_every_labelled_row(spark):
+    rng = np.random.default_rng(3)
+    good = ["".join(f"w{k} " for k in rng.integers(0, 400, 80)) + "# " * int(rng.integers(0, 6)) for _ in range(60)]
+    texts = good + ["".join(f"w{k} " for k in rng.integers(0, 400, 80)) + "# " * 60 for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(80)], "doc_id long, quality int")
+    forest = rules.train(docs, labels)
+    m = stats.matrix([t.encode() for t in texts])
+    x, fine = rules.rule_statistics(m), ~rules.base_failed(m)
+    rows = sum(fine[:60])
+    n = np.stack([np.bincount(leaf, minlength=256) for leaf in forest.leaves(x[:60][fine[:60]])])
+    again = rules.settle(rules.drawn(x.shape[1]), n)
+    assert (n.sum(1) == rows).all() and np.array_equal(again.path, forest.path) and again.usual == rules.expected_path(rows)
+    score, is_good = forest.anomaly(x[fine]), np.arange(80)[fine] < 60
+    places = np.unique(score[score >= np.quantile(score[is_good], rules.KEEP_SHARE, method="higher")])
+    places = np.append((places[:-1] + places[1:]) / 2, (places[-1] + 1) / 2)
+    right = [(score[is_good] <= c).mean() + (score[~is_good] > c).mean() for c in places]
+    assert forest.threshold == places[np.flatnonzero(np.isclose(right, max(right), rtol=0, atol=1e-12))[-1]]
+    few, many = (sorted(map(str, stats.labelled(docs, labels, limit).collect())) for limit in (0, 1000))
+    assert few == many and len(few) == 80

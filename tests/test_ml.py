@@ -29,3 +29,10 @@ def test_cross_validation_board(spark):
     assert len(rows) == 6 and {r["model"] for r in b} == {"random_forest", "logistic_regression"}
     assert b[0]["f1_mean"] >= b[-1]["f1_mean"]
     assert ML.display_name("extra_trees") == "Extra Trees"
+
+
+def test_standardized_rows_are_prepared_once(spark):
+    from riskscope.plans.catalog import QUERIES
+
+    out = QUERIES["standardized_features"](spark, "/root/testdata/sf0.001")
+    assert not out.inputFiles() and out.count() > 0  # read from what was written, not prepared again
