@@ -107,7 +107,7 @@ def _block_nodes(height: int):
     return run
 
 
-def _exchange(state: DataFrame, stride: int) -> DataFrame:
+def _exchange(state: DataFrame, stride: int, parts: int) -> DataFrame:
     """One round: subtrees of ``stride`` blocks swap roots in runs of ``FANOUT``."""
     own = state.withColumn("j", F.floor(F.col("block") / stride)).withColumn("n", F.ceil(F.col("blocks") / stride))
     own = own.withColumn("open", F.col("n") > 1)
@@ -124,7 +124,10 @@ def _exchange(state: DataFrame, stride: int) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     got = own.select("g", "block", "j", "node", "blocks", "proof", "open", F.lit(True).alias("mine"))
     got = got.unionByName(sent.select("g", "block", "j", "node", none("bigint").alias("blocks"), none(PROOF).alias("proof"), none("boolean").alias("open"), F.lit(False).alias("mine")))
-    met = got.groupBy("g", "block").agg(
+    # Dealt here by name: where both sides of a union are dealt alike, Spark 4.1 takes
+    # their partitions as aligned, also when each side's were merged in its own way;
+    # then digests miss their block, and a group would lie in one task.
+    met = got.repartition(parts, "g", "block").groupBy("g", "block").agg(
         F.max("blocks").alias("blocks"),
         F.first("proof", ignorenulls=True).alias("proof"),
         F.max("open").alias("open"),
@@ -149,16 +152,16 @@ def climb(leaves: DataFrame, height: int) -> DataFrame:
     rows = leaves.select("g", F.floor(F.col("place") / FANOUT**height).alias("block"), "place", "leaf")
     rows = rows.repartition(parts, "g", "block").sortWithinPartitions("g", "block", "place")
     nodes = cut(rows.mapInArrow(_block_nodes(height), "g string, block bigint, alone string, node string"))
-    per = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("blocks"))
-    most = per.agg(F.max("blocks")).first()[0] or 0
-    state = nodes.join(per, "g").select(
+    per = cut(nodes.groupBy("g").agg(F.count(F.lit(1)).alias("blocks")))
+    most, n = per.agg(F.max("blocks"), F.count(F.lit(1))).first()
+    state = nodes.join(checked_broadcast(per, n, 500), "g").select(
         "g", "block", "blocks", F.array().cast(PROOF).alias("proof"), F.when(F.col("blocks") == 1, F.col("alone")).otherwise(F.col("node")).alias("node")
     )
     stride = 1
-    while stride < most:
-        state = _exchange(state, stride)
+    while stride < (most or 0):
+        state = cut(_exchange(state, stride, parts))  # read twice in the next round
         stride *= FANOUT
-    return cut(state)
+    return cut(state) if stride == 1 else state
 
 
 def _proofs(carry: list[str], height: int):

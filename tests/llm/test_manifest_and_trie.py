@@ -65,6 +65,27 @@ def test_manifest_of_ragged_groups(spark, height):
     assert got == sorted(brute_manifest(rows), key=repr)
 
 
+def test_manifest_of_a_group_of_three_rounds(spark):
+    sizes = {"a": 273, "b": 26, "c": 1, "d": 257}  # blocks: a third round from 257 on
+    rows = [(i, g, sha(f"{g}-{i}")) for g, n in sizes.items() for i in range(n)]
+    random.Random(2).shuffle(rows)
+    out = merkle.manifest(spark.createDataFrame(rows, "id long, g string, leaf string"), "id", "g", height=0)
+    got = sorted((r.id, r.leaf, r.subroot, r.root, [tuple(p) for p in r.proof]) for r in out.collect())
+    assert got == sorted(brute_manifest(rows))
+
+
+def test_rounds_deal_digests_by_block(spark):
+    rows = [("a", i, sha(f"a-{i}")) for i in range(273)] + [("b", i, sha(f"b-{i}")) for i in range(26)]
+    out = merkle.climb(spark.createDataFrame(rows, "g string, place long, leaf string"), 0)
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r.g].append((r.block, r.blocks, r.node, [tuple(p) for p in r.proof]))
+    for g in "ab":
+        tree = levels([x[2] for x in rows if x[0] == g])
+        n = len(tree[0])
+        assert sorted(got[g], key=repr) == sorted(((i, n, tree[-1][0], siblings(tree, i)) for i in range(n)), key=repr)
+
+
 def test_manifest_query(spark):
     field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
