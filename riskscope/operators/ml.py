@@ -7,6 +7,8 @@ classifier, with balanced class weights as ``weightCol``.  Candidates:
 * ``random_forest``, ``gradient_boosting``, ``logistic_regression``: MLlib
   models with the original hyper-parameters (``regParam = 1 / n`` is C = 1
   under balanced weights).
+  MLlib's trees look for cuts in a sample of 10,000 rows where there are more;
+  then :func:`tree_cuts` finds them over all rows first.
 * ``svc_rbf``: no kernel SVM in MLlib; stand-in = random Fourier features
   (Rahimi & Recht, 2007) computed per Arrow batch with numpy, then
   ``LinearSVC``.  Gamma follows from the variance of the scaled inputs; the
@@ -22,15 +24,16 @@ the third, probabilities averaged.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark import inheritable_thread_target
@@ -44,6 +47,7 @@ from riskscope.session import cut_lineage, ensure_checkpoint_dir
 
 MODEL_NAMES = ("extra_trees", "random_forest", "gradient_boosting", "logistic_regression", "svc_rbf")
 SEED = 42
+SPLIT_ROWS = 10_000  # rows up to which MLlib's trees look at all of them for cuts
 
 
 @dataclass
@@ -80,6 +84,50 @@ def _prep_stages(feats: Sequence[str], cfg: TrainConfig, scaled_rows: int | None
     return stages
 
 
+def tree_cuts(df: DataFrame, cols: Sequence[str], bins: int, relative_error: float) -> list[list[float]]:
+    """Increasing cuts of each column into ``bins`` ranges at most, over all rows:
+    the middles between neighbouring values where there are ``bins`` values or
+    fewer, else quantiles.  A value goes with the cut it equals to the right."""
+
+    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = [set() for _ in cols]
+        for pdf in batches:
+            for values, c in zip(seen, pdf.columns):
+                if len(values) <= bins:
+                    values.update(pdf[c].dropna().unique()[: bins + 1].tolist())
+        for i, values in enumerate(seen):
+            yield pd.DataFrame({"at": i, "v": sorted(values)}, columns=["at", "v"]).astype({"at": "int32", "v": "float64"})
+
+    # bins + 1 values of a task prove that there are too many; fewer are all of its values.
+    held = df.select(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]).mapInPandas(few, "at int, v double").distinct()
+    own = held.groupBy("at").agg(F.slice(F.array_sort(F.collect_set("v")), 1, bins + 1).alias("v"))
+    known = {r["at"]: r["v"] for r in own.collect()}
+    many = [i for i in range(len(cols)) if len(known.get(i, [])) > bins]
+    shares = [k / bins for k in range(1, bins)]
+    ranks = dict(zip(many, df.approxQuantile([cols[i] for i in many], shares, relative_error))) if many else {}
+    cuts = []
+    for i in range(len(cols)):
+        v = known.get(i, [])
+        at = ranks[i] if i in ranks else [a / 2 + b / 2 for a, b in zip(v, v[1:])]
+        cuts.append(sorted({x for x in at if np.isfinite(x)}))
+    return cuts
+
+
+def _tree_stages(train: DataFrame, n: int, feats: Sequence[str], cfg: TrainConfig, clf) -> list:
+    """Stages of a tree model of MLlib.  Over ``SPLIT_ROWS`` rows its values are
+    the numbers of their ranges between cuts of all rows, and ``maxBins`` is set so
+    that MLlib samples no rows; it finds as many cuts as there are ranges."""
+    stages = _prep_stages(feats, cfg)
+    if n <= max(SPLIT_ROWS, clf.getMaxBins() ** 2):
+        return [*stages, clf]
+    imp = stages[0].fit(train)
+    cuts = tree_cuts(imp.transform(train), _imputed(feats), clf.getMaxBins(), cfg.imputer_relative_error)
+    splits = [[-np.inf, *(c or [0.0]), np.inf] for c in cuts]
+    ranges = [f"{c}__range" for c in feats]
+    cut = Bucketizer(splitsArray=splits, inputCols=_imputed(feats), outputCols=ranges, handleInvalid="keep")
+    return [imp, cut, VectorAssembler(inputCols=ranges, outputCol="features", handleInvalid="keep"), clf.setMaxBins(isqrt(n) + 1)]
+
+
 def rff_transform(df: DataFrame, n_features: int, dim: int, gamma: float, seed: int = SEED, in_col: str = "features", out_col: str = "rff") -> DataFrame:
     """Random Fourier features z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma),
     b ~ U(0, 2 pi): an explicit map whose inner products approximate the RBF
@@ -166,10 +214,10 @@ def fit_model(name: str, train: DataFrame, feats: Sequence[str], cfg: TrainConfi
             numTrees=cfg.n_random_forest, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxDepth=cfg.max_depth,
             weightCol="weight", labelCol=label, seed=SEED,
         )
-        stages = _prep_stages(feats, cfg) + [clf]
+        stages = _tree_stages(train, n, feats, cfg, clf)
     elif name == "gradient_boosting":
         clf = GBTClassifier(maxIter=cfg.gbt_iter, stepSize=0.1, maxDepth=3, labelCol=label, seed=SEED)
-        stages = _prep_stages(feats, cfg) + [clf]
+        stages = _tree_stages(train, n, feats, cfg, clf)
     elif name == "logistic_regression":
         clf = LogisticRegression(
             maxIter=cfg.lr_max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,

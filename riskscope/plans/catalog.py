@@ -166,7 +166,6 @@ def q_domain_features_urls(spark, sf):
 from riskscope.operators import dataset as DS  # noqa: E402
 
 SAMPLE_ROWS = 250  # rows of the balanced sample, where a sample is the feature
-MAX_FIT_ROWS = 20_000  # bound on the rows models are fitted on; all others are scored
 SEED = 42
 
 
@@ -687,7 +686,8 @@ def _train_test(spark, sf):
     # Training reads the split many times: cut the lineage once (reliable
     # checkpoint in the shared checkpoint directory).
     split = cut_lineage(DS.stratified_split(keyed, 0.2, SEED))
-    train = split.where(~F.col("is_test")).drop("is_test").orderBy(F.md5("url"), "url").limit(MAX_FIT_ROWS)
+    # Every training row, dealt by its place in an order: bootstraps are drawn partition by partition.
+    train = split.where(~F.col("is_test")).drop("is_test").orderBy(F.md5("url"), "url")
     return cut_lineage(train), split.where("is_test").drop("is_test"), feats
 
 
